@@ -1,9 +1,11 @@
-"""Generated sort records: pseudo-random keys, padded row ids and filler."""
+"""Generated sort records: pseudo-random keys, padded row ids and filler.
+
+The expressions are SQL texts: one text costs one call into the JVM however long it is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # The generator s -> (s * MULTIPLIER + INCREMENT) mod 2^32 and the record layout.
 MULTIPLIER = 3141592621
@@ -36,56 +38,60 @@ def jump_tables() -> list[list[tuple[int, int]]]:
     return tables
 
 
-def _affine(a: Column, s: Column, c: Column) -> Column:
+def _affine(a: str, s: str, c: str) -> str:
     """(a*s + c) mod 2^32 without overflowing a signed 64-bit product."""
-    high = F.shiftright(a, 16) * s
-    return (high.bitwiseAND(F.lit(0xFFFF)) * 65536 + a.bitwiseAND(F.lit(0xFFFF)) * s + c).bitwiseAND(F.lit(_MASK))
+    high = f"((shiftright({a}, 16) * {s}) & 65535L) * 65536L"
+    return f"(({high} + ({a} & 65535L) * {s} + {c}) & {_MASK}L)"
 
 
-def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values])
+def _look_up(values: list[int], index: str) -> str:
+    """Entry of a constant array, given as one text that is folded before the query runs."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)[{index}]"
 
 
-def with_state(df: DataFrame, steps: Column, name: str) -> DataFrame:
-    """Add the generator's state after ``steps`` steps from 0."""
-    df = df.withColumn("_steps", steps.cast("bigint").bitwiseAND(F.lit(_MASK)))
+def with_draws(df: DataFrame, row_id: str, names: tuple[str, ...] = ("_d1", "_d2", "_d3")) -> DataFrame:
+    """Add the draws of a row: the states one, two and three steps after 3 * row_id steps from 0."""
+    keep = [f"`{c}`" for c in df.columns]
+    df = df.selectExpr(*keep, f"(cast({row_id} as bigint) * {DRAWS_PER_ROW}) & {_MASK}L as _steps")
+    entries = []
     for byte, table in enumerate(jump_tables()):
-        digit = F.shiftright("_steps", 8 * byte).bitwiseAND(F.lit(0xFF)).cast("int")
-        a, c = _longs([p[0] for p in table])[digit], _longs([p[1] for p in table])[digit]
-        df = df.withColumn(name, c if byte == 0 else _affine(a, F.col(name), c))
-    return df.drop("_steps")
-
-
-def key_part(draw: Column) -> Column:
+        index = f"cast(shiftright(_steps, {8 * byte}) & 255 as int)"
+        entries += [f"{_look_up([m[i] for m in table], index)} as _{'ac'[i]}{byte}" for i in (0, 1)]
+    df = df.selectExpr(*keep, *entries)
+    state = "_c0"
+    for byte in (1, 2, 3):
+        later = [f"_{n}{b}" for b in range(byte + 1, 4) for n in "ac"]
+        df = df.selectExpr(*keep, *later, f"{_affine(f'_a{byte}', state, f'_c{byte}')} as _state")
+        state = "_state"
+    for i, name in enumerate(names):
+        df = df.selectExpr(*keep, *names[:i], f"{_affine(f'{MULTIPLIER}L', state, f'{INCREMENT}L')} as {name}")
+        state = name
+    return df
+
+
+def _key_part(draw: str) -> str:
     """Four printable characters of one draw, most significant digit first."""
-    digits = F.floor(draw / DRAW_DIVISOR)
     places = [KEY_BASE**3, KEY_BASE**2, KEY_BASE, 1]
-    return F.concat(*[F.char((F.floor(digits / p) % KEY_BASE + 32).cast("bigint")) for p in places])
+    return ", ".join(f"char(({draw} div {DRAW_DIVISOR} div {p}) % {KEY_BASE} + 32)" for p in places)
 
 
-def with_key(df: DataFrame, row_id: Column, name: str = "key") -> DataFrame:
+def with_key(df: DataFrame, row_id: str, name: str = "key") -> DataFrame:
     """Add the ten-character key of a row."""
-    df = with_state(df, row_id * DRAWS_PER_ROW, "_s0")
-    a, c = F.lit(MULTIPLIER).cast("bigint"), F.lit(INCREMENT).cast("bigint")
-    for i in range(DRAWS_PER_ROW):
-        df = df.withColumn(f"_s{i + 1}", _affine(a, F.col(f"_s{i}"), c))
-    parts = F.concat(*[key_part(F.col(f"_s{i + 1}")) for i in range(DRAWS_PER_ROW)])
-    return df.withColumn(name, F.substring(parts, 1, KEY_BYTES)).drop(
-        *[f"_s{i}" for i in range(DRAWS_PER_ROW + 1)]
-    )
+    keep = [f"`{c}`" for c in df.columns]
+    parts = ", ".join(_key_part(d) for d in ("_d1", "_d2", "_d3"))
+    return with_draws(df, row_id).selectExpr(*keep, f"substring(concat({parts}), 1, {KEY_BYTES}) as {name}")
 
 
-def padded_id(row_id: Column) -> Column:
+def padded_id(row_id: str) -> str:
     """Row id as a 32-bit integer, right-justified in ten characters."""
-    wrapped = (row_id + 2**31).bitwiseAND(F.lit(_MASK)) - 2**31
-    return F.lpad(wrapped.cast("string"), ID_BYTES, " ")
+    wrapped = f"((({row_id} + {2**31}L) & {_MASK}L) - {2**31}L)"
+    return f"lpad(cast({wrapped} as string), {ID_BYTES}, ' ')"
 
 
-def filler(row_id: Column) -> Column:
+def filler(row_id: str) -> str:
     """Blocks of repeated capital letters whose first letter follows the row id."""
     texts = []
     for base in range(26):
         blocks = (chr(ord("A") + (base + i) % 26) * n for i, n in enumerate(FILLER_BLOCKS))
         texts.append("".join(blocks))
-    base = ((row_id * len(FILLER_BLOCKS)) % 26).cast("int")
-    return F.array(*[F.lit(t) for t in texts])[base]
+    return f"split('{','.join(texts)}', ',')[cast(({row_id} * {len(FILLER_BLOCKS)}) % 26 as int)]"

@@ -20,8 +20,8 @@ def row_range(spark: SparkSession, rows: int = DEFAULT_ROWS, parts: int | None =
 
 def teragen(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     """The record of each row id: a ten-character key and a value of padded id and filler."""
-    keyed = with_key(rows.select(F.col(row_id).cast("bigint").alias("_row")), F.col("_row"))
-    return keyed.select("key", F.concat(padded_id(F.col("_row")), filler(F.col("_row"))).alias("value"))
+    keyed = with_key(rows.select(F.col(row_id).cast("bigint").alias("_row")), "_row")
+    return keyed.selectExpr("key", f"concat({padded_id('_row')}, {filler('_row')}) as value")
 
 
 def terasort(records: DataFrame, parts: int, key: str = "key", ties: tuple[str, ...] = ("value",)) -> DataFrame:

@@ -153,9 +153,8 @@ def concurrency_timeline(
     days = last.select(
         *keys, "_last", F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / TICKS_PER_CHUNK).cast("int"))).alias("_day")
     ).where(last_tick >= 1)
-    grid = days.select(
-        *keys, F.col("_day").cast("bigint").alias("_day"), F.explode(F.sequence(first_tick, last_tick)).cast("bigint").alias("tick")
-    )
+    ticks = F.explode(F.sequence(first_tick.cast("bigint"), last_tick.cast("bigint")))
+    grid = days.select(*keys, F.col("_day").cast("bigint").alias("_day"), ticks.alias("tick"))
     daily = per_tick.groupBy(*keys, day.alias("_day")).agg(F.sum("change").alias("_change"))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     all_days = days.select(*keys, F.col("_day").cast("bigint").alias("_day")).join(daily, [*keys, "_day"], "left")

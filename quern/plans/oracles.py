@@ -359,13 +359,13 @@ ORACLES: dict[str, str] = {
         ["job_runs"],
         """
         select job_id, cast(case when finish_ms is null then 0
-               else round_even(cast((finish_ms - launch_ms) / 1000.0 as decimal(18, 3)), 2) end as double) as exec_time from job_runs""",
+               else round_even(cast(cast((finish_ms - launch_ms) / 1000.0::double as varchar) as decimal(38, 16)), 2) end as double) as exec_time from job_runs""",
     ),
     "latency": with_views(
         ["job_runs"],
         """
         select job_id, cast(case when finish_ms is null then 0
-               else round_even(cast((finish_ms - launch_ms) / 1000.0 - deadline as decimal(18, 3)), 2) end as double) as latency from job_runs""",
+               else round_even(cast(cast((finish_ms - launch_ms) / 1000.0::double - deadline as varchar) as decimal(38, 16)), 2) end as double) as latency from job_runs""",
     ),
     "task_time_estimate": with_views(
         ["task_events", "planned_jobs"],

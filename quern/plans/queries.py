@@ -287,9 +287,9 @@ def _in_micros(bursts: DataFrame) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
+    # A pattern, as a stream takes no single file; it fits a file and a folder of files alike.
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parque[t]")
     return raw.select(
         F.col("user_id").alias("job_id"),
         F.col("event_type").isin("view", "click").alias("is_map"),
