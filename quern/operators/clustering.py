@@ -51,9 +51,9 @@ def _similarity() -> Column:
     return F.when(norms > 0, F.try_divide(F.col("_rc").cast("float"), norms).cast("float"))
 
 
-def _scored(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...], how: str) -> DataFrame:
+def _scored(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...], how: str, checked: bool = False) -> DataFrame:
     r, c = F.col("rating").cast("bigint"), F.col("c_rating").cast("bigint")
-    joined = reviews.join(checked_broadcast(centroids), "rater_id", how)
+    joined = reviews.join(centroids if checked else checked_broadcast(centroids), "rater_id", how)
     sums = joined.groupBy(*key, "k").agg(F.sum(r * c).alias("_rc"), F.sum(r * r).alias("_rr"), F.sum(c * c).alias("_cc"))
     return sums.select(*key, "k", _similarity().alias("similarity"))
 
@@ -63,13 +63,16 @@ def cosine_scores(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...]
     return _scored(reviews, centroids, key, "inner")
 
 
-def kmeans_assign(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",)) -> DataFrame:
+def kmeans_assign(
+    reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",), checked: bool = False
+) -> DataFrame:
     """movie -> (cluster, similarity): the highest similarity above 0, the lowest cluster among equals.
 
     A movie without a common rater goes to cluster 0 with similarity 0.  The outer join keeps such
-    movies, so no second pass over the reviews is needed.
+    movies, so no second pass over the reviews is needed.  ``checked`` says that the size of the
+    centroids is known and any broadcast hint already given.
     """
-    scores = _scored(reviews, centroids, key, "left")
+    scores = _scored(reviews, centroids, key, "left", checked)
     choice = F.when(F.col("similarity") > 0, F.struct(F.col("similarity"), (-F.col("k")).alias("minus_k")))
     best = scores.groupBy(*key).agg(F.max(choice).alias("best"))
     return best.select(
@@ -114,27 +117,21 @@ def _with_reviews(winners: DataFrame, reviews: DataFrame, order: tuple[str, ...]
     The line ``movie:rater_rating,...`` is cut at its first comma at or after character 1000.
     """
     by_place = Window.partitionBy("cluster").orderBy(*order)
+    token = F.when(F.col("rater_id").isNotNull(), F.concat_ws("_", "rater_id", "rating"))
     first = (
-        reviews.where(F.col("rater_id").isNotNull())
-        .join(F.broadcast(winners), "movie_id")
+        reviews.join(F.broadcast(winners), "movie_id")
         .withColumn("_place", F.row_number().over(by_place))
         .where(F.col("_place") <= CUT_REVIEWS)
-        .withColumn("_token", F.concat_ws("_", "rater_id", "rating"))
+        .withColumn("_token", token)
     )
     before = Window.partitionBy("cluster").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     comma_at = F.length(F.col("movie_id").cast("string")) + F.sum(F.length("_token") + 1).over(before)
     kept = first.withColumn("_comma", comma_at).where(F.col("_comma").isNull() | (F.col("_comma") < LINE_CUT))
-    lists = kept.groupBy("cluster").agg(
-        F.count(F.lit(1)).cast("int").alias("total"),
-        F.array_sort(F.collect_list(F.struct("_place", "_token"))).alias("_tokens"),
-    )
-    return winners.join(F.broadcast(lists), "cluster", "left").select(
-        F.col("cluster").alias("k"),
-        "similarity",
-        "movie_id",
-        F.coalesce("total", F.lit(0)).alias("total"),
-        F.coalesce(F.concat_ws(",", F.col("_tokens._token")), F.lit("")).alias("reviews"),
-        "members",
+    placed = F.when(F.col("_token").isNotNull(), F.struct("_place", "_token"))
+    return (
+        kept.groupBy(F.col("cluster").alias("k"), "similarity", "movie_id", "members")
+        .agg(F.count("_token").cast("int").alias("total"), F.array_sort(F.collect_list(placed)).alias("_tokens"))
+        .select("k", "similarity", "movie_id", "total", F.concat_ws(",", F.col("_tokens._token")).alias("reviews"), "members")
     )
 
 
@@ -191,8 +188,10 @@ def kmeans_iterate(
     rows = model.select(*columns).limit(MAX_CLUSTERS + 1).collect()
     try:
         for _ in range(max_iter):
-            current = spark.createDataFrame(rows, MODEL_SCHEMA)
-            assigned = kmeans_assign(reviews, load_centroids(current))
+            ordered = sorted(rows, key=lambda r: -r["movie_id"])
+            numbered = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(ordered)], MODEL_SCHEMA)
+            # At most six rows with a cut line each, so there is nothing to count before the broadcast.
+            assigned = kmeans_assign(reviews, F.broadcast(_centroid_reviews(numbered.coalesce(1))), checked=True)
             updated = kmeans_update(assigned, reviews, order).select(*columns).orderBy("k").collect()
             settled = {r["movie_id"] for r in updated} == {r["movie_id"] for r in rows}
             rows = updated

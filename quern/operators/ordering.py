@@ -8,6 +8,8 @@ Both ways give the same result; the size of the largest group decides.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,34 +43,35 @@ def pick_split_points(sample: DataFrame, columns: list[str], parts: int) -> Data
     )
 
 
-def split_points(df: DataFrame, columns: list[str], parts: int, total: int, sample_rows: int = SAMPLE_ROWS) -> list:
-    """Sampled split points as rows; at most ``parts - 1`` of them reach the driver."""
+def split_points(df: DataFrame, columns: list[str], parts: int, total: int, sample_rows: int = SAMPLE_ROWS) -> list[tuple]:
+    """Sampled split points as texts of their columns; at most ``parts - 1`` of them reach the driver."""
     if parts < 2 or total == 0:
         return []
     fraction = min(1.0, sample_rows / total)
     picked = pick_split_points(df.select(*columns).sample(fraction, seed=11), columns, parts)
-    return [row[1:] for row in picked.orderBy("split").collect()]
+    texts = [F.col(c).cast("string") for c in columns]
+    return [tuple(row) for row in picked.orderBy("split").select(*texts).collect()]
 
 
-def bucket_of(df: DataFrame, columns: list[str], splits: list) -> Column:
+def bucket_of(df: DataFrame, columns: list[str], splits: list[tuple]) -> Column:
     """Number of split points below the row, so a row equal to a split goes to the lower side.
 
     A binary search over a constant array: the array is padded to a power of two with nulls,
-    which no row is above.
+    which no row is above.  The split points are given as texts and cast to the columns' types.
     """
     if not splits:
         return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     size = 1
     while size <= len(splits):
         size *= 2
-    rows = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(columns, s)]) for s in splits]
-    rows += [F.lit(None)] * (size - len(splits))
-    points, row = F.array(*rows), F.struct(*[F.col(c) for c in columns])
-    steps, step = [], size // 2
-    while step:
-        steps.append(step)
-        step //= 2
+    rows = [dict(zip(columns, s)) for s in splits] + [None] * (size - len(splits))
+    as_text = ",".join(f"`{c}`:string" for c in columns)
+    as_typed = ",".join(f"`{c}`:{types[c]}" for c in columns)
+    parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{as_text}>>")
+    points = parsed.cast(f"array<struct<{as_typed}>>")
+    row = F.struct(*[F.col(c) for c in columns])
+    steps = [size >> i for i in range(1, size.bit_length())]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
@@ -110,8 +113,8 @@ def running_total(
     )
     inside = Window.partitionBy("_group", "_bucket").orderBy(*order).rowsBetween(*to_here)
     joined = cut.withColumn(name, F.sum("_value").over(inside)).join(carried, ["_group", "_bucket"])
-    total_here = F.when(F.col("_carried").isNull(), F.col(name)).otherwise(F.col(name) + F.col("_carried"))
-    return joined.withColumn(name, total_here).drop("_group", "_bucket", "_value", "_carried")
+    both = F.coalesce(F.col(name) + F.col("_carried"), F.col(name), F.col("_carried"))
+    return joined.withColumn(name, both).drop("_group", "_bucket", "_value", "_carried")
 
 
 def row_rank(
