@@ -173,16 +173,16 @@ def update_bursts(
     gap_seconds: int = 1,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(burst_start, burst_end, changes): events of one group with less than ``gap_seconds`` between.
+    """(burst_start, burst_end, changes): events of one group with no more than ``gap_seconds`` between.
 
-    Events at one moment are counted together first; a burst starts where the moment before is
-    too far back, and is numbered by a running count of such starts.
+    The same bursts as ``session_window`` makes, for groups of any size.  Events at one moment are
+    counted together first; a burst starts where the moment before is too far back, and is numbered by a running count of such starts.
     """
     keys = list(partition)
     moments = events.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n"))
     near = previous_values(moments, {"_last": ts}, keys, [ts], group_rows)
     gap = F.make_dt_interval(secs=F.lit(gap_seconds))
-    starts = F.when(F.col("_last").isNull() | (F.col(ts) >= F.col("_last") + gap), 1).otherwise(0)
+    starts = F.when(F.col("_last").isNull() | (F.col(ts) > F.col("_last") + gap), 1).otherwise(0)
     numbered = running_total(near, starts, "_burst", keys, [ts], group_rows)
     return (
         numbered.groupBy(*keys, "_burst")

@@ -209,7 +209,7 @@ EVENT_BURSTS = """
     select {keys} burst_start, burst_end, changes from (
         select {keys} burst, epoch_us(min(ts)) as burst_start, epoch_us(max(ts) + interval {gap}) as burst_end, count(*) as changes
         from (select *, sum(starts) over ({part} order by ts) as burst
-              from (select *, case when lag(ts) over ({part} order by ts) + interval {gap} > ts then 0 else 1 end as starts
+              from (select *, case when lag(ts) over ({part} order by ts) + interval {gap} >= ts then 0 else 1 end as starts
                     from task_events))
         group by {keys} burst)"""
 
@@ -465,6 +465,11 @@ ORACLES: dict[str, str] = {
         f"select snapshot_id, job_id, round({SENSITIVITY}, 6) as sensitivity from (select *, sensitivity - 0.5 as beta from job_snapshots)",
     ),
     "update_bursts": with_views(["task_events"], EVENT_BURSTS.format(keys="", gap="30 seconds", part="")),
+    "stream_update_bursts": with_views(
+        ["task_events"],
+        EVENT_BURSTS.format(keys="job_id,", gap="1 hour", part="partition by job_id")
+        + " where burst_end <= (select epoch_ms(max(ts)) * 1000 - 10000000 from task_events)",
+    ),
     "stream_task_estimate": with_views(
         ["task_events"],
         f"""
