@@ -9,6 +9,7 @@ Both ways give the same result; the size of the largest group decides.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,83 +80,96 @@ def bucket_of(df: DataFrame, columns: list[str], splits: list[tuple]) -> Column:
     )
 
 
-def _bucketed(df: DataFrame, partition: list[str], order: list[str], group_rows: int, total: int) -> DataFrame:
-    """Add ``_bucket`` (range of the whole sort order) and ``_group`` (null-safe group key)."""
+@dataclass(frozen=True)
+class Ordered:
+    """Rows whose groups are in order; made by ``in_order``, and read by ``rows``.
+
+    ``cut`` rows carry ``_group`` (one null-safe key of the group) and ``_bucket`` (their range of
+    the whole sort order), and each step works on them as they are.
+    """
+
+    frame: DataFrame
+    partition: list[str]
+    order: list[str]
+    cut: bool
+
+    def rows(self) -> DataFrame:
+        return self.frame.drop("_group", "_bucket") if self.cut else self.frame
+
+    def _step(self, frame: DataFrame) -> Ordered:
+        return replace(self, frame=frame)
+
+    def total(self, value: Column, name: str) -> Ordered:
+        """Add the sum of ``value`` over the rows of the group up to and including this one."""
+        to_here = (Window.unboundedPreceding, Window.currentRow)
+        if not self.cut:
+            window = Window.partitionBy(*self.partition).orderBy(*self.order).rowsBetween(*to_here)
+            return self._step(self.frame.withColumn(name, F.sum(value).over(window)))
+        valued = self.frame.withColumn("_value", value)
+        before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            valued.groupBy("_group", "_bucket")
+            .agg(F.sum("_value").alias("_sum"))
+            .select("_group", "_bucket", F.sum("_sum").over(before).alias("_carried"))
+        )
+        inside = Window.partitionBy("_group", "_bucket").orderBy(*self.order).rowsBetween(*to_here)
+        joined = valued.withColumn(name, F.sum("_value").over(inside)).join(carried, ["_group", "_bucket"])
+        both = F.coalesce(F.col(name) + F.col("_carried"), F.col(name), F.col("_carried"))
+        return self._step(joined.withColumn(name, both).drop("_value", "_carried"))
+
+    def rank(self, name: str) -> Ordered:
+        """Add the 1-based place of the row in its group."""
+        return self.total(F.lit(1).cast("bigint"), name)
+
+    def previous(self, values: dict[str, str]) -> Ordered:
+        """Add, for each ``name: column``, the column's value in the row before; null in the first row."""
+        here = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+        if not self.cut:
+            window = Window.partitionBy(*self.partition).orderBy(*self.order)
+            ready = self.frame.withColumn("_before", F.lag(here).over(window))
+        else:
+            held = self.frame.withColumn("_here", here)
+            place = F.struct(*[F.col(c) for c in self.order])
+            last = held.groupBy("_group", "_bucket").agg(F.max_by("_here", place).alias("_last"))
+            buckets = Window.partitionBy("_group").orderBy("_bucket")
+            carried = last.select("_group", "_bucket", F.lag("_last").over(buckets).alias("_carried"))
+            inside = Window.partitionBy("_group", "_bucket").orderBy(*self.order)
+            joined = held.withColumn("_before", F.lag("_here").over(inside)).join(carried, ["_group", "_bucket"])
+            ready = joined.withColumn("_before", F.coalesce("_before", "_carried")).drop("_here", "_carried")
+        for name in values:
+            ready = ready.withColumn(name, F.col("_before")[name])
+        return self._step(ready.drop("_before"))
+
+
+def in_order(df: DataFrame, partition: list[str], order: list[str], group_rows: int = GROUP_ROWS) -> Ordered:
+    """Prepare rows for steps in order: ``order`` columns sort upwards and should leave no ties.
+
+    The groups are counted once here.  The rows are read again for the sample and for the result,
+    so give a scan or a written table rather than a costly plan.
+    """
+    largest, total = largest_group(df, partition)
+    if largest <= group_rows:
+        return Ordered(df, partition, order, cut=False)
     columns = partition + order
     splits = split_points(df, columns, bucket_count(total, group_rows), total)
     group = F.struct(*[F.col(c) for c in partition]) if partition else F.lit(0)
-    return df.withColumn("_group", group).withColumn("_bucket", bucket_of(df, columns, splits))
+    cut = df.withColumn("_group", group).withColumn("_bucket", bucket_of(df, columns, splits))
+    return Ordered(cut, partition, order, cut=True)
 
 
 def running_total(
-    df: DataFrame,
-    value: Column,
-    name: str,
-    partition: list[str],
-    order: list[str],
-    group_rows: int = GROUP_ROWS,
+    df: DataFrame, value: Column, name: str, partition: list[str], order: list[str], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Add the sum of ``value`` over the rows of the group up to and including this one.
-
-    ``order`` columns sort upwards and should leave no ties.
-    """
-    largest, total = largest_group(df, partition)
-    to_here = (Window.unboundedPreceding, Window.currentRow)
-    if largest <= group_rows:
-        window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(*to_here)
-        return df.withColumn(name, F.sum(value).over(window))
-    cut = _bucketed(df.withColumn("_value", value), partition, order, group_rows, total)
-    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        cut.groupBy("_group", "_bucket")
-        .agg(F.sum("_value").alias("_sum"))
-        .select("_group", "_bucket", F.sum("_sum").over(before).alias("_carried"))
-    )
-    inside = Window.partitionBy("_group", "_bucket").orderBy(*order).rowsBetween(*to_here)
-    joined = cut.withColumn(name, F.sum("_value").over(inside)).join(carried, ["_group", "_bucket"])
-    both = F.coalesce(F.col(name) + F.col("_carried"), F.col(name), F.col("_carried"))
-    return joined.withColumn(name, both).drop("_group", "_bucket", "_value", "_carried")
+    return in_order(df, partition, order, group_rows).total(value, name).rows()
 
 
 def row_rank(
     df: DataFrame, name: str, partition: list[str], order: list[str], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Add the 1-based place of the row in its group."""
-    return running_total(df, F.lit(1).cast("bigint"), name, partition, order, group_rows)
+    return in_order(df, partition, order, group_rows).rank(name).rows()
 
 
 def previous_values(
-    df: DataFrame,
-    values: dict[str, str],
-    partition: list[str],
-    order: list[str],
-    group_rows: int = GROUP_ROWS,
+    df: DataFrame, values: dict[str, str], partition: list[str], order: list[str], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Add, for each ``name: column``, the column's value in the row before; null in the first row."""
-    largest, total = largest_group(df, partition)
-    here = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    if largest <= group_rows:
-        window = Window.partitionBy(*partition).orderBy(*order)
-        ready = df.withColumn("_before", F.lag(here).over(window))
-    else:
-        cut = _bucketed(df, partition, order, group_rows, total).withColumn("_here", here)
-        place = F.struct(*[F.col(c) for c in order])
-        carried = (
-            cut.groupBy("_group", "_bucket")
-            .agg(F.max_by("_here", place).alias("_last"))
-            .select(
-                "_group",
-                "_bucket",
-                F.lag("_last").over(Window.partitionBy("_group").orderBy("_bucket")).alias("_carried"),
-            )
-        )
-        inside = Window.partitionBy("_group", "_bucket").orderBy(*order)
-        ready = (
-            cut.withColumn("_before", F.lag("_here").over(inside))
-            .join(carried, ["_group", "_bucket"])
-            .withColumn("_before", F.coalesce("_before", "_carried"))
-            .drop("_group", "_bucket", "_here", "_carried")
-        )
-    for name in values:
-        ready = ready.withColumn(name, F.col("_before")[name])
-    return ready.drop("_before")
+    return in_order(df, partition, order, group_rows).previous(values).rows()

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.reviews import is_movie_line, movie_id, parse_review, review_tokens
+from quern.operators.skew import spread
+
 # Fixed value: width of a bin of average ratings.
 BIN_WIDTH = 0.5
 
@@ -19,6 +22,19 @@ def flatten_reviews(movies: DataFrame, keep: tuple[str, ...] = ("movie_id",)) ->
     return flat.select(*keep, "pos", "review.rater_id", "review.rating")
 
 
+def reviews_of_lines(lines: DataFrame, value: str = "value", require_underscore: bool = False, permissive: bool = False) -> DataFrame:
+    """Flat reviews straight from ``movie:rater_rating,...`` lines, without an array of structs between.
+
+    A token left out for want of an underscore stays as a row of nulls, as does a movie without tokens.
+    """
+    line = F.col(value)
+    tokens = spread(lines.select(value)).where(is_movie_line(line)).select(
+        movie_id(line).alias("movie_id"), F.posexplode_outer(review_tokens(line)).alias("pos", "token")
+    )
+    review = parse_review(F.col("token"), require_underscore, permissive)
+    return tokens.select("movie_id", "pos", review.alias("review")).select("movie_id", "pos", "review.rater_id", "review.rating")
+
+
 def histogram_ratings(reviews: DataFrame) -> DataFrame:
     """rating -> number of reviews."""
     rated = reviews.where(F.col("rating").isNotNull())

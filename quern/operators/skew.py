@@ -22,10 +22,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out evenly if the input has fewer splits than the cluster has cores.
 
     Splitting text is heavy work, and a small table read as one split would keep one core
-    busy.  A large input has more splits than cores and is left as it is.
+    busy.  A large input has more splits than cores and is left as it is.  Give it a scan without
+    shuffles below, as counting the splits of any other plan would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    # By hash, as dealing in turns would sort the rows first to be repeatable.
+    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
 
 
 def group_key(columns: list[str]) -> Column:

@@ -50,9 +50,14 @@ def inverted_index_list(df: DataFrame, doc: str, text: str = "text", list_rows:
     """word -> sorted documents, in blocks of about ``list_rows`` documents.
 
     Most words have the one block 0.  A word of more documents has several, each sorted, so no
-    list outgrows a task; together they hold every document once.
+    list outgrows a task; together they hold every document once.  No word can have more if the
+    input has not that many rows, and counting those reads no text.
     """
-    pairs = with_blocks(inverted_index(df, doc, text), ["word"], F.col("doc"), list_rows)
+    pairs = inverted_index(df, doc, text)
+    if df.count() <= list_rows:
+        pairs = pairs.withColumn("_block", F.lit(0))
+    else:
+        pairs = with_blocks(pairs, ["word"], F.col("doc"), list_rows)
     return (
         pairs.groupBy("word", F.col("_block").alias("block"))
         .agg(F.array_sort(F.collect_list("doc")).alias("docs"))

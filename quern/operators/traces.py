@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores as S
 from quern.functions.numeric import exponential, gaussian, round2, uniform
-from quern.operators.ordering import GROUP_ROWS, previous_values, running_total
+from quern.operators.ordering import GROUP_ROWS, in_order, running_total
+from quern.operators.skew import spread
+from quern.sources.jobs import PROFILE_FIELDS
 
 # Map and reduce seconds per task that each class of job is planned with.
 TASK_SECONDS = {
@@ -90,19 +92,19 @@ def gen_job_profiles(
     Jobs arrive in order of their id, the first two at once and the others after exponential gaps
     in hundredths of a second, so arrivals add up exactly.  All draws are fixed by seed and id.
     """
-    ids = jobs.select(F.col(job).alias("job_id"))
+    ids = spread(jobs.select(F.col(job).alias("job_id")))
     first_two = [r["job_id"] for r in ids.orderBy("job_id").limit(2).collect()]
     key = F.col("job_id")
     gap = F.bround(exponential(key, "gap", mean_gap, seed) * 100).cast("bigint")
     counted = F.when(key.isin(first_two), 0).otherwise(gap)
-    arrived = running_total(ids, counted, "_cents", [], ["job_id"], group_rows)
     choice = F.floor(uniform(key, "class", seed) * len(TRACE_CLASSES)).cast("int")
     map_time = _class_value(F.col("_class"), [TASK_SECONDS[c][0] for c in TRACE_CLASSES])
     red_time = _class_value(F.col("_class"), [TASK_SECONDS[c][1] for c in TRACE_CLASSES])
     run_time = MAP_TASKS / SLOTS * map_time + RED_TASKS / SLOTS * red_time
     kind = uniform(key, "type", seed)
-    return (
-        arrived.withColumn("_class", choice)
+    drawn = (
+        ids.withColumn("_gap", counted)
+        .withColumn("_class", choice)
         .withColumn(
             "deadline_type",
             F.when(kind < HARD_SHARE, S.HARD).when(kind < HARD_SHARE + SOFT_SHARE, S.SOFT).otherwise(S.NO_DEADLINE),
@@ -114,7 +116,7 @@ def gen_job_profiles(
             F.lit(MAP_TASKS).alias("map_tasks"),
             F.lit(RED_TASKS).alias("red_tasks"),
             F.ceil((1 + uniform(key, "deadline", seed)) * run_time).cast("double").alias("deadline"),
-            (FIRST_ARRIVAL + F.col("_cents") / 100.0).alias("join_time"),
+            "_gap",
             F.floor(uniform(key, "priority", seed) * PRIORITIES + 1).cast("double").alias("priority"),
             "deadline_type",
             "utility_type",
@@ -123,6 +125,9 @@ def gen_job_profiles(
             F.concat(F.lit("job"), key.cast("string")).alias("job_name"),
         )
     )
+    arrived = running_total(drawn, F.col("_gap"), "_cents", [], ["job_id"], group_rows)
+    join_time = FIRST_ARRIVAL + F.col("_cents") / 100.0
+    return arrived.select("job_id", *[join_time.alias(c) if c == "join_time" else c for c, _ in PROFILE_FIELDS])
 
 
 def concurrency_timeline(
@@ -180,10 +185,10 @@ def update_bursts(
     """
     keys = list(partition)
     moments = events.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n"))
-    near = previous_values(moments, {"_last": ts}, keys, [ts], group_rows)
+    near = in_order(moments, keys, [ts], group_rows).previous({"_last": ts})
     gap = F.make_dt_interval(secs=F.lit(gap_seconds))
     starts = F.when(F.col("_last").isNull() | (F.col(ts) > F.col("_last") + gap), 1).otherwise(0)
-    numbered = running_total(near, starts, "_burst", keys, [ts], group_rows)
+    numbered = near.total(starts, "_burst").rows()
     return (
         numbered.groupBy(*keys, "_burst")
         .agg(F.min(ts).alias("burst_start"), (F.max(ts) + gap).alias("burst_end"), F.sum("n").alias("changes"))

@@ -329,6 +329,7 @@ ORACLES: dict[str, str] = {
     "row_range": "select row_number() over () - 1 as row_id from orders",
     "teragen": tera("select key, value from rows"),
     "terasort": tera("select key, value, row_number() over (order by key, value) as place from rows"),
+    "sort_pipeline": f"select cast({Q.SORT_PARTS} as bigint) as files, count(*) as rows, cast(0 as bigint) as errors from orders",
     "range_split_points": tera("select split, key from splits", SPLITS),
     "range_partition": tera(
         "select key, cast((select count(*) from splits s where s.key < r.key) as int) as part from rows r", SPLITS

@@ -14,6 +14,7 @@ from quern.operators import clustering, jobs, ratings, records, relations, text,
 from quern.plans.views import table, view
 from quern.session import shared_dir
 from quern.sources import jobs as job_sources
+from quern.sources import sinks
 from quern.sources import text as text_sources
 from quern.streaming import tasks
 
@@ -67,13 +68,12 @@ def term_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def movie_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    movies = text_sources.movie_source(view(spark, sf_dir, "movie_lines"))
-    return ratings.flatten_reviews(movies, keep=("movie_id", "line")).drop("line")
+    return ratings.reviews_of_lines(view(spark, sf_dir, "movie_lines"))
 
 
 def parse_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    movies = text_sources.movie_source(view(spark, sf_dir, "movie_lines"), require_underscore=True)
-    return ratings.flatten_reviews(movies)
+    reviews = ratings.reviews_of_lines(view(spark, sf_dir, "movie_lines"), require_underscore=True)
+    return reviews.where(F.col("rater_id").isNotNull())
 
 
 def edge_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,17 +114,21 @@ def load_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.load_centroids(model)
 
 
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "ratings", even=True)
+
+
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = clustering.cosine_scores(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "centroids"))
+    scores = clustering.cosine_scores(_reviews(spark, sf_dir), view(spark, sf_dir, "centroids"))
     return scores.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.kmeans_assign(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "centroids"))
+    return clustering.kmeans_assign(_reviews(spark, sf_dir), view(spark, sf_dir, "centroids"))
 
 
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.classify(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "centroids"))
+    return clustering.classify(_reviews(spark, sf_dir), view(spark, sf_dir, "centroids"))
 
 
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +141,7 @@ def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = view(spark, sf_dir, "ratings")
+    reviews = _reviews(spark, sf_dir)
     model = clustering.initial_model(reviews, FIRST_CENTROIDS, REVIEW_ORDER)
     final = clustering.kmeans_iterate(spark, reviews, model, KMEANS_PASSES, REVIEW_ORDER)
     return final.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
@@ -164,8 +168,19 @@ def teragen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terasort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = records.terasort(_records(spark, sf_dir), SORT_PARTS)
-    return records.sorted_places(ordered)
+    return records.sorted_places(_records(spark, sf_dir))
+
+
+def sort_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generate, sort, write, read back and validate: files, rows and errors."""
+    path = f"{shared_dir(spark)}/sorted-{uuid.uuid4().hex}"
+    sinks.tera_sink(records.terasort(_records(spark, sf_dir), SORT_PARTS), path)
+    back = text_sources.read_tera(spark, path)
+    errors = records.teravalidate(back, order=("block", "pos")).agg(F.count(F.lit(1)).alias("errors"))
+    written = back.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    counts = written.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"))
+    parts = [counts.select("files", "rows", F.lit(0).cast("bigint").alias("errors")), errors.select(F.lit(0).alias("files"), F.lit(0).alias("rows"), "errors")]
+    return parts[0].unionByName(parts[1]).agg(*[F.sum(c).alias(c) for c in ("files", "rows", "errors")])
 
 
 def range_split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,6 +365,7 @@ QUERIES: dict[str, Query] = {
         row_range,
         teragen,
         terasort,
+        sort_pipeline,
         range_split_points,
         range_partition,
         teravalidate,

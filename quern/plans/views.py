@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.operators.skew import spread
 from quern.operators.traces import TASK_SECONDS, TRACE_CLASSES
 
 
@@ -91,10 +92,14 @@ def tables_of(text: str) -> list[str]:
     return [t for t in ("lineitem", "orders", "events", "customer") if f"{{{t}}}" in text]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables its text names; only those are read."""
+def view(spark: SparkSession, sf_dir: str, name: str, even: bool = False) -> DataFrame:
+    """A view over the tables its text names; only those are read.
+
+    ``even`` spreads a table of few splits over the cores, for queries with much work per row.
+    """
     text = VIEWS[name]
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables_of(text)})
+    frames = {t: table(spark, sf_dir, t) for t in tables_of(text)}
+    return spark.sql(text, **{t: spread(df) if even else df for t, df in frames.items()})
 
 
 def view_sql(name: str) -> str:

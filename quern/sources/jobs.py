@@ -37,10 +37,10 @@ def _fields(part: Column, fields: tuple, start: int = 0) -> list[Column]:
 
 def job_profiles(lines: DataFrame, value: str = "value") -> DataFrame:
     """Ten fields between white space; a malformed line fails the query."""
-    part = F.split(F.trim(F.regexp_replace(value, "\\s+", " ")), " ")
+    parts = lines.select(value, F.array_remove(F.split(value, "\\s+"), "").alias("p")).where(F.size("p") > 0)
     broken = F.raise_error(F.concat(F.lit("malformed job profile: "), F.col(value)))
-    checked = F.when(F.size(part) == len(PROFILE_FIELDS), part).otherwise(broken.cast("array<string>"))
-    return lines.where(F.trim(F.regexp_replace(value, "\\s+", " ")) != "").select(checked.alias("p")).select(*_fields(F.col("p"), PROFILE_FIELDS))
+    checked = F.when(F.size("p") == len(PROFILE_FIELDS), F.col("p")).otherwise(broken.cast("array<string>"))
+    return parts.select(checked.alias("p")).select(*_fields(F.col("p"), PROFILE_FIELDS))
 
 
 def job_profile_source(spark: SparkSession, path: str) -> DataFrame:

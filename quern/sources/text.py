@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.reviews import is_movie_line, movie_id, parse_review, review_tokens
 from quern.functions.text import after_last_comma, before_last_comma
+from quern.operators.skew import spread
 
 # Fixed value: bytes of a sort record's key.
 RECORD_KEY_BYTES = 10
@@ -24,6 +25,7 @@ def movie_source(lines: DataFrame, value: str = "value", require_underscore: boo
     the histograms count them.
     """
     line = F.col(value)
+    lines = spread(lines)
     parsed = F.transform(review_tokens(line), lambda t: parse_review(t, require_underscore, permissive))
     kept = F.filter(parsed, lambda r: r.isNotNull()) if require_underscore else parsed
     return lines.where(is_movie_line(line)).select(movie_id(line).alias("movie_id"), line.alias("line"), kept.alias("reviews"))
