@@ -177,13 +177,17 @@ def kmeans_iterate(
     model: DataFrame,
     max_iter: int = 10,
     order: tuple[str, ...] = ("pos",),
+    persist: bool = True,
 ) -> DataFrame:
     """Assign and update until the centroid movies stay the same or ``max_iter`` passes are done.
 
+    ``persist`` keeps the reviews between passes, which pays where making them takes a join; a
+    plain table too large for the executors is better read again.
     Only the model goes through the driver: one row per cluster, each with a cut line.  A
     cluster without members is missing from the next model.
     """
-    reviews = reviews.persist()
+    if persist:
+        reviews = reviews.persist()
     columns = ["k", "similarity", "movie_id", "total", "reviews"]
     rows = model.select(*columns).limit(MAX_CLUSTERS + 1).collect()
     try:
@@ -198,5 +202,6 @@ def kmeans_iterate(
             if settled:
                 break
     finally:
-        reviews.unpersist()
+        if persist:
+            reviews.unpersist()
     return spark.createDataFrame(rows, MODEL_SCHEMA)

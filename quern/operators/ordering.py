@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.operators.skew import bucket_count, largest_group
 
 GROUP_ROWS = 1_000_000
-SAMPLE_ROWS = 100_000
+SAMPLE_ROWS = 200_000
 
 
 def pick_split_points(sample: DataFrame, columns: list[str], parts: int) -> DataFrame:

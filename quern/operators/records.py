@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quern.functions.numeric import uniform
 from quern.functions.records import filler, padded_id, with_key
-from quern.operators.ordering import GROUP_ROWS, SAMPLE_ROWS, bucket_of, pick_split_points, previous_values, row_rank
+from quern.operators.ordering import GROUP_ROWS, bucket_of, pick_split_points, previous_values, row_rank
 
 # Rows of a generated table by default, and keys sampled for split points.
 DEFAULT_ROWS = 3_000_000
+SAMPLE_ROWS = 100_000
 
 
 def row_range(spark: SparkSession, rows: int = DEFAULT_ROWS, parts: int | None = None) -> DataFrame:

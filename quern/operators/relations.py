@@ -11,8 +11,6 @@ from quern.operators.skew import largest_group, with_blocks
 BLOCK_ROWS = 20_000
 # Fixed value: neighbours kept per node and side.
 NEIGHBOUR_LIMIT = 200_000
-# Parts a node's neighbours are cut to the limit in before the final cut.
-LIMIT_SALT = 256
 
 
 def self_join(itemsets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -44,12 +42,13 @@ def self_join(itemsets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
 
 
-def adj_list(edges: DataFrame, limit: int = NEIGHBOUR_LIMIT, salt: int = LIMIT_SALT) -> DataFrame:
+def adj_list(edges: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFrame:
     """node -> sorted distinct in-neighbours and out-neighbours, each at most ``limit``.
 
-    A side without neighbours is an empty list.  Over the limit the smallest stay.  The cut is
-    made in ``salt`` parts first, so a node with a large share of all edges is not brought
-    together before it is cut.
+    A side without neighbours is an empty list.  Over the limit the smallest stay.  A side over
+    the limit is cut in parts first: with n neighbours, sqrt(n / limit) parts, so that a part and
+    what is left of all parts are equally large, and a node with a large share of all edges is not
+    brought together before it is cut.
     """
     side = F.explode(
         F.array(
@@ -58,12 +57,13 @@ def adj_list(edges: DataFrame, limit: int = NEIGHBOUR_LIMIT, salt: int = LIMIT_S
         )
     )
     ends = edges.select("src", "dst").distinct().select(side.alias("e")).select("e.*")
-    salted = ends.withColumn("_salt", F.pmod(F.xxhash64("other"), F.lit(salt)))
-    parts = Window.partitionBy("node", "side", "_salt").orderBy("other")
+    split = with_blocks(ends, ["node", "side"], F.col("other"), limit, F.ceil(F.sqrt(F.col("_rows") / limit)))
+    parts = Window.partitionBy("node", "side", "_block").orderBy("other")
     whole = Window.partitionBy("node", "side").orderBy("other")
     cut = (
-        salted.withColumn("_place", F.row_number().over(parts))
+        split.withColumn("_place", F.row_number().over(parts))
         .where(F.col("_place") <= limit)
+        .repartition("node")
         .withColumn("_place", F.row_number().over(whole))
         .where(F.col("_place") <= limit)
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only up to this many rows, counted before the hint is given.
 BROADCAST_ROWS = 200_000
+# Ranges of a sort order; their split points are held by the driver and by every task.
+MAX_BUCKETS = 8_192
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,34 +40,32 @@ def group_key(columns: list[str]) -> Column:
 def join_totals(df: DataFrame, columns: list[str], *aggregates: Column) -> DataFrame:
     """Add per-group aggregates to every row.
 
-    The aggregates are combined before the shuffle and come back by a join, which adaptive
-    execution broadcasts or splits; a window would put a hot group into one task.
+    The aggregates are combined before the shuffle and come back by a join; a window would put a
+    hot group into one task.  Up to ``BROADCAST_ROWS`` groups the rows themselves are not shuffled
+    at all; the price is that the groups are counted first.  Beyond, adaptive execution splits hot
+    groups of the join.
     """
     keyed = df.withColumn("_group", group_key(columns))
     totals = keyed.groupBy("_group").agg(*aggregates)
-    return keyed.join(totals, "_group").drop("_group")
+    return keyed.join(checked_broadcast(totals), "_group").drop("_group")
 
 
-def blocks_per_group(df: DataFrame, columns: list[str], block_rows: int) -> DataFrame:
-    """Groups over ``block_rows`` rows with the number of blocks to split each into."""
-    return (
-        df.groupBy(group_key(columns).alias("_group"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > block_rows)
-        .select("_group", F.ceil(F.col("_rows") / block_rows).cast("int").alias("_blocks"))
-    )
-
-
-def with_blocks(df: DataFrame, columns: list[str], member: Column, block_rows: int) -> DataFrame:
+def with_blocks(
+    df: DataFrame, columns: list[str], member: Column, block_rows: int, blocks: Column | None = None
+) -> DataFrame:
     """Add ``_block`` and ``_blocks``: groups over ``block_rows`` rows are split by a hash of ``member``.
 
+    A group is split into blocks of about ``block_rows`` rows, or into ``blocks`` (of ``_rows``).
     All other groups are block 0 of 1.  The block follows from the row alone, so a task that
     runs again puts each row where it was.
     """
-    hot = blocks_per_group(df, columns, block_rows)
+    if blocks is None:
+        blocks = F.ceil(F.col("_rows") / block_rows)
+    sizes = df.groupBy(group_key(columns).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.where(F.col("_rows") > block_rows).select("_group", blocks.cast("int").alias("_blocks"))
     joined = df.withColumn("_group", group_key(columns)).join(hot, "_group", "left").drop("_group")
-    blocks = F.coalesce("_blocks", F.lit(1))
-    return joined.withColumn("_block", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn("_blocks", blocks)
+    number = F.coalesce("_blocks", F.lit(1))
+    return joined.withColumn("_block", F.pmod(F.xxhash64(member), number).cast("int")).withColumn("_blocks", number)
 
 
 def largest_group(df: DataFrame, columns: list[str]) -> tuple[int, int]:
@@ -79,4 +79,5 @@ def largest_group(df: DataFrame, columns: list[str]) -> tuple[int, int]:
 
 
 def bucket_count(total: int, rows_per_bucket: int) -> int:
-    return max(1, math.ceil(total / rows_per_bucket))
+    """Ranges to cut ``total`` rows into; past ``MAX_BUCKETS`` they grow instead, as tasks can spill."""
+    return min(MAX_BUCKETS, max(1, math.ceil(total / rows_per_bucket)))

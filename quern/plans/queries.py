@@ -32,12 +32,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.text_lines(_documents(spark, sf_dir), keep=("doc_id", "source"))
+def _document_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return text.text_lines(_documents(spark, sf_dir), keep=keep)
 
 
 def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _document_lines(spark, sf_dir).select("doc_id", "line_no", "line")
+    return _document_lines(spark, sf_dir, "doc_id").select("doc_id", "line_no", "line")
 
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.sequence_count(_document_lines(spark, sf_dir), "source")
+    return text.sequence_count(_document_lines(spark, sf_dir, "source"), "source")
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
