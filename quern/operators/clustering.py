@@ -45,41 +45,63 @@ def _centroid_reviews(numbered: DataFrame) -> DataFrame:
     )
 
 
-def _similarity() -> Column:
-    """Single precision throughout, so that ties at 1.0 are exact."""
-    norms = (F.sqrt("_rr") * F.sqrt("_cc")).cast("float")
-    return F.when(norms > 0, F.try_divide(F.col("_rc").cast("float"), norms).cast("float"))
-
+def _similarities(
+    reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...], how: str, clusters: int, checked: bool
+) -> DataFrame:
+    """(key, s0 .. s5): the similarity to each cluster, null without a common rater.
 
-def _scored(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...], how: str, checked: bool = False) -> DataFrame:
-    r, c = F.col("rating").cast("bigint"), F.col("c_rating").cast("bigint")
-    joined = reviews.join(centroids if checked else checked_broadcast(centroids), "rater_id", how)
-    sums = joined.groupBy(*key, "k").agg(F.sum(r * c).alias("_rc"), F.sum(r * r).alias("_rr"), F.sum(c * c).alias("_cc"))
-    return sums.select(*key, "k", _similarity().alias("similarity"))
+    A rater's ratings in all centroids are one row, so a review meets one row whatever the number
+    of clusters, and one aggregation by movie gives all sums.  Similarities are single precision,
+    so that ties at 1.0 are exact.
+    """
+    numbers = range(clusters)
+    wide = centroids.groupBy("rater_id").agg(
+        *[F.expr(f"max(case when k = {i} then cast(c_rating as bigint) end)").alias(f"_c{i}") for i in numbers]
+    )
+    side = F.broadcast(wide) if checked else checked_broadcast(wide)
+    sums = (
+        reviews.withColumn("_r", F.col("rating").cast("bigint"))
+        .join(side, "rater_id", how)
+        .groupBy(*key)
+        .agg(
+            *[F.expr(f"sum(_r * _c{i})").alias(f"_rc{i}") for i in numbers],
+            *[F.expr(f"sum(case when _c{i} is not null then _r * _r end)").alias(f"_rr{i}") for i in numbers],
+            *[F.expr(f"sum(case when _r is not null then _c{i} * _c{i} end)").alias(f"_cc{i}") for i in numbers],
+        )
+    )
+    norms = [f"cast(sqrt(_rr{i}) * sqrt(_cc{i}) as float) as _n{i}" for i in numbers]
+    ratios = [f"cast(case when _n{i} > 0 then try_divide(cast(_rc{i} as float), _n{i}) end as float) as s{i}" for i in numbers]
+    dots = [f"_rc{i}" for i in numbers]
+    return sums.selectExpr(*key, *dots, *norms).selectExpr(*key, *ratios)
 
 
-def cosine_scores(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",)) -> DataFrame:
+def cosine_scores(
+    reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",), clusters: int = MAX_CLUSTERS
+) -> DataFrame:
     """(movie, k) -> similarity, for pairs with a rater in common."""
-    return _scored(reviews, centroids, key, "inner")
+    wide = _similarities(reviews, centroids, key, "inner", clusters, checked=False)
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"s{i}").alias("similarity")) for i in range(clusters)])
+    return wide.select(*key, F.inline(pairs)).where(F.col("similarity").isNotNull())
 
 
 def kmeans_assign(
-    reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",), checked: bool = False
+    reviews: DataFrame,
+    centroids: DataFrame,
+    key: tuple[str, ...] = ("movie_id",),
+    clusters: int = MAX_CLUSTERS,
+    checked: bool = False,
 ) -> DataFrame:
     """movie -> (cluster, similarity): the highest similarity above 0, the lowest cluster among equals.
 
     A movie without a common rater goes to cluster 0 with similarity 0.  The outer join keeps such
-    movies, so no second pass over the reviews is needed.  ``checked`` says that the size of the
-    centroids is known and any broadcast hint already given.
+    movies, so no second pass over the reviews is needed.  ``checked`` says that the centroids are
+    known to be small.
     """
-    scores = _scored(reviews, centroids, key, "left", checked)
-    choice = F.when(F.col("similarity") > 0, F.struct(F.col("similarity"), (-F.col("k")).alias("minus_k")))
-    best = scores.groupBy(*key).agg(F.max(choice).alias("best"))
-    return best.select(
-        *key,
-        F.coalesce(-F.col("best.minus_k"), F.lit(0)).alias("cluster"),
-        F.coalesce("best.similarity", F.lit(0.0).cast("float")).alias("similarity"),
-    )
+    wide = _similarities(reviews, centroids, key, "left", clusters, checked)
+    best = f"greatest(cast(0 as float), {', '.join(f's{i}' for i in range(clusters))})"
+    arms = " ".join(f"when s{i} = similarity then {i}" for i in range(clusters))
+    chosen = wide.selectExpr("*", f"{best} as similarity")
+    return chosen.selectExpr(*key, f"case when similarity = 0 then 0 {arms} end as cluster", "similarity")
 
 
 def classify(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",)) -> DataFrame:
@@ -195,7 +217,7 @@ def kmeans_iterate(
             ordered = sorted(rows, key=lambda r: -r["movie_id"])
             numbered = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(ordered)], MODEL_SCHEMA)
             # At most six rows with a cut line each, so there is nothing to count before the broadcast.
-            assigned = kmeans_assign(reviews, F.broadcast(_centroid_reviews(numbered.coalesce(1))), checked=True)
+            assigned = kmeans_assign(reviews, _centroid_reviews(numbered.coalesce(1)), checked=True)
             updated = kmeans_update(assigned, reviews, order).select(*columns).orderBy("k").collect()
             settled = {r["movie_id"] for r in updated} == {r["movie_id"] for r in rows}
             rows = updated

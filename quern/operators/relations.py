@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators.skew import largest_group, with_blocks
 
 # Items of one prefix that meet in one task; a prefix with more is split into blocks.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 5_000
 # Fixed value: neighbours kept per node and side.
 NEIGHBOUR_LIMIT = 200_000
 

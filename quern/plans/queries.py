@@ -114,21 +114,17 @@ def load_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.load_centroids(model)
 
 
-def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "ratings", even=True)
-
-
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = clustering.cosine_scores(_reviews(spark, sf_dir), view(spark, sf_dir, "centroids"))
+    scores = clustering.cosine_scores(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "centroids"))
     return scores.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.kmeans_assign(_reviews(spark, sf_dir), view(spark, sf_dir, "centroids"))
+    return clustering.kmeans_assign(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "centroids"))
 
 
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.classify(_reviews(spark, sf_dir), view(spark, sf_dir, "centroids"))
+    return clustering.classify(view(spark, sf_dir, "ratings"), view(spark, sf_dir, "centroids"))
 
 
 def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +137,7 @@ def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = _reviews(spark, sf_dir)
+    reviews = view(spark, sf_dir, "ratings")
     model = clustering.initial_model(reviews, FIRST_CENTROIDS, REVIEW_ORDER)
     final = clustering.kmeans_iterate(spark, reviews, model, KMEANS_PASSES, REVIEW_ORDER)
     return final.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
@@ -296,8 +292,10 @@ def update_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_micros(bursts: DataFrame) -> DataFrame:
+    """Wall-clock microseconds, which do not depend on the session's time zone."""
     for name in ("burst_start", "burst_end"):
-        bursts = bursts.withColumn(name, F.unix_micros(name))
+        micros = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({name} as timestamp_ntz))"
+        bursts = bursts.withColumn(name, F.expr(micros))
     return bursts
 
 
