@@ -80,6 +80,15 @@ def bucket_of(df: DataFrame, columns: list[str], splits: list[tuple]) -> Column:
     )
 
 
+def with_bucket(df: DataFrame, columns: list[str], splits: list[tuple], name: str) -> DataFrame:
+    """Add ``bucket_of`` as a column.
+
+    It is added by a generator of one row, as a plain column would let the optimizer move the
+    expressions that make ``columns`` into the search, to be worked out again at every step.
+    """
+    return df.select("*", F.explode(F.array(bucket_of(df, columns, splits))).alias(name))
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows whose groups are in order; made by ``in_order``, and read by ``rows``.
@@ -153,7 +162,7 @@ def in_order(df: DataFrame, partition: list[str], order: list[str], group_rows:
     columns = partition + order
     splits = split_points(df, columns, bucket_count(total, group_rows), total)
     group = F.struct(*[F.col(c) for c in partition]) if partition else F.lit(0)
-    cut = df.withColumn("_group", group).withColumn("_bucket", bucket_of(df, columns, splits))
+    cut = with_bucket(df, columns, splits, "_bucket").withColumn("_group", group)
     return Ordered(cut, partition, order, cut=True)
 
 

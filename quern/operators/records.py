@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.numeric import uniform
 from quern.functions.records import filler, padded_id, with_key
-from quern.operators.ordering import GROUP_ROWS, bucket_of, pick_split_points, previous_values, row_rank
+from quern.operators.ordering import GROUP_ROWS, pick_split_points, previous_values, row_rank, with_bucket
 
 # Rows of a generated table by default, and keys sampled for split points.
 DEFAULT_ROWS = 3_000_000
@@ -56,7 +56,7 @@ def range_split_points(
 
 def range_partition(records: DataFrame, splits: list[str], key: str = "key", name: str = "part") -> DataFrame:
     """Add the index of the first split point at or above the key."""
-    return records.withColumn(name, bucket_of(records, [key], [(s,) for s in splits]))
+    return with_bucket(records, [key], [(s,) for s in splits], name)
 
 
 def teravalidate(
