@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, mixing, packing, quality, secrets, url_filter, wavelet
+from quern.llm import exact_dedup, mixing, near_join, packing, quality, secrets, url_filter, wavelet
 from quern.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op9_packing": op9_packing,
+    "op10_near_join": op10_near_join,
 }
 
 ORACLES: dict[str, str] = {

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 CACHED_WORDS = 500_000
 _AT_ONCE = 20_000
 # White space other than space and line feed, in either Python's or the tokenizer's sense.
-_ODD_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
