@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, mixing, near_join, packing, quality, secrets, url_filter, wavelet
+from quern.llm import exact_dedup, html_wrapper, mixing, near_join, packing, quality, secrets, url_filter, wavelet
 from quern.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
+    "op8_html_wrapper": op8_html_wrapper,
     "op9_packing": op9_packing,
     "op10_near_join": op10_near_join,
 }
