@@ -1,26 +1,49 @@
-"""From raw documents to packed sequences: stages that each work on what the one before kept."""
+"""From raw documents to packed sequences: stages that each work on what the one before kept.
+
+The quality stage trains a classifier, so no SQL gives these rows; tests check each stage against plain versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, mixing
+from quern.llm import exact_dedup, mixing, near_join, packing, quality
 from quern.llm.common import table, written
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the classifier reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that links of similarity 0.8 or more connect the smallest doc_id stays."""
+    return near_join.keep_one(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their source takes them."""
+    """Documents as often as the mix takes them, the last time cut to the words it takes."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", dedup_stage), ("mixing sources", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences; a document taken twice is packed twice."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", dedup_stage),
+    ("near dedup", near_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
 
-# The quality stage trains a classifier, which SQL can't express.
 ORACLE_SQL = None
 
 
