@@ -13,41 +13,74 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 _AT_ONCE = 20_000
 # White space other than space and line feed, in either Python's or the tokenizer's sense.
 _ODD_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
+# Latin letters that are their own canonical form, then punctuation: two pieces for either pre-tokenizer.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+
+
+def _byte_letters() -> str:
+    """For each byte the letter that stands for it in byte-level vocabularies: itself, or one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    letters = dict(zip(shown, shown)) | {b: 256 + i for i, b in enumerate(others)}
+    return "".join(chr(letters[b]) for b in range(256))
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
     """``ids`` gives the ids of a text, as the tokenizer without added special tokens would.
 
     ``separator`` is a special token of the vocabulary.  ``spaced`` tells that a space before a word
-    belongs to the word's tokens; otherwise white space only separates.
+    belongs to the word's tokens and that case counts; otherwise white space only separates and texts are lower-cased.
     """
 
     def __init__(self, path: str, separator: str, spaced: bool, cached_words: int = CACHED_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
         self.spaced, self.cached_words = spaced, cached_words
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that the pre-tokenizer would leave whole."""
+        known = self.pieces.get(piece)
+        if known is None:
+            letters = piece if piece.isascii() and " " not in piece else piece.encode().decode("latin-1").translate(_LETTERS)
+            known = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+            if len(self.pieces) >= self.cached_words:
+                self.pieces.clear()
+            self.pieces[piece] = known
+        return known
+
     def _learn(self, words: list[str]) -> None:
         """Encode new words; a word's key is its text as it stands after a space."""
-        odd = [w for w in words if "<|" in w]
-        plain = [w for w in words if "<|" not in w]
+        plain = []
+        for w in words:
+            if (simple := _SIMPLE.fullmatch(w)) and "<|" not in w:
+                head, tail = simple.groups()
+                ids = self._piece(" " + head if self.spaced else head.lower())
+                self.cache[w] = ids + self._piece(tail) if tail else ids
+            elif "<|" in w:
+                self.cache[w] = self._whole(w if not self.spaced or w[:1] == "\n" else " " + w)
+            else:
+                plain.append(w)
         shown = (lambda w: w if w[:1] == "\n" else " " + w) if self.spaced else str
-        for w in odd:
-            self.cache[w] = self._whole(shown(w))
         for at in range(0, len(plain), _AT_ONCE):
             some = plain[at : at + _AT_ONCE]
-            ids = np.array(
-                self.tokenizer.encode_batch_fast([self.separator.join(map(shown, some))], add_special_tokens=False)[0].ids, "<u4"
-            )
+            found = self.tokenizer.encode_batch_fast([self.separator.join(map(shown, some))], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.separator_id)
             if len(cuts) != len(some) - 1:
                 raise ValueError("a separator was not encoded as one token")
