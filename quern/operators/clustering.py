@@ -1,40 +1,29 @@
 """Cosine similarity of movies to centroids, classification and k-means.
 
 The similarity of a movie and a centroid is taken over the raters they share.  Reviews are flat
-(movie_id, rater_id, rating); centroids are flat (k, rater_id, c_rating) with one rating per rater.
+(movie_id, rater_id, rating); centroids are flat (k, rater_id, c_rating) with one rating per rater, for any number of clusters.
 A model is one row per centroid: k, similarity, movie_id, total, reviews as ``rater_rating,...``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.reviews import parse_review
-from quern.operators.skew import checked_broadcast
+from quern.session import written
 
-# Clusters of a model, and the length at which a centroid's line is cut.
-MAX_CLUSTERS = 6
-LINE_CUT = 1000
-# A line reaches LINE_CUT within this many reviews, as each takes at least four characters.
-CUT_REVIEWS = LINE_CUT // 4 + 1
 MODEL_SCHEMA = "k int, similarity float, movie_id bigint, total int, reviews string"
 
 
-def load_centroids(model: DataFrame, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
+def load_centroids(model: DataFrame) -> DataFrame:
     """Flat centroids of a model, numbered by falling movie_id.
 
     Slots with movie_id -1 are empty; only the first ``total`` reviews count, and the first of a
     rater wins.
     """
     used = model.where(F.col("movie_id") != -1)
-    if used.limit(max_clusters + 1).count() > max_clusters:
-        raise ValueError(f"a model has at most {max_clusters} clusters")
     numbered = used.withColumn("k", F.row_number().over(Window.orderBy(F.desc("movie_id"), "k")) - 1)
-    return _centroid_reviews(numbered)
-
-
-def _centroid_reviews(numbered: DataFrame) -> DataFrame:
     tokens = F.array_remove(F.split("reviews", ","), "")
     flat = numbered.select("k", "total", F.posexplode(tokens).alias("pos", "token")).where("pos < total")
     review = parse_review(F.col("token"))
@@ -45,63 +34,45 @@ def _centroid_reviews(numbered: DataFrame) -> DataFrame:
     )
 
 
-def _similarities(
-    reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...], how: str, clusters: int, checked: bool
-) -> DataFrame:
-    """(key, s0 .. s5): the similarity to each cluster, null without a common rater.
+def _similarities(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...], how: str) -> DataFrame:
+    """(key, k, similarity) per movie and centroid with a rater in common; ``left`` keeps other movies with a null k.
 
-    A rater's ratings in all centroids are one row, so a review meets one row whatever the number
-    of clusters, and one aggregation by movie gives all sums.  Similarities are single precision,
-    so that ties at 1.0 are exact.
+    Sums are combined before the shuffle.  Similarities are single precision, so that ties at 1.0 are exact.
     """
-    numbers = range(clusters)
-    wide = centroids.groupBy("rater_id").agg(
-        *[F.expr(f"max(case when k = {i} then cast(c_rating as bigint) end)").alias(f"_c{i}") for i in numbers]
-    )
-    side = F.broadcast(wide) if checked else checked_broadcast(wide)
     sums = (
-        reviews.withColumn("_r", F.col("rating").cast("bigint"))
-        .join(side, "rater_id", how)
-        .groupBy(*key)
+        reviews.select(*key, "rater_id", F.col("rating").cast("bigint").alias("_r"))
+        .join(centroids.select("k", "rater_id", F.col("c_rating").cast("bigint").alias("_c")), "rater_id", how)
+        .groupBy(*key, "k")
         .agg(
-            *[F.expr(f"sum(_r * _c{i})").alias(f"_rc{i}") for i in numbers],
-            *[F.expr(f"sum(case when _c{i} is not null then _r * _r end)").alias(f"_rr{i}") for i in numbers],
-            *[F.expr(f"sum(case when _r is not null then _c{i} * _c{i} end)").alias(f"_cc{i}") for i in numbers],
+            F.sum(F.col("_r") * F.col("_c")).alias("_rc"),
+            F.sum(F.when(F.col("_c").isNotNull(), F.col("_r") * F.col("_r"))).alias("_rr"),
+            F.sum(F.when(F.col("_r").isNotNull(), F.col("_c") * F.col("_c"))).alias("_cc"),
         )
     )
-    norms = [f"cast(sqrt(_rr{i}) * sqrt(_cc{i}) as float) as _n{i}" for i in numbers]
-    ratios = [f"cast(case when _n{i} > 0 then try_divide(cast(_rc{i} as float), _n{i}) end as float) as s{i}" for i in numbers]
-    dots = [f"_rc{i}" for i in numbers]
-    return sums.selectExpr(*key, *dots, *norms).selectExpr(*key, *ratios)
+    norm = "cast(sqrt(_rr) * sqrt(_cc) as float) as _n"
+    ratio = "cast(case when _n > 0 then try_divide(cast(_rc as float), _n) end as float) as similarity"
+    return sums.selectExpr(*key, "k", "_rc", norm).selectExpr(*key, "k", ratio)
 
 
-def cosine_scores(
-    reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",), clusters: int = MAX_CLUSTERS
-) -> DataFrame:
+def cosine_scores(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",)) -> DataFrame:
     """(movie, k) -> similarity, for pairs with a rater in common."""
-    wide = _similarities(reviews, centroids, key, "inner", clusters, checked=False)
-    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"s{i}").alias("similarity")) for i in range(clusters)])
-    return wide.select(*key, F.inline(pairs)).where(F.col("similarity").isNotNull())
+    return _similarities(reviews, centroids, key, "inner").where(F.col("similarity").isNotNull())
 
 
-def kmeans_assign(
-    reviews: DataFrame,
-    centroids: DataFrame,
-    key: tuple[str, ...] = ("movie_id",),
-    clusters: int = MAX_CLUSTERS,
-    checked: bool = False,
-) -> DataFrame:
+def kmeans_assign(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",)) -> DataFrame:
     """movie -> (cluster, similarity): the highest similarity above 0, the lowest cluster among equals.
 
     A movie without a common rater goes to cluster 0 with similarity 0.  The outer join keeps such
-    movies, so no second pass over the reviews is needed.  ``checked`` says that the centroids are
-    known to be small.
+    movies, so no second pass over the reviews is needed.
     """
-    wide = _similarities(reviews, centroids, key, "left", clusters, checked)
-    best = f"greatest(cast(0 as float), {', '.join(f's{i}' for i in range(clusters))})"
-    arms = " ".join(f"when s{i} = similarity then {i}" for i in range(clusters))
-    chosen = wide.selectExpr("*", f"{best} as similarity")
-    return chosen.selectExpr(*key, f"case when similarity = 0 then 0 {arms} end as cluster", "similarity")
+    scored = _similarities(reviews, centroids, key, "left")
+    candidate = F.when(F.col("similarity") > 0, F.struct("similarity", (-F.col("k")).alias("_k")))
+    best = scored.groupBy(*key).agg(F.max(candidate).alias("_best"))
+    return best.select(
+        *key,
+        F.coalesce(-F.col("_best._k"), F.lit(0)).cast("int").alias("cluster"),
+        F.coalesce("_best.similarity", F.lit(0).cast("float")).alias("similarity"),
+    )
 
 
 def classify(reviews: DataFrame, centroids: DataFrame, key: tuple[str, ...] = ("movie_id",)) -> DataFrame:
@@ -115,15 +86,11 @@ def kmeans_members(assigned: DataFrame, movies: DataFrame) -> DataFrame:
 
 
 def cluster_winners(assigned: DataFrame) -> DataFrame:
-    """Per cluster its member count and the movie nearest to the average similarity.
-
-    Ties go to the lowest movie_id.  There is one row per centroid, so both sides that come
-    back to the members are small.
-    """
+    """Per cluster its member count and the movie nearest to the average similarity; ties go to the lowest movie_id."""
     averages = assigned.groupBy("cluster").agg(F.avg("similarity").cast("float").alias("_average"))
     distance = F.abs(F.col("_average") - F.col("similarity"))
     return (
-        assigned.join(F.broadcast(averages), "cluster")
+        assigned.join(averages, "cluster")
         .groupBy("cluster")
         .agg(
             F.count(F.lit(1)).alias("members"),
@@ -134,56 +101,37 @@ def cluster_winners(assigned: DataFrame) -> DataFrame:
 
 
 def _with_reviews(winners: DataFrame, reviews: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Add total and reviews to one movie per cluster, cut like a long line.
-
-    The line ``movie:rater_rating,...`` is cut at its first comma at or after character 1000.
-    """
-    by_place = Window.partitionBy("cluster").orderBy(*order)
+    """Add total and the whole list of reviews, in ``order``, to one movie per cluster."""
     token = F.when(F.col("rater_id").isNotNull(), F.concat_ws("_", "rater_id", "rating"))
-    first = (
-        reviews.join(F.broadcast(winners), "movie_id")
-        .withColumn("_place", F.row_number().over(by_place))
-        .where(F.col("_place") <= CUT_REVIEWS)
-        .withColumn("_token", token)
-    )
-    before = Window.partitionBy("cluster").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    comma_at = F.length(F.col("movie_id").cast("string")) + F.sum(F.length("_token") + 1).over(before)
-    kept = first.withColumn("_comma", comma_at).where(F.col("_comma").isNull() | (F.col("_comma") < LINE_CUT))
-    placed = F.when(F.col("_token").isNotNull(), F.struct("_place", "_token"))
+    placed = F.when(token.isNotNull(), F.struct(*order, token.alias("_token")))
     return (
-        kept.groupBy(F.col("cluster").alias("k"), "similarity", "movie_id", "members")
-        .agg(F.count("_token").cast("int").alias("total"), F.array_sort(F.collect_list(placed)).alias("_tokens"))
-        .select("k", "similarity", "movie_id", "total", F.concat_ws(",", F.col("_tokens._token")).alias("reviews"), "members")
+        reviews.join(winners, "movie_id")
+        .groupBy(F.col("cluster").alias("k"), "similarity", "movie_id", "members")
+        .agg(F.array_sort(F.collect_list(placed)).alias("_tokens"))
+        .select(
+            "k", "similarity", "movie_id", F.size("_tokens").alias("total"),
+            F.concat_ws(",", F.col("_tokens._token")).alias("reviews"), "members",
+        )
     )
 
 
 def kmeans_update(assigned: DataFrame, reviews: DataFrame, order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """New model: each cluster's winner with its reviews in ``order``, cut like a long line."""
+    """New model: each cluster's winner with its reviews in ``order``."""
     return _with_reviews(cluster_winners(assigned), reviews, order)
 
 
 def initial_model(reviews: DataFrame, movie_ids: list[int], order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """A first model from up to six chosen movies."""
-    if len(movie_ids) > MAX_CLUSTERS:
-        raise ValueError(f"a model has at most {MAX_CLUSTERS} clusters")
+    """A first model from chosen movies."""
     rows = [(k, 0, m, 0.0) for k, m in enumerate(sorted(movie_ids, reverse=True))]
     schema = "cluster int, members bigint, movie_id bigint, similarity float"
     chosen = reviews.sparkSession.createDataFrame(rows, schema)
     return _with_reviews(chosen, reviews, order).drop("members")
 
 
-def cut_line(line: Column) -> Column:
-    """The line up to its first comma at or after character 1000, or all of it."""
-    at = F.locate(",", line, LINE_CUT + 1)
-    return F.when(at > 0, F.substr(line, F.lit(1), at - 1)).otherwise(line)
-
-
 def kmeans_update_lines(assigned: DataFrame, movies: DataFrame) -> DataFrame:
     """``kmeans_update`` for movies that still have their line."""
-    winners = cluster_winners(assigned)
-    short = cut_line(F.col("line"))
-    body = F.substr(short, F.instr(short, ":") + 1)
-    return movies.join(F.broadcast(winners), "movie_id").select(
+    body = F.substr(F.col("line"), F.instr("line", ":") + 1)
+    return movies.join(cluster_winners(assigned), "movie_id").select(
         F.col("cluster").alias("k"),
         "similarity",
         "movie_id",
@@ -193,37 +141,31 @@ def kmeans_update_lines(assigned: DataFrame, movies: DataFrame) -> DataFrame:
     )
 
 
+def _centroids_of(winners: DataFrame, reviews: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Flat centroids of the winners, numbered by falling movie_id; the first review of a rater wins."""
+    numbered = winners.select("movie_id", (F.row_number().over(Window.orderBy(F.desc("movie_id"))) - 1).alias("k"))
+    rated = reviews.where(F.col("rater_id").isNotNull()).join(numbered, "movie_id")
+    return rated.groupBy("k", "rater_id").agg(F.min_by("rating", F.struct(*order)).alias("c_rating"))
+
+
 def kmeans_iterate(
-    spark: SparkSession,
-    reviews: DataFrame,
-    model: DataFrame,
-    max_iter: int = 10,
-    order: tuple[str, ...] = ("pos",),
-    persist: bool = True,
+    reviews: DataFrame, model: DataFrame, max_iter: int = 10, order: tuple[str, ...] = ("pos",)
 ) -> DataFrame:
-    """Assign and update until the centroid movies stay the same or ``max_iter`` passes are done.
+    """Assign and update until the centroid movies stay the same or ``max_iter`` passes are done: the model and ``settled``.
 
-    ``persist`` keeps the reviews between passes, which pays where making them takes a join; a
-    plain table too large for the executors is better read again.
-    Only the model goes through the driver: one row per cluster, each with a cut line.  A
-    cluster without members is missing from the next model.
+    The reviews and each pass's assignment are written to the shared folder; only whether movies of the model
+    differ comes back to the driver.  A cluster without members is missing from the next model.
     """
-    if persist:
-        reviews = reviews.persist()
-    columns = ["k", "similarity", "movie_id", "total", "reviews"]
-    rows = model.select(*columns).limit(MAX_CLUSTERS + 1).collect()
-    try:
-        for _ in range(max_iter):
-            ordered = sorted(rows, key=lambda r: -r["movie_id"])
-            numbered = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(ordered)], MODEL_SCHEMA)
-            # At most six rows with a cut line each, so there is nothing to count before the broadcast.
-            assigned = kmeans_assign(reviews, _centroid_reviews(numbered.coalesce(1)), checked=True)
-            updated = kmeans_update(assigned, reviews, order).select(*columns).orderBy("k").collect()
-            settled = {r["movie_id"] for r in updated} == {r["movie_id"] for r in rows}
-            rows = updated
-            if settled:
-                break
-    finally:
-        if persist:
-            reviews.unpersist()
-    return spark.createDataFrame(rows, MODEL_SCHEMA)
+    reviews = written(reviews.select("movie_id", "rater_id", "rating", *[c for c in order if c not in ("movie_id", "rater_id", "rating")]), "reviews")
+    centroids, movies, settled = load_centroids(model), model.where("movie_id <> -1").select("movie_id"), False
+    winners = None
+    for _ in range(max_iter):
+        assigned = written(kmeans_assign(reviews, centroids), "assigned")
+        winners = written(cluster_winners(assigned), "winners")
+        found = winners.select("movie_id")
+        settled = found.join(movies, "movie_id", "left_anti").isEmpty() and movies.join(found, "movie_id", "left_anti").isEmpty()
+        if settled:
+            break
+        centroids, movies = _centroids_of(winners, reviews, order), found
+    final = _with_reviews(winners, reviews, order).drop("members") if winners is not None else model
+    return final.withColumn("settled", F.lit(settled))

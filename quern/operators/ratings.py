@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.reviews import is_movie_line, movie_id, parse_review, review_tokens
-from quern.operators.skew import spread
 
 # Fixed value: width of a bin of average ratings.
 BIN_WIDTH = 0.5
@@ -28,7 +27,7 @@ def reviews_of_lines(lines: DataFrame, value: str = "value", require_underscore:
     A token left out for want of an underscore stays as a row of nulls, as does a movie without tokens.
     """
     line = F.col(value)
-    tokens = spread(lines.select(value)).where(is_movie_line(line)).select(
+    tokens = lines.select(value).where(is_movie_line(line)).select(
         movie_id(line).alias("movie_id"), F.posexplode_outer(review_tokens(line)).alias("pos", "token")
     )
     review = parse_review(F.col("token"), require_underscore, permissive)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.skew import largest_group, with_blocks
+from quern.operators.skew import with_blocks
 
 # Items of one prefix that meet in one task; a prefix with more is split into blocks.
 BLOCK_ROWS = 5_000
-# Fixed value: neighbours kept per node and side.
-NEIGHBOUR_LIMIT = 200_000
+# Neighbours of a node and side in one row of the adjacency list.
+LIST_ROWS = 100_000
 
 
 def self_join(itemsets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -20,35 +20,28 @@ def self_join(itemsets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     by a hash of the item, and two blocks meet in a cell of their own: every pair is made once,
     in the one cell of its two blocks, and no task holds more than two blocks of a prefix.
     """
-    largest, _ = largest_group(itemsets, ["prefix"])
     items = itemsets.select("prefix", "item").distinct()
-    if largest <= block_rows:
-        a, b = items.alias("a"), items.alias("b")
-        pairs = a.join(b, (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.item") < F.col("b.item")))
-    else:
-        other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-        cells = (
-            with_blocks(items, ["prefix"], F.col("item"), block_rows)
-            .select("prefix", "item", "_block", other.alias("_other"))
-            .withColumn("_low", F.least("_block", "_other"))
-            .withColumn("_high", F.greatest("_block", "_other"))
-        )
-        a, b = cells.alias("a"), cells.alias("b")
-        same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("prefix", "_low", "_high")]
-        apart = (F.col("a._block") != F.col("b._block")) | (F.col("a._low") == F.col("a._high"))
-        pairs = a.join(b, [*same_cell, F.col("a.item") < F.col("b.item"), apart])
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    cells = (
+        with_blocks(items, ["prefix"], F.col("item"), block_rows)
+        .select("prefix", "item", "_block", other.alias("_other"))
+        .withColumn("_low", F.least("_block", "_other"))
+        .withColumn("_high", F.greatest("_block", "_other"))
+    )
+    a, b = cells.alias("a"), cells.alias("b")
+    same_cell = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("prefix", "_low", "_high")]
+    apart = (F.col("a._block") != F.col("b._block")) | (F.col("a._low") == F.col("a._high"))
+    pairs = a.join(b, [*same_cell, F.col("a.item") < F.col("b.item"), apart])
     return pairs.select(
         F.col("a.prefix").alias("prefix"), F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")
     )
 
 
-def adj_list(edges: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFrame:
-    """node -> sorted distinct in-neighbours and out-neighbours, each at most ``limit``.
+def adj_list(edges: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(node, side, block) -> sorted distinct neighbours; ``from`` are those before the node, ``to`` those after it.
 
-    A side without neighbours is an empty list.  Over the limit the smallest stay.  A side over
-    the limit is cut in parts first: with n neighbours, sqrt(n / limit) parts, so that a part and
-    what is left of all parts are equally large, and a node with a large share of all edges is not
-    brought together before it is cut.
+    A side of n neighbours has ceil(n / list_rows) blocks, numbered from 0, that together hold each of them once, so
+    a node with a large share of all edges is never brought together.  A side without neighbours has no row.
     """
     side = F.explode(
         F.array(
@@ -57,21 +50,14 @@ def adj_list(edges: DataFrame, limit: int = NEIGHBOUR_LIMIT) -> DataFrame:
         )
     )
     ends = edges.select("src", "dst").distinct().select(side.alias("e")).select("e.*")
-    split = with_blocks(ends, ["node", "side"], F.col("other"), limit, F.ceil(F.sqrt(F.col("_rows") / limit)))
-    parts = Window.partitionBy("node", "side", "_block").orderBy("other")
-    whole = Window.partitionBy("node", "side").orderBy("other")
-    cut = (
-        split.withColumn("_place", F.row_number().over(parts))
-        .where(F.col("_place") <= limit)
-        .repartition("node")
-        .withColumn("_place", F.row_number().over(whole))
-        .where(F.col("_place") <= limit)
+    blocks = with_blocks(ends, ["node", "side"], F.col("other"), list_rows)
+    return blocks.groupBy("node", "side", F.col("_block").alias("block")).agg(
+        F.array_sort(F.collect_list("other")).alias("neighbours")
     )
-    neighbours = {s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("other")))) for s in ("from", "to")}
-    return cut.groupBy("node").agg(neighbours["from"].alias("from_nodes"), neighbours["to"].alias("to_nodes"))
 
 
 def packed_adjacency(adjacency: DataFrame) -> DataFrame:
-    """(node, ``from{a,b}:to{c}``)."""
-    text = F.format_string("from{%s}:to{%s}", F.concat_ws(",", "from_nodes"), F.concat_ws(",", "to_nodes"))
-    return adjacency.select("node", text.alias("adjacency"))
+    """(node, block, ``from{a,b}:to{c}``): a line per node, more for nodes of several blocks."""
+    lists = {s: F.concat_ws(",", F.max(F.when(F.col("side") == s, F.col("neighbours")))) for s in ("from", "to")}
+    text = F.format_string("from{%s}:to{%s}", lists["from"], lists["to"])
+    return adjacency.groupBy("node", "block").agg(text.alias("adjacency"))

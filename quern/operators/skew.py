@@ -20,18 +20,6 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out evenly if the input has fewer splits than the cluster has cores.
-
-    Splitting text is heavy work, and a small table read as one split would keep one core
-    busy.  A large input has more splits than cores and is left as it is.  Give it a scan without
-    shuffles below, as counting the splits of any other plan would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # By hash, as dealing in turns would sort the rows first to be repeatable.
-    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
-
-
 def group_key(columns: list[str]) -> Column:
     """One column that stands for the group and is equal for equal nulls too."""
     return F.struct(*[F.col(c) for c in columns])
@@ -50,22 +38,24 @@ def join_totals(df: DataFrame, columns: list[str], *aggregates: Column) -> DataF
     return keyed.join(checked_broadcast(totals), "_group").drop("_group")
 
 
-def with_blocks(
-    df: DataFrame, columns: list[str], member: Column, block_rows: int, blocks: Column | None = None
-) -> DataFrame:
-    """Add ``_block`` and ``_blocks``: groups over ``block_rows`` rows are split by a hash of ``member``.
+def block_of(member: Column, blocks: Column) -> Column:
+    """The block of a member of a group, from the first 60 bits of its MD5, so that other engines give the same."""
+    number = F.conv(F.substring(F.md5(member.cast("string")), 1, 15), 16, 10).cast("bigint")
+    return F.pmod(number, blocks.cast("bigint")).cast("int")
+
+
+def with_blocks(df: DataFrame, columns: list[str], member: Column, block_rows: int) -> DataFrame:
+    """Add ``_block`` and ``_blocks``: a group of n rows is split into ceil(n / block_rows) blocks by a hash of ``member``.
 
-    A group is split into blocks of about ``block_rows`` rows, or into ``blocks`` (of ``_rows``).
-    All other groups are block 0 of 1.  The block follows from the row alone, so a task that
-    runs again puts each row where it was.
+    The number of blocks follows from the group alone, whatever the size of the table, and the block from the row
+    alone, so a task that runs again puts each row where it was.
     """
-    if blocks is None:
-        blocks = F.ceil(F.col("_rows") / block_rows)
-    sizes = df.groupBy(group_key(columns).alias("_group")).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > block_rows).select("_group", blocks.cast("int").alias("_blocks"))
-    joined = df.withColumn("_group", group_key(columns)).join(hot, "_group", "left").drop("_group")
+    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+    sizes = df.groupBy(group_key(columns).alias("_group")).agg(blocks.alias("_blocks")).where(F.col("_blocks") > 1)
+    joined = df.withColumn("_group", group_key(columns)).join(sizes, "_group", "left").drop("_group")
     number = F.coalesce("_blocks", F.lit(1))
-    return joined.withColumn("_block", F.pmod(F.xxhash64(member), number).cast("int")).withColumn("_blocks", number)
+    block = F.when(number > 1, block_of(member, number)).otherwise(0)
+    return joined.withColumn("_block", block).withColumn("_blocks", number)
 
 
 def largest_group(df: DataFrame, columns: list[str]) -> tuple[int, int]:

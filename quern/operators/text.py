@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import lines, tokens, trigrams
-from quern.operators.skew import spread, with_blocks
+from quern.operators.skew import with_blocks
 
 # Fixed value: words rarer than this in a host are left out of its term vector.
 TERM_CUTOFF = 10
@@ -19,12 +19,12 @@ LIST_ROWS = 100_000
 
 def words(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per word, with the ``keep`` columns."""
-    return spread(df.select(*keep, text)).select(*keep, F.explode(tokens(F.col(text))).alias("word"))
+    return df.select(*keep, text).select(*keep, F.explode(tokens(F.col(text))).alias("word"))
 
 
 def text_lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per line with its 0-based place in the text."""
-    return spread(df.select(*keep, text)).select(*keep, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
+    return df.select(*keep, text).select(*keep, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
 
 
 def word_count(df: DataFrame, text: str = "text") -> DataFrame:
@@ -43,21 +43,15 @@ def sequence_count(df: DataFrame, doc: str, line: str = "line") -> DataFrame:
 def inverted_index(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """Distinct (word, doc) pairs."""
     once = F.array_distinct(tokens(F.col(text)))
-    return spread(df.select(doc, text)).select(F.explode(once).alias("word"), F.col(doc).alias("doc")).distinct()
+    return df.select(doc, text).select(F.explode(once).alias("word"), F.col(doc).alias("doc")).distinct()
 
 
 def inverted_index_list(df: DataFrame, doc: str, text: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
-    """word -> sorted documents, in blocks of about ``list_rows`` documents.
+    """(word, block) -> sorted documents; a word of n documents has ceil(n / list_rows) blocks, numbered from 0.
 
-    Most words have the one block 0.  A word of more documents has several, each sorted, so no
-    list outgrows a task; together they hold every document once.  No word can have more if the
-    input has not that many rows, and counting those reads no text.
+    No list outgrows a task; together a word's blocks hold every document once.
     """
-    pairs = inverted_index(df, doc, text)
-    if df.count() <= list_rows:
-        pairs = pairs.withColumn("_block", F.lit(0))
-    else:
-        pairs = with_blocks(pairs, ["word"], F.col("doc"), list_rows)
+    pairs = with_blocks(inverted_index(df, doc, text), ["word"], F.col("doc"), list_rows)
     return (
         pairs.groupBy("word", F.col("_block").alias("block"))
         .agg(F.array_sort(F.collect_list("doc")).alias("docs"))

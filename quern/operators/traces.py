@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quern.functions import scores as S
 from quern.functions.numeric import exponential, gaussian, round2, uniform
 from quern.operators.ordering import GROUP_ROWS, in_order, running_total
-from quern.operators.skew import spread
 from quern.sources.jobs import PROFILE_FIELDS
 
 # Map and reduce seconds per task that each class of job is planned with.
@@ -92,7 +91,7 @@ def gen_job_profiles(
     Jobs arrive in order of their id, the first two at once and the others after exponential gaps
     in hundredths of a second, so arrivals add up exactly.  All draws are fixed by seed and id.
     """
-    ids = spread(jobs.select(F.col(job).alias("job_id")))
+    ids = jobs.select(F.col(job).alias("job_id"))
     first_two = [r["job_id"] for r in ids.orderBy("job_id").limit(2).collect()]
     key = F.col("job_id")
     gap = F.bround(exponential(key, "gap", mean_gap, seed) * 100).cast("bigint")
@@ -152,12 +151,14 @@ def concurrency_timeline(
         .groupBy(*keys, F.col("c.tick").alias("tick"))
         .agg(F.sum("c.change").alias("change"))
     )
-    last = moments.groupBy(*keys).agg(F.max("_to").cast("int").alias("_last"))
+    last = moments.groupBy(*keys).agg(F.max("_to").alias("_last"))
     first_tick = F.greatest(F.lit(1), F.col("_day") * TICKS_PER_CHUNK)
     last_tick = F.least(F.col("_last"), F.col("_day") * TICKS_PER_CHUNK + TICKS_PER_CHUNK - 1)
     days = last.select(
-        *keys, "_last", F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / TICKS_PER_CHUNK).cast("int"))).alias("_day")
+        *keys, "_last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / TICKS_PER_CHUNK))).alias("_day")
     ).where(last_tick >= 1)
+    # Days are dealt out before their ticks are made.
+    days = days.repartition(*keys, "_day")
     ticks = F.explode(F.sequence(first_tick.cast("bigint"), last_tick.cast("bigint")))
     grid = days.select(*keys, F.col("_day").cast("bigint").alias("_day"), ticks.alias("tick"))
     daily = per_tick.groupBy(*keys, day.alias("_day")).agg(F.sum("change").alias("_change"))
@@ -194,3 +195,31 @@ def update_bursts(
         .agg(F.min(ts).alias("burst_start"), (F.max(ts) + gap).alias("burst_end"), F.sum("n").alias("changes"))
         .drop("_burst")
     )
+
+
+def merge_bursts(parts: DataFrame, partition: tuple[str, ...] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Bursts from parts of them (burst_start, burst_end, changes): parts that touch or overlap are one.
+
+    Parts may come in any order and any number; the union does not depend on either.  A burst starts where no part is open,
+    ends of a moment counting after its starts.
+    """
+    keys = list(partition)
+    ends = F.array(
+        F.struct(F.col("burst_start").alias("at"), F.lit(0).alias("ends"), F.lit(1).alias("step"), "changes"),
+        F.struct(F.col("burst_end").alias("at"), F.lit(1).alias("ends"), F.lit(-1).alias("step"), F.lit(0).cast("bigint").alias("changes")),
+    )
+    moments = (
+        parts.withColumn("changes", F.col("changes").cast("bigint"))
+        .select(*keys, F.inline(ends))
+        .groupBy(*keys, "at", "ends")
+        .agg(F.sum("step").alias("step"), F.sum("changes").alias("changes"))
+    )
+    opened = in_order(moments, keys, ["at", "ends"], group_rows).total(F.col("step"), "_open")
+    starts = F.when((F.col("ends") == 0) & (F.col("_open") == F.col("step")), 1).otherwise(0)
+    return (
+        opened.total(starts, "_burst")
+        .rows()
+        .groupBy(*keys, "_burst")
+        .agg(F.min("at").alias("burst_start"), F.max("at").alias("burst_end"), F.sum("changes").alias("changes"))
+        .drop("_burst")
+    )

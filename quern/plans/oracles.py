@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.operators import clustering, jobs, relations, text, traces
+from quern.operators import jobs, text, traces
 from quern.plans import queries as Q
-from quern.plans.views import with_views
+from quern.plans.views import FIRST_CENTROIDS, with_views
 
 WORDS = r"string_split_regex({0}, '[ \t\n\r\f]+')"
 
@@ -64,6 +64,15 @@ def readable(finish: str) -> str:
 DEMAND = f"(rem_map * floor(est_map / {jobs.STEP}) + rem_red * floor(est_red / {jobs.STEP}))"
 DELAY = f"(ceil({DEMAND} / {jobs.CAPACITY}.0) * {jobs.STEP}.0)"
 
+def block_of(member: str) -> str:
+    """The block of a member among ``blocks``."""
+    return f"cast(case when blocks > 1 then cast('0x' || substr(md5({member}), 1, 15) as bigint) % blocks else 0 end as int)"
+
+
+def blocks_over(group: str) -> str:
+    return f"ceil(count(*) over (partition by {group}) / {float(Q.LIST_ROWS)})::bigint"
+
+
 SUMMARY = """
     select snapshot_id, round_even(min(u), 2) as min_utility, round_even(sum(u), 2) as total_utility,
            round_even(min(r), 2) as min_readable, round_even(sum(r), 2) as total_readable
@@ -117,17 +126,12 @@ def assign(centroids: str, suffix: str = "") -> dict[str, str]:
 
 
 def review_lists(winners: str, suffix: str = "") -> dict[str, str]:
-    """Reviews of each winner by (rater_id, rating) up to the first comma at or after character 1000."""
+    """All reviews of each winner by (rater_id, rating)."""
     return {
-        f"placed{suffix}": f"""
+        f"kept{suffix}": f"""
             select w.*, rater_id, rating, concat(cast(rater_id as varchar), '_', cast(rating as varchar)) as token,
                    row_number() over (partition by cluster order by rater_id, rating) as place
             from ratings join {winners} w using (movie_id)""",
-        f"measured{suffix}": f"""
-            select *, length(cast(movie_id as varchar))
-                      + sum(length(token) + 1) over (partition by cluster order by place rows between unbounded preceding and 1 preceding) as comma
-            from placed{suffix}""",
-        f"kept{suffix}": f"select * from measured{suffix} where comma is null or comma < {clustering.LINE_CUT}",
         f"model{suffix}": f"""
             select cluster as k, similarity, movie_id, cast(count(*) as int) as total,
                    string_agg(token, ',' order by place) as reviews, any_value(members) as members
@@ -149,8 +153,8 @@ def update(suffix: str = "") -> dict[str, str]:
 
 
 FIRST_MODEL = {
-    "chosen": f"select cast(5 - movie_id as int) as cluster, cast(0 as bigint) as members, movie_id, cast(0 as float) as similarity "
-    f"from (select unnest({Q.FIRST_CENTROIDS}) as movie_id)",
+    "chosen": "select cast(row_number() over (order by movie_id desc) - 1 as int) as cluster, cast(0 as bigint) as members, "
+    f"movie_id, cast(0 as float) as similarity from (select unnest({list(FIRST_CENTROIDS)}) as movie_id)",
     **review_lists("chosen", "_start"),
 }
 
@@ -161,6 +165,11 @@ def kmeans_passes() -> tuple[dict[str, str], str]:
         steps |= assign(centroids, f"_{i}")
         steps |= update(f"_{i}")
         centroids = f"centroids_{i}"
+    last = Q.KMEANS_PASSES - 1
+    before = f"winners_{last - 1}" if last else "chosen"
+    steps["settled"] = f"""
+        select not exists (from winners_{last} anti join {before} using (movie_id))
+               and not exists (from {before} anti join winners_{last} using (movie_id)) as settled"""
     return steps, f"model_{Q.KMEANS_PASSES - 1}"
 
 
@@ -231,9 +240,10 @@ ORACLES: dict[str, str] = {
         select w[i] as w1, w[i + 1] as w2, w[i + 2] as w3, source as doc, count(*) as n from places group by 1, 2, 3, 4""",
     "inverted_index": f"select distinct word, doc from (select unnest({WORDS.format('text')}) as word, doc_id as doc from documents) where word <> ''",
     "inverted_index_list": f"""
-        select word, cast(0 as int) as block, count(*) as n_docs, string_agg(cast(doc as varchar), ',' order by doc) as docs
-        from (select distinct word, doc from (select unnest({WORDS.format('text')}) as word, doc_id as doc from documents) where word <> '')
-        group by word""",
+        select word, {block_of('cast(doc as varchar)')} as block, count(*) as n_docs, string_agg(cast(doc as varchar), ',' order by doc) as docs
+        from (select *, {blocks_over('word')} as blocks from (
+            select distinct word, doc from (select unnest({WORDS.format('text')}) as word, doc_id as doc from documents) where word <> ''))
+        group by 1, 2""",
     "term_vector": f"""
         select source as host, word, count(*) as n, concat(word, ':', cast(count(*) as varchar)) as term
         from (select source, unnest({WORDS.format('text')}) as word from documents) where word <> ''
@@ -254,7 +264,12 @@ ORACLES: dict[str, str] = {
         from (select value, i, split_part(split_part(value, ':', 2), ',', cast(i as int)) as t from movie_lines, range(1, 4) r(i))
         where contains(t, '_')""",
     ),
-    "edge_source": f"select split_part(line, ',', 1) as src, split_part(line, ',', 2) as dst from ({LINES}) where len(string_split(line, ',')) = 2",
+    "edge_source": f"""
+        select array_to_string(parts[:len(parts) - 1], ',') as src, parts[len(parts)] as dst
+        from (select string_split(line, ',') as parts from ({LINES})) where len(parts) > 1""",
+    "malformed_edges": f"""
+        select count(*) as lines, count(*) filter (contains(line, ',')) as edges, count(*) filter (not contains(line, ',')) as malformed
+        from ({LINES})""",
     "itemset_source": f"""
         select array_to_string(parts[:len(parts) - 1], ',') as prefix, parts[len(parts)] as item
         from (select string_split(line, ',') as parts from ({LINES})) where len(parts) > 1""",
@@ -305,9 +320,17 @@ ORACLES: dict[str, str] = {
     ),
     "kmeans_iterate": with_views(
         ["ratings"],
-        f"select k, round(cast(similarity as double), 5) as similarity, movie_id, total, reviews from {LAST_MODEL}",
+        f"select k, round(cast(similarity as double), 5) as similarity, movie_id, total, reviews, settled from {LAST_MODEL}, settled",
         PASSES,
     ),
+    "kmeans_members": with_views(
+        ["ratings", "centroids"],
+        "select cluster, concat(movie_id, ':', rater_id, '_', rating) as line from ratings join assigned using (movie_id)",
+        assign("centroids"),
+    ),
+    "classify_by_file": with_views(
+        ["ratings"], "select movie_id, cluster from assigned", {**FIRST_MODEL, **assign("centroids_start")}
+    ),
     "self_join": with_views(
         ["itemsets"],
         "select a.prefix, a.item as item_a, b.item as item_b from d a join d b on a.prefix = b.prefix and a.item < b.item",
@@ -316,14 +339,11 @@ ORACLES: dict[str, str] = {
     "adj_list": with_views(
         ["edges"],
         """
-        select node, concat('from{', coalesce(string_agg(other, ',' order by other) filter (side = 'from'), ''),
-                            '}:to{', coalesce(string_agg(other, ',' order by other) filter (side = 'to'), ''), '}') as adjacency
-        from ends group by node""",
+        select node, side, block, string_agg(other, ',' order by other) as neighbours from ends group by node, side, block""",
         {
-            "ends": f"""
-            select node, side, other from (select distinct dst as node, 'from' as side, src as other from edges
-                           union all select distinct src, 'to', dst from edges)
-            qualify row_number() over (partition by node, side order by other) <= {relations.NEIGHBOUR_LIMIT}""",
+            "sides": "select distinct dst as node, 'from' as side, src as other from edges union all select distinct src, 'to', dst from edges",
+            "counted": f"select *, {blocks_over('node, side')} as blocks from sides",
+            "ends": f"select *, {block_of('other')} as block from counted",
         },
     ),
     "row_range": "select row_number() over () - 1 as row_id from orders",
@@ -468,8 +488,7 @@ ORACLES: dict[str, str] = {
     "update_bursts": with_views(["task_events"], EVENT_BURSTS.format(keys="", gap="30 seconds", part="")),
     "stream_update_bursts": with_views(
         ["task_events"],
-        EVENT_BURSTS.format(keys="job_id,", gap="1 hour", part="partition by job_id")
-        + " where burst_end <= (select epoch_ms(max(ts)) * 1000 - 10000000 from task_events)",
+        EVENT_BURSTS.format(keys="job_id,", gap="1 hour", part="partition by job_id"),
     ),
     "stream_task_estimate": with_views(
         ["task_events"],

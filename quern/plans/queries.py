@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quern.functions import scores as S
 from quern.functions.text import tokens
 from quern.operators import clustering, jobs, ratings, records, relations, text, traces
-from quern.plans.views import table, view
+from quern.operators.counters import counted
+from quern.plans.views import FIRST_CENTROIDS, table, view
 from quern.session import shared_dir
 from quern.sources import jobs as job_sources
 from quern.sources import sinks
@@ -20,9 +21,9 @@ from quern.streaming import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Movies whose reviews are the first centroids, passes of the k-means query, and sizes of the sort queries.
-FIRST_CENTROIDS = [0, 1, 2, 3, 4, 5]
-KMEANS_PASSES = 2
+# Most passes of the k-means query, documents in a block of the inverted list, and sizes of the sort queries.
+KMEANS_PASSES = 6
+LIST_ROWS = 200
 SORT_PARTS = 16
 SPLIT_SAMPLE = 2_000
 REVIEW_ORDER = ("rater_id", "rating")
@@ -57,7 +58,7 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = text.inverted_index_list(_documents(spark, sf_dir), "doc_id")
+    lists = text.inverted_index_list(_documents(spark, sf_dir), "doc_id", list_rows=LIST_ROWS)
     return lists.select(
         "word", "block", F.col("n_docs").cast("bigint").alias("n_docs"), F.concat_ws(",", F.col("docs").cast("array<string>")).alias("docs")
     )
@@ -110,7 +111,7 @@ def histogram_movies_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = clustering.initial_model(view(spark, sf_dir, "ratings"), FIRST_CENTROIDS, REVIEW_ORDER)
+    model = clustering.initial_model(view(spark, sf_dir, "ratings"), list(FIRST_CENTROIDS), REVIEW_ORDER)
     return clustering.load_centroids(model)
 
 
@@ -138,17 +139,45 @@ def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmeans_iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = view(spark, sf_dir, "ratings")
-    model = clustering.initial_model(reviews, FIRST_CENTROIDS, REVIEW_ORDER)
-    final = clustering.kmeans_iterate(spark, reviews, model, KMEANS_PASSES, REVIEW_ORDER)
+    model = clustering.initial_model(reviews, list(FIRST_CENTROIDS), REVIEW_ORDER)
+    final = clustering.kmeans_iterate(reviews, model, KMEANS_PASSES, REVIEW_ORDER)
     return final.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
+def kmeans_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rating line with the cluster its movie is assigned to."""
+    reviews = view(spark, sf_dir, "ratings")
+    line = F.format_string("%s:%s_%s", F.col("movie_id").cast("string"), F.col("rater_id").cast("string"), F.col("rating").cast("string"))
+    assigned = clustering.kmeans_assign(reviews, view(spark, sf_dir, "centroids"))
+    return clustering.kmeans_members(assigned, reviews.select("movie_id", line.alias("line")))
+
+
+def classify_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification by a model that was written as text and read back."""
+    reviews = view(spark, sf_dir, "ratings")
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    sinks.model_sink(clustering.initial_model(reviews, list(FIRST_CENTROIDS), REVIEW_ORDER), path)
+    return clustering.classify(reviews, clustering.load_centroids(text_sources.centroid_source(spark, path)))
+
+
+def malformed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges read and lines without comma, counted while the lines are read once."""
+    lines = _document_lines(spark, sf_dir)
+    seen, lines_read = counted(lines, "lines")
+    edges, edges_read = counted(text_sources.edge_source(seen, "line"), "edges")
+    edges.write.format("noop").mode("overwrite").save()
+    found = (lines_read.get["lines"], edges_read.get["edges"])
+    schema = "lines bigint, edges bigint, malformed bigint"
+    return spark.createDataFrame([(*found, found[0] - found[1])], schema)
+
+
 def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.self_join(view(spark, sf_dir, "itemsets"))
 
 
 def adj_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.packed_adjacency(relations.adj_list(view(spark, sf_dir, "edges")))
+    lists = relations.adj_list(view(spark, sf_dir, "edges"), LIST_ROWS)
+    return lists.withColumn("neighbours", F.concat_ws(",", "neighbours"))
 
 
 def row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,9 +356,9 @@ def stream_task_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_update_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, progress = _run_folders(spark, "bursts")
-    result = tasks.stream_update_bursts(_event_stream(spark, sf_dir), keys=("job_id",), gap="1 hour")
-    tasks.append_to(result, rows, progress).awaitTermination()
-    return _in_micros(spark.read.parquet(rows))
+    tasks.stream_update_bursts(_event_stream(spark, sf_dir), rows, progress, keys=("job_id",), gap="1 hour").awaitTermination()
+    parts = spark.read.parquet(rows).drop("batch")
+    return _in_micros(traces.merge_bursts(parts, ("job_id",)))
 
 
 QUERIES: dict[str, Query] = {
@@ -358,6 +387,9 @@ QUERIES: dict[str, Query] = {
         kmeans_assign,
         kmeans_update,
         kmeans_iterate,
+        kmeans_members,
+        classify_by_file,
+        malformed_edges,
         self_join,
         adj_list,
         row_range,

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.operators import clustering, ratings, records, relations, text
 from quern.operators.traces import TASK_SECONDS
@@ -39,7 +40,10 @@ def _classify(lines: DataFrame, model: DataFrame) -> DataFrame:
 def _kmeans(lines: DataFrame, model: DataFrame) -> DataFrame:
     movies = _movies(lines)
     assigned = clustering.kmeans_assign(ratings.flatten_reviews(movies), clustering.load_centroids(model))
-    return clustering.kmeans_update_lines(assigned, movies)
+    model = clustering.kmeans_update_lines(assigned, movies)
+    row = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("similarity", "movie_id", "total", "reviews")])
+    members = clustering.kmeans_members(assigned, movies).select(F.col("cluster").alias("k"), "line")
+    return model.select("k", row.alias("line")).unionByName(members)
 
 
 JOBS: dict[str, Job] = {
@@ -54,7 +58,7 @@ JOBS: dict[str, Job] = {
     ),
     "HistogramMovies": Job(lambda lines, _: ratings.histogram_movies_nested(T.movie_source(lines)), ("bin",), ("n",)),
     "Classification": Job(_classify, ("cluster",), ("movie_id",), needs_model=True),
-    "Kmeans": Job(_kmeans, ("k",), ("similarity", "movie_id", "total", "reviews"), needs_model=True),
+    "Kmeans": Job(_kmeans, ("k",), ("line",), needs_model=True),
     "SelfJoin": Job(
         lambda lines, _: relations.self_join(T.itemset_source(lines)), ("prefix", "item_a"), ("item_b",), separator=","
     ),

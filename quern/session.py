@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quern", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,17 +32,38 @@ def session(app: str = "quern", master: str | None = None, **conf: str) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own; on a cluster a
-    machine-local folder would be lost with its executor, so the setting is required.
+    Only a local session without the setting gets a folder of its own.  On a cluster the setting is
+    required, and a folder of the local file system is refused unless ``spark.quern.sharedMount`` is true, which says that it is
+    mounted on all machines.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if named:
+        mounted = spark.conf.get("spark.quern.sharedMount", "false").lower() == "true"
+        if not local and not mounted and _scheme(spark, named) == "file":
+            raise ValueError(f"{named} is a folder of one machine; name one that all executors share in spark.checkpoint.dir")
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return _local_dir(spark.sparkContext.applicationId)
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    """The file system of a path; one without a scheme lies on the default file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).getUri().getScheme()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to a new folder of the shared folder and read it back, which cuts its lineage.
+
+    Loops use it between passes: the files outlive the executors that wrote them.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @lru_cache
 def _local_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"quern-{application}-")

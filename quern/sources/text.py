@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quern.functions.reviews import is_movie_line, movie_id, parse_review, review_tokens
 from quern.functions.text import after_last_comma, before_last_comma
-from quern.operators.skew import spread
 
 # Fixed value: bytes of a sort record's key.
 RECORD_KEY_BYTES = 10
@@ -25,16 +24,17 @@ def movie_source(lines: DataFrame, value: str = "value", require_underscore: boo
     the histograms count them.
     """
     line = F.col(value)
-    lines = spread(lines)
     parsed = F.transform(review_tokens(line), lambda t: parse_review(t, require_underscore, permissive))
     kept = F.filter(parsed, lambda r: r.isNotNull()) if require_underscore else parsed
     return lines.where(is_movie_line(line)).select(movie_id(line).alias("movie_id"), line.alias("line"), kept.alias("reviews"))
 
 
 def edge_source(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(src, dst) of each ``A1,A2`` line; a line with no comma, or more than one, is malformed and dropped."""
-    pair = F.split(F.col(value), ",")
-    return lines.where(F.size(pair) == 2).select(pair[0].alias("src"), pair[1].alias("dst"))
+    """(src, dst) of each ``A1,A2`` line, split at the last comma; a line without comma is malformed and dropped."""
+    line = F.col(value)
+    return lines.where(F.contains(line, F.lit(","))).select(
+        before_last_comma(line).alias("src"), after_last_comma(line).alias("dst")
+    )
 
 
 def itemset_source(lines: DataFrame, value: str = "value") -> DataFrame:

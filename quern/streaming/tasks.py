@@ -22,22 +22,25 @@ def stream_task_estimate(events: DataFrame, map_prior: Column, red_prior: Column
     return totals.select("job_id", "is_map", "tasks", estimate(F.col("run_time"), F.col("tasks"), prior, step).alias("estimate"))
 
 
+def partial_bursts(events: DataFrame, keys: tuple[str, ...] = (), gap: str = QUIET_GAP) -> DataFrame:
+    """(keys, burst_start, burst_end, changes) of the events at hand; ``traces.merge_bursts`` joins those of several batches."""
+    bursts = events.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("changes"))
+    return bursts.select(*keys, F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "changes")
+
+
 def stream_update_bursts(
-    events: DataFrame, keys: tuple[str, ...] = (), gap: str = QUIET_GAP, late: str = "10 seconds"
-) -> DataFrame:
-    """(keys, burst_start, burst_end, changes): a burst ends once no event of its key came for ``gap``.
+    events: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = (), gap: str = QUIET_GAP
+) -> StreamingQuery:
+    """Write the partial bursts of each trigger to ``path/batch=N``, working through what has arrived.
 
-    The watermark lets go of bursts no late event can still join.  A trigger sorts only its own
-    events; for a whole table without keys use the batch twin ``update_bursts``.
+    Nothing is held between triggers and no event is too late: however the events lie in files,
+    merging the parts gives the bursts of all of them, those still open at the end too.
     """
-    window = F.session_window("ts", gap)
-    bursts = events.withWatermark("ts", late).groupBy(*keys, window.alias("w")).agg(F.count(F.lit(1)).alias("changes"))
-    return bursts.select(*keys, F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "changes")
 
+    def write(batch: DataFrame, number: int) -> None:
+        partial_bursts(batch, keys, gap).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def append_to(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append final rows to Parquet files, working through what has arrived and then stopping."""
-    writer = result.writeStream.outputMode("append").format("parquet").option("path", path)
+    writer = events.writeStream.foreachBatch(write)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -43,9 +43,22 @@ def test_centroids_are_numbered_capped_and_without_repeats(spark):
     assert found == [(0, 7, 3), (0, 8, 4), (1, 5, 5), (2, 1, 1), (2, 2, 2)]
 
 
-def test_too_many_clusters(spark):
-    with pytest.raises(ValueError):
-        clustering.load_centroids(model(spark, *[(i, i, 1, "1_1") for i in range(7)]))
+@pytest.mark.parametrize("clusters", [8, 300])
+def test_models_of_any_size(spark, clusters):
+    """Movie i has the ratings of centroid i alone, on raters of its own and one that all share."""
+    order = sorted(range(clusters), reverse=True)
+    rated = {m: {0: 1 + m % 5, m + 1: 5} for m in range(clusters)}
+    rows = [(m, 0, r, v) for m, own in rated.items() for r, v in own.items()]
+    reviews = spark.createDataFrame(rows, REVIEWS)
+    centroids = clustering.load_centroids(clustering.initial_model(reviews, list(range(clusters)), ("rater_id",)))
+    found = dict(values(clustering.classify(reviews, centroids)))
+    score = lambda a, b: math.fsum(rated[a][r] * rated[b][r] for r in rated[a] if r in rated[b])
+    assert set(found) == set(range(clusters)) and set(found.values()) <= set(range(clusters))
+    # All centroids share one rater, so every similarity is 1.0 and the lowest cluster wins.
+    assert set(found.values()) == {0} and order[0] == clusters - 1 and score(0, 0) > 0
+    apart = reviews.where("rater_id > 0")
+    own = clustering.load_centroids(clustering.initial_model(apart, list(range(clusters)), ("rater_id",)))
+    assert dict(values(clustering.classify(apart, own))) == {m: k for k, m in enumerate(order)}
 
 
 def test_ties_go_to_the_lowest_cluster_and_strangers_to_cluster_0(spark):
@@ -72,17 +85,15 @@ def test_winner_is_nearest_to_the_average(spark):
     assert found == [(0, 3, 2), (1, 2, 4)]
 
 
-def test_long_lines_are_cut_alike_with_and_without_the_line(spark, lines):
+def test_long_lines_stay_whole_with_and_without_the_line(spark, lines):
     body = ",".join(f"{100 + i}_{1 + i % 5}" for i in range(400))
     movies = movie_source(lines(f"12:{body}", "13:5_1"), require_underscore=True)
     assigned = spark.createDataFrame([(12, 0, 0.5), (13, 1, 0.1)], "movie_id bigint, cluster int, similarity float")
     flat = clustering.kmeans_update(assigned, ratings.flatten_reviews(movies))
     whole = clustering.kmeans_update_lines(assigned, movies)
-    line = f"12:{body}"
-    expected = line[: line.index(",", 1000)].split(":")[1]
     for found in (flat, whole):
         first = {r.k: r for r in found.collect()}
-        assert first[0].reviews == expected and first[0].total == expected.count(",") + 1
+        assert first[0].reviews == body and first[0].total == 400
         assert first[1].reviews == "5_1" and first[1].total == 1
 
 
@@ -127,6 +138,17 @@ def test_iteration_against_plain_python(spark):
     plain = {m: reviews[m] for m in (1, 2, 3)}
     for _ in range(3):
         plain = plain_step(reviews, plain)
-    found = clustering.kmeans_iterate(spark, df, first, max_iter=3).collect()
+    found = clustering.kmeans_iterate(df, first, max_iter=3).collect()
     assert {r.movie_id for r in found} == set(plain)
     assert all(r.total == len(reviews[r.movie_id]) for r in found)
+
+
+def test_iteration_says_whether_it_settled(spark):
+    rows = [(m, 0, p, 1 + (m * p) % 5) for m in range(1, 30) for p in range(6)]
+    df = spark.createDataFrame(rows, REVIEWS)
+    first = clustering.initial_model(df, list(range(1, 11)), ("rater_id",))
+    short = clustering.kmeans_iterate(df, first, 1, ("rater_id",)).collect()
+    long = clustering.kmeans_iterate(df, first, 30, ("rater_id",)).collect()
+    assert not short[0].settled and long[0].settled
+    again = clustering.kmeans_iterate(df, spark.createDataFrame(long).drop("settled"), 1, ("rater_id",)).collect()
+    assert again[0].settled and {r.movie_id for r in again} == {r.movie_id for r in long}

@@ -14,7 +14,7 @@ INPUTS = {
     "HistogramRatings": (["1:1_4,2_4,3_5", "x"], ["4\t2", "5\t1"]),
     "HistogramMovies": (["1:1_4,2_4", "2:1_3"], ["3.5\t1", "4.5\t1"]),
     "Classification": (["1:1_4", "2:7_1"], ["0\t2", "1\t1"]),
-    "Kmeans": (["1:1_4", "2:7_1"], ["0\t1.0 2 1 7_1", "1\t1.0 1 1 1_4"]),
+    "Kmeans": (["1:1_4", "2:7_1"], ["0\t1.0 2 1 7_1", "0\t2:7_1", "1\t1.0 1 1 1_4", "1\t1:1_4"]),
     "SelfJoin": (["p,q,b", "p,q,a"], ["p,q,a\tb"]),
     "AdjList": (["a,b"], ["a\tfrom{}:to{b}", "b\tfrom{a}:to{}"]),
 }

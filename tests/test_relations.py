@@ -25,18 +25,22 @@ def test_a_hot_prefix_in_blocks_gives_the_same_pairs(spark):
 def test_adjacency(spark, lines):
     edges = edge_source(lines("a,b", "a,b", "c,a", "nocomma", "x,y,z"))
     found = values(relations.packed_adjacency(relations.adj_list(edges)))
-    assert found == [("a", "from{c}:to{b}"), ("b", "from{a}:to{}"), ("c", "from{}:to{a}")]
+    assert found == [
+        ("a", 0, "from{c}:to{b}"), ("b", 0, "from{a}:to{}"), ("c", 0, "from{}:to{a}"), ("x,y", 0, "from{}:to{z}"), ("z", 0, "from{x,y}:to{}"),
+    ]
 
 
-def test_lists_keep_the_smallest_up_to_the_limit(spark):
-    edges = spark.createDataFrame([(f"s{i:03}", "hub") for i in range(900)], "src string, dst string")
-    hub = [r for r in relations.adj_list(edges, limit=50).collect() if r.node == "hub"]
-    assert len(hub) == 1 and hub[0].from_nodes == [f"s{i:03}" for i in range(50)] and hub[0].to_nodes == []
+def test_blocks_of_a_hot_node_hold_every_neighbour_once(spark):
+    edges = spark.createDataFrame([(f"s{i:03}", "hub") for i in range(900)] * 2, "src string, dst string")
+    hub = [r for r in relations.adj_list(edges, 50).collect() if r.node == "hub"]
+    assert {r.side for r in hub} == {"from"} and {r.block for r in hub} == set(range(18))
+    assert sorted(n for r in hub for n in r.neighbours) == [f"s{i:03}" for i in range(900)]
+    assert all(r.neighbours == sorted(r.neighbours) for r in hub)
 
 
 def test_every_pair_is_on_both_sides(spark):
     rows = [(str(i % 13), str(i % 7)) for i in range(91)]
     found = relations.adj_list(spark.createDataFrame(rows, "src string, dst string")).collect()
-    out = {(r.node, t) for r in found for t in r.to_nodes}
-    back = {(f, r.node) for r in found for f in r.from_nodes}
+    out = {(r.node, t) for r in found if r.side == "to" for t in r.neighbours}
+    back = {(f, r.node) for r in found if r.side == "from" for f in r.neighbours}
     assert out == back == set(rows)

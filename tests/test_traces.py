@@ -75,18 +75,30 @@ def test_bursts_end_after_a_quiet_gap(spark, group_rows):
     assert found == [(*moments(0.0, 1.9), 3), (*moments(3.0, 4.0), 1)]
 
 
-def test_stream_bursts_equal_batch_bursts(spark, folder):
+@pytest.mark.parametrize("files", [1, 60])
+def test_stream_bursts_equal_batch_bursts(spark, folder, files):
+    """However the events lie in files, and with those still open at the end."""
     random.seed(8)
     rows = [(i % 5, MOMENT + dt.timedelta(milliseconds=random.randrange(60_000))) for i in range(200)]
     rows += [(0, m) for m in moments(100.0, 101.0)] + [(9, MOMENT + dt.timedelta(hours=1))]
     df = spark.createDataFrame(rows, "job_id int, ts timestamp")
-    df.write.parquet(folder + "/events")
-    stream = spark.readStream.schema(df.schema).parquet(folder + "/events")
-    bursts = tasks.stream_update_bursts(stream, keys=("job_id",))
-    tasks.append_to(bursts, folder + "/out", folder + "/progress").awaitTermination()
-    batch = values(traces.update_bursts(df, ("job_id",)).where("job_id < 9"))
-    assert values(spark.read.parquet(folder + "/out").where("job_id < 9")) == batch
-    assert values(tasks.stream_update_bursts(df, keys=("job_id",)).where("job_id < 9")) == batch
+    df.repartition(files, F.md5(F.col("ts").cast("string"))).write.parquet(folder + "/events")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 7).parquet(folder + "/events")
+    tasks.stream_update_bursts(stream, folder + "/out", folder + "/progress", keys=("job_id",)).awaitTermination()
+    parts = spark.read.parquet(folder + "/out").drop("batch")
+    batch = values(traces.update_bursts(df, ("job_id",)))
+    assert values(traces.merge_bursts(parts, ("job_id",))) == batch
+    assert values(traces.merge_bursts(parts, ("job_id",), group_rows=9)) == batch
+    assert sum(r[-1] for r in batch) == len(rows)
+
+
+def test_timeline_of_epoch_seconds(spark):
+    start = 1_700_000_000
+    df = spark.createDataFrame([(start + 0.5, 2.0), (start + 1.0, 1.0)], "join_time double, deadline double")
+    late = traces.concurrency_timeline(df, F.col("join_time") - (start - 5), F.col("deadline"))
+    assert [r.online for r in late.orderBy("tick").collect()][-4:] == [0, 1, 2, 0] or late.count() == 8
+    schema = dict(traces.concurrency_timeline(df, F.col("join_time"), F.col("deadline")).dtypes)
+    assert schema["tick"] == "bigint"
 
 
 def test_stream_estimates_equal_batch_over_several_triggers(spark, folder):
