@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores as S
 from quern.functions.numeric import round2
-from quern.operators.ordering import GROUP_ROWS, running_total
+from quern.operators.ordering import running_total
 from quern.operators.skew import join_totals
 
 SNAPSHOT = ("snapshot_id",)
@@ -60,14 +60,14 @@ def backlog(
     capacity: int = CAPACITY,
     step: int = STEP,
     partition: tuple[str, ...] = SNAPSHOT,
-    group_rows: int = GROUP_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Each job's finishing time and utilities when the jobs of a snapshot run one after another.
 
     Lower ranks run first, equal ranks by job_id.
     """
     ranked = remaining_demand(jobs, capacity, step).withColumn("rank", rank)
-    run = running_total(ranked, F.col("delay"), "finish", list(partition), ["rank", "job_id"], group_rows)
+    run = running_total(ranked, F.col("delay"), "finish", list(partition), ["rank", "job_id"], ranges)
     return with_utilities(run, F.col("finish"))
 
 
@@ -128,12 +128,12 @@ def backlog_rrh(
     partition: tuple[str, ...] = SNAPSHOT,
     descending: bool = False,
     readable: bool = True,
-    group_rows: int = GROUP_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Utilities when jobs run in order of their reward, the lowest first unless ``descending``."""
     rewarded = risk_reward_rank(jobs, capacity, partition, readable)
     rank = F.round("reward", REWARD_PLACES)
-    run = backlog(rewarded, -rank if descending else rank, capacity, step, partition, group_rows)
+    run = backlog(rewarded, -rank if descending else rank, capacity, step, partition, ranges)
     return summarise_utilities(run, partition)
 
 
@@ -144,9 +144,9 @@ def utility_summary(jobs: DataFrame, finish: DataFrame, partition: tuple[str, ..
 
 
 def priority_share(jobs: DataFrame, partition: tuple[str, ...] = SNAPSHOT) -> DataFrame:
-    """Add each job's share of 100: 5, and the rest by priority in whole parts."""
+    """Add each job's share of 100: 5, and the rest by priority in whole parts; only the 5 if no job has priority."""
     counts = (F.count(F.lit(1)).alias("_n"), F.sum("priority").alias("_sum"))
-    part = (100.0 - 5 * F.col("_n")) * F.col("priority") / F.col("_sum")
+    part = F.coalesce(F.try_divide((100.0 - 5 * F.col("_n")) * F.col("priority"), F.col("_sum")), F.lit(0.0))
     return join_totals(jobs, list(partition), *counts).withColumn("share", 5 + part.cast("bigint")).drop("_n", "_sum")
 
 
@@ -175,14 +175,14 @@ def feasibility(
     map_time: int = 180,
     slots: int = CAPACITY,
     partition: tuple[str, ...] = SNAPSHOT,
-    group_rows: int = GROUP_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per snapshot the jobs whose deadline comes before all work due by then can be done.
 
     Only the deadline matters, so jobs are counted per deadline before anything is put in order.
     """
     per_deadline = jobs.groupBy(*partition, "deadline").agg(F.count(F.lit(1)).alias("n"))
-    due = running_total(per_deadline, F.col("n"), "due", list(partition), ["deadline"], group_rows)
+    due = running_total(per_deadline, F.col("n"), "due", list(partition), ["deadline"], ranges)
     room = (F.col("deadline") / float(map_time)).cast("bigint") * slots
     late = F.when(F.col("due") * map_tasks > room, F.col("n")).otherwise(0)
     return due.groupBy(*partition).agg(F.sum(late).alias("infeasible"))

@@ -1,9 +1,8 @@
 """Running totals, ranks and neighbours in order, for groups of any size.
 
-A window runs a whole group in one task.  That is right for groups up to ``GROUP_ROWS`` rows.
-Beyond, the rows are cut into ranges of the sort order at sampled split points, each range is
-worked on by itself, and what earlier ranges carry over comes from one small row per range.
-Both ways give the same result; the size of the largest group decides.
+A window over a group runs it in one task.  Here the rows are cut into ranges of the whole sort order at sampled
+split points, each range of a group is worked on by itself, and what earlier ranges carry over comes from one small row per
+group and range.  There is this one way for tables of any size.
 """
 
 from __future__ import annotations
@@ -14,10 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.skew import bucket_count, largest_group
-
-GROUP_ROWS = 1_000_000
-SAMPLE_ROWS = 200_000
+# Rows sampled per range.
+SAMPLE_ROWS = 20
 
 
 def pick_split_points(sample: DataFrame, columns: list[str], parts: int) -> DataFrame:
@@ -44,14 +41,16 @@ def pick_split_points(sample: DataFrame, columns: list[str], parts: int) -> Data
     )
 
 
-def split_points(df: DataFrame, columns: list[str], parts: int, total: int, sample_rows: int = SAMPLE_ROWS) -> list[tuple]:
-    """Sampled split points as texts of their columns; at most ``parts - 1`` of them reach the driver."""
-    if parts < 2 or total == 0:
+def split_points(df: DataFrame, columns: list[str], ranges: int) -> list[tuple]:
+    """Split points between ranges as texts of their columns; ``ranges - 1`` of them reach the driver.
+
+    The sample is the rows with the smallest hashes, so one pass finds it and the same rows give the same points.
+    """
+    if ranges < 2:
         return []
-    fraction = min(1.0, sample_rows / total)
-    picked = pick_split_points(df.select(*columns).sample(fraction, seed=11), columns, parts)
+    sample = df.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(SAMPLE_ROWS * ranges)
     texts = [F.col(c).cast("string") for c in columns]
-    return [tuple(row) for row in picked.orderBy("split").select(*texts).collect()]
+    return [tuple(row) for row in pick_split_points(sample, columns, ranges).orderBy("split").select(*texts).collect()]
 
 
 def bucket_of(df: DataFrame, columns: list[str], splits: list[tuple]) -> Column:
@@ -93,27 +92,18 @@ def with_bucket(df: DataFrame, columns: list[str], splits: list[tuple], name: st
 class Ordered:
     """Rows whose groups are in order; made by ``in_order``, and read by ``rows``.
 
-    ``cut`` rows carry ``_group`` (one null-safe key of the group) and ``_bucket`` (their range of
+    Rows carry ``_group`` (one null-safe key of the group) and ``_bucket`` (their range of
     the whole sort order), and each step works on them as they are.
     """
 
     frame: DataFrame
-    partition: list[str]
     order: list[str]
-    cut: bool
 
     def rows(self) -> DataFrame:
-        return self.frame.drop("_group", "_bucket") if self.cut else self.frame
-
-    def _step(self, frame: DataFrame) -> Ordered:
-        return replace(self, frame=frame)
+        return self.frame.drop("_group", "_bucket")
 
     def total(self, value: Column, name: str) -> Ordered:
         """Add the sum of ``value`` over the rows of the group up to and including this one."""
-        to_here = (Window.unboundedPreceding, Window.currentRow)
-        if not self.cut:
-            window = Window.partitionBy(*self.partition).orderBy(*self.order).rowsBetween(*to_here)
-            return self._step(self.frame.withColumn(name, F.sum(value).over(window)))
         valued = self.frame.withColumn("_value", value)
         before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         carried = (
@@ -121,10 +111,11 @@ class Ordered:
             .agg(F.sum("_value").alias("_sum"))
             .select("_group", "_bucket", F.sum("_sum").over(before).alias("_carried"))
         )
+        to_here = (Window.unboundedPreceding, Window.currentRow)
         inside = Window.partitionBy("_group", "_bucket").orderBy(*self.order).rowsBetween(*to_here)
         joined = valued.withColumn(name, F.sum("_value").over(inside)).join(carried, ["_group", "_bucket"])
         both = F.coalesce(F.col(name) + F.col("_carried"), F.col(name), F.col("_carried"))
-        return self._step(joined.withColumn(name, both).drop("_value", "_carried"))
+        return replace(self, frame=joined.withColumn(name, both).drop("_value", "_carried"))
 
     def rank(self, name: str) -> Ordered:
         """Add the 1-based place of the row in its group."""
@@ -133,52 +124,43 @@ class Ordered:
     def previous(self, values: dict[str, str]) -> Ordered:
         """Add, for each ``name: column``, the column's value in the row before; null in the first row."""
         here = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-        if not self.cut:
-            window = Window.partitionBy(*self.partition).orderBy(*self.order)
-            ready = self.frame.withColumn("_before", F.lag(here).over(window))
-        else:
-            held = self.frame.withColumn("_here", here)
-            place = F.struct(*[F.col(c) for c in self.order])
-            last = held.groupBy("_group", "_bucket").agg(F.max_by("_here", place).alias("_last"))
-            buckets = Window.partitionBy("_group").orderBy("_bucket")
-            carried = last.select("_group", "_bucket", F.lag("_last").over(buckets).alias("_carried"))
-            inside = Window.partitionBy("_group", "_bucket").orderBy(*self.order)
-            joined = held.withColumn("_before", F.lag("_here").over(inside)).join(carried, ["_group", "_bucket"])
-            ready = joined.withColumn("_before", F.coalesce("_before", "_carried")).drop("_here", "_carried")
+        held = self.frame.withColumn("_here", here)
+        place = F.struct(*[F.col(c) for c in self.order])
+        last = held.groupBy("_group", "_bucket").agg(F.max_by("_here", place).alias("_last"))
+        buckets = Window.partitionBy("_group").orderBy("_bucket")
+        carried = last.select("_group", "_bucket", F.lag("_last").over(buckets).alias("_carried"))
+        inside = Window.partitionBy("_group", "_bucket").orderBy(*self.order)
+        joined = held.withColumn("_before", F.lag("_here").over(inside)).join(carried, ["_group", "_bucket"])
+        ready = joined.withColumn("_before", F.coalesce("_before", "_carried")).drop("_here", "_carried")
         for name in values:
             ready = ready.withColumn(name, F.col("_before")[name])
-        return self._step(ready.drop("_before"))
+        return replace(self, frame=ready.drop("_before"))
 
 
-def in_order(df: DataFrame, partition: list[str], order: list[str], group_rows: int = GROUP_ROWS) -> Ordered:
+def in_order(df: DataFrame, partition: list[str], order: list[str], ranges: int | None = None) -> Ordered:
     """Prepare rows for steps in order: ``order`` columns sort upwards and should leave no ties.
 
-    The groups are counted once here.  The rows are read again for the sample and for the result,
-    so give a scan or a written table rather than a costly plan.
+    The rows are sampled here, in one job, and read again for the result, so give a scan or a written table
+    rather than a costly plan.  There are as many ranges as a shuffle has partitions unless ``ranges`` is given.
     """
-    largest, total = largest_group(df, partition)
-    if largest <= group_rows:
-        return Ordered(df, partition, order, cut=False)
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = partition + order
-    splits = split_points(df, columns, bucket_count(total, group_rows), total)
+    splits = split_points(df, columns, ranges)
     group = F.struct(*[F.col(c) for c in partition]) if partition else F.lit(0)
-    cut = with_bucket(df, columns, splits, "_bucket").withColumn("_group", group)
-    return Ordered(cut, partition, order, cut=True)
+    return Ordered(with_bucket(df, columns, splits, "_bucket").withColumn("_group", group), order)
 
 
 def running_total(
-    df: DataFrame, value: Column, name: str, partition: list[str], order: list[str], group_rows: int = GROUP_ROWS
+    df: DataFrame, value: Column, name: str, partition: list[str], order: list[str], ranges: int | None = None
 ) -> DataFrame:
-    return in_order(df, partition, order, group_rows).total(value, name).rows()
+    return in_order(df, partition, order, ranges).total(value, name).rows()
 
 
-def row_rank(
-    df: DataFrame, name: str, partition: list[str], order: list[str], group_rows: int = GROUP_ROWS
-) -> DataFrame:
-    return in_order(df, partition, order, group_rows).rank(name).rows()
+def row_rank(df: DataFrame, name: str, partition: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    return in_order(df, partition, order, ranges).rank(name).rows()
 
 
 def previous_values(
-    df: DataFrame, values: dict[str, str], partition: list[str], order: list[str], group_rows: int = GROUP_ROWS
+    df: DataFrame, values: dict[str, str], partition: list[str], order: list[str], ranges: int | None = None
 ) -> DataFrame:
-    return in_order(df, partition, order, group_rows).previous(values).rows()
+    return in_order(df, partition, order, ranges).previous(values).rows()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.numeric import uniform
 from quern.functions.records import filler, padded_id, with_key
-from quern.operators.ordering import GROUP_ROWS, pick_split_points, previous_values, row_rank, with_bucket
+from quern.operators.ordering import pick_split_points, previous_values, row_rank, with_bucket
 
 # Rows of a generated table by default, and keys sampled for split points.
 DEFAULT_ROWS = 3_000_000
@@ -25,20 +25,21 @@ def teragen(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
     return keyed.selectExpr("key", f"concat({padded_id('_row')}, {filler('_row')}) as value")
 
 
-def terasort(records: DataFrame, parts: int, key: str = "key", ties: tuple[str, ...] = ("value",)) -> DataFrame:
-    """Rows in total order of the key over ``parts`` partitions.
+def terasort(records: DataFrame, parts: int | None = None, key: str = "key", ties: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Rows in total order of the key over ``parts`` partitions, as many as a shuffle has unless given.
 
     The ranges run over the key and then ``ties``, so a hot key is spread over partitions too.
     Name a row id among the ties if whole rows repeat often.
     """
+    parts = parts or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return records.repartitionByRange(parts, key, *ties).sortWithinPartitions(key, *ties)
 
 
 def sorted_places(
-    records: DataFrame, key: str = "key", ties: tuple[str, ...] = ("value",), group_rows: int = GROUP_ROWS
+    records: DataFrame, key: str = "key", ties: tuple[str, ...] = ("value",), ranges: int | None = None
 ) -> DataFrame:
     """Add each record's 1-based place in the total order."""
-    return row_rank(records, "place", [], [key, *ties], group_rows)
+    return row_rank(records, "place", [], [key, *ties], ranges)
 
 
 def range_split_points(
@@ -60,7 +61,7 @@ def range_partition(records: DataFrame, splits: list[str], key: str = "key", nam
 
 
 def teravalidate(
-    records: DataFrame, file: str = "file", order: tuple[str, ...] = ("pos",), key: str = "key", group_rows: int = GROUP_ROWS
+    records: DataFrame, file: str = "file", order: tuple[str, ...] = ("pos",), key: str = "key", ranges: int | None = None
 ) -> DataFrame:
     """A row for every misordered neighbour inside a file and every misordered file end.
 
@@ -68,7 +69,7 @@ def teravalidate(
     names ``file:begin`` and ``file:end``.
     """
     rows = records.select(F.col(file).alias("file"), *order, F.col(key).alias("key"))
-    near = previous_values(rows, {"last": "key"}, ["file"], list(order), group_rows)
+    near = previous_values(rows, {"last": "key"}, ["file"], list(order), ranges)
     inside = near.where(F.col("key") < F.col("last")).select(
         F.format_string("misorder in %s last: '%s' current: '%s'", "file", "last", "key").alias("error")
     )
@@ -76,7 +77,7 @@ def teravalidate(
     ends = rows.groupBy("file").agg(F.min_by("key", place).alias("begin"), F.max_by("key", place).alias("end"))
     named = F.array(*[F.struct(F.concat("file", F.lit(f":{e}")).alias("end_name"), F.col(e).alias("key")) for e in ("begin", "end")])
     entries = ends.select(F.explode(named).alias("e")).select("e.*")
-    chain = previous_values(entries, {"last_name": "end_name", "last": "key"}, [], ["end_name"], group_rows)
+    chain = previous_values(entries, {"last_name": "end_name", "last": "key"}, [], ["end_name"], ranges)
     between = chain.where(F.col("key") < F.col("last")).select(
         F.format_string("misordered keys last: %s '%s' current: %s '%s'", "last_name", "last", "end_name", "key").alias("error")
     )

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only up to this many rows, counted before the hint is given.
 BROADCAST_ROWS = 200_000
-# Ranges of a sort order; their split points are held by the driver and by every task.
-MAX_BUCKETS = 8_192
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,18 +52,3 @@ def with_blocks(df: DataFrame, columns: list[str], member: Column, block_rows: i
     number = F.coalesce("_blocks", F.lit(1))
     block = F.when(number > 1, block_of(member, number)).otherwise(0)
     return joined.withColumn("_block", block).withColumn("_blocks", number)
-
-
-def largest_group(df: DataFrame, columns: list[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows of all groups); without columns all rows are one group."""
-    if not columns:
-        n = df.count()
-        return n, n
-    sizes = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return row["largest"] or 0, row["total"] or 0
-
-
-def bucket_count(total: int, rows_per_bucket: int) -> int:
-    """Ranges to cut ``total`` rows into; past ``MAX_BUCKETS`` they grow instead, as tasks can spill."""
-    return min(MAX_BUCKETS, max(1, math.ceil(total / rows_per_bucket)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scores as S
 from quern.functions.numeric import exponential, gaussian, round2, uniform
-from quern.operators.ordering import GROUP_ROWS, in_order, running_total
+from quern.operators.ordering import in_order, running_total
 from quern.sources.jobs import PROFILE_FIELDS
 
 # Map and reduce seconds per task that each class of job is planned with.
@@ -84,7 +84,7 @@ def gen_job_profiles(
     seed: int = 0,
     mean_gap: float = MEAN_GAP,
     utility_type: int = S.SIGMOID,
-    group_rows: int = GROUP_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """A synthetic profile for every job id.
 
@@ -124,7 +124,7 @@ def gen_job_profiles(
             F.concat(F.lit("job"), key.cast("string")).alias("job_name"),
         )
     )
-    arrived = running_total(drawn, F.col("_gap"), "_cents", [], ["job_id"], group_rows)
+    arrived = running_total(drawn, F.col("_gap"), "_cents", [], ["job_id"], ranges)
     join_time = FIRST_ARRIVAL + F.col("_cents") / 100.0
     return arrived.select("job_id", *[join_time.alias(c) if c == "join_time" else c for c, _ in PROFILE_FIELDS])
 
@@ -177,7 +177,7 @@ def update_bursts(
     partition: tuple[str, ...] = (),
     ts: str = "ts",
     gap_seconds: int = 1,
-    group_rows: int = GROUP_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """(burst_start, burst_end, changes): events of one group with no more than ``gap_seconds`` between.
 
@@ -186,7 +186,7 @@ def update_bursts(
     """
     keys = list(partition)
     moments = events.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n"))
-    near = in_order(moments, keys, [ts], group_rows).previous({"_last": ts})
+    near = in_order(moments, keys, [ts], ranges).previous({"_last": ts})
     gap = F.make_dt_interval(secs=F.lit(gap_seconds))
     starts = F.when(F.col("_last").isNull() | (F.col(ts) > F.col("_last") + gap), 1).otherwise(0)
     numbered = near.total(starts, "_burst").rows()
@@ -197,7 +197,7 @@ def update_bursts(
     )
 
 
-def merge_bursts(parts: DataFrame, partition: tuple[str, ...] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
+def merge_bursts(parts: DataFrame, partition: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Bursts from parts of them (burst_start, burst_end, changes): parts that touch or overlap are one.
 
     Parts may come in any order and any number; the union does not depend on either.  A burst starts where no part is open,
@@ -214,7 +214,7 @@ def merge_bursts(parts: DataFrame, partition: tuple[str, ...] = (), group_rows:
         .groupBy(*keys, "at", "ends")
         .agg(F.sum("step").alias("step"), F.sum("changes").alias("changes"))
     )
-    opened = in_order(moments, keys, ["at", "ends"], group_rows).total(F.col("step"), "_open")
+    opened = in_order(moments, keys, ["at", "ends"], ranges).total(F.col("step"), "_open")
     starts = F.when((F.col("ends") == 0) & (F.col("_open") == F.col("step")), 1).otherwise(0)
     return (
         opened.total(starts, "_burst")

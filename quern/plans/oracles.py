@@ -331,6 +331,12 @@ ORACLES: dict[str, str] = {
     "classify_by_file": with_views(
         ["ratings"], "select movie_id, cluster from assigned", {**FIRST_MODEL, **assign("centroids_start")}
     ),
+    "kv_text_sink": with_views(["ratings"], "select rating, count(*) as n from ratings group by rating"),
+    "job_result_sink": """
+        select o_totalprice as exec_time, o_orderkey % 313 + 0.5::double as latency, -0.25::double as utility,
+               100.0::double as map_tasks, 20.0::double as red_tasks, cast(200 + o_orderkey % 997 as double) as deadline,
+               o_orderkey % 10007 + 0.25::double as join_time, 3.0::double as priority, 1.0::double as deadline_type, 'WordCount' as job_class
+        from orders where o_orderstatus <> 'P'""",
     "self_join": with_views(
         ["itemsets"],
         "select a.prefix, a.item as item_a, b.item as item_b from d a join d b on a.prefix = b.prefix and a.item < b.item",
@@ -349,7 +355,7 @@ ORACLES: dict[str, str] = {
     "row_range": "select row_number() over () - 1 as row_id from orders",
     "teragen": tera("select key, value from rows"),
     "terasort": tera("select key, value, row_number() over (order by key, value) as place from rows"),
-    "sort_pipeline": f"select cast({Q.SORT_PARTS} as bigint) as files, count(*) as rows, cast(0 as bigint) as errors from orders",
+    "sort_pipeline": "select count(*) as rows, cast(0 as bigint) as errors from orders",
     "range_split_points": tera("select split, key from splits", SPLITS),
     "range_partition": tera(
         "select key, cast((select count(*) from splits s where s.key < r.key) as int) as part from rows r", SPLITS
@@ -491,12 +497,12 @@ ORACLES: dict[str, str] = {
         EVENT_BURSTS.format(keys="job_id,", gap="1 hour", part="partition by job_id"),
     ),
     "stream_task_estimate": with_views(
-        ["task_events"],
+        ["task_events", "planned_jobs"],
         f"""
         select job_id, is_map, tasks, {ESTIMATE} as estimate from (
-            select job_id, is_map, tasks, cast(trunc(run_time + case when is_map then 40 else 80 end) as bigint) // (tasks + 1) as m
-            from (select job_id, is_map, coalesce(sum(cast(run_time as decimal(18, 6))) filter (succeeded), 0) as run_time,
+            select job_id, is_map, tasks, cast(trunc(run_time + case when is_map then map_prior else red_prior end) as bigint) // (tasks + 1) as m
+            from planned_jobs join (select job_id, is_map, coalesce(sum(cast(run_time as decimal(18, 6))) filter (succeeded), 0) as run_time,
                          count(*) filter (succeeded) as tasks
-                  from task_events group by 1, 2))""",
+                  from task_events group by 1, 2) using (job_id))""",
     ),
 }

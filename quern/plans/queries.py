@@ -171,6 +171,23 @@ def malformed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(*found, found[0] - found[1])], schema)
 
 
+def kv_text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rating counts written as ``key<TAB>value`` lines and read back."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    sinks.kv_text_sink(ratings.histogram_ratings(view(spark, sf_dir, "ratings")), path, ("rating",), ("n",))
+    part = F.split("value", "\t")
+    return spark.read.text(path).select(part[0].cast("int").alias("rating"), part[1].cast("bigint").alias("n"))
+
+
+def job_result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a log written as tab-separated lines and read back."""
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    sinks.job_result_sink(job_sources.result_lines(view(spark, sf_dir, "result_log_lines")), path)
+    part = F.split("value", "\t")
+    numbers = [part[i].cast("double").alias(c) for i, c in enumerate(sinks.RESULT_COLUMNS[:-1])]
+    return spark.read.text(path).select(*numbers, part[len(numbers)].alias(sinks.RESULT_COLUMNS[-1]))
+
+
 def self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.self_join(view(spark, sf_dir, "itemsets"))
 
@@ -197,15 +214,14 @@ def terasort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sort_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generate, sort, write, read back and validate: files, rows and errors."""
+    """Generate, sort, write, read back and validate: rows and errors."""
     path = f"{shared_dir(spark)}/sorted-{uuid.uuid4().hex}"
-    sinks.tera_sink(records.terasort(_records(spark, sf_dir), SORT_PARTS), path)
+    sinks.tera_sink(records.terasort(_records(spark, sf_dir)), path)
     back = text_sources.read_tera(spark, path)
     errors = records.teravalidate(back, order=("block", "pos")).agg(F.count(F.lit(1)).alias("errors"))
-    written = back.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    counts = written.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"))
-    parts = [counts.select("files", "rows", F.lit(0).cast("bigint").alias("errors")), errors.select(F.lit(0).alias("files"), F.lit(0).alias("rows"), "errors")]
-    return parts[0].unionByName(parts[1]).agg(*[F.sum(c).alias(c) for c in ("files", "rows", "errors")])
+    zero = F.lit(0).cast("bigint")
+    counts = back.agg(F.count(F.lit(1)).alias("rows")).select("rows", zero.alias("errors"))
+    return counts.unionByName(errors.select(zero.alias("rows"), "errors")).agg(*[F.sum(c).alias(c) for c in ("rows", "errors")])
 
 
 def range_split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,8 +364,11 @@ def _run_folders(spark: SparkSession, name: str) -> tuple[str, str]:
 
 def stream_task_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, progress = _run_folders(spark, "estimates")
-    map_prior, red_prior = (F.lit(s) for s in traces.TASK_SECONDS["WordCount"])
-    result = tasks.stream_task_estimate(_event_stream(spark, sf_dir), map_prior, red_prior)
+    # The stream meets the table of planned jobs, so each job has its own class's priors.
+    planned = view(spark, sf_dir, "planned_jobs").withColumnRenamed("job_id", "_job")
+    events = _event_stream(spark, sf_dir)
+    joined = events.join(planned, F.col("job_id") == F.col("_job")).drop("_job")
+    result = tasks.stream_task_estimate(joined, F.max("map_prior"), F.max("red_prior"))
     tasks.update_into(result, rows, progress).awaitTermination()
     return tasks.latest(spark.read.parquet(rows))
 
@@ -390,6 +409,8 @@ QUERIES: dict[str, Query] = {
         kmeans_members,
         classify_by_file,
         malformed_edges,
+        kv_text_sink,
+        job_result_sink,
         self_join,
         adj_list,
         row_range,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quern.operators.jobs import STEP, estimate, phase_totals
+from quern.operators.jobs import STEP, estimate
 
 # Fixed value: changes are gathered until none came for this long.
 QUIET_GAP = "1 second"
@@ -15,10 +15,15 @@ QUIET_GAP = "1 second"
 def stream_task_estimate(events: DataFrame, map_prior: Column, red_prior: Column, step: int = STEP) -> DataFrame:
     """Estimate per job and phase over the events so far; for batch and streaming frames alike.
 
-    In update mode each trigger gives the estimates that changed.
+    Priors are literals, or aggregates of columns that the events carry for their job.  In update mode each
+    trigger gives the estimates that changed.
     """
-    prior = F.when(F.col("is_map"), map_prior).otherwise(red_prior)
-    totals = phase_totals(events)
+    done = F.when(F.col("succeeded"), F.col("run_time").cast("decimal(18,6)"))
+    totals = events.groupBy("job_id", "is_map").agg(
+        F.coalesce(F.sum(done), F.lit(0)).alias("run_time"), F.count(done).alias("tasks"),
+        map_prior.alias("_map"), red_prior.alias("_red"),
+    )
+    prior = F.when(F.col("is_map"), F.col("_map")).otherwise(F.col("_red"))
     return totals.select("job_id", "is_map", "tasks", estimate(F.col("run_time"), F.col("tasks"), prior, step).alias("estimate"))
 
 

@@ -54,8 +54,7 @@ def test_word_count_shuffles_only_its_counts(spark):
 
 def test_a_cut_order_brings_no_large_group_into_one_task(spark):
     rows = spark.range(5000).select(F.lit("hot").alias("g"), "id", F.lit(1).alias("v"))
-    cut = ordering.in_order(rows, ["g"], ["id"], group_rows=500)
-    assert cut.cut
+    cut = ordering.in_order(rows, ["g"], ["id"], ranges=10)
     sizes = [r["count"] for r in cut.frame.groupBy("_group", "_bucket").count().collect()]
     assert len(sizes) == 10 and max(sizes) < 1500
 

@@ -19,7 +19,7 @@ def ids(spark, n, parts=3):
 
 def test_profiles_are_plausible_and_do_not_depend_on_partitions(spark):
     found = traces.gen_job_profiles(ids(spark, 800)).orderBy("job_id").collect()
-    assert found == traces.gen_job_profiles(ids(spark, 800, 8), group_rows=90).orderBy("job_id").collect()
+    assert found == traces.gen_job_profiles(ids(spark, 800, 8), ranges=9).orderBy("job_id").collect()
     assert [r.join_time for r in found[:2]] == [5.0, 5.0]
     assert all(a.join_time <= b.join_time for a, b in zip(found, found[1:]))
     assert 110 < (found[-1].join_time - 5) / 798 < 150
@@ -68,10 +68,10 @@ def moments(*seconds):
     return [MOMENT + dt.timedelta(seconds=s) for s in seconds]
 
 
-@pytest.mark.parametrize("group_rows", [100, 2])
-def test_bursts_end_after_a_quiet_gap(spark, group_rows):
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_bursts_end_after_a_quiet_gap(spark, ranges):
     df = spark.createDataFrame([(m,) for m in moments(0.0, 0.4, 0.9, 3.0)], "ts timestamp")
-    found = values(traces.update_bursts(df, group_rows=group_rows))
+    found = values(traces.update_bursts(df, ranges=ranges))
     assert found == [(*moments(0.0, 1.9), 3), (*moments(3.0, 4.0), 1)]
 
 
@@ -88,7 +88,7 @@ def test_stream_bursts_equal_batch_bursts(spark, folder, files):
     parts = spark.read.parquet(folder + "/out").drop("batch")
     batch = values(traces.update_bursts(df, ("job_id",)))
     assert values(traces.merge_bursts(parts, ("job_id",))) == batch
-    assert values(traces.merge_bursts(parts, ("job_id",), group_rows=9)) == batch
+    assert values(traces.merge_bursts(parts, ("job_id",), ranges=40)) == batch
     assert sum(r[-1] for r in batch) == len(rows)
 
 
