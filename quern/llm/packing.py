@@ -120,7 +120,7 @@ def _encode(path: str):
         encoder, end = word_encoder(path), np.array([END_ID], "<u4").tobytes()
         wide = encoder.tokenizer.get_vocab_size() > 1 << 16
         for batch in batches:
-            ids = [encoder.ids(t or "") + end for t in batch.column("text").to_pylist()]
+            ids = [i + end for i in encoder.batch([t or "" for t in batch.column("text").to_pylist()])]
             deal = [zlib.crc32(i) for i in ids]
             held = ids if wide else [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays(

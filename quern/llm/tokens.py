@@ -7,21 +7,29 @@ come from a bounded cache; new ones are encoded together, with a special token b
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-CACHED_WORDS = 300_000
+from quern.llm.common import pieces
+
+CACHED_WORDS = 250_000
 _AT_ONCE = 20_000
+_LEARN_CHARS = 1 << 20
+# Spark runs a task on every core already; more threads of the library would only take turns.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # White space other than space and line feed, in either Python's or the tokenizer's sense.
 _ODD_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
-# Latin letters that are their own canonical form, then punctuation: two pieces for either pre-tokenizer.
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+# A line feed or none, Latin letters that are their own canonical form, then punctuation: pieces of either pre-tokenizer.
+_SIMPLE = re.compile("(\\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 
 
 def _byte_letters() -> str:
@@ -44,74 +52,131 @@ class Encoder:
 
     def __init__(self, path: str, separator: str, spaced: bool, cached_words: int = CACHED_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        # The same model over pieces in byte letters that spaces divide.
+        self.model_only = Tokenizer(self.tokenizer.model)
+        self.model_only.pre_tokenizer = CharDelimiterSplit(" ")
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
         self.spaced, self.cached_words = spaced, cached_words
+        # When the cache is full it becomes the older one, from which words in use come back.
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.break_id = self.model_only.encode(_LETTERS[10], add_special_tokens=False).ids[-1]
+        self.line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece that the pre-tokenizer would leave whole."""
-        known = self.pieces.get(piece)
-        if known is None:
-            letters = piece if piece.isascii() and " " not in piece else piece.encode().decode("latin-1").translate(_LETTERS)
-            known = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
-            if len(self.pieces) >= self.cached_words:
-                self.pieces.clear()
-            self.pieces[piece] = known
-        return known
+    def _pieces(self, wanted: list[str]) -> None:
+        """Encode new pieces, which the pre-tokenizer would leave whole, with line feeds between them."""
+        new = [p for p in dict.fromkeys(wanted) if p not in self.pieces]
+        if len(self.pieces) + len(new) > self.cached_words:
+            self.pieces = {"": b""}
+            new = [p for p in dict.fromkeys(wanted) if p]
+        self._encode(self.pieces, new, new)
+
+    def _encode(self, into: dict[str, bytes], keys: list[str], shown: list[str]) -> None:
+        """Encode pieces, with line feeds between them, by the model alone."""
+        for at in range(0, len(keys), _AT_ONCE):
+            letters = [
+                p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(_LETTERS) for p in shown[at : at + _AT_ONCE]
+            ]
+            found = self.model_only.encode_batch_fast([f" {_LETTERS[10]} ".join(letters)], add_special_tokens=False)
+            self._cut(into, keys[at : at + _AT_ONCE], found[0].ids, self.break_id)
+
+    @staticmethod
+    def _cut(into: dict[str, bytes], keys: list[str], ids: list[int], separator: int) -> None:
+        """Keep the ids of each key, cut at the separators between them."""
+        found = np.array(ids, "<u4")
+        cuts = np.flatnonzero(found == separator)
+        if len(cuts) != len(keys) - 1:
+            raise ValueError("a separator was not encoded as one token")
+        raw = found.tobytes()
+        starts = [0, *((cuts + 1) * 4).tolist()]
+        into.update((k, raw[a:b]) for k, a, b in zip(keys, starts, [*(cuts * 4).tolist(), len(raw)]))
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words; a word's key is its text as it stands after a space."""
-        plain = []
+        cache, plain, direct, tailed, bare = self.cache, [], [], [], []
         for w in words:
-            if (simple := _SIMPLE.fullmatch(w)) and "<|" not in w:
-                head, tail = simple.groups()
-                ids = self._piece(" " + head if self.spaced else head.lower())
-                self.cache[w] = ids + self._piece(tail) if tail else ids
+            if w.isascii() and w.isalpha():
+                direct.append(w)
+                continue
+            found = None if "<|" in w else _SIMPLE.fullmatch(w)
+            if found:
+                line, head, tail = found.groups()
+                (bare if line else tailed if tail else direct).append((w, head, tail) if line or tail else w)
             elif "<|" in w:
-                self.cache[w] = self._whole(w if not self.spaced or w[:1] == "\n" else " " + w)
+                cache[w] = self._whole(w if not self.spaced or w[:1] == "\n" else " " + w)
             else:
                 plain.append(w)
+        # A word with punctuation behind it is the word and the punctuation.
+        direct = list(dict.fromkeys([*direct, *(head for _, head, _ in tailed if head not in cache)]))
+        self._encode(cache, direct, [self._head(w, True) for w in direct])
+        self._pieces([p for _, head, tail in bare for p in (self._head(head, False), tail)] + [tail for _, _, tail in tailed])
+        known = self.pieces
+        cache.update((w, cache[head] + known[tail]) for w, head, tail in tailed)
+        cache.update((w, self.line + known[self._head(head, False)] + known[tail]) for w, head, tail in bare)
         shown = (lambda w: w if w[:1] == "\n" else " " + w) if self.spaced else str
         for at in range(0, len(plain), _AT_ONCE):
             some = plain[at : at + _AT_ONCE]
             found = self.tokenizer.encode_batch_fast([self.separator.join(map(shown, some))], add_special_tokens=False)
-            ids = np.array(found[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.separator_id)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("a separator was not encoded as one token")
-            raw = ids.tobytes()
-            starts = np.concatenate(([0], cuts + 1)) * 4
-            ends = np.append(cuts, len(ids)) * 4
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist()))
+            self._cut(self.cache, some, found[0].ids, self.separator_id)
+
+    def _head(self, letters: str, after_space: bool) -> str:
+        """The piece of a word's letters."""
+        if not self.spaced:
+            return letters.lower()
+        return " " + letters if after_space else letters
+
+    def _first(self, word: str) -> bytes:
+        """The ids of a word at the start of a text, after no space."""
+        found = None if "<|" in word else _SIMPLE.fullmatch(word)
+        if not found or found[1]:
+            return self._whole(word) if word else b""
+        head = self._head(found[2], False)
+        self._pieces([head, found[3]])
+        return self.pieces[head] + self.pieces[found[3]]
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        return next(self.batch([text]))
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """``ids`` of each text; the new words of about a megabyte of texts are learned together."""
+        for start, stop in pieces(np.array([len(t) for t in texts]), _LEARN_CHARS):
+            split = [self._split(t) for t in texts[start:stop]]
+            if len(self.cache) > self.cached_words:
+                self.older, self.cache = self.cache, {}
+            cache, older = self.cache, self.older
+            unknown = []
+            for w in set().union(*[found[1] for found in split if found]).difference(cache):
+                if w in older:
+                    cache[w] = older[w]
+                else:
+                    unknown.append(w)
+            self._learn(unknown)
+            firsts = [m for found in split if found and found[0] and "<|" not in found[0] and (m := _SIMPLE.fullmatch(found[0]))]
+            self._pieces([p for m in firsts for p in (self._head(m[2], False), m[3])])
+            for text, found in zip(texts[start:stop], split):
+                if found is None:
+                    yield self._whole(text)
+                else:
+                    head, words = found
+                    yield (self._first(head) if head else b"") + b"".join(map(cache.__getitem__, words))
+
+    def _split(self, text: str) -> tuple[str, list[str]] | None:
+        """The first word if it counts that no space is before it, and the other words; None for odd white space."""
         if not text:
-            return b""
-        head = b""
-        if self.spaced:
-            if _ODD_SPACE.search(text) or any(pair in text for pair in _ODD_PAIRS) or text[0] == " " or text[-1] == " ":
-                return self._whole(text)
-            words = text.replace("\n", " \n").split(" ")
-            first = words.pop(0)  # stands after no space; empty if a line feed comes first
-            head = self._whole(first)
-        else:
-            if _ODD_SPACE.search(text):
-                return self._whole(text)
-            words = text.split()
-        cache = self.cache
-        new = set(words).difference(cache)
-        if new:
-            if len(cache) + len(new) > self.cached_words:
-                cache.clear()
-                new = set(words)
-            self._learn(list(new))
-        return head + b"".join(map(cache.__getitem__, words))
+            return "", []
+        if _ODD_SPACE.search(text):
+            return None
+        if not self.spaced:
+            return "", text.split()
+        if any(pair in text for pair in _ODD_PAIRS) or text[0] == " " or text[-1] == " ":
+            return None
+        words = text.replace("\n", " \n").split(" ")
+        return words.pop(0), words  # the first is empty if a line feed comes first
 
 
 @lru_cache

@@ -158,9 +158,10 @@ def _build(path: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, seq, len(ids), file), schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(texts)):
                 docs.append(doc_id)
-                parts.append(encoder.ids(text or "") + end)
+                parts.append(ids + end)
                 held += len(parts[-1]) // 4
                 if held >= shard_tokens:
                     yield shard()
