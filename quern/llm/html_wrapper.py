@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import on_arrow, shuffle_parts
+from quern.llm.common import on_arrow, shuffle_parts, written
 
 # Deeper elements count as their ancestor's at this depth; longer rows of children fold by name alone.
 MAX_DEPTH = 100
@@ -432,5 +432,6 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"), host.alias("host"),
     )
-    joined = named.join(wrappers(named), "host")
+    # The written table has no partitioning by host of its own, so a join with a hot host can be split.
+    joined = named.join(written(wrappers(named), "wrappers"), "host")
     return on_arrow(joined.select("page_id", "url", "html", "wrapper"), _extract, "page_id long, url string, text string, n_chars long")
