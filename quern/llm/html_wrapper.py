@@ -145,13 +145,21 @@ class _Parser(HTMLParser):
             self.stack[-1].parts.append((data, self.links > 0))
 
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """The text of a CDATA section; any other ``<![`` is a comment up to the next ``>``, as in HTML.
+
+        The library raises an error for names it doesn't know, which would end the page.
+        """
+        if self.rawdata[i : i + 9].lower() == "<![cdata[" and (end := self.rawdata.find("]]>", i + 9)) >= 0:
+            self.handle_data(self.rawdata[i + 9 : end])
+            return end + 3
+        return self.parse_bogus_comment(i, report)
+
+
 def parse(html: str) -> _Element:
     parser = _Parser()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the library's answer to some broken declarations; what was read counts
-        pass
+    parser.feed(html)
+    parser.close()
     return parser.root
 
 

@@ -63,3 +63,11 @@ def test_odd_pages(spark):
     assert found[None] == "" and found[1] == "" and found[2] == "deep" and found[5] == "just text"
     assert found[3].count("\n") == 5999 and found[4].startswith("a < b <")
     assert html_wrapper.extract(pages.limit(0)).count() == 0
+
+
+def test_paragraphs_behind_a_marked_section_stay():
+    for mark in ("<![foo]>", "<![ endif]>", "<![>", "<![if !IE]>", "<![endif]-->", "<![if x>", "<![ignore[x]]>"):
+        assert read(f"<article><p>one</p>{mark}<p>two</p><p>three]</p></article>") == ["one\ntwo\nthree]"], mark
+    assert read("<article><p>a<![CDATA[ b < c ]]>d</p><p>e</p></article>") == ["a b < c d\ne"]
+    assert read("<article><p>a<![CDATA[ b</p><p>e</p></article>") == ["a\ne"]
+    assert read("<article><p>one</p><![foo") == ["one\n<![foo"]
