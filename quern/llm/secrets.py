@@ -8,7 +8,6 @@ where it lies in the text.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -44,7 +43,16 @@ _B64 = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 _IS_B64 = bytes(97 if c in _B64 else 32 for c in range(256))
 _IS_HEX = bytes(97 if c in b"0123456789abcdef" else 32 for c in range(256))
 _STANDARD = bytes.maketrans(b"-_", b"+/")
-_CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+# A line break inside wrapped base64, also when written as an escape in a string.
+_BREAK = re.compile(rb"(?<=[A-Za-z0-9+/_-])[\x20\t]*(?:\r\n|[\r\n]|(?:\\r)?\\n)[\x20\t]*(?=[A-Za-z0-9+/_-])")
+_HIGH_BYTE = re.compile(rb"\\x[89A-Fa-f][0-9A-Fa-f]")
+_BYTE_ESCAPE = re.compile(rb"\\(?:x([0-9A-Fa-f]{2})|([abfnrtv0\\'\"]))")
+_SIMPLE = dict(zip(b"abfnrtv0", b"\a\b\f\n\r\t\v\0"))
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+# Bytes that a base64 or hex run, a value or escapes may consist of; what ends in such a run is not finished.
+_UNFINISHED = _B64 + b"=.%\\{}\r\n"
+# How much of a compressed stream is fed at once, so that the rest is not copied for every try.
+_FEED_BYTES = 1 << 16
 
 
 def _runs(data: bytes, table: bytes, least: int) -> Iterator[tuple[int, int]]:
@@ -86,6 +94,8 @@ class _Layer:
         """A layer whose bytes came from the ranges ``starts`` .. ``ends`` of this one."""
         if self.starts is None:
             return _Layer(data, starts, ends)
+        if self.starts.strides == (0,):  # all of it came from one place
+            return _Layer(data, *(np.broadcast_to(a[:1], len(data)) for a in (self.starts, self.ends)))
         return _Layer(data, self.starts[starts], self.ends[ends - 1])
 
 
@@ -133,73 +143,140 @@ def _percent(layer: _Layer) -> Iterator[_Layer]:
 
 
 def _unicode(layer: _Layer) -> Iterator[_Layer]:
+    """Escapes as characters, and if a byte above 127 is escaped as two hex digits, once more with those as bytes."""
     data = layer.data
     if b"\\" not in data:
         return
     for first, last in _lines_with(data, _ESCAPE):
         units = [(int(next(g for g in m.groups() if g), 16), *m.span()) for m in _ESCAPE.finditer(data, first, last)]
         yield layer.below(*_rewritten(data, first, last, list(_code_points(units))))
+    for first, last in _lines_with(data, _HIGH_BYTE):
+        parts = [
+            (bytes([int(m[1], 16) if m[1] else _SIMPLE.get(m[2][0], m[2][0])]), *m.span())
+            for m in _BYTE_ESCAPE.finditer(data, first, last)
+        ]
+        yield layer.below(*_rewritten(data, first, last, parts))
 
 
-def _is_compressed(data: bytes) -> bool:
-    zlib_header = len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0
-    return zlib_header or data.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00"))
-
-
-def _is_text(data: bytes) -> bool:
-    if _CONTROL.search(data):
-        return False
-    try:
-        data.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
+def _decoded(layer: _Layer, run: bytes, places: np.ndarray) -> Iterator[_Layer]:
+    """A run at its four alignments, so from wherever in it the base64 begins; ``places`` are of its characters."""
+    run = run.translate(_STANDARD)
+    for first in range(4):
+        length = len(run) - first
+        length -= length % 4 == 1
+        if length < MIN_BASE64:
+            return
+        got = binascii.a2b_base64(run[first : first + length] + b"=" * (-length % 4))
+        at = np.arange(len(got))
+        begins = first + at // 3 * 4 + at % 3
+        yield layer.below(got, places[begins], places[np.minimum(begins + 1, len(run) - 1)] + 1)
 
 
 def _base64(layer: _Layer) -> Iterator[_Layer]:
     data = layer.data
     for start, end in _runs(data, _IS_B64, MIN_BASE64):
-        length = end - start - ((end - start) % 4 == 1)
-        run = data[start : start + length].translate(_STANDARD)
+        yield from _decoded(layer, data[start:end], np.arange(start, end))
+    breaks = [m.span() for m in _BREAK.finditer(data)]
+    if not breaks:
+        return
+    kept = np.ones(len(data), bool)
+    for start, end in breaks:
+        kept[start:end] = False
+    places = np.flatnonzero(kept)
+    joined = np.frombuffer(data, np.uint8)[places].tobytes()
+    for start, end in _runs(joined, _IS_B64, MIN_BASE64):
+        if places[end - 1] - places[start] != end - 1 - start:
+            yield from _decoded(layer, joined[start:end], places[start:end])
+
+
+class _Stream:
+    """A compressed stream of ``data`` from ``at``; what was read before an error counts."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.end, self.finished, self.failed = data, at, False, False
+
+    def read(self) -> Iterator[bytes]:
+        if self.data.startswith(b"BZh", self.end):
+            opener = bz2.BZ2Decompressor()
+        elif self.data.startswith(b"\xfd7zXZ", self.end):
+            opener = lzma.LZMADecompressor()
+        else:
+            opener = zlib.decompressobj(47)
         try:
-            got = base64.b64decode(run + b"=" * (-length % 4))
-        except binascii.Error:
+            rest = b""
+            while not opener.eof:
+                if not rest and getattr(opener, "needs_input", True):
+                    rest = self.data[self.end : self.end + _FEED_BYTES]
+                    self.end += len(rest)
+                    if not rest:
+                        return
+                got = opener.decompress(rest, WINDOW_BYTES)
+                rest = getattr(opener, "unconsumed_tail", b"")
+                if got:
+                    yield got
+            self.end -= len(opener.unused_data)
+            self.finished = True
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            self.failed = True
+
+
+def _unfinished(data: bytes) -> int:
+    """Where at the end of ``data`` a run or a compressed stream begins that may go on behind it."""
+    least = len(data.rstrip(_UNFINISHED))
+    at = 0
+    while (m := _MAGIC.search(data, at)) and m.start() < least:
+        stream = _Stream(data, m.start())
+        for _ in stream.read():
+            pass
+        if not stream.finished and not stream.failed:
+            return m.start()
+        at = stream.end if stream.finished else m.start() + 1
+    return least
+
+
+def _windows(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Windows of a stream, each with the end of the one before; none ends inside a run or an inner stream."""
+    held, new, step, seen = [], 0, WINDOW_BYTES, 0
+    for part in parts:
+        held.append(part)
+        new += len(part)
+        if new < step:
             continue
-        if got and (_is_compressed(got) or _is_text(got)):
-            at = np.arange(len(got))
-            begins = start + at // 3 * 4 + at % 3
-            yield layer.below(got, begins, np.minimum(begins + 2, end))
-
-
-def _opened(data: bytes) -> Iterator[bytes]:
-    """What a compressed stream holds, window by window; what was read before an error counts."""
-    if data.startswith(b"BZh"):
-        opener = bz2.BZ2Decompressor()
-    elif data.startswith(b"\xfd7zXZ\x00"):
-        opener = lzma.LZMADecompressor()
-    else:
-        opener = zlib.decompressobj(47)
-    tail, rest = b"", data
-    try:
-        while True:
-            got = opener.decompress(rest, WINDOW_BYTES)
-            if not got:
-                return
-            yield tail + got
-            tail = got[-OVERLAP_BYTES:]
-            rest = opener.unconsumed_tail if hasattr(opener, "unconsumed_tail") else b""
-            if opener.eof:
-                return
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
-        return
+        data = b"".join(held)
+        cut, new = _unfinished(data), 0
+        if cut > seen:
+            yield data[:cut]
+            seen = min(cut, OVERLAP_BYTES)
+            held, step = [data[cut - seen :]], WINDOW_BYTES
+        else:
+            held, step = [data], len(data)  # a run that goes on is looked at again when it has doubled
+    if held:
+        yield b"".join(held)
+
+
+def _streams(data: bytes, at: int, end: list[int]) -> Iterator[bytes]:
+    """What the streams from ``at`` hold that follow each other directly; ``end`` gets how far they were read and are whole."""
+    while True:
+        stream = _Stream(data, at)
+        for part in stream.read():
+            end[0] = stream.end
+            yield part
+        if stream.finished:
+            end[:] = [stream.end, stream.end]
+        if not stream.finished or not _MAGIC.match(data, stream.end):
+            return
+        at = stream.end
 
 
 def _compressed(layer: _Layer) -> Iterator[_Layer]:
-    if layer.starts is None or not _is_compressed(layer.data):
-        return
-    for got in _opened(layer.data):
-        whole = np.zeros(len(got), np.int64)
-        yield layer.below(got, whole, whole + len(layer.data))
+    """What compressed streams anywhere in a layer hold, window by window."""
+    data, at = layer.data, 0
+    while m := _MAGIC.search(data, at):
+        end = [m.start() + 1] * 2
+        for got in _windows(_streams(data, m.start(), end)):
+            first, last = layer.origin(m.start(), end[0])
+            yield _Layer(got, np.broadcast_to(np.int64(first), len(got)), np.broadcast_to(np.int64(last), len(got)))
+        at = end[1]
 
 
 def scan(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -1,8 +1,11 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
+import zlib
 
 from quern.llm import secrets
 from quern.llm.common import table
@@ -74,3 +77,53 @@ def test_large_compressed_layer():
     body = b"x" * (secrets.WINDOW_BYTES + 100) + b" " + SECRET.encode() + b" tail"
     text = base64.b64encode(gzip.compress(body)).decode()
     assert [s for s in spans_of(text) if s[1] == 0] == [(0, 0, len(text.rstrip("=")))] or spans_of(text)
+
+
+def inside(text, part):
+    """Whether an assignment is found that lies within ``part`` of the text."""
+    at = text.index(part)
+    return any(k == 0 and at <= a < b <= at + len(part) for a, k, b in spans_of(text))
+
+
+def test_base64_at_any_place_of_a_run():
+    once = base64.b64encode(SECRET.encode()).decode()
+    for before in ("https://h/cb/", "https://h/a/bc/", "key_", "some-key-", "x", "xy", "xyz", "a+b+"):
+        text = f"see {before}{once} end"
+        assert inside(text, (before + once).split("://")[-1]), before
+        assert inside(f"see {before}{once}/tail/of-path", (before + once).split("://")[-1] + "/tail/of-path"), before
+
+
+def test_wrapped_base64():
+    body = b"first line of a longer text, " * 4 + SECRET.encode() + b" and more of it" * 9
+    for data in (body, gzip.compress(hashlib.sha512(b"a").digest() * 3 + hashlib.sha512(b"b").digest() + body)):
+        wrapped = base64.encodebytes(data).decode().strip()
+        for text in (wrapped, wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\n    "), wrapped.replace("\n", "\\n")):
+            assert inside(f"é word\n{text}\nnext line", text.rstrip("=")), text
+
+
+def test_decoded_bytes_that_are_no_text():
+    for data in (b"\x00" + SECRET.encode(), SECRET.encode() + b"\xff\xfe", b"\x1f\x8b\x08" + SECRET.encode()):
+        assert spans_of(base64.b64encode(data).decode()), data
+
+
+def test_compressed_anywhere():
+    other = gzip.compress(b"nothing here")
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        packed = pack(SECRET.encode())
+        for data in (b"head" + packed + b"tail", packed, other + packed, other + b"\0\0" + packed, packed + other, b"x\x9cBZh9" + packed):
+            assert spans_of(base64.b64encode(data).decode()), (pack, data)
+        assert spans_of("data = " + repr(packed) + " end") and spans_of("".join(f"\\x{b:02X}" for b in packed))
+        assert spans_of("p=" + urllib.parse.quote(packed))
+    halves = gzip.compress(SECRET.encode()[:14]) + gzip.compress(SECRET.encode()[14:])
+    assert spans_of(base64.b64encode(halves).decode())
+
+
+def test_runs_over_a_window_edge(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW_BYTES", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP_BYTES", 64)
+    noise = b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(2000))
+    run = base64.b64encode(gzip.compress(noise + SECRET.encode()))
+    for data in (b"words of text " * 200 + run + b" end", b"words of text " * 200 + gzip.compress(noise + SECRET.encode()) + b" end"):
+        assert spans_of(base64.b64encode(gzip.compress(data)).decode())
+    for n in range(4050, 4110):
+        assert spans_of(base64.b64encode(gzip.compress(b"\xff" * n + SECRET.encode())).decode()), n
