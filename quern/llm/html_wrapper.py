@@ -2,7 +2,8 @@
 
 A page is a tree of block elements with text slots.  Neighbours of one kind fold into repeated groups,
 and trees of one host are aligned one after the other: what only one side has becomes optional, what
-differs in a text makes it a slot instead of template text.  Each task aligns the pages it reads, the tasks' wrappers
+differs in a text makes it a slot instead of template text.  A slot knows which texts all pages that have it
+share, and how many different pages those are; three make such a text template, in an article too.  Each task aligns the pages it reads, the tasks' wrappers
 are aligned in two steps, and every page is then read along its host's wrapper.
 """
 
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import on_arrow, shuffle_parts, written
 
-# Deeper elements count as their ancestor's at this depth; longer rows of children fold by name alone.
+# Deeper elements are children of their ancestor at this depth; longer rows of children fold by name alone.
 MAX_DEPTH = 100
 MAX_ROW = 60
 # Wrappers of hosts that a task holds before it hands them on.
 HELD_HOSTS = 2_000
 _SALTS = 32
+# So many different pages make a text that all of them share template.
+EVIDENCE = 3
 
 # How elements of HTML behave.
 BLOCKS = frozenset(
@@ -55,7 +58,12 @@ MAIN_TAGS = frozenset(("article", "main"))
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
-TEXT, HOLDS, REPEATED, OPTIONAL, SAME, LINKED = range(6)  # places in a node; TEXT is its label
+# Places in a node.  TEXT is its label; SAME has the digests of texts that all pages with this slot share, PAGES the
+# least digests, EVIDENCE at most, of those pages' contents; copies of a page have one digest.
+TEXT, HOLDS, REPEATED, OPTIONAL, SAME, LINKED, PAGES = range(7)
+# How nodes merge: of different pages; of one page, in place; of positions that the same pages have; one side counts.
+ACROSS, WITHIN, BOTH, LEFT, RIGHT = range(5)
+BY_LABEL = 2  # in REPEATED: of a long row, folded by label
 
 
 def _label(tag: str, attributes: list[tuple[str, str | None]]) -> str:
@@ -112,7 +120,7 @@ class _Parser(HTMLParser):
         marked = tag not in BLOCKS and tag not in VOID and not BOILER_WORDS.isdisjoint(label.split(".")[1:])
         if tag not in BLOCKS and not marked:
             if tag in ("br", "img", "hr"):
-                self.stack[-1].parts.append((" ", False))
+                self._add((" ", False))
             return
         if tag in BLOCKS:
             at = self._open_at({"p"}, SCOPES)
@@ -121,10 +129,23 @@ class _Parser(HTMLParser):
             names = CLOSED_BY.get(tag)
             while names and (at := self._open_at(names, SCOPES - names)) > 0:
                 self._close(at)
+        above = self.stack[-1].label
+        if len(self.stack) > MAX_DEPTH and (_is_boiler(above) or _is_main(above) and not _is_boiler(label)):
+            label = above  # what lies around it is no longer seen from its place
         element = _Element(label, tag)
-        self.stack[-1].parts.append(element)
+        self.stack[min(len(self.stack), MAX_DEPTH) - 1].parts.append(element)
         if tag not in VOID:
-            self.stack.append(element if len(self.stack) < MAX_DEPTH else self.stack[-1])
+            self.stack.append(element)
+
+    def _add(self, text: tuple[str, bool]) -> None:
+        """Add a text to the innermost element; a deep one goes on in a new element behind those it holds."""
+        top = self.stack[-1]
+        if len(self.stack) > MAX_DEPTH:
+            parts = self.stack[MAX_DEPTH - 1].parts
+            if not parts or parts[-1] is not top:
+                top = self.stack[-1] = _Element(top.label, top.tag)
+                parts.append(top)
+        top.parts.append(text)
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
@@ -142,7 +163,7 @@ class _Parser(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden or (self.hidden[-1] == "head" and data.strip()):
-            self.stack[-1].parts.append((data, self.links > 0))
+            self._add((data, self.links > 0))
 
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -186,21 +207,59 @@ def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=6).hexdigest()
 
 
-def skeleton(element: _Element) -> list:
+def _content(element: _Element) -> str:
+    """A digest of the texts outside boilerplate."""
+    texts: list[str] = []
+
+    def walk(at: _Element) -> None:
+        for part in _runs(at):
+            if not isinstance(part, _Element):
+                texts.append(part[0])
+            elif not _is_boiler(part.label):
+                walk(part)
+
+    walk(element)
+    return _digest("\n".join(texts))
+
+
+def skeleton(element: _Element, page: str | None = None) -> list:
     """The wrapper of one page."""
+    page = page or _content(element)
     items = [
-        skeleton(p) if isinstance(p, _Element) else ["#text", [], False, False, _digest(p[0]), p[1]] for p in _runs(element)
+        skeleton(p, page) if isinstance(p, _Element) else ["#text", [], False, False, {_digest(p[0])}, p[1], [page]]
+        for p in _runs(element)
     ]
     linked = bool(items) and all(i[LINKED] for i in items)
-    return [element.label, fold(items), False, False, None, linked]
+    return [element.label, fold(items, WITHIN), False, False, None, linked, None]
+
+
+def _merge(a: list, b: list, how: int = ACROSS) -> list:
+    same, pages = a[SAME], a[PAGES]
+    if same is not None:
+        if how == WITHIN:
+            same |= b[SAME]
+        elif how == ACROSS:
+            same, pages = set(same).intersection(b[SAME]), sorted({*pages, *b[PAGES]})[:EVIDENCE]
+        elif how == BOTH:
+            same, pages = set(same).union(b[SAME]), min(pages, b[PAGES], key=len)
+        elif how == RIGHT:
+            same, pages = b[SAME], b[PAGES]
+    return [
+        a[TEXT], align(a[HOLDS], b[HOLDS], how), max(a[REPEATED], b[REPEATED]), a[OPTIONAL] or b[OPTIONAL], same,
+        a[LINKED] and b[LINKED], pages,
+    ]
 
 
-def _merge(a: list, b: list) -> list:
-    same = a[SAME] if a[SAME] == b[SAME] else None
-    return [a[TEXT], align(a[HOLDS], b[HOLDS]), a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], same, a[LINKED] and b[LINKED]]
+def _put_together(a: list, b: list, how: int) -> list:
+    """Two positions of one wrapper as one repeated item."""
+    if how != WITHIN:
+        how = (ACROSS if b[OPTIONAL] else RIGHT) if a[OPTIONAL] else LEFT if b[OPTIONAL] else BOTH
+    merged = _merge(a, b, how)
+    merged[REPEATED], merged[OPTIONAL] = max(merged[REPEATED], True), a[OPTIONAL] and b[OPTIONAL]
+    return merged
 
 
-def _grouped(items: list[list]) -> list[list]:
+def _grouped(items: list[list], how: int) -> list[list]:
     """Fold ``a b a b`` of up to four neighbours into one repeated group."""
     for n in (2, 3, 4):
         at, out = 0, []
@@ -210,10 +269,16 @@ def _grouped(items: list[list]) -> list[list]:
             while names[at : at + n] == names[at + times * n : at + (times + 1) * n] and len(names[at : at + n]) == n:
                 times += 1
             if times > 1:
+                repeated = [m[REPEATED] for m in items[at : at + n]]
                 members = items[at : at + n]
                 for k in range(1, times):
-                    members = [_merge(a, b) for a, b in zip(members, items[at + k * n : at + (k + 1) * n])]
-                out.append(["(" + " ".join(names[at : at + n]) + ")", members, True, False, None, all(m[LINKED] for m in members)])
+                    turn = items[at + k * n : at + (k + 1) * n]
+                    repeated = [max(r, m[REPEATED]) for r, m in zip(repeated, turn)]
+                    members = [_put_together(a, b, how) for a, b in zip(members, turn)]
+                for member, r in zip(members, repeated):
+                    member[REPEATED] = r
+                linked = all(m[LINKED] for m in members)
+                out.append(["(" + " ".join(names[at : at + n]) + ")", members, True, False, None, linked, None])
                 at += times * n
             else:
                 out.append(items[at])
@@ -222,26 +287,30 @@ def _grouped(items: list[list]) -> list[list]:
     return items
 
 
-def fold(items: list[list]) -> list[list]:
+def _by_label(items: list[list], how: int) -> list[list]:
+    """A row with one item for each label, members of groups included."""
+    found: dict[str, list] = {}
+    work = list(reversed(items))
+    while work:
+        item = work.pop()
+        if item[TEXT].startswith("("):
+            work += [[*m[:OPTIONAL], m[OPTIONAL] or item[OPTIONAL], *m[SAME:]] for m in reversed(item[HOLDS])]
+        else:
+            known = found.get(item[TEXT])
+            found[item[TEXT]] = _put_together(known, item, how) if known else item
+    return [[*i[:REPEATED], BY_LABEL, *i[OPTIONAL:]] for i in found.values()]
+
+
+def fold(items: list[list], how: int = ACROSS) -> list[list]:
     """Neighbours of one label become one repeated item, neighbouring rows of labels a repeated group."""
     out: list[list] = []
     for item in items:
         if out and out[-1][TEXT] == item[TEXT]:
-            optional = out[-1][OPTIONAL] and item[OPTIONAL]
-            out[-1] = _merge(out[-1], item)
-            out[-1][REPEATED], out[-1][OPTIONAL] = True, optional
+            out[-1] = _put_together(out[-1], item, how)
         else:
             out.append(item)
-    out = _grouped(out) if len(out) <= 4 * MAX_ROW else out
-    if len(out) > MAX_ROW:
-        by_label: dict[str, list] = {}
-        for item in out:
-            known = by_label.get(item[TEXT])
-            by_label[item[TEXT]] = _merge(known, item) if known else item
-        out = list(by_label.values())
-        for item in out:
-            item[REPEATED] = item[OPTIONAL] = True
-    return out
+    out = _grouped(out, how)
+    return _by_label(out, how) if len(out) > MAX_ROW else out
 
 
 def _as_groups(items: list[list], other: list[list]) -> list[list]:
@@ -251,7 +320,7 @@ def _as_groups(items: list[list], other: list[list]) -> list[list]:
         n, at, out = len(members), 0, []
         while at < len(items):
             if [i[TEXT] for i in items[at : at + n]] == members:
-                out.append([group[TEXT], items[at : at + n], True, False, None, False])
+                out.append([group[TEXT], items[at : at + n], True, False, None, False, None])
                 at += n
             else:
                 out.append(items[at])
@@ -260,11 +329,23 @@ def _as_groups(items: list[list], other: list[list]) -> list[list]:
     return items
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
-    """Items of both sides in order, matched by a longest common row of labels; unmatched ones are optional."""
+def _optional(item: list) -> list:
+    return [*item[:OPTIONAL], True, *item[SAME:]]
+
+
+def align(a: list[list], b: list[list], how: int = ACROSS) -> list[list]:
+    """Items of both sides in order, matched by a longest common row of labels; unmatched ones are optional.
+
+    If one side is folded by label, so is the other, and labels match wherever they are.
+    """
+    if any(i[REPEATED] == BY_LABEL for i in (*a, *b)):
+        inner = how if how == WITHIN else ACROSS
+        one, two = ({i[TEXT]: i for i in _by_label(side, inner)} for side in (a, b))
+        both = [_merge(i, two[k], how) if k in two else _optional(i) for k, i in one.items()]
+        return both + [_optional(i) for k, i in two.items() if k not in one]
     a, b = _as_groups(a, b), _as_groups(b, a)
     if [i[TEXT] for i in a] == [i[TEXT] for i in b]:
-        return [_merge(x, y) for x, y in zip(a, b)]
+        return [_merge(x, y, how) for x, y in zip(a, b)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -274,25 +355,25 @@ def align(a: list[list], b: list[list]) -> list[list]:
     out = []
     while i < n or j < m:
         if i < n and j < m and a[i][TEXT] == b[j][TEXT]:
-            out.append(_merge(a[i], b[j]))
+            out.append(_merge(a[i], b[j], how))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:OPTIONAL], True, *a[i][SAME:]])
+            out.append(_optional(a[i]))
             i += 1
         else:
-            out.append([*b[j][:OPTIONAL], True, *b[j][SAME:]])
+            out.append(_optional(b[j]))
             j += 1
-    return fold(out)
+    return fold(out, how if how == WITHIN else ACROSS)
 
 
 def expression(node: list) -> str:
     """A wrapper as a regular expression, for people."""
     if node[TEXT] == "#text":
-        body = "#text" if node[SAME] is None else "'..'"
+        body = "'..'" if len(node[SAME]) == 1 else "#text"
     else:
         inner = " ".join(expression(i) for i in node[HOLDS])
         body = f"({inner})" if node[TEXT].startswith("(") else f"<{node[TEXT]}>{inner}</>"
-    return body + "+" * node[REPEATED] + "?" * node[OPTIONAL]
+    return body + "+" * bool(node[REPEATED]) + "?" * node[OPTIONAL]
 
 
 def _is_boiler(label: str) -> bool:
@@ -310,56 +391,52 @@ class Wrapper:
 
     def __init__(self, pages: int, root: list):
         self.pages, self.root = pages, root
-
-    @staticmethod
-    def _items(node: list) -> dict[str, list]:
-        """Items by label, those of groups included; of several with one label the union counts."""
-        found: dict[str, list] = {}
-        work = list(node[HOLDS])
-        while work:
-            item = work.pop(0)
-            if item[TEXT].startswith("("):
-                work = item[HOLDS] + work
-            else:
-                found[item[TEXT]] = _merge(found[item[TEXT]], item) if item[TEXT] in found else item
-        return found
+        self.known: dict[tuple[int, ...], tuple[dict[str, list[list]], frozenset, bool | None]] = {}
+
+    def _items(self, nodes: list[list]) -> tuple[dict[str, list[list]], frozenset, bool | None]:
+        """Items of ``nodes`` by label, those of groups included, digests of template texts, and if all texts are links."""
+        key = tuple(map(id, nodes))
+        if key not in self.known:
+            found: dict[str, list[list]] = {}
+            work = [item for node in nodes for item in node[HOLDS]]
+            while work:
+                item = work.pop()
+                if item[TEXT].startswith("("):
+                    work += item[HOLDS]
+                else:
+                    found.setdefault(item[TEXT], []).append(item)
+            slots = found.get("#text", [])
+            template = frozenset(d for s in slots if len(s[PAGES]) >= EVIDENCE for d in s[SAME])
+            self.known[key] = found, template, all(s[LINKED] for s in slots) if slots else None
+        return self.known[key]
 
     def read(self, page: _Element) -> list[str]:
         """The blocks of the page's article, in page order.
 
         Where the page has an article or main element, its texts outside boilerplate; else all texts outside it
-        but lists of links and, if the host has three pages or more, texts that all of them share.
+        but lists of links.  From both go texts that all pages with their slot share, if those are different pages.
+        A page that has no other texts keeps them.
         """
-        with_main: list[str] = []
-        rest: list[str] = []
-        self._walk(page, self.root, False, True, with_main, rest)
-        return with_main or rest
+        with_main: list[tuple[str, bool]] = []
+        rest: list[tuple[str, bool]] = []
+        self._walk(page, [self.root], False, with_main, rest)
+        texts = with_main or rest
+        return [t for t, template in texts if not template] or [t for t, _ in texts]
 
     def _walk(
-        self, element: _Element, node: list | None, main: bool, always: bool, with_main: list[str], rest: list[str]
+        self, element: _Element, nodes: list[list], main: bool, with_main: list[tuple[str, bool]], rest: list[tuple[str, bool]]
     ) -> None:
-        items = _items_of(self, node) if node else {}
+        items, template, linked = self._items(nodes)
         for part in _runs(element):
             if isinstance(part, _Element):
                 if not _is_boiler(part.label):
-                    below = items.get(part.label)
-                    inside = always and below is not None and not below[OPTIONAL]
-                    self._walk(part, below, main or _is_main(part.label), inside, with_main, rest)
-            elif main:
-                with_main.append(part[0])
+                    self._walk(part, items.get(part.label, []), main or _is_main(part.label), with_main, rest)
             else:
-                slot = items.get("#text")
-                everywhere = always and slot is not None and not slot[OPTIONAL]
-                template = self.pages >= 3 and everywhere and slot[SAME] is not None
-                if not template and not (slot[LINKED] if slot else part[1]):
-                    rest.append(part[0])
-
-
-def _items_of(wrapper: Wrapper, node: list) -> dict[str, list]:
-    known = wrapper.__dict__.setdefault("known", {})
-    if id(node) not in known:
-        known[id(node)] = wrapper._items(node)
-    return known[id(node)]
+                text = part[0], not main and bool(template) and _digest(part[0]) in template
+                if main:
+                    with_main.append(text)
+                elif not (part[1] if linked is None else linked):
+                    rest.append(text)
 
 
 @lru_cache(maxsize=256)
@@ -372,7 +449,7 @@ def main_text(html: str, wrapper: Wrapper) -> str:
 
 
 def _as_batch(held: dict[str, tuple[int, list]]) -> pa.RecordBatch:
-    texts = [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in held.values()]
+    texts = [json.dumps(v, ensure_ascii=False, separators=(",", ":"), default=sorted) for v in held.values()]
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(texts, pa.string())], names=["host", "wrapper"])
 
 

@@ -71,3 +71,29 @@ def test_paragraphs_behind_a_marked_section_stay():
     assert read("<article><p>a<![CDATA[ b < c ]]>d</p><p>e</p></article>") == ["a b < c d\ne"]
     assert read("<article><p>a<![CDATA[ b</p><p>e</p></article>") == ["a\ne"]
     assert read("<article><p>one</p><![foo") == ["one\n<![foo"]
+
+
+def test_copies_are_no_evidence():
+    for page in ("<body><h1>t</h1><p>one</p><p>two</p>",):
+        assert read(*[page] * 5) == ["t\none\ntwo"] * 5
+        assert read(*[page] * 5, page.replace("one", "three"))[5] == "t\nthree\ntwo"
+
+
+def test_long_rows_keep_template():
+    tags = ("h1", "p", "h2", "ul", "h3", "pre", "h4")
+    for tag in ("body",):
+        pages = []
+        for i, n in enumerate((61, 62, 300, 40, 61)):
+            row = "".join(f"<{tags[k * k % 7]}>x{i} {k}</{tags[k * k % 7]}>" for k in range(n))
+            pages.append(f"<{tag}>{row}<section class=zq>All rights</section></{tag}>")
+        found = read(*pages)
+        assert [t.count("\n") + 1 for t in found] == [61, 62, 300, 40, 61] and not any("rights" in t for t in found)
+
+
+def test_deep_elements():
+    for depth in (90, 97, 98, 99, 100, 101, 150):
+        inner = "<section>a<p>b</p>c<div class=ad>buy<p>now</p>!</div>d<ul><li>e<li>f</ul></section>g"
+        page = "<body>" + "<div>" * depth + inner + "</div>" * depth + "<p>end</p>"
+        assert read(page) == ["a\nb\nc\nd\ne\nf\ng\nend"], depth
+        page = "<body><p>out</p>" + "<div>" * depth + "<article><h1>t</h1><p>x</p><nav>n<p>m</p></nav>y</article>" + "</div>" * depth + "<p>end</p>"
+        assert read(page) == ["t\nx\ny"], depth
