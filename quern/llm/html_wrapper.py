@@ -432,7 +432,7 @@ class Wrapper:
                 if not _is_boiler(part.label):
                     self._walk(part, items.get(part.label, []), main or _is_main(part.label), with_main, rest)
             else:
-                text = part[0], not main and bool(template) and _digest(part[0]) in template
+                text = part[0], bool(template) and _digest(part[0]) in template
                 if main:
                     with_main.append(text)
                 elif not (part[1] if linked is None else linked):

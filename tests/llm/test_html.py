@@ -73,15 +73,24 @@ def test_paragraphs_behind_a_marked_section_stay():
     assert read("<article><p>one</p><![foo") == ["one\n<![foo"]
 
 
+def test_unlabelled_box_inside_the_article_is_template():
+    box = "<div class=zq>Get our letter</div>"
+    pages = [f"<article><h1>t{i}</h1><p>a {i}</p>{box}<p>Thanks for reading</p><p>b {i}</p></article>" for i in range(4)]
+    assert read(*pages) == [f"t{i}\na {i}\nb {i}" for i in range(4)]
+    bare = "<article><h1>t9</h1><p>c</p></article>"
+    assert read(*pages, bare) == [f"t{i}\na {i}\nb {i}" for i in range(4)] + ["t9\nc"]
+    assert read(*pages[:2])[0] == "t0\na 0\nGet our letter\nThanks for reading\nb 0"
+
+
 def test_copies_are_no_evidence():
-    for page in ("<body><h1>t</h1><p>one</p><p>two</p>",):
+    for page in ("<body><h1>t</h1><p>one</p><p>two</p>", "<article><h1>t</h1><p>one</p><p>two</p></article>"):
         assert read(*[page] * 5) == ["t\none\ntwo"] * 5
         assert read(*[page] * 5, page.replace("one", "three"))[5] == "t\nthree\ntwo"
 
 
 def test_long_rows_keep_template():
     tags = ("h1", "p", "h2", "ul", "h3", "pre", "h4")
-    for tag in ("body",):
+    for tag in ("body", "article"):
         pages = []
         for i, n in enumerate((61, 62, 300, 40, 61)):
             row = "".join(f"<{tags[k * k % 7]}>x{i} {k}</{tags[k * k % 7]}>" for k in range(n))
