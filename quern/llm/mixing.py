@@ -209,18 +209,26 @@ def shard_blocks(targets: DataFrame, shards: int, block_words: int, seed: str) -
     )
 
 
+def _row_hash() -> Column:
+    """A hash of what a row gives to the mix; rows without a value differ from those with one."""
+    values = [F.col(c) for c in ("doc_id", "source", "text")]
+    return F.xxhash64(*values, *[F.isnull(c) for c in values])
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, shards: int = SHARDS,
     block_words: int = BLOCK_WORDS, seed: str = "mix",
 ) -> DataFrame:
     """The pieces of the mix: what each row of ``docs`` gives to which shard.
 
-    doc_id, size, source_size, target, row_key (of the row of ``docs``), pass (0 for the first time), at and words
+    doc_id, size, source_size, target, row_key (of the row of ``docs``), row_hash, pass (0 for the first time), at and words
     (the words at .. at + words - 1 of the text, 0 words for a row that gives nothing), shard, place (the order in the
     shard).  Null and empty texts have size 0 and give nothing; null sources are one source, the last; rows
     with one doc_id are rows of their own.  An empty table gives no rows.
     """
-    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(
+        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), _row_hash().alias("row_hash")
+    )
     targets = source_targets(sized, weights, repeats)
     line = on_line(sized, targets, seed)
     whole = F.floor("target").cast("long")
@@ -245,6 +253,7 @@ def mix(
         "source_size",
         "target",
         F.struct("source_no", "_range", "_row").alias("row_key"),
+        "row_hash",
         F.col("_pass").alias("pass"),
         F.when(F.col("block").isNull(), 0).otherwise(start - F.col("_begin")).cast("long").alias("at"),
         F.when(F.col("block").isNull(), 0).otherwise(stop - start).cast("long").alias("words"),
@@ -273,10 +282,19 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: rows repeat as often as they are taken, the last time cut to the words taken.
 
-    Columns stay; ``doc_id`` names a document, so rows that share one are taken alike.
+    Columns stay.  Every row is taken for itself; rows of one doc_id, source and text share out what these are taken.
     """
-    per_doc = taken(docs, **options).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    joined = docs.join(per_doc.where("_taken > 0").withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    per_row = mix(docs, **options).groupBy("row_key", "row_hash", "size").agg(F.sum("words").alias("_taken"))
+    per_hash = per_row.groupBy(F.col("row_hash").alias("_row_hash"), F.col("size").alias("_size")).agg(
+        F.sort_array(F.collect_list("_taken"), asc=False).alias("_all")
+    )
+    hashed = docs.withColumn("_row_hash", _row_hash())
+    alike = Window.partitionBy("_row_hash").orderBy(F.xxhash64(*docs.columns))
+    joined = (
+        hashed.join(per_hash.where(F.col("_all")[0] > 0), "_row_hash")
+        .withColumn("_taken", F.col("_all")[F.row_number().over(alike) - 1])
+        .where("_taken > 0")
+    )
     times = F.ceil(F.col("_taken") / F.col("_size"))
     repeated = joined.withColumn("_words", F.explode(F.transform(
         F.sequence(F.lit(0).cast("long"), times - 1),

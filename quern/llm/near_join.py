@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import on_arrow, pieces, shuffle_parts, texts_of, written
@@ -84,13 +84,23 @@ def _labels(texts: Texts, n: int, trees: int, length: int) -> list[np.ndarray |
     return out
 
 
+def text_key(text: bytes) -> bytes:
+    """The words of a text as 16 bytes."""
+    return hashlib.blake2b(b" ".join(text.split()), digest_size=16).digest()
+
+
+def name_of(doc_id: int | None, key: bytes) -> bytes:
+    """A text's name; names are ordered by doc_id, those without last, then by text key."""
+    return (b"\1" + bytes(8) if doc_id is None else b"\0" + (doc_id + (1 << 63)).to_bytes(8, "big")) + key
+
+
 def _sign(n: int, trees: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
             for start, stop in pieces(np.array([len(t) for t in texts]), _PIECE_BYTES):
                 some = texts[start:stop]
-                keys = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in some]
+                keys = [text_key(t) for t in some]
                 first = {k: i for i, k in reversed(list(enumerate(keys)))}
                 distinct = list(first.values())
                 labels = dict(zip(distinct, _labels(Texts([some[i] for i in distinct]), n, trees, length)))
@@ -98,10 +108,12 @@ def _sign(n: int, trees: int, length: int):
                 columns = [
                     pa.array(doc_ids[start:stop], pa.int64()),
                     pa.array(keys, pa.binary()),
+                    pa.array([name_of(d, k) for d, k in zip(doc_ids[start:stop], keys)], pa.binary()),
+                    batch.column("row_hash").slice(start, stop - start),
                     pa.array([len(t) for t in some], pa.int64()),
                     pa.array(found, pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "size", "labels"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "name", "row_hash", "size", "labels"])
 
     return run
 
@@ -147,24 +159,25 @@ def _verify(n: int, threshold: tuple[int, int]):
 
         def done() -> pa.RecordBatch:
             order = sorted(range(len(docs)), key=lambda i: (sides[i], docs[i], texts[i]))
-            order = [i for at, i in enumerate(order) if not at or docs[order[at - 1]] != docs[i]]
+            order = [i for at, i in enumerate(order) if not at or docs[order[at - 1]] != docs[i]]  # dealt by several tasks
             split = sum(not sides[i] for i in order) if key[1] != key[2] else None
             links, root = verify([texts[i] for i in order], split, n, threshold)
-            names = np.array([docs[i] for i in order], np.int64)
-            least = np.full(len(order), np.iinfo(np.int64).max)
-            np.minimum.at(least, root, names)
+            names, least = [docs[i] for i in order], {}
+            for r, name in zip(root.tolist(), names):
+                least[r] = min(name, least.get(r, name))
+            met = [least[r] for r in root.tolist()]
             return pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(links), pa.array(least[root])], names=["doc_id", "links", "with_id"]
+                [pa.array(names, pa.binary()), pa.array(links), pa.array(met, pa.binary())], names=["node", "links", "with_node"]
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "first", "second", "doc_id", "side")]
-            for *here, doc_id, side, text in zip(*columns, texts_of(batch.column("text"))):
+            columns = [batch.column(c).to_pylist() for c in ("component", "first", "second", "node", "side")]
+            for *here, node, side, text in zip(*columns, texts_of(batch.column("text"))):
                 if key is not None and here != key:
                     yield done()
                     docs, texts, sides = [], [], []
                 key = here
-                docs.append(doc_id)
+                docs.append(node)
                 texts.append(text)
                 sides.append(side)
         if docs:
@@ -182,46 +195,78 @@ def jaccard_join(
     Texts of the same words are copies, ``copy_of`` their smallest doc_id.  ``n_links`` counts the other texts whose
     sets of ``n``-word runs have the Jaccard similarity ``threshold`` or more, copies once; ``class_id`` is the
     smallest doc_id among all that links connect.  Texts of fewer words are one run; null, empty and white
-    texts are copies of each other without links.  Rows without doc_id get the class of their text, null
-    if no row of it has one.  Rows that share a doc_id are one text, the least of them.  An empty table gives no rows.
+    texts are copies of each other without links.  Rows without doc_id are linked like others and get the class of
+    their text, null if no row of it has a doc_id.  Rows that share a doc_id are rows of their own.  An empty table gives no rows.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _joined(docs, n, threshold, trees, recall, block_texts, block_grams).select("doc_id", "copy_of", "class_id", "n_links")
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _joined(
+    docs: DataFrame, n: int = WORDS, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES,
+    recall: float = TARGET_RECALL, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS,
+) -> DataFrame:
+    """``jaccard_join`` with row_hash, name of the row's text and class_name, the least name of the class."""
+    source = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_hash(docs).alias("row_hash")
+    )
     length = prefix_length(threshold[0] / threshold[1], trees, LABEL_HASHES, recall)
-    signed = written(
-        on_arrow(source, _sign(n, trees, length), "doc_id long, text_key binary, size long, labels array<long>"), "signatures"
+    schema = "doc_id long, text_key binary, name binary, row_hash long, size long, labels array<long>"
+    signed = written(on_arrow(source, _sign(n, trees, length), schema), "signatures")
+    owners = signed.groupBy("text_key").agg(F.min(F.struct("name", "row_hash", "size", "doc_id")).alias("_least")).select(
+        "text_key", F.col("_least.name").alias("node"), "_least.row_hash", "_least.size", F.col("_least.doc_id").alias("copy_of")
     )
-    owners = signed.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("copy_of"))
-    texts = signed.join(owners.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi").where("labels is not null")
-    members = texts.select("doc_id", F.posexplode("labels").alias("tree", "label"))
-    nodes = members.groupBy("tree", "label").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last")
-    edges = members.join(nodes, ["tree", "label"]).select("u", F.col("doc_id").alias("v")).where("u <> v").distinct()
+    texts = signed.where("labels is not null").groupBy("text_key").agg(F.min("name").alias("node"), F.first("labels").alias("labels"))
+    members = texts.select("node", F.posexplode("labels").alias("tree", "label"))
+    nodes = members.groupBy("tree", "label").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last")
+    edges = members.join(nodes, ["tree", "label"]).select("u", F.col("node").alias("v")).where("u <> v").distinct()
     groups = written(components(written(edges, "forest-edges")), "groups")
-    blocks = _blocks(signed, groups, block_texts, block_grams)
+    blocks = _blocks(owners, groups, block_texts, block_grams)
     verified = written(_verified(source, blocks, n, threshold), "links")
-    joined = components(verified.where("doc_id <> with_id").select(F.col("doc_id").alias("u"), F.col("with_id").alias("v")))
-    links = verified.groupBy("doc_id").agg(F.sum("links").alias("n_links"))
+    joined = components(verified.where("node <> with_node").select(F.col("node").alias("u"), F.col("with_node").alias("v")))
+    links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = (
-        owners.join(links, owners["copy_of"] == links["doc_id"], "left").drop("doc_id")
-        .join(joined, F.col("copy_of") == F.col("node"), "left")
-        .select("text_key", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        owners.select("text_key", "node", "copy_of").join(links, "node", "left").join(joined, "node", "left")
+        .select("text_key", "copy_of", F.coalesce("component", "node").alias("class_name"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    return signed.select("doc_id", "text_key").join(classes, "text_key", "left").select(
-        "doc_id", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    # The number in a name is doc_id + 2^63, which flips the sign bit.
+    number = F.conv(F.hex(F.substring("class_name", 2, 8)), 16, -10).cast("long")
+    class_id = F.when(F.hex(F.substring("class_name", 1, 1)) == "00", number.bitwiseXOR(F.lit(-(1 << 63))))
+    return signed.select("doc_id", "text_key", "name", "row_hash").join(classes, "text_key", "left").select(
+        "doc_id", "copy_of", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "row_hash", "name", "class_name",
     )
 
 
-def _blocks(signed: DataFrame, groups: DataFrame, block_texts: int, block_grams: int) -> DataFrame:
-    """(node, component, block, blocks): the block of each text of a group, by a hash of its doc_id."""
-    sizes = signed.select(F.col("doc_id").alias("node"), "size").join(groups, "node")
+def _blocks(owners: DataFrame, groups: DataFrame, block_texts: int, block_grams: int) -> DataFrame:
+    """(row_hash, node, component, block, blocks): the block of each text of a group, by a hash of its name."""
+    sizes = owners.select("node", "row_hash", "size").join(groups, "node")
     totals = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), (F.sum("size") / 5).alias("grams"))
     blocks = F.greatest(F.ceil(F.col("texts") / block_texts), F.ceil(F.col("grams") / block_grams)).cast("int")
-    counted = groups.join(totals.select("component", blocks.alias("blocks")), "component")
+    counted = sizes.drop("size").join(totals.select("component", blocks.alias("blocks")), "component")
     return counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a group once a task, without rows that only share a hash with it."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for doc_id, node, text in zip(batch.column("doc_id").to_pylist(), batch.column("node").to_pylist(), texts_of(batch.column("text"))):
+            keep.append(node not in seen and name_of(doc_id, text_key(text)) == node)
+            if keep[-1]:
+                seen.add(node)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(source: DataFrame, blocks: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, links, with_id): of each text in each pair of blocks of its group."""
-    dealt = source.join(blocks, source["doc_id"] == blocks["node"])
+    """(node, links, with_node): of each text in each pair of blocks of its group."""
+    schema = "doc_id long, text string, node binary, component binary, block int, blocks int"
+    found = source.join(blocks, "row_hash").select("doc_id", "text", "node", "component", "block", "blocks")
+    dealt = on_arrow(found, _deal, schema)
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(
@@ -230,15 +275,27 @@ def _verified(source: DataFrame, blocks: DataFrame, n: int, threshold: tuple[int
             (F.col("block") > other).alias("side"),
         ),
     )
-    spread = dealt.select("doc_id", "text", "component", F.explode(pairs).alias("_pair")).select(
-        "component", "_pair.first", "_pair.second", "doc_id", "_pair.side", "text"
+    spread = dealt.select("node", "text", "component", F.explode(pairs).alias("_pair")).select(
+        "component", "_pair.first", "_pair.second", "node", "_pair.side", "text"
     )
     keys = ["component", "first", "second"]
     ready = spread.repartition(shuffle_parts(source), *keys).sortWithinPartitions(*keys)
-    return on_arrow(ready, _verify(n, threshold), "doc_id long, links long, with_id long")
+    return on_arrow(ready, _verify(n, threshold), "node binary, links long, with_node binary")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns; doc_id names a document."""
-    kept = jaccard_join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
+    """The rows of ``docs`` that stay, one of each class, with all their columns.
+
+    It is the row of the class's smallest doc_id, rows without doc_id last, then of the smallest text key; of rows
+    that share both, the least.
+    """
+    kept = _joined(docs, **options).where("name = class_name").groupBy("class_name").agg(
+        F.min("row_hash").alias("_hash"), F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_rows")
+    )
+    hashed = docs.withColumn("_hash", _row_hash(docs))
+    found = hashed.join(kept, (hashed["_hash"] == kept["_hash"]) & hashed["doc_id"].cast("long").eqNullSafe(F.col("_id")))
+    name = F.udf(lambda doc_id, text: name_of(doc_id, text_key((text or "").encode())), "binary")
+    sole = found.where("_rows = 1").select(*docs.columns)
+    # Of rows of one doc_id and the same words one is taken; they are few or alike, as a class has one such text.
+    several = found.where("_rows > 1").where(name(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("class_name"))
+    return sole.unionByName(several.groupBy("class_name").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))

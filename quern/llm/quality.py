@@ -265,6 +265,18 @@ _SCHEMA = (
 )
 
 
+def _verdicts(model: Model, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
+    """Counts, verdict and probability of texts start .. stop, piece by piece."""
+    for start, stop in pieces(np.array([len(t) for t in texts]), _PIECE_BYTES):
+        analysed = Texts(texts[start:stop])
+        counts = analysed.counts()
+        p = model.probability(analysed)
+        words = counts["n_words"]
+        failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
+        counts = {k: c.astype(np.int64) for k, c in counts.items()}
+        yield start, stop, {**counts, "base_failed": failed, "kept": ~failed & (p >= threshold), "probability": p}
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Counts, verdict and calibrated probability of every row of ``docs``.
 
@@ -276,17 +288,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for start, stop in pieces(np.array([len(t) for t in texts]), _PIECE_BYTES):
-                analysed = Texts(texts[start:stop])
-                counts = analysed.counts()
-                p = fitted.probability(analysed)
-                words = counts["n_words"]
-                failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
-                columns = [pa.array(c.astype(np.int64)) for c in counts.values()]
-                columns += [pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)]
-                names = ["doc_id", *counts, "base_failed", "kept", "probability"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), *columns], names=names)
+            for start, stop, verdicts in _verdicts(fitted, texts_of(batch.column("text")), threshold):
+                doc_ids = batch.column("doc_id").slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, verdicts.values())], names=["doc_id", *verdicts])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return on_arrow(source, run, _SCHEMA)
@@ -298,6 +302,12 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a kept verdict, with all their columns; doc_id names a document."""
-    kept = quality(docs, labels).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` with a kept verdict of their own, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [v["kept"] for _, _, v in _verdicts(shared.value, texts_of(batch.column("text")), THRESHOLD)]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else [], pa.bool_()))
+
+    return on_arrow(docs, run, docs.schema)

@@ -8,7 +8,7 @@ from test_near_join import plain as plain_near
 from test_quality import plain as plain_quality
 from tokenizers import Tokenizer
 
-from quern.llm import mixing, quality
+from quern.llm import mixing, near_join, quality
 from quern.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -59,3 +59,32 @@ def test_the_entry_module_has_every_numbered_query():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_decide_by_row_with_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in (5, 6)]
+    other = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, near[0]), (None, near[1]), (None, other[0]), (7, other[1]), (7, other[2]), (7, near[0] + " "), (9, other[3]),
+            (9, other[3]), (9, other[3] + " "), (None, None)]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    found = near_join.keep_one(docs).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in found if r.doc_id != 9) == sorted(
+        [(0, other[0]), (0, ""), (7, other[1]), (7, other[2]), (7, near[0] + " ")]
+    )
+    assert sum(r.doc_id == 9 for r in found) == 1 and len(found) == 6
+
+    want = Counter(r.taken for r in mixing.taken(docs).collect() if r.taken)
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        mixed[r.doc_id, r.text.split()[0]] += len(r.text.split())
+    assert sum(mixed.values()) == sum(t * n for t, n in want.items()) and len(mixed) >= 6
+
+    good = table(spark, FOLDER, "documents")
+    model = quality.quality(good, table(spark, FOLDER, "labels")).collect()
+    kept = next(r.doc_id for r in model if r.kept)
+    text = good.where(f"doc_id = {kept}").first().text
+    extra = spark.createDataFrame([(kept, "bad"), (None, "bad"), (None, text)], "doc_id long, text string")
+    both = good.select("doc_id", "text").unionByName(extra)
+    stay = quality.keep_good(both, table(spark, FOLDER, "labels").where(f"doc_id <> {kept}")).collect()
+    assert all(r.text != "bad" for r in stay) and sum(r.doc_id is None for r in stay) == sum(r.doc_id == kept for r in stay)
