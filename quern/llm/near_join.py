@@ -1,8 +1,7 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, whole sets of word n-grams decide.
+"""N-gram Jaccard join: MinHash banding proposes, whole sets of word n-grams decide.
 
-Every text gets one label of hashes per tree.  Labels that share a prefix lie in one subtree of the tree's
-trie; the prefix starts as long as the label and is shortened until a pair right at the threshold would meet
-in some tree with the target recall.  Subtrees give edges to their smallest member, and so groups
+Every text gets one number per band, of 6 hashes with the defaults: the most at which a pair right at the
+threshold meets in some of the 40 bands with the target recall.  Bands give edges to their smallest member, and so groups
 of texts that may be alike.  In each group, cut into blocks if it is large, all pairs are verified on their
 full sets inside the tasks, which report links per text and who belongs together, but no pairs.
 """
