@@ -4,7 +4,7 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from quern.session import session
 
@@ -33,8 +33,3 @@ def folder():
 def lines(spark):
     """A frame of text lines in a column ``value``."""
     return lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
-
-
-def values(df, *order):
-    """Rows as plain tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import values
+from rows import values
 from pyspark.sql import functions as F
 
 from quern.functions import scores as S

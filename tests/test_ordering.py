@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import values
+from rows import values
 from pyspark.sql import functions as F
 
 from quern.operators.ordering import previous_values, row_rank, running_total

@@ -2,7 +2,7 @@ import math
 import struct
 
 import pytest
-from conftest import values
+from rows import values
 
 from quern.operators import clustering, ratings
 from quern.sources.sinks import model_sink

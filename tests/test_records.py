@@ -1,7 +1,7 @@
 from bisect import bisect_left
 
 import pytest
-from conftest import values
+from rows import values
 from pyspark.sql import functions as F
 
 from quern.operators import records

@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from conftest import values
+from rows import values
 
 from quern.plans import registry
 from quern.operators.traces import TASK_SECONDS

@@ -1,6 +1,6 @@
 import random
 
-from conftest import values
+from rows import values
 
 from quern.operators import relations
 from quern.sources.text import edge_source, itemset_source

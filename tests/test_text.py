@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import values
+from rows import values
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
