@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, html_wrapper, mixing, near_join, packing, quality, secrets, substring_dedup, url_filter, wavelet
+from quern.llm import (
+    exact_dedup, html_wrapper, lexical_search, merkle, mixing, near_join, packing, pii, quality, secrets, substring_dedup, url_filter, wavelet,
+)
 from quern.llm.common import table
 
 
@@ -50,6 +52,18 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -61,10 +75,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_wrapper": op8_html_wrapper,
     "op9_packing": op9_packing,
     "op10_near_join": op10_near_join,
+    "op11_pii": op11_pii,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
