@@ -36,3 +36,24 @@ def parse_review(token: Column, require_underscore: bool = False, permissive: bo
         rater, rating = rater_text.cast("int"), rating_text.cast("int")
     review = F.struct(rater.alias("rater_id"), rating.alias("rating"))
     return F.when(at > 0, review) if require_underscore else review
+
+
+_NUMBER = r"^[+-]?[0-9]+$"
+
+
+def _is_number(text: Column, kind: str) -> Column:
+    """Whether a text is a whole number of the kind, without white space or fraction."""
+    return text.rlike(_NUMBER) & text.try_cast(kind).isNotNull()
+
+
+def line_fault(line: Column) -> Column:
+    """Why a whole line gives no reviews, else null."""
+    return F.when(~is_movie_line(line), "no movie").when(~_is_number(F.substring_index(line, ":", 1), "bigint"), "movie is no number")
+
+
+def review_fault(token: Column, require_rater: bool = False) -> Column:
+    """Why a token is no review, else null; the rater counts only where it is required."""
+    at = F.instr(token, "_")
+    rater = F.when(at == 0, "no rater").when(~_is_number(F.substr(token, F.lit(1), at - 1), "int"), "rater is no number")
+    rating = F.when(~_is_number(F.substr(token, at + 1), "int"), "rating is no number")
+    return F.coalesce(rater, rating) if require_rater else rating

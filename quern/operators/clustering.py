@@ -2,7 +2,8 @@
 
 The similarity of a movie and a centroid is taken over the raters they share.  Reviews are flat
 (movie_id, rater_id, rating); centroids are flat (k, rater_id, c_rating) with one rating per rater, for any number of clusters.
-A model is one row per centroid: k, similarity, movie_id, total, reviews as ``rater_rating,...``.
+A model has a row per block of a centroid's reviews: k, similarity, movie_id, total (of all blocks), start (reviews in the blocks
+before), reviews as ``rater_rating,...``.  No list is ever one value, so a centroid may hold a large share of all reviews.
 """
 
 from __future__ import annotations
@@ -11,21 +12,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.reviews import parse_review
+from quern.operators.ordering import row_rank
+from quern.operators.skew import checked_broadcast
 from quern.session import written
 
-MODEL_SCHEMA = "k int, similarity float, movie_id bigint, total int, reviews string"
+MODEL_SCHEMA = "k int, similarity float, movie_id bigint, total int, start int, reviews string"
+# Reviews of a centroid in one row of a model.
+MODEL_ROWS = 10_000
+
+
+def _numbers(model: DataFrame) -> DataFrame:
+    """(movie_id, k) -> number of each centroid by falling movie_id; one short row per centroid, without its reviews."""
+    heads = model.select("movie_id", "k").distinct()
+    return heads.withColumn("number", F.row_number().over(Window.orderBy(F.desc("movie_id"), "k")) - 1)
 
 
 def load_centroids(model: DataFrame) -> DataFrame:
     """Flat centroids of a model, numbered by falling movie_id.
 
     Slots with movie_id -1 are empty; only the first ``total`` reviews count, and the first of a
-    rater wins.
+    rater wins, over all blocks.
     """
     used = model.where(F.col("movie_id") != -1)
-    numbered = used.withColumn("k", F.row_number().over(Window.orderBy(F.desc("movie_id"), "k")) - 1)
+    numbered = used.join(checked_broadcast(_numbers(used)), ["movie_id", "k"]).withColumn("k", F.col("number"))
     tokens = F.array_remove(F.split("reviews", ","), "")
-    flat = numbered.select("k", "total", F.posexplode(tokens).alias("pos", "token")).where("pos < total")
+    flat = numbered.select("k", "total", "start", F.posexplode(tokens).alias("at", "token")).withColumn("pos", F.col("start") + F.col("at"))
+    flat = flat.where("pos < total")
     review = parse_review(F.col("token"))
     return (
         flat.select("k", "pos", review.alias("r"))
@@ -100,42 +112,65 @@ def cluster_winners(assigned: DataFrame) -> DataFrame:
     )
 
 
-def _with_reviews(winners: DataFrame, reviews: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Add total and the whole list of reviews, in ``order``, to one movie per cluster."""
-    token = F.when(F.col("rater_id").isNotNull(), F.concat_ws("_", "rater_id", "rating"))
-    placed = F.when(token.isNotNull(), F.struct(*order, token.alias("_token")))
-    return (
-        reviews.join(winners, "movie_id")
-        .groupBy(F.col("cluster").alias("k"), "similarity", "movie_id", "members")
-        .agg(F.array_sort(F.collect_list(placed)).alias("_tokens"))
-        .select(
-            "k", "similarity", "movie_id", F.size("_tokens").alias("total"),
-            F.concat_ws(",", F.col("_tokens._token")).alias("reviews"), "members",
-        )
+def _with_reviews(winners: DataFrame, reviews: DataFrame, order: tuple[str, ...], block_rows: int) -> DataFrame:
+    """The model rows of one movie per cluster: its reviews in ``order``, ``block_rows`` to a row.
+
+    The winners' reviews are written once, with a number that tells equal ones apart, and ranked over ranges of
+    their order; only the reviews of one block meet.
+    """
+    token = F.concat_ws("_", "rater_id", "rating")
+    own = winners.select("movie_id", F.col("cluster").alias("k"))
+    listed = written(
+        reviews.where(F.col("rater_id").isNotNull())
+        .join(checked_broadcast(own), "movie_id")
+        .select("k", *order, token.alias("token"), F.monotonically_increasing_id().alias("row")),
+        "model-reviews",
+    )
+    place = F.col("place") - 1
+    blocks = (
+        row_rank(listed, "place", ["k"], [*order, "row"])
+        .groupBy("k", (place - place % block_rows).cast("int").alias("start"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("tokens"))
+        .select("k", "start", F.concat_ws(",", F.col("tokens.token")).alias("reviews"))
+    )
+    totals = listed.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("total"))
+    heads = winners.withColumnRenamed("cluster", "k").join(totals, "k", "left")
+    # A movie without reviews is one empty row.
+    return blocks.join(checked_broadcast(heads), "k", "right").select(
+        "k", "similarity", "movie_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("start", F.lit(0)).alias("start"),
+        F.coalesce("reviews", F.lit("")).alias("reviews"), "members",
     )
 
 
-def kmeans_update(assigned: DataFrame, reviews: DataFrame, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+def kmeans_update(
+    assigned: DataFrame, reviews: DataFrame, order: tuple[str, ...] = ("pos",), block_rows: int = MODEL_ROWS
+) -> DataFrame:
     """New model: each cluster's winner with its reviews in ``order``."""
-    return _with_reviews(cluster_winners(assigned), reviews, order)
+    return _with_reviews(written(cluster_winners(assigned), "winners"), reviews, order, block_rows)
 
 
-def initial_model(reviews: DataFrame, movie_ids: list[int], order: tuple[str, ...] = ("pos",)) -> DataFrame:
+def initial_model(
+    reviews: DataFrame, movie_ids: list[int], order: tuple[str, ...] = ("pos",), block_rows: int = MODEL_ROWS
+) -> DataFrame:
     """A first model from chosen movies."""
     rows = [(k, 0, m, 0.0) for k, m in enumerate(sorted(movie_ids, reverse=True))]
     schema = "cluster int, members bigint, movie_id bigint, similarity float"
     chosen = reviews.sparkSession.createDataFrame(rows, schema)
-    return _with_reviews(chosen, reviews, order).drop("members")
+    found = _with_reviews(chosen, reviews, order, block_rows)
+    # A chosen movie that the reviews do not have is no centroid.
+    known = reviews.join(F.broadcast(chosen.select("movie_id")), "movie_id", "left_semi").select("movie_id").distinct()
+    return found.join(known, "movie_id", "left_semi").select(*[c for c in found.columns if c != "members"])
 
 
 def kmeans_update_lines(assigned: DataFrame, movies: DataFrame) -> DataFrame:
-    """``kmeans_update`` for movies that still have their line."""
+    """``kmeans_update`` for movies that still have their line, which stays one block."""
     body = F.substr(F.col("line"), F.instr("line", ":") + 1)
     return movies.join(cluster_winners(assigned), "movie_id").select(
         F.col("cluster").alias("k"),
         "similarity",
         "movie_id",
         F.size(F.array_remove(F.split(body, ","), "")).alias("total"),
+        F.lit(0).alias("start"),
         body.alias("reviews"),
         "members",
     )
@@ -149,7 +184,7 @@ def _centroids_of(winners: DataFrame, reviews: DataFrame, order: tuple[str, ...]
 
 
 def kmeans_iterate(
-    reviews: DataFrame, model: DataFrame, max_iter: int = 10, order: tuple[str, ...] = ("pos",)
+    reviews: DataFrame, model: DataFrame, max_iter: int = 10, order: tuple[str, ...] = ("pos",), block_rows: int = MODEL_ROWS
 ) -> DataFrame:
     """Assign and update until the centroid movies stay the same or ``max_iter`` passes are done: the model and ``settled``.
 
@@ -157,7 +192,7 @@ def kmeans_iterate(
     differ comes back to the driver.  A cluster without members is missing from the next model.
     """
     reviews = written(reviews.select("movie_id", "rater_id", "rating", *[c for c in order if c not in ("movie_id", "rater_id", "rating")]), "reviews")
-    centroids, movies, settled = load_centroids(model), model.where("movie_id <> -1").select("movie_id"), False
+    centroids, movies, settled = load_centroids(model), model.where("movie_id <> -1").select("movie_id").distinct(), False
     winners = None
     for _ in range(max_iter):
         assigned = written(kmeans_assign(reviews, centroids), "assigned")
@@ -167,5 +202,5 @@ def kmeans_iterate(
         if settled:
             break
         centroids, movies = _centroids_of(winners, reviews, order), found
-    final = _with_reviews(winners, reviews, order).drop("members") if winners is not None else model
+    final = _with_reviews(winners, reviews, order, block_rows).drop("members") if winners is not None else model
     return final.withColumn("settled", F.lit(settled))

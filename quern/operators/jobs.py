@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import scores as S
-from quern.functions.numeric import round2
+from quern.functions.numeric import exact_sum, round2
 from quern.operators.ordering import running_total
 from quern.operators.skew import join_totals
 
@@ -72,13 +72,14 @@ def backlog(
 
 
 def summarise_utilities(jobs: DataFrame, partition: tuple[str, ...] = SNAPSHOT) -> DataFrame:
-    """Least and total of both utilities per snapshot."""
-    return jobs.groupBy(*partition).agg(
-        round2(F.min("utility")).alias("min_utility"),
-        round2(F.sum("utility")).alias("total_utility"),
-        round2(F.min("utility_readable")).alias("min_readable"),
-        round2(F.sum("utility_readable")).alias("total_readable"),
+    """Least and total of both utilities per snapshot; the totals are exact and so the same for rows in any order."""
+    found = jobs.groupBy(*partition).agg(
+        F.min("utility").alias("min_utility"),
+        exact_sum(F.col("utility")).alias("total_utility"),
+        F.min("utility_readable").alias("min_readable"),
+        exact_sum(F.col("utility_readable")).alias("total_readable"),
     )
+    return found.select(*partition, *[round2(F.col(c)).alias(c) for c in found.columns if c not in partition])
 
 
 def backlog_edf(jobs: DataFrame, partition: tuple[str, ...] = SNAPSHOT, **options) -> DataFrame:

@@ -73,10 +73,14 @@ def blocks_over(group: str) -> str:
     return f"ceil(count(*) over (partition by {group}) / {float(Q.LIST_ROWS)})::bigint"
 
 
+def round2(x: str) -> str:
+    """Two places of the exact binary value, ties to even, as printing gives them."""
+    return f"(cast(printf('%.2f', {x}) as double) + 0.0)"
+
+
 SUMMARY = """
-    select snapshot_id, round_even(min(u), 2) as min_utility, round_even(sum(u), 2) as total_utility,
-           round_even(min(r), 2) as min_readable, round_even(sum(r), 2) as total_readable
-    from scored group by snapshot_id"""
+    select snapshot_id, {0} as min_utility, {1} as total_utility, {2} as min_readable, {3} as total_readable
+    from scored group by snapshot_id""".format(*[round2(x) for x in ("min(u)", "fsum(u)", "min(r)", "fsum(r)")])
 
 
 def backlog(rank: str, source: str = "job_snapshots") -> dict[str, str]:
@@ -133,9 +137,10 @@ def review_lists(winners: str, suffix: str = "") -> dict[str, str]:
                    row_number() over (partition by cluster order by rater_id, rating) as place
             from ratings join {winners} w using (movie_id)""",
         f"model{suffix}": f"""
-            select cluster as k, similarity, movie_id, cast(count(*) as int) as total,
+            select cluster as k, similarity, movie_id, total, cast((place - 1) // {Q.MODEL_ROWS} * {Q.MODEL_ROWS} as int) as start,
                    string_agg(token, ',' order by place) as reviews, any_value(members) as members
-            from kept{suffix} group by cluster, similarity, movie_id""",
+            from (select *, cast(count(*) over (partition by cluster) as int) as total from kept{suffix})
+            group by cluster, similarity, movie_id, total, start""",
         f"centroids{suffix}": f"""
             select cast(dense_rank() over (order by movie_id desc) - 1 as int) as k, rater_id, c_rating from (
                 select movie_id, rater_id, arg_min(rating, place) as c_rating from kept{suffix} group by 1, 2)""",
@@ -222,6 +227,27 @@ EVENT_BURSTS = """
                     from task_events))
         group by {keys} burst)"""
 
+REVIEW_FAULTS = {
+    "lined": r"""
+        select value, case when strpos(value, ':') <= 1 then 'no movie'
+                           when not regexp_full_match(split_part(value, ':', 1), '[+-]?[0-9]+') then 'movie is no number' end as line_reason
+        from mixed_lines""",
+    "listed": """
+        select split_part(value, ':', 1) as movie, cast(unnest(range(len(parts))) as int) as pos, unnest(parts) as token
+        from (select value, string_split(split_part(value, ':', 2), ',') as parts from lined where line_reason is null)""",
+    "judged": r"""
+        select *, case when not contains(token, '_') then 'no rater'
+                       when not regexp_full_match(split_part(token, '_', 1), '[+-]?[0-9]+') then 'rater is no number'
+                       when not regexp_full_match(split_part(token, '_', 2), '[+-]?[0-9]+') or try_cast(split_part(token, '_', 2) as int) is null
+                           then 'rating is no number' end as reason
+        from listed""",
+}
+
+EDGE_COUNTS = f"""
+    select count(*) as lines, count(*) filter (contains(line, ',')) as edges, count(*) filter (not contains(line, ',')) as malformed,
+           count(*) filter (contains(line, ',')) as written
+    from ({LINES})"""
+
 ESTIMATE = "cast(m + (10 - m % 10) as double)"
 
 
@@ -264,12 +290,23 @@ ORACLES: dict[str, str] = {
         from (select value, i, split_part(split_part(value, ':', 2), ',', cast(i as int)) as t from movie_lines, range(1, 4) r(i))
         where contains(t, '_')""",
     ),
+    "bad_rows": with_views(
+        ["mixed_lines"],
+        "select movie, pos, token, reason from judged where reason is not null union all select null, null, value, line_reason from lined where line_reason is not null",
+        REVIEW_FAULTS,
+    ),
+    "good_rows": with_views(
+        ["mixed_lines"],
+        """
+        select cast(movie as bigint) as movie_id, pos, cast(split_part(token, '_', 1) as int) as rater_id, cast(split_part(token, '_', 2) as int) as rating
+        from judged where reason is null""",
+        REVIEW_FAULTS,
+    ),
     "edge_source": f"""
         select array_to_string(parts[:len(parts) - 1], ',') as src, parts[len(parts)] as dst
         from (select string_split(line, ',') as parts from ({LINES})) where len(parts) > 1""",
-    "malformed_edges": f"""
-        select count(*) as lines, count(*) filter (contains(line, ',')) as edges, count(*) filter (not contains(line, ',')) as malformed
-        from ({LINES})""",
+    "malformed_edges": EDGE_COUNTS,
+    "stream_malformed_edges": EDGE_COUNTS,
     "itemset_source": f"""
         select array_to_string(parts[:len(parts) - 1], ',') as prefix, parts[len(parts)] as item
         from (select string_split(line, ',') as parts from ({LINES})) where len(parts) > 1""",
@@ -315,12 +352,12 @@ ORACLES: dict[str, str] = {
     ),
     "kmeans_update": with_views(
         ["ratings", "centroids"],
-        "select k, round(cast(similarity as double), 5) as similarity, movie_id, total, reviews, members from model",
+        "select k, round(cast(similarity as double), 5) as similarity, movie_id, total, start, reviews, members from model",
         {**assign("centroids"), **{k if k != "centroids" else "next_centroids": v for k, v in update().items()}},
     ),
     "kmeans_iterate": with_views(
         ["ratings"],
-        f"select k, round(cast(similarity as double), 5) as similarity, movie_id, total, reviews, settled from {LAST_MODEL}, settled",
+        f"select k, round(cast(similarity as double), 5) as similarity, movie_id, total, start, reviews, settled from {LAST_MODEL}, settled",
         PASSES,
     ),
     "kmeans_members": with_views(
@@ -384,15 +421,15 @@ ORACLES: dict[str, str] = {
     ),
     "exec_time": with_views(
         ["job_runs"],
-        """
+        f"""
         select job_id, cast(case when finish_ms is null then 0
-               else round_even(cast(cast((finish_ms - launch_ms) / 1000.0::double as varchar) as decimal(38, 16)), 2) end as double) as exec_time from job_runs""",
+               else {round2('(finish_ms - launch_ms) / 1000.0::double')} end as double) as exec_time from job_runs""",
     ),
     "latency": with_views(
         ["job_runs"],
-        """
+        f"""
         select job_id, cast(case when finish_ms is null then 0
-               else round_even(cast(cast((finish_ms - launch_ms) / 1000.0::double - deadline as varchar) as decimal(38, 16)), 2) end as double) as latency from job_runs""",
+               else {round2('(finish_ms - launch_ms) / 1000.0::double - deadline')} end as double) as latency from job_runs""",
     ),
     "task_time_estimate": with_views(
         ["task_events", "planned_jobs"],

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from quern.functions import scores as S
 from quern.functions.text import tokens
 from quern.operators import clustering, jobs, ratings, records, relations, text, traces
-from quern.operators.counters import counted
+from quern.operators.counters import StreamCounters, counted
 from quern.plans.views import FIRST_CENTROIDS, table, view
 from quern.session import shared_dir
 from quern.sources import jobs as job_sources
 from quern.sources import sinks
 from quern.sources import text as text_sources
+from quern.sources.quarantine import Split, split_reviews
 from quern.streaming import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Most passes of the k-means query, documents in a block of the inverted list, and sizes of the sort queries.
 KMEANS_PASSES = 6
 LIST_ROWS = 200
+# Reviews in a row of a model; few, so that the centroids of small tables have several rows.
+MODEL_ROWS = 10
 SORT_PARTS = 16
 SPLIT_SAMPLE = 2_000
 REVIEW_ORDER = ("rater_id", "rating")
@@ -77,6 +80,20 @@ def parse_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.where(F.col("rater_id").isNotNull())
 
 
+def _split(spark: SparkSession, sf_dir: str) -> Split:
+    return split_reviews(view(spark, sf_dir, "mixed_lines"), f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}", require_rater=True)
+
+
+def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed lines and reviews with the reason."""
+    return _split(spark, sf_dir).bad
+
+
+def good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews beside the malformed ones."""
+    return _split(spark, sf_dir).good
+
+
 def edge_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_sources.edge_source(_document_lines(spark, sf_dir), "line")
 
@@ -110,9 +127,12 @@ def histogram_movies_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.histogram_movies_nested(text_sources.movie_source(view(spark, sf_dir, "movie_lines")))
 
 
+def _first_model(reviews: DataFrame) -> DataFrame:
+    return clustering.initial_model(reviews, list(FIRST_CENTROIDS), REVIEW_ORDER, MODEL_ROWS)
+
+
 def load_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = clustering.initial_model(view(spark, sf_dir, "ratings"), list(FIRST_CENTROIDS), REVIEW_ORDER)
-    return clustering.load_centroids(model)
+    return clustering.load_centroids(_first_model(view(spark, sf_dir, "ratings")))
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,14 +153,13 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updated = clustering.kmeans_update(_assigned(spark, sf_dir), view(spark, sf_dir, "ratings"), REVIEW_ORDER)
+    updated = clustering.kmeans_update(_assigned(spark, sf_dir), view(spark, sf_dir, "ratings"), REVIEW_ORDER, MODEL_ROWS)
     return updated.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
 def kmeans_iterate(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = view(spark, sf_dir, "ratings")
-    model = clustering.initial_model(reviews, list(FIRST_CENTROIDS), REVIEW_ORDER)
-    final = clustering.kmeans_iterate(reviews, model, KMEANS_PASSES, REVIEW_ORDER)
+    final = clustering.kmeans_iterate(reviews, _first_model(reviews), KMEANS_PASSES, REVIEW_ORDER, MODEL_ROWS)
     return final.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
@@ -153,22 +172,38 @@ def kmeans_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classification by a model that was written as text and read back."""
+    """Classification by a model of several lines a centroid that was written as text and read back."""
     reviews = view(spark, sf_dir, "ratings")
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    sinks.model_sink(clustering.initial_model(reviews, list(FIRST_CENTROIDS), REVIEW_ORDER), path)
+    sinks.model_sink(_first_model(reviews), path)
     return clustering.classify(reviews, clustering.load_centroids(text_sources.centroid_source(spark, path)))
 
 
 def malformed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges read and lines without comma, counted while the lines are read once."""
-    lines = _document_lines(spark, sf_dir)
-    seen, lines_read = counted(lines, "lines")
+    """Edges written as lines, and lines without comma: counted by the job that writes, which reads its input once."""
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    seen, lines_read = counted(_document_lines(spark, sf_dir), "lines")
     edges, edges_read = counted(text_sources.edge_source(seen, "line"), "edges")
-    edges.write.format("noop").mode("overwrite").save()
-    found = (lines_read.get["lines"], edges_read.get["edges"])
-    schema = "lines bigint, edges bigint, malformed bigint"
-    return spark.createDataFrame([(*found, found[0] - found[1])], schema)
+    sinks.kv_text_sink(edges, path, ("src",), ("dst",))
+    return _edge_counts(spark, lines_read.get["lines"], edges_read.get["edges"], spark.read.text(path))
+
+
+def stream_malformed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a stream: its progress reports bring the counts of each trigger."""
+    rows, progress = _run_folders(spark, "edges")
+    raw = spark.readStream.schema(_documents(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parque[t]")
+    edges = text_sources.edge_source(text.text_lines(raw).observe("lines", F.count(F.lit(1)).alias("n")), "line")
+    with StreamCounters(spark) as counters:
+        writer = edges.observe("edges", F.count(F.lit(1)).alias("n")).writeStream.option("checkpointLocation", progress)
+        query = writer.trigger(availableNow=True).start(rows, format="parquet")
+        query.awaitTermination()
+        found = counters.totals(query)
+    return _edge_counts(spark, found["lines"], found["edges"], spark.read.schema("src string, dst string").parquet(rows))
+
+
+def _edge_counts(spark: SparkSession, lines: int, edges: int, written: DataFrame) -> DataFrame:
+    counts = [F.lit(n).cast("bigint").alias(c) for c, n in (("lines", lines), ("edges", edges), ("malformed", lines - edges))]
+    return written.agg(F.count(F.lit(1)).alias("written")).select(*counts, "written")
 
 
 def kv_text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,16 +403,14 @@ def stream_task_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = view(spark, sf_dir, "planned_jobs").withColumnRenamed("job_id", "_job")
     events = _event_stream(spark, sf_dir)
     joined = events.join(planned, F.col("job_id") == F.col("_job")).drop("_job")
-    result = tasks.stream_task_estimate(joined, F.max("map_prior"), F.max("red_prior"))
-    tasks.update_into(result, rows, progress).awaitTermination()
-    return tasks.latest(spark.read.parquet(rows))
+    tasks.stream_task_totals(joined, rows, progress).awaitTermination()
+    return tasks.task_estimates(tasks.total_levels(rows).result(spark))
 
 
 def stream_update_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, progress = _run_folders(spark, "bursts")
     tasks.stream_update_bursts(_event_stream(spark, sf_dir), rows, progress, keys=("job_id",), gap="1 hour").awaitTermination()
-    parts = spark.read.parquet(rows).drop("batch")
-    return _in_micros(traces.merge_bursts(parts, ("job_id",)))
+    return _in_micros(tasks.burst_levels(rows, ("job_id",)).result(spark))
 
 
 QUERIES: dict[str, Query] = {
@@ -392,6 +425,8 @@ QUERIES: dict[str, Query] = {
         term_vector,
         movie_source,
         parse_reviews,
+        bad_rows,
+        good_rows,
         edge_source,
         itemset_source,
         tera_source,
@@ -409,6 +444,7 @@ QUERIES: dict[str, Query] = {
         kmeans_members,
         classify_by_file,
         malformed_edges,
+        stream_malformed_edges,
         kv_text_sink,
         job_result_sink,
         self_join,

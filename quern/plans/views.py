@@ -69,6 +69,15 @@ VIEWS = {
                       cast(l_linenumber as varchar(20)), ',', cast(l_orderkey % 977 as varchar(20)), '_',
                       cast(cast(l_quantity as int) as varchar(20)), ',', cast(l_linenumber as varchar(20))) as value
         from {lineitem}""",
+    "mixed_lines": """
+        select case when l_orderkey % 29 = 0 then concat(cast(l_partkey as varchar(20)), ' no colon')
+                    when l_orderkey % 31 = 0 then ':1_2'
+                    else concat(case when l_orderkey % 37 = 0 then 'm' else '' end, cast(l_partkey as varchar(20)), ':',
+                                cast(l_suppkey as varchar(20)), '_', case when l_linenumber = 3 then '4.5' else cast(l_linenumber as varchar(20)) end, ',',
+                                case when l_orderkey % 11 = 0 then 'r' else '' end, cast(l_orderkey % 977 as varchar(20)), '_',
+                                case when l_linenumber = 2 then ' 3' else cast(cast(l_quantity as int) as varchar(20)) end, ',',
+                                case when l_orderkey % 7 = 0 then '99999999999' else cast(l_linenumber as varchar(20)) end) end as value
+        from {lineitem}""",
     "profile_lines": """
         select concat(cast(100 + o_orderkey % 90 as varchar(20)), ' ', cast(10 + o_orderkey % 11 as varchar(20)), ' ',
                       cast(200 + o_orderkey % 997 as varchar(20)), '.5 ', cast(o_orderkey % 10007 as varchar(20)), '.25 ',

@@ -49,5 +49,9 @@ def job_profile_sink(profiles: DataFrame, path: str) -> None:
 
 
 def model_sink(model: DataFrame, path: str) -> None:
-    """``k<TAB>similarity movie total reviews``, the layout ``centroid_source`` reads."""
-    kv_text_sink(model, path, ("k",), ("similarity", "movie_id", "total", "reviews"))
+    """``k<TAB>similarity movie total reviews``, the layout ``centroid_source`` reads.
+
+    A line per block; those after a centroid's first have their start before the reviews.
+    """
+    placed = model.withColumn("list", F.when(F.col("start") > 0, F.concat_ws(" ", "start", "reviews")).otherwise(F.col("reviews")))
+    kv_text_sink(placed, path, ("k",), ("similarity", "movie_id", "total", "list"))

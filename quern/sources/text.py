@@ -67,8 +67,13 @@ def read_tera(spark: SparkSession, path: str) -> DataFrame:
 
 
 def centroid_source(spark: SparkSession, path: str) -> DataFrame:
-    """Model rows of ``k similarity movie_id total rater_rating,...`` with any white space between."""
+    """Model rows of ``k similarity movie_id total rater_rating,...`` with any white space between.
+
+    A further block of a centroid's reviews is a line of its own with the reviews before it in front of its list:
+    ``k similarity movie_id total start rater_rating,...``.  Lines may come in any order, from any number of files.
+    """
     part = F.split(F.trim("value"), "\\s+")
+    further = F.size(part) > 5
     return (
         spark.read.text(path)
         .where(F.trim("value") != "")
@@ -77,6 +82,7 @@ def centroid_source(spark: SparkSession, path: str) -> DataFrame:
             part[1].cast("float").alias("similarity"),
             part[2].cast("bigint").alias("movie_id"),
             part[3].cast("int").alias("total"),
-            F.coalesce(F.get(part, F.lit(4)), F.lit("")).alias("reviews"),
+            F.when(further, part[4].cast("int")).otherwise(0).alias("start"),
+            F.coalesce(F.get(part, F.when(further, 5).otherwise(4)), F.lit("")).alias("reviews"),
         )
     )

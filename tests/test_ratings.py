@@ -2,9 +2,10 @@ import math
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 from rows import values
 
-from quern.operators import clustering, ratings
+from quern.operators import clustering, ordering, ratings
 from quern.sources.sinks import model_sink
 from quern.sources.text import centroid_source, movie_source
 
@@ -34,7 +35,8 @@ def test_bins_are_upper_edges(spark, lines, nested):
 
 
 def model(spark, *rows):
-    return spark.createDataFrame([(k, 0.0, m, t, r) for k, m, t, r in rows], clustering.MODEL_SCHEMA)
+    """Rows (k, movie, total, reviews), or with the reviews before them (k, movie, total, start, reviews)."""
+    return spark.createDataFrame([(r[0], 0.0, r[1], r[2], r[3] if len(r) > 4 else 0, r[-1]) for r in rows], clustering.MODEL_SCHEMA)
 
 
 def test_centroids_are_numbered_capped_and_without_repeats(spark):
@@ -109,6 +111,41 @@ def test_model_file_round_trip(spark, folder):
     assert values(centroid_source(spark, folder + "/model")) == values(df)
 
 
+def test_blocks_of_a_centroid_are_one_list(spark):
+    """Blocks in any order; the first review of a rater over all blocks wins, and none past the total counts."""
+    df = model(spark, (1, 7, 5, 3, "3_1,1_9,4_4"), (0, 7, 1, "9_9"), (1, 7, 5, 0, "1_1,2_2,1_3"), (0, 9, 2, "5_5,6_6"))
+    assert values(clustering.load_centroids(df)) == [(0, 5, 5), (0, 6, 6), (1, 9, 9), (2, 1, 1), (2, 2, 2), (2, 3, 1)]
+
+
+def test_model_file_of_blocks_and_of_one_line(spark, folder, lines):
+    df = model(spark, (0, 30, 5, "1_4,2_1"), (0, 30, 5, 2, "7,8_1"), (0, 30, 5, 4, "9_1"), (1, 20, 0, ""))
+    model_sink(df, folder + "/model")
+    assert values(centroid_source(spark, folder + "/model")) == values(df)
+    lines("0\t0.5 30 2 1_4,2_1", "", "1 0.25\t20 0", "2 0 11 1 5").write.text(folder + "/old")
+    found = centroid_source(spark, folder + "/old")
+    assert values(found) == [(0, 0.5, 30, 2, 0, "1_4,2_1"), (1, 0.25, 20, 0, 0, ""), (2, 0.0, 11, 1, 0, "5")]
+
+
+def test_a_movie_with_a_third_of_all_reviews_is_spread(spark, folder):
+    """The winners' reviews come in blocks in order, and no task of the ranked rows holds more than twice the median."""
+    hot = [(1, i, i % 5000, 1 + i % 5) for i in range(12_000)]
+    rows = hot + [(2 + i % 400, i, i % 300, 1 + i % 5) for i in range(24_000)]
+    reviews = spark.createDataFrame(rows, REVIEWS)
+    assigned = spark.createDataFrame([(1, 0, 0.5), (2, 1, 0.5), (3, 2, 0.25)], "movie_id bigint, cluster int, similarity float")
+    order = ("rater_id", "pos", "rating")
+    made = clustering.kmeans_update(assigned, reviews, order, block_rows=100)
+    found = made.withColumn("part", F.spark_partition_id()).collect()
+    for k, movie in ((0, 1), (1, 2), (2, 3)):
+        blocks = sorted((r.start, r.reviews) for r in found if r.k == k)
+        wanted = [f"{r}_{v}" for r, _, v in sorted((r, p, v) for m, p, r, v in rows if m == movie)]
+        assert ",".join(t for _, t in blocks) == ",".join(wanted)
+        assert all(len(t.split(",")) <= 100 and s % 100 == 0 for s, t in blocks)
+        assert {r.total for r in found if r.k == k} == {len(wanted)}
+    made = ordering.in_order(reviews.where("movie_id = 1").withColumn("k", F.lit(0)), ["k"], ["rater_id", "pos"])
+    sizes = sorted(r["count"] for r in made.frame.groupBy("_bucket").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 def plain_step(reviews, model):
     """One assign and update in plain Python; reviews and model are {movie: {rater: rating}} with single precision."""
     f32 = lambda x: struct.unpack("f", struct.pack("f", x))[0]

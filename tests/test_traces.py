@@ -85,9 +85,9 @@ def test_stream_bursts_equal_batch_bursts(spark, folder, files):
     df.repartition(files, F.md5(F.col("ts").cast("string"))).write.parquet(folder + "/events")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 7).parquet(folder + "/events")
     tasks.stream_update_bursts(stream, folder + "/out", folder + "/progress", keys=("job_id",)).awaitTermination()
-    parts = spark.read.parquet(folder + "/out").drop("batch")
-    batch = values(traces.update_bursts(df, ("job_id",)))
-    assert values(traces.merge_bursts(parts, ("job_id",))) == batch
+    levels = tasks.burst_levels(folder + "/out", ("job_id",))
+    parts, batch = levels.open_parts(spark), values(traces.update_bursts(df, ("job_id",)))
+    assert values(levels.result(spark)) == values(traces.merge_bursts(parts, ("job_id",))) == batch
     assert values(traces.merge_bursts(parts, ("job_id",), ranges=40)) == batch
     assert sum(r[-1] for r in batch) == len(rows)
 
