@@ -29,8 +29,9 @@ def one(df, column):
 
 
 def test_round2_ties_go_to_even(spark):
-    df = spark.createDataFrame([(2.125,), (2.375,), (-0.005,)], "x double")
-    assert [r[0] for r in df.select(round2(F.col("x"))).collect()] == [2.12, 2.38, 0.0]
+    # The double -0.005 lies below its decimal and is no tie; -0.125 is one.
+    df = spark.createDataFrame([(2.125,), (2.375,), (-0.005,), (-0.125,)], "x double")
+    assert [r[0] for r in df.select(round2(F.col("x"))).collect()] == [2.12, 2.38, -0.01, -0.12]
 
 
 def test_utilities(spark):
