@@ -60,7 +60,7 @@ def test_inverted_utility(spark):
 def test_times_of_unfinished_jobs_are_zero(spark):
     df = spark.createDataFrame([(1000.0, 13345.0, 10.0), (0.0, None, 10.0)], "launch_ms double, finish_ms double, deadline double")
     found = jobs.finished_times(df).select("exec_time", "latency")
-    assert values(found) == [(0.0, 0.0), (12.34, 2.35)]  # 12.345 - 10 is just above 2.345
+    assert values(found) == [(0.0, 0.0), (12.35, 2.35)]  # the doubles of 12.345 and 12.345 - 10 are just above their decimals
 
 
 EVENTS = "job_id long, is_map boolean, succeeded boolean, run_time double"
