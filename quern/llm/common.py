@@ -11,7 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.session import shared_dir
 
@@ -33,6 +35,31 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+ROW_TYPE = "struct<file:string,row:long>"
+
+
+def private_name(docs: DataFrame, wanted: str = "_row") -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted in taken:
+        wanted += "_"
+    return wanted
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """The frame with a column of ``ROW_TYPE`` that tells its rows apart, the same each time it is read.
+
+    Rows of Parquet files are named by file and place; any other frame is written once, with numbers.
+    """
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select("*", F.struct(F.md5("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+        except AnalysisException:
+            pass
+    number = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return written(docs.withColumn(name, number), "rows")
+
+
 @lru_cache
 def _archive(application: str) -> str:
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

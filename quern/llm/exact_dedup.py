@@ -15,16 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, on_arrow, shuffle_parts, texts_of, written
+from quern.llm.common import ROW_TYPE, SPACES, on_arrow, private_name, shuffle_parts, texts_of, with_row_key, written
 
 # Bytes of edges that a map task's trie holds before it spills a subtree.
 TRIE_BYTES = 48 << 20
 _OUT_BYTES = 8 << 20
 _ENTRY = pa.schema(
     [("doc_id", pa.int64()), ("length", pa.int64()), ("hash", pa.int64()), ("sha", pa.binary()),
-     ("text", pa.binary()), ("keep_id", pa.int64()), ("copies", pa.int64())]
+     ("text", pa.binary()), ("keep_id", pa.int64()), ("copies", pa.int64()),
+     ("row", pa.struct([("file", pa.string()), ("row", pa.int64())]))]
 )
-_ENTRY_SQL = "doc_id long, length long, hash long, sha binary, text binary, keep_id long, copies long"
+_ENTRY_SQL = f"doc_id long, length long, hash long, sha binary, text binary, keep_id long, copies long, row {ROW_TYPE}"
 
 
 class _Node:
@@ -124,7 +125,7 @@ def _entries(id_column: str, text_column: str, trie_bytes: int, bits: int) -> Ca
     def owners(found: Iterator) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for text, least, copies in found:
-            rows.append((None, *key_of(text, bits), text, least, copies))
+            rows.append((None, *key_of(text, bits), text, least, copies, None))
             size += len(text)
             if size > _OUT_BYTES:
                 yield _batch(rows)
@@ -136,10 +137,11 @@ def _entries(id_column: str, text_column: str, trie_bytes: int, bits: int) -> Ca
         trie = PatriciaTrie()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(id_column).to_pylist(), texts_of(batch.column(text_column))):
+            keys = batch.column("row").to_pylist()
+            for doc_id, text, key in zip(batch.column(id_column).to_pylist(), texts_of(batch.column(text_column)), keys):
                 text = normalise(text)
                 trie.insert(text, doc_id)
-                rows.append((doc_id, *key_of(text, bits), None, None, None))
+                rows.append((doc_id, *key_of(text, bits), None, None, None, key))
             if rows:
                 yield _batch(rows)
             while trie.held > trie_bytes:
@@ -173,6 +175,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
 
 
+def _owned(source: DataFrame, trie_bytes: int = TRIE_BYTES, hash_bits: int = 64) -> DataFrame:
+    """(doc_id, row, length, sha, keep_id, copies) of rows (doc_id, text, row); ``row`` is carried along."""
+    entries = written(on_arrow(source, _entries("doc_id", "text", trie_bytes, hash_bits), _ENTRY_SQL), "exact-dedup")
+    dealt = (
+        entries.where("copies is not null")
+        .select("length", "hash", "text", "keep_id", "copies")
+        .repartition(shuffle_parts(source), "length", "hash")
+        .sortWithinPartitions("length", "hash")
+    )
+    owners = on_arrow(dealt, _merge, "length long, sha binary, keep_id long, copies long")
+    return entries.where("copies is null").select("doc_id", "row", "length", "sha").join(owners, ["length", "sha"])
+
+
 def exact_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     trie_bytes: int = TRIE_BYTES, hash_bits: int = 64,
@@ -184,17 +199,10 @@ def exact_duplicates(
     owner's identifier is kept as well.  A null identifier is larger than any other: such rows
     are dropped unless all rows of their text lack one, and then all of them are kept.  An empty table gives no rows; other columns are not read.
     """
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    entries = written(on_arrow(source, _entries("doc_id", "text", trie_bytes, hash_bits), _ENTRY_SQL), "exact-dedup")
-    dealt = (
-        entries.where("copies is not null")
-        .select("length", "hash", "text", "keep_id", "copies")
-        .repartition(shuffle_parts(docs), "length", "hash")
-        .sortWithinPartitions("length", "hash")
+    source = docs.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.lit(None).cast(ROW_TYPE).alias("row")
     )
-    owners = on_arrow(dealt, _merge, "length long, sha binary, keep_id long, copies long")
-    members = entries.where("copies is null").select("doc_id", "length", "sha")
-    return members.join(owners, ["length", "sha"]).select(
+    return _owned(source, trie_bytes, hash_bits).select(
         "doc_id",
         "keep_id",
         F.col("copies").alias("group_size"),
@@ -204,9 +212,19 @@ def exact_duplicates(
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, one for each text, with all their columns."""
-    owners = exact_duplicates(docs, id_column, text_column).where("kept").select(F.col("keep_id").alias("_keep"))
-    return docs.join(owners.distinct(), docs[id_column].eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows of ``docs`` that are kept, exactly one for each text, with all their columns.
+
+    It is the row of the owner's identifier; of several rows with it the first by file and place.  Rows are told apart by
+    their own keys, so rows that share an identifier, or lack one, are judged by their text alone.
+    """
+    name = private_name(docs)
+    keyed = with_row_key(docs, name)
+    source = keyed.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), F.col(name).alias("row")
+    )
+    own = _owned(source).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = own.groupBy("length", "sha").agg(F.min("row").alias(name)).select(name)
+    return keyed.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -3,8 +3,8 @@
 The documents of a source lie on one line of words in a hashed order, cut into blocks.  A source's
 target gives its quota of blocks (the line starts again at its end, so a target above the source's size repeats it).
 The quotas of all sources are split in two halves of equal size again and again, each time with the
-hypergeometric law of drawing without replacement, down to the output shards; a shard then takes the
-next blocks of each source's line and orders what it took by a hash.  DataFrame functions only.
+hypergeometric law of drawing without replacement, down to the output shards.  The blocks of a source are permuted by a hash; a
+shard draws the next ones of each source and orders what it drew by a hash.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,11 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import private_name, with_row_key, written
+from quern.operators.ordering import row_rank, running_total
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 16_384
-SHARDS = 64
+# Words of an output shard, about, and levels of the tree that one row is split by at once.
+SHARD_WORDS = 1 << 24
+_LEVELS_AT_ONCE = 5
+# Parts of a shard's order that are written apart.
+_SLICES = 8
 _HASHES = 1 << 60
 
 
@@ -62,35 +69,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
 
 
 def on_line(sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """Give each row its place on its source's line: ``line_at``, the words of the rows before it.
+    """Give each row (doc_id, source, size, row) its place on its source's line: ``line_at``, the words of the rows before it.
 
-    A source is cut into about sqrt(rows) ranges of the hash, so that a hot one has many tasks; the ranges'
-    totals carry over.
+    The order is that of a hash of doc_id; rows of one doc_id are next to each other, cut into ranges as all rows are.
     """
-    hashed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    parts = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("rows").cast("double"))))
-    placed = hashed.withColumn("_hash", _hash(seed, F.col("doc_id"))).withColumn(
-        "_range", F.floor(F.col("_hash") / F.lit(float(_HASHES)) * parts).cast("long")
-    )
-    carried = (
-        placed.groupBy("source_no", "_range")
-        .agg(F.sum("size").alias("_words"))
-        .withColumn(
-            "_carried",
-            F.coalesce(
-                F.sum("_words").over(
-                    Window.partitionBy("source_no").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .select("source_no", "_range", "_carried")
-    )
-    inside = Window.partitionBy("source_no", "_range").orderBy("_hash", "doc_id", "size")
-    ranked = placed.withColumn("_row", F.row_number().over(inside)).withColumn(
-        "_inside", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hashed = (
+        sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+        .withColumn("_hash", _hash(seed, F.col("doc_id")))
+        .withColumn("_file", F.col("row.file"))
+        .withColumn("_in_file", F.col("row.row"))
     )
-    return ranked.join(carried, ["source_no", "_range"]).withColumn("line_at", F.col("_carried") + F.col("_inside"))
+    line = running_total(hashed, F.col("size"), "_end", ["source_no"], ["_hash", "doc_id", "size", "_file", "_in_file"])
+    return line.withColumn("line_at", F.col("_end") - F.col("size")).drop("_hash", "_file", "_in_file", "_end")
 
 
 def _hypergeometric(population: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
@@ -174,15 +164,19 @@ def _halves(node: Column, quotas: Column, seed: str) -> Column:
     return F.aggregate(quotas, first, step)["left"]
 
 
-def shard_blocks(targets: DataFrame, shards: int, block_words: int, seed: str) -> DataFrame:
-    """(source_no, block, shard): the output shard of every block that the mix takes."""
+def shards_for(targets: DataFrame, shard_words: int = SHARD_WORDS) -> int:
+    """The number of shards, a power of two, for what all targets take."""
+    words = targets.agg(F.sum(F.floor("target"))).first()[0] or 0
+    return 1 << max(0, (-(-words // shard_words) - 1).bit_length())
+
+
+def shard_quotas(targets: DataFrame, shards: int, block_words: int, seed: str) -> DataFrame:
+    """(shard, source_no, blocks): the leaves of the splitting tree."""
     levels = shards.bit_length() - 1
     if shards != 1 << levels:
         raise ValueError("the number of shards is a power of two")
     quota = F.ceil(F.floor("target") / block_words).cast("long")
-    everything = targets.agg(
-        F.sort_array(F.collect_list(F.struct("source_no", quota.alias("quota")))).alias("_all")
-    )
+    everything = targets.agg(F.sort_array(F.collect_list(F.struct("source_no", quota.alias("quota")))).alias("_all"))
 
     def split(node: Column) -> Column:
         def both(left: Column) -> Column:
@@ -196,40 +190,67 @@ def shard_blocks(targets: DataFrame, shards: int, block_words: int, seed: str) -
 
         return _let(_halves(node["node"], node["quotas"], seed), both)
 
-    root = F.array(F.struct(F.lit(1).cast("long").alias("node"), F.col("_all.quota").alias("quotas")))
-    leaves = F.aggregate(F.array_repeat(F.lit(0), levels), root, lambda nodes, _: F.flatten(F.transform(nodes, split)))
-    nodes = everything.select(F.explode(leaves).alias("_node")).select("_node.node", "_node.quotas")
-    per_shard = nodes.select((F.col("node") - shards).alias("shard"), F.posexplode("quotas").alias("_at", "blocks"))
-    line = Window.partitionBy("_at").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = per_shard.withColumn("_first", F.coalesce(F.sum("blocks").over(line), F.lit(0))).where("blocks > 0")
-    return first.select(
-        F.col("_at").cast("long").alias("source_no"),
-        F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("blocks") - 1)).alias("block"),
-        "shard",
+    nodes = everything.select(F.lit(1).cast("long").alias("node"), F.col("_all.quota").alias("quotas"))
+    while levels:
+        some = min(levels, _LEVELS_AT_ONCE)
+        levels -= some
+        own = F.array(F.struct("node", "quotas"))
+        below = F.aggregate(F.array_repeat(F.lit(0), some), own, lambda found, _: F.flatten(F.transform(found, split)))
+        nodes = nodes.select(F.explode(below).alias("_node")).select("_node.node", "_node.quotas")
+        if levels:
+            # Subtrees are dealt out before they are split further.
+            nodes = nodes.repartition("node")
+    return nodes.select((F.col("node") - shards).alias("shard"), F.posexplode("quotas").alias("_no", "blocks")).select(
+        "shard", F.col("_no").cast("long").alias("source_no"), "blocks"
     )
 
 
-def _row_hash() -> Column:
-    """A hash of what a row gives to the mix; rows without a value differ from those with one."""
-    values = [F.col(c) for c in ("doc_id", "source", "text")]
-    return F.xxhash64(*values, *[F.isnull(c) for c in values])
+def shard_blocks(targets: DataFrame, shards: int, block_words: int, seed: str) -> DataFrame:
+    """(source_no, block, shard): the output shard of every block that the mix takes.
+
+    A source's blocks are put in the order of a hash, and each shard draws as many of the next ones as its leaf of the tree says.
+    """
+    line = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = (
+        shard_quotas(targets, shards, block_words, seed)
+        .withColumn("_first", F.coalesce(F.sum("blocks").over(line), F.lit(0)))
+        .where("blocks > 0")
+        .select("source_no", "shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("blocks") - 1)).alias("draw"))
+        .withColumn("_hash", _hash(f"{seed} block", F.col("source_no"), F.col("draw")))
+    )
+    # The draws of a source are as many as its blocks; the block of a draw is the draw's rank by hash.
+    ranked = row_rank(written(drawn, "mix-draws"), "_rank", ["source_no"], ["_hash", "draw"])
+    return ranked.select("source_no", (F.col("_rank") - 1).alias("block"), "shard")
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, shards: int = SHARDS,
-    block_words: int = BLOCK_WORDS, seed: str = "mix",
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, shards: int | None = None,
+    block_words: int = BLOCK_WORDS, seed: str = "mix", shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """The pieces of the mix: what each row of ``docs`` gives to which shard.
 
-    doc_id, size, source_size, target, row_key (of the row of ``docs``), row_hash, pass (0 for the first time), at and words
+    doc_id, size, source_size, target, row (the key of the row of ``docs``), pass (0 for the first time), at and words
     (the words at .. at + words - 1 of the text, 0 words for a row that gives nothing), shard, place (the order in the
     shard).  Null and empty texts have size 0 and give nothing; null sources are one source, the last; rows
-    with one doc_id are rows of their own.  An empty table gives no rows.
+    with one doc_id are rows of their own.  An empty table gives no rows.  Without ``shards`` there are as many as the words to take fill.
     """
-    sized = docs.select(
-        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), _row_hash().alias("row_hash")
+    name = private_name(docs)
+    return _mix(with_row_key(docs, name), name, weights, repeats, shards, block_words, seed, shard_words)
+
+
+def _mix(
+    keyed: DataFrame, name: str, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, shards: int | None = None,
+    block_words: int = BLOCK_WORDS, seed: str = "mix", shard_words: int = SHARD_WORDS,
+) -> DataFrame:
+    # The texts are read once; what follows works on their sizes.
+    sized = written(
+        keyed.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+            F.col(name).alias("row"),
+        ),
+        "mix-sizes",
     )
-    targets = source_targets(sized, weights, repeats)
+    targets = written(source_targets(sized, weights, repeats), "mix-targets")
     line = on_line(sized, targets, seed)
     whole = F.floor("target").cast("long")
     begin = F.col("line_at") + F.col("_pass") * F.col("source_size")
@@ -247,16 +268,18 @@ def mix(
     cut = passed.withColumn("block", F.explode_outer(blocks))
     start = F.greatest(F.col("_begin"), F.col("block") * block_words)
     stop = F.least(F.col("_end"), (F.col("block") + 1) * block_words)
-    return cut.join(shard_blocks(targets, shards, block_words, seed), ["source_no", "block"], "left").select(
+    drawn = shard_blocks(targets, shards or shards_for(targets, shard_words), block_words, seed)
+    # A piece counts because a shard has drawn its block.
+    given = F.col("shard").isNotNull()
+    return cut.join(drawn, ["source_no", "block"], "left").select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        F.struct("source_no", "_range", "_row").alias("row_key"),
-        "row_hash",
+        "row",
         F.col("_pass").alias("pass"),
-        F.when(F.col("block").isNull(), 0).otherwise(start - F.col("_begin")).cast("long").alias("at"),
-        F.when(F.col("block").isNull(), 0).otherwise(stop - start).cast("long").alias("words"),
+        F.when(given, start - F.col("_begin")).otherwise(0).cast("long").alias("at"),
+        F.when(given, stop - start).otherwise(0).cast("long").alias("words"),
         "shard",
         _hash(f"{seed} place", F.col("doc_id"), F.col("_pass"), F.col("block")).alias("place"),
     )
@@ -264,12 +287,12 @@ def mix(
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (those that hold a piece) of every row of ``docs``."""
-    keys = ["row_key", "doc_id", "size", "source_size", "target"]
+    keys = ["row", "doc_id", "size", "source_size", "target"]
     return (
         mix(docs, **options)
         .groupBy(*keys)
         .agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
-        .drop("row_key")
+        .drop("row")
     )
 
 
@@ -280,28 +303,29 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: rows repeat as often as they are taken, the last time cut to the words taken.
+    """``docs`` as the shards draw them: rows repeat as often as they are taken, the last time cut to the words taken.
 
-    Columns stay.  Every row is taken for itself; rows of one doc_id, source and text share out what these are taken.
+    Columns stay.  Every row is taken for itself, rows of one doc_id or text too.  A text that several shards drew from goes whole to that of
+    its first words; rows lie in files by shard and, within it, in the drawn order.
     """
-    per_row = mix(docs, **options).groupBy("row_key", "row_hash", "size").agg(F.sum("words").alias("_taken"))
-    per_hash = per_row.groupBy(F.col("row_hash").alias("_row_hash"), F.col("size").alias("_size")).agg(
-        F.sort_array(F.collect_list("_taken"), asc=False).alias("_all")
+    name = private_name(docs)
+    keyed = with_row_key(docs, name)
+    found = _mix(keyed, name, **options).where("words > 0").groupBy("row", "pass").agg(
+        F.sum("words").alias("words"), F.min_by(F.struct("shard", "place"), "at").alias("first"), F.first("size").alias("size")
     )
-    hashed = docs.withColumn("_row_hash", _row_hash())
-    alike = Window.partitionBy("_row_hash").orderBy(F.xxhash64(*docs.columns))
-    joined = (
-        hashed.join(per_hash.where(F.col("_all")[0] > 0), "_row_hash")
-        .withColumn("_taken", F.col("_all")[F.row_number().over(alike) - 1])
-        .where("_taken > 0")
+    taken_name = private_name(docs, "_taken")
+    times = F.collect_list(F.struct("words", "size", F.col("first.shard").alias("shard"), F.col("first.place").alias("place")))
+    per_row = found.groupBy(F.col("row").alias(name)).agg(times.alias(taken_name))
+    met = keyed.join(per_row, name).withColumn(taken_name, F.explode(taken_name))
+    one = F.col(taken_name)
+    text = F.when(one["words"] < one["size"], first_words(F.col("text"), one["words"])).otherwise(F.col("text"))
+    part = [one["shard"], F.floor(one["place"] / F.lit(float(_HASHES)) * _SLICES)]
+    return (
+        met.withColumn("text", text)
+        .repartition(*part)
+        .sortWithinPartitions(*part, one["place"])
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
-    times = F.ceil(F.col("_taken") / F.col("_size"))
-    repeated = joined.withColumn("_words", F.explode(F.transform(
-        F.sequence(F.lit(0).cast("long"), times - 1),
-        lambda i: F.least(F.col("_size"), F.col("_taken") - i * F.col("_size")),
-    )))
-    text = F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
-    return repeated.withColumn("text", text).select(*docs.columns)
 
 
 def _oracle() -> str:

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import on_arrow, pieces, shuffle_parts, texts_of, written
+from quern.llm.common import ROW_TYPE, on_arrow, pieces, private_name, shuffle_parts, texts_of, with_row_key, written
 from quern.llm.components import components
 from quern.llm.quality import Texts
 
@@ -108,11 +108,11 @@ def _sign(n: int, trees: int, length: int):
                     pa.array(doc_ids[start:stop], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array([name_of(d, k) for d, k in zip(doc_ids[start:stop], keys)], pa.binary()),
-                    batch.column("row_hash").slice(start, stop - start),
+                    batch.column("row").slice(start, stop - start),
                     pa.array([len(t) for t in some], pa.int64()),
                     pa.array(found, pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "name", "row_hash", "size", "labels"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "name", "row", "size", "labels"])
 
     return run
 
@@ -197,26 +197,25 @@ def jaccard_join(
     texts are copies of each other without links.  Rows without doc_id are linked like others and get the class of
     their text, null if no row of it has a doc_id.  Rows that share a doc_id are rows of their own.  An empty table gives no rows.
     """
-    return _joined(docs, n, threshold, trees, recall, block_texts, block_grams).select("doc_id", "copy_of", "class_id", "n_links")
+    name = private_name(docs)
+    found = _joined(_keyed_source(with_row_key(docs, name), name), n, threshold, trees, recall, block_texts, block_grams)
+    return found.select("doc_id", "copy_of", "class_id", "n_links")
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _keyed_source(keyed: DataFrame, name: str) -> DataFrame:
+    return keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(name).alias("row"))
 
 
 def _joined(
     docs: DataFrame, n: int = WORDS, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES,
     recall: float = TARGET_RECALL, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS,
 ) -> DataFrame:
-    """``jaccard_join`` with row_hash, name of the row's text and class_name, the least name of the class."""
-    source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_hash(docs).alias("row_hash")
-    )
+    """``jaccard_join`` of rows (doc_id, text, row) with row, name of the row's text and class_name, the least name of the class."""
     length = prefix_length(threshold[0] / threshold[1], trees, LABEL_HASHES, recall)
-    schema = "doc_id long, text_key binary, name binary, row_hash long, size long, labels array<long>"
-    signed = written(on_arrow(source, _sign(n, trees, length), schema), "signatures")
-    owners = signed.groupBy("text_key").agg(F.min(F.struct("name", "row_hash", "size", "doc_id")).alias("_least")).select(
-        "text_key", F.col("_least.name").alias("node"), "_least.row_hash", "_least.size", F.col("_least.doc_id").alias("copy_of")
+    schema = f"doc_id long, text_key binary, name binary, row {ROW_TYPE}, size long, labels array<long>"
+    signed = written(on_arrow(docs, _sign(n, trees, length), schema), "signatures")
+    owners = signed.groupBy("text_key").agg(F.min(F.struct("name", "row", "size", "doc_id")).alias("_least")).select(
+        "text_key", F.col("_least.name").alias("node"), "_least.row", "_least.size", F.col("_least.doc_id").alias("copy_of")
     )
     texts = signed.where("labels is not null").groupBy("text_key").agg(F.min("name").alias("node"), F.first("labels").alias("labels"))
     members = texts.select("node", F.posexplode("labels").alias("tree", "label"))
@@ -224,7 +223,7 @@ def _joined(
     edges = members.join(nodes, ["tree", "label"]).select("u", F.col("node").alias("v")).where("u <> v").distinct()
     groups = written(components(written(edges, "forest-edges")), "groups")
     blocks = _blocks(owners, groups, block_texts, block_grams)
-    verified = written(_verified(source, blocks, n, threshold), "links")
+    verified = written(_verified(docs, blocks, n, threshold), "links")
     joined = components(verified.where("node <> with_node").select(F.col("node").alias("u"), F.col("with_node").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = (
@@ -234,38 +233,24 @@ def _joined(
     # The number in a name is doc_id + 2^63, which flips the sign bit.
     number = F.conv(F.hex(F.substring("class_name", 2, 8)), 16, -10).cast("long")
     class_id = F.when(F.hex(F.substring("class_name", 1, 1)) == "00", number.bitwiseXOR(F.lit(-(1 << 63))))
-    return signed.select("doc_id", "text_key", "name", "row_hash").join(classes, "text_key", "left").select(
+    return signed.select("doc_id", "text_key", "name", "row").join(classes, "text_key", "left").select(
         "doc_id", "copy_of", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        "row_hash", "name", "class_name",
+        "row", "name", "class_name",
     )
 
 
 def _blocks(owners: DataFrame, groups: DataFrame, block_texts: int, block_grams: int) -> DataFrame:
-    """(row_hash, node, component, block, blocks): the block of each text of a group, by a hash of its name."""
-    sizes = owners.select("node", "row_hash", "size").join(groups, "node")
+    """(row, node, component, block, blocks): the block of each text of a group, by a hash of its name."""
+    sizes = owners.select("node", "row", "size").join(groups, "node")
     totals = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), (F.sum("size") / 5).alias("grams"))
     blocks = F.greatest(F.ceil(F.col("texts") / block_texts), F.ceil(F.col("grams") / block_grams)).cast("int")
     counted = sizes.drop("size").join(totals.select("component", blocks.alias("blocks")), "component")
     return counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text of a group once a task, without rows that only share a hash with it."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for doc_id, node, text in zip(batch.column("doc_id").to_pylist(), batch.column("node").to_pylist(), texts_of(batch.column("text"))):
-            keep.append(node not in seen and name_of(doc_id, text_key(text)) == node)
-            if keep[-1]:
-                seen.add(node)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def _verified(source: DataFrame, blocks: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(node, links, with_node): of each text in each pair of blocks of its group."""
-    schema = "doc_id long, text string, node binary, component binary, block int, blocks int"
-    found = source.join(blocks, "row_hash").select("doc_id", "text", "node", "component", "block", "blocks")
-    dealt = on_arrow(found, _deal, schema)
+    dealt = source.join(blocks, "row")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(
@@ -286,15 +271,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns.
 
     It is the row of the class's smallest doc_id, rows without doc_id last, then of the smallest text key; of rows
-    that share both, the least.
+    that share both, the first by file and place.
     """
-    kept = _joined(docs, **options).where("name = class_name").groupBy("class_name").agg(
-        F.min("row_hash").alias("_hash"), F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_rows")
-    )
-    hashed = docs.withColumn("_hash", _row_hash(docs))
-    found = hashed.join(kept, (hashed["_hash"] == kept["_hash"]) & hashed["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    name = F.udf(lambda doc_id, text: name_of(doc_id, text_key((text or "").encode())), "binary")
-    sole = found.where("_rows = 1").select(*docs.columns)
-    # Of rows of one doc_id and the same words one is taken; they are few or alike, as a class has one such text.
-    several = found.where("_rows > 1").where(name(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("class_name"))
-    return sole.unionByName(several.groupBy("class_name").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    name = private_name(docs)
+    keyed = with_row_key(docs, name)
+    found = _joined(_keyed_source(keyed, name), **options)
+    kept = found.where("name = class_name").groupBy("class_name").agg(F.min("row").alias(name)).select(name)
+    return keyed.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

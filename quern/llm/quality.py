@@ -223,7 +223,10 @@ def train(
         .orderBy(order, "doc_id", "label")
         .limit(sample_rows)
     )
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row for each labelled doc_id, however many documents have it, so that the sample bounds what reaches the driver.
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    texts = met.groupBy("doc_id", "label").agg(least)
     schema = "doc_id long, label int, places binary, parts binary"
     rows = on_arrow(texts.select("doc_id", "label", "text"), _rows_of_features(bits), schema).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["places"]))

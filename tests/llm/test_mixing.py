@@ -58,6 +58,53 @@ def test_pieces_fill_blocks_of_shards(spark):
     assert max(share) - min(share) <= 1
 
 
+def test_shards_draw_permuted_blocks_by_the_quotas_of_the_tree(spark):
+    rows = [(i, "abc"[i % 3], 1 + i * 37 % 90) for i in range(400)]
+    sized = frame(spark, rows).select("source", mixing.word_count(F.col("text")).alias("size"))
+    targets = mixing.source_targets(sized)
+    quotas = {(q.shard, q.source_no): q.blocks for q in mixing.shard_quotas(targets, 64, 20, "mix").collect()}
+    blocks = mixing.shard_blocks(targets, 64, 20, "mix").collect()
+    drawn = {}
+    for b in blocks:
+        drawn[b.shard, b.source_no] = drawn.get((b.shard, b.source_no), 0) + 1
+    assert drawn == {k: n for k, n in quotas.items() if n} and len({k for k, _ in quotas}) == 64
+    per_source = {}
+    for b in blocks:
+        per_source.setdefault(b.source_no, []).append((b.block, b.shard))
+    want = {t.source_no: -(-int(t.target) // 20) for t in targets.collect()}
+    for no, found in per_source.items():
+        assert sorted(b for b, _ in found) == list(range(want[no]))
+        shards = [s for _, s in sorted(found)]
+        assert shards != sorted(shards)
+    # The whole tree splits alike, however many levels a step takes.
+    before, mixing._LEVELS_AT_ONCE = mixing._LEVELS_AT_ONCE, 2
+    try:
+        again = {(q.shard, q.source_no): q.blocks for q in mixing.shard_quotas(targets, 64, 20, "mix").collect()}
+    finally:
+        mixing._LEVELS_AT_ONCE = before
+    assert again == quotas
+
+
+def test_without_the_tree_nothing_is_taken(spark, monkeypatch):
+    nothing = lambda targets, *_: targets.select("source_no", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("shard")).where("false")
+    monkeypatch.setattr(mixing, "shard_blocks", nothing)
+    assert {r.taken for r in mixing.taken(frame(spark, [(1, "a", 10), (2, "b", 100)])).collect()} == {0}
+
+
+def test_mixed_documents_with_repeated_ids_and_clashing_columns(spark):
+    rows = [(7, "one two three", "a"), (7, "four five", "a"), (None, "six", "b"), (None, "six", "b"), (8, None, None), (9, "seven", None)]
+    schema = "doc_id long, text string, source string, _row int, _taken string, size int, more map<string,int>"
+    docs = spark.createDataFrame([(*r, 1, "x", 2, {"a": 1}) for r in rows], schema)
+    words = {}
+    found = mixing.mixed_documents(docs, block_words=2)
+    assert found.columns == docs.columns
+    for r in found.collect():
+        words[r.doc_id, r.text.split()[0]] = words.get((r.doc_id, r.text.split()[0]), 0) + len(r.text.split())
+        assert r.more == {"a": 1} and r._row == 1
+    want = sorted(r.taken for r in mixing.taken(docs.select("doc_id", "text", "source"), block_words=2).collect() if r.taken)
+    assert sum(words.values()) == sum(want)
+
+
 @pytest.mark.parametrize("population,marked,drawn", [(20, 7, 9), (10, 10, 4), (6, 0, 3), (5, 3, 5), (1000, 400, 500)])
 def test_hypergeometric_law(spark, population, marked, drawn):
     long = lambda v: F.lit(v).cast("long")

@@ -8,7 +8,7 @@ from test_near_join import plain as plain_near
 from test_quality import plain as plain_quality
 from tokenizers import Tokenizer
 
-from quern.llm import mixing, near_join, quality
+from quern.llm import exact_dedup, mixing, near_join, quality
 from quern.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,7 +57,7 @@ def test_the_entry_module_has_every_numbered_query():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
@@ -88,3 +88,19 @@ def test_stages_decide_by_row_with_null_and_repeated_ids(spark):
     both = good.select("doc_id", "text").unionByName(extra)
     stay = quality.keep_good(both, table(spark, FOLDER, "labels").where(f"doc_id <> {kept}")).collect()
     assert all(r.text != "bad" for r in stay) and sum(r.doc_id is None for r in stay) == sum(r.doc_id == kept for r in stay)
+
+
+def test_rows_are_judged_by_their_own_keys_with_clashing_columns(spark):
+    """Shared and missing ids with other texts, helper names as columns, and a map column."""
+    schema = "doc_id long, text string, source string, _row int, _keep int, class_name string, file string, name string, row int, more map<string,int>"
+    long = [" ".join(f"{c}{i}" for i in range(40)) for c in "ABC"]
+    rows = [(3, long[0]), (5, long[0]), (5, long[1]), (None, long[0]), (None, long[2]), (None, long[2]), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "s", 1, 2, "c", "f", "n", 3, {"k": i}) for i, (d, t) in enumerate(rows)], schema)
+    for keep in (exact_dedup.drop_duplicates, near_join.keep_one):
+        found = keep(docs)
+        assert found.columns == docs.columns
+        kept = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+        assert kept == sorted([(3, long[0]), (5, long[1]), (None, long[2]), (6, "")], key=repr)
+        assert keep(docs.where("false")).collect() == []
+    stay = quality.keep_good(docs, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
+    assert stay.columns == docs.columns and all(r.text for r in stay.collect())
