@@ -182,17 +182,40 @@ def update_bursts(
     """(burst_start, burst_end, changes): events of one group with no more than ``gap_seconds`` between.
 
     The same bursts as ``session_window`` makes, for groups of any size.  Events at one moment are
-    counted together first; a burst starts where the moment before is too far back, and is numbered by a running count of such starts.
+    counted together first.  Each range of a group finds its own bursts; only the first and the last of a range can go on in
+    the ranges around it, so one small row per range tells which of these are one.
     """
     keys = list(partition)
-    moments = events.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n"))
-    near = in_order(moments, keys, [ts], ranges).previous({"_last": ts})
     gap = F.make_dt_interval(secs=F.lit(gap_seconds))
-    starts = F.when(F.col("_last").isNull() | (F.col(ts) > F.col("_last") + gap), 1).otherwise(0)
-    numbered = near.total(starts, "_burst").rows()
+    moments = events.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy("_group", "_bucket").orderBy(ts)
+    before = F.lag(ts).over(inside)
+    starts = F.when(before.isNull() | (F.col(ts) > before + gap), 1).otherwise(0)
+    parts = (
+        in_order(moments, keys, [ts], ranges).frame.withColumn("_starts", starts)
+        .withColumn("_place", F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy(*keys, "_group", "_bucket", "_place")
+        .agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.sum("n").alias("n"))
+    )
+    along = Window.partitionBy("_group").orderBy("_bucket")
+    last = F.lag("_last").over(along)
+    borders = (
+        parts.groupBy("_group", "_bucket")
+        .agg(F.min("_from").alias("_first"), F.max("_to").alias("_last"), F.max("_place").alias("_count"))
+        .withColumn("_apart", F.when(last.isNull() | (F.col("_first") > last + gap), 1).otherwise(0))
+        .withColumn("_split", F.when(F.col("_count") > 1, 1).otherwise(0))
+        # Numbers of the bursts at borders: one more where the next range begins apart, and one more within a range of several.
+        .withColumn("_tail", F.sum(F.col("_apart") + F.col("_split")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .select("_group", "_bucket", "_count", "_tail", (F.col("_tail") - F.col("_split")).alias("_head"))
+    )
+    number = F.when(F.col("_place") == 1, F.struct(F.lit(-1).alias("_bucket"), F.col("_head").alias("_number"))).when(
+        F.col("_place") == F.col("_count"), F.struct(F.lit(-1).alias("_bucket"), F.col("_tail").alias("_number"))
+    )
+    own = F.struct(F.col("_bucket"), F.col("_place").alias("_number"))
     return (
-        numbered.groupBy(*keys, "_burst")
-        .agg(F.min(ts).alias("burst_start"), (F.max(ts) + gap).alias("burst_end"), F.sum("n").alias("changes"))
+        parts.join(borders, ["_group", "_bucket"])
+        .groupBy(*keys, F.coalesce(number, own).alias("_burst"))
+        .agg(F.min("_from").alias("burst_start"), (F.max("_to") + gap).alias("burst_end"), F.sum("n").alias("changes"))
         .drop("_burst")
     )
 

@@ -75,6 +75,21 @@ def test_bursts_end_after_a_quiet_gap(spark, ranges):
     assert found == [(*moments(0.0, 1.9), 3), (*moments(3.0, 4.0), 1)]
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7, 60])
+def test_bursts_over_ranges_are_those_of_one_pass(spark, ranges):
+    """Bursts within a range, over two and over many, with groups of one event and of many."""
+    random.seed(ranges)
+    rows = [(g, random.choice((0, 20, 40, 300)) + random.randrange(6) * (1 + g)) for g in range(4) for _ in range(40)]
+    rows += [(4, i) for i in range(60)] + [(5, 7)]
+    df = spark.createDataFrame([(g, MOMENT + dt.timedelta(seconds=s)) for g, s in rows], "g int, ts timestamp")
+    plain = []
+    for g in range(6):
+        at = sorted(s for h, s in rows if h == g)
+        cuts = [0, *(i for i in range(1, len(at)) if at[i] - at[i - 1] > 2), len(at)]
+        plain += [(g, MOMENT + dt.timedelta(seconds=at[a]), MOMENT + dt.timedelta(seconds=at[b - 1] + 2), b - a) for a, b in zip(cuts, cuts[1:])]
+    assert values(traces.update_bursts(df, ("g",), gap_seconds=2, ranges=ranges)) == sorted(plain, key=repr)
+
+
 @pytest.mark.parametrize("files", [1, 60])
 def test_stream_bursts_equal_batch_bursts(spark, folder, files):
     """However the events lie in files, and with those still open at the end."""
