@@ -507,6 +507,27 @@ ORACLES: dict[str, str] = {
             "ticks": "select unnest(range(1, (select max(tick) from moments) + 1)) as tick",
         },
     ),
+    "result_log_files": """
+        select case o_custkey % 3 when 0 then 'EDF' when 1 then 'RRH-2' else 'a b' end as policy, cast(o_orderkey % 2 as int) as iteration,
+               count(*) as jobs, sum(floor(o_totalprice / 1000) + 0.5) as exec_time
+        from orders where o_orderstatus <> 'P' group by 1, 2""",
+    "result_log_timeline": with_views(
+        [],
+        """
+        select policy, iteration, tick, cast(sum(change) over (partition by policy, iteration order by tick) as bigint) as online
+        from (select t.*, coalesce(change, 0) as change from ticks t left join per_tick p using (policy, iteration, tick))""",
+        {
+            "done": """
+            select case o_custkey % 3 when 0 then 'EDF' when 1 then 'RRH-2' else 'a b' end as policy, cast(o_orderkey % 2 as int) as iteration,
+                   o_orderkey % 10007 + 0.25::double as begins, floor(o_totalprice / 1000) + 0.5::double as lasts
+            from orders where o_orderstatus <> 'P'""",
+            "moments": """
+            select policy, iteration, cast(floor(begins) as bigint) + 1 as tick, 1 as change from done
+            union all select policy, iteration, cast(floor(begins + lasts) as bigint) + 1, -1 from done""",
+            "per_tick": "select policy, iteration, tick, sum(change) as change from moments group by all",
+            "ticks": "select policy, iteration, unnest(range(1, last + 1)) as tick from (select policy, iteration, max(tick) as last from moments group by all)",
+        },
+    ),
     "gen_job_profiles": f"""
         with draws as (
             select o_orderkey as job_id, row_number() over (order by o_orderkey) as place from orders),

@@ -356,6 +356,24 @@ def concurrency_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.concurrency_timeline(_snapshots(spark, sf_dir), F.col("join_time"), F.col("deadline"))
 
 
+def _result_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    sinks.result_log_sink(view(spark, sf_dir, "run_logs"), path)
+    return job_sources.result_log_source(spark, path)
+
+
+def result_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results per policy and iteration, as the names of their logs say."""
+    found = _result_logs(spark, sf_dir).groupBy("policy", "iteration")
+    return found.agg(F.count(F.lit(1)).alias("jobs"), F.sum("exec_time").alias("exec_time"))
+
+
+def result_log_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From logs to jobs online at each second, per policy and iteration: from a job's join time for its execution time."""
+    logs = _result_logs(spark, sf_dir)
+    return traces.concurrency_timeline(logs, F.col("join_time"), F.col("exec_time"), ("policy", "iteration"))
+
+
 def gen_job_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = traces.gen_job_profiles(table(spark, sf_dir, "orders"), "o_orderkey")
     return profiles.withColumn("sensitivity", F.round("sensitivity", 6))
@@ -474,6 +492,8 @@ QUERIES: dict[str, Query] = {
         earliest_deadline,
         feasibility,
         concurrency_timeline,
+        result_log_files,
+        result_log_timeline,
         gen_job_profiles,
         repair_sensitivity,
         update_bursts,

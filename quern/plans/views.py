@@ -93,6 +93,13 @@ VIEWS = {
                       '3.0', chr(9), '1', chr(9), '0', chr(9), '0.04', chr(9), 'jobs.WordCount', chr(9), 'job',
                       cast(o_orderkey as varchar(20))) as value
         from {orders}""",
+    "run_logs": """
+        select case o_custkey % 3 when 0 then 'EDF' when 1 then 'RRH-2' else 'a b' end as policy, cast(o_orderkey % 2 as int) as iteration,
+               concat('[INFO ] 1 - ', case when o_orderstatus = 'P' then 'Job Start Event: ' else 'Job Complete Event: ' end,
+                      cast(cast(floor(o_totalprice / 1000) as int) as varchar(20)), '.5', chr(9), '0.5', chr(9), '0.5', chr(9), '-0.25', chr(9), 'q', chr(9), '100', chr(9), '20',
+                      chr(9), '300.0', chr(9), cast(o_orderkey % 10007 as varchar(20)), '.25', chr(9), '3.0', chr(9), '1', chr(9), '0', chr(9), '0.04', chr(9),
+                      'jobs.WordCount', chr(9), 'job', cast(o_orderkey as varchar(20))) as value
+        from {orders}""",
 }
 
 

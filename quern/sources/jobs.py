@@ -27,8 +27,8 @@ RESULT_FIELDS = (
     ("queue_id", "string"),
 )
 RESULT_MARK = "Job Complete Event: "
-# Fixed value: name of a result log, with policy and iteration.
-RESULT_FILE = "Result-(.+)-([0-9]+)\\.log$"
+# Fixed value: name of a result log, a file or a folder of files, with policy and iteration.
+RESULT_FILE = "(?:^|[/=])Result-([^/]+)-([0-9]+)\\.log(?:/[^/]+)?$"
 
 
 def _fields(part: Column, fields: tuple, start: int = 0) -> list[Column]:
@@ -58,9 +58,12 @@ def result_lines(lines: DataFrame, value: str = "value", keep: tuple[str, ...] =
 
 
 def result_log_source(spark: SparkSession, path: str) -> DataFrame:
-    """Results of a folder of logs, with policy and iteration from the file name."""
-    name = F.col("_metadata.file_name")
-    lines = spark.read.text(path).select(
+    """Results of a folder of logs, with policy and iteration from the name of the file, or of the folder its files are in.
+
+    Lines of files with other names have an empty policy and no iteration.
+    """
+    name = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
         "value",
         F.regexp_extract(name, RESULT_FILE, 1).alias("policy"),
         F.regexp_extract(name, RESULT_FILE, 2).try_cast("int").alias("iteration"),

@@ -44,6 +44,12 @@ def job_result_sink(results: DataFrame, path: str) -> None:
     _tab_sink(short, RESULT_COLUMNS, path)
 
 
+def result_log_sink(lines: DataFrame, path: str, policy: str = "policy", iteration: str = "iteration", value: str = "value") -> None:
+    """Log lines in one folder per policy and iteration, under the name ``result_log_source`` reads both from."""
+    name = F.concat(F.lit("Result-"), F.col(policy), F.lit("-"), F.col(iteration).cast("string"), F.lit(".log"))
+    lines.select(name.alias("log"), F.col(value).alias("value")).write.mode("overwrite").partitionBy("log").text(path)
+
+
 def job_profile_sink(profiles: DataFrame, path: str) -> None:
     _tab_sink(profiles, tuple(name for name, _ in PROFILE_FIELDS), path)
 

@@ -174,3 +174,19 @@ def test_tables_are_read_with_pruned_columns(spark):
 
     plan = word_count(table(spark, "/root/testdata/sf0.001", "documents"))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<text:string>" in plan
+
+
+def test_policy_and_iteration_come_from_the_name_of_the_log(spark, folder):
+    """Files and folders of files, policies with hyphens, spaces and plus signs; other files have neither."""
+    done = "x - Job Complete Event: 2.0\t0.5\t0.5\t-0.25\tq\t1\t1\t9.0\t{}.0\t1.0\t1\t0\t0.04\tjobs.A\tj"
+    for i, name in enumerate(("Result-EDF-3.log", "Result-a b+c-d-12.log", "General-EDF-3.log")):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("x - Job Start Event: nothing\n" + done.format(i) + "\n")
+    found = job_sources.result_log_source(spark, folder).select("policy", "iteration", "join_time")
+    assert values(found) == sorted([("EDF", 3, 0.0), ("a b+c-d", 12, 1.0), ("", None, 2.0)], key=repr)
+    logs = spark.createDataFrame([("P q-1", i % 2, done.format(i)) for i in range(6)], "policy string, iteration int, value string")
+    sinks.result_log_sink(logs, folder + "/out")
+    again = job_sources.result_log_source(spark, folder + "/out")
+    assert values(again.select("policy", "iteration", "join_time")) == sorted([("P q-1", i % 2, float(i)) for i in range(6)], key=repr)
+    timeline = traces.concurrency_timeline(again, F.col("join_time"), F.col("exec_time"), ("policy", "iteration"))
+    assert [(r.tick, r.online) for r in timeline.where("iteration = 1").orderBy("tick").collect()] == [(1, 0), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 0)]
