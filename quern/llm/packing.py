@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import on_arrow, shuffle_parts
+from quern.llm.common import ROW_TYPE, on_arrow, private_name, shuffle_parts, with_row_key
 from quern.llm.tokens import word_encoder
 
 SEQUENCE = 4096
@@ -124,7 +124,8 @@ def _encode(path: str):
             deal = [zlib.crc32(i) for i in ids]
             held = ids if wide else [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(deal, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "deal", "ids"]
+                [batch.column("doc_id"), pa.array(deal, pa.int64()), batch.column("row"), pa.array(held, pa.binary())],
+                names=["doc_id", "deal", "row", "ids"],
             )
 
     return run
@@ -172,9 +173,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, gr
     own.  An empty table gives no rows; other columns are not read.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = on_arrow(source, _encode(path), "doc_id long, deal long, ids binary")
-    order = F.xxhash64("doc_id", "deal")
-    dealt = encoded.repartition(shuffle_parts(docs), order).sortWithinPartitions(order, "doc_id", "deal").select("doc_id", "ids")
+    name = private_name(docs)
+    source = with_row_key(docs, name).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("row"), F.col("text").cast("string").alias("text")
+    )
+    encoded = on_arrow(source, _encode(path), f"doc_id long, deal long, row {ROW_TYPE}, ids binary")
+    # Equal rows, such as empty texts without doc_id, are dealt apart by their keys.
+    order = F.xxhash64("doc_id", "deal", "row")
+    dealt = encoded.repartition(shuffle_parts(docs), order).sortWithinPartitions(order, "doc_id", "deal", "row").select("doc_id", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return on_arrow(dealt, _pack(path, size, group_tokens), schema)

@@ -1,8 +1,9 @@
-"""Token ids of whole texts, encoding each distinct word once.
+"""Token ids of whole texts, encoding each distinct piece once.
 
 The pre-tokenizers of both vocabularies never join what lies on two sides of a space between two characters
-that are not white space, so a text's ids are the ids of its words one after the other.  Words met before
-come from a bounded cache; new ones are encoded together, with a special token between them.
+that are not white space, nor Latin letters and the punctuation behind them, so a text's ids are the ids of such pieces one after the
+other.  The pieces of about a megabyte of texts are cut, hashed and compared with numpy; those met before come from a compact table, new
+ones are encoded together, with a special token between them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from quern.llm.common import pieces
 
+# Pieces in the table, at about 50 bytes each, before it starts anew; and other pieces kept as objects.
+TABLE_PIECES = 1_500_000
 CACHED_WORDS = 250_000
 _AT_ONCE = 20_000
 _LEARN_CHARS = 1 << 20
@@ -42,6 +45,89 @@ def _byte_letters() -> str:
 
 _LETTERS = _byte_letters()
 
+# Kinds of pieces: a word of any other shape, letters after a space, letters after a line feed (with it), punctuation behind letters.
+_OTHER, _WORD, _LINE, _TAIL = range(4)
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# Without "<", which may begin a special token.
+_IS_PUNCTUATION = np.zeros(256, bool)
+_IS_PUNCTUATION[[b for b in b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"]] = True
+# First bytes of the UTF-8 of white space beyond ASCII; few texts have one.
+_ODD_FIRST = np.zeros(256, bool)
+_ODD_FIRST[[*range(9), 9, 11, 12, 13, *range(14, 32), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64."""
+    if name not in _powers or len(_powers[name]) < n:
+        grown = np.full(max(n, 2 * _LEARN_CHARS), base, np.uint64)
+        grown[0] = 1
+        _powers[name] = np.multiply.accumulate(grown)
+    return _powers[name][:n]
+
+
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[0] .. starts[0] + lengths[0] - 1, then those of the next range, and so on."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class _Buffer:
+    """A growing array."""
+
+    def __init__(self, dtype: str):
+        self._held, self.size = np.zeros(1024, dtype), 0
+
+    def append(self, new: np.ndarray) -> None:
+        if self.size + len(new) > len(self._held):
+            self._held = np.concatenate((self._held[: self.size], np.zeros(max(len(new), self.size // 2 + 1024), self._held.dtype)))
+        self._held[self.size : self.size + len(new)] = new
+        self.size += len(new)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._held[: self.size]
+
+
+class _Table:
+    """Pieces by hash: their kind, bytes and ids in flat arrays, found by a search in the sorted hashes."""
+
+    def __init__(self) -> None:
+        self.hashes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kinds, self.chars, self.ids = _Buffer("u1"), _Buffer("u1"), _Buffer("<u4")
+        self.char_at, self.char_n, self.id_at, self.id_n = (_Buffer(t) for t in ("i8", "i4", "i8", "i4"))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 if there is none."""
+        at = np.searchsorted(self.hashes, hashes)
+        found = np.full(len(hashes), -1, np.int64)
+        inside = np.flatnonzero(at < len(self.hashes))
+        inside = inside[self.hashes[at[inside]] == hashes[inside]]
+        found[inside] = self.entries[at[inside]]
+        return found
+
+    def add(self, kinds: np.ndarray, raw: list[bytes], ids: list[bytes], hashes: np.ndarray | None = None) -> np.ndarray:
+        """Add pieces and give their entries; without hashes no search will find them."""
+        first = self.kinds.size
+        entries = np.arange(first, first + len(raw))
+        char_n, id_n = np.array([len(r) for r in raw], "i4"), np.array([len(i) // 4 for i in ids], "i4")
+        self.kinds.append(kinds)
+        for at, n, flat, new in ((self.char_at, char_n, self.chars, np.frombuffer(b"".join(raw), "u1")), (self.id_at, id_n, self.ids, np.frombuffer(b"".join(ids), "<u4"))):
+            at.append(flat.size + np.cumsum(n) - n)
+            flat.append(new)
+        self.char_n.append(char_n)
+        self.id_n.append(id_n)
+        if hashes is not None:
+            order = np.argsort(hashes)
+            at = np.searchsorted(self.hashes, hashes[order])
+            self.hashes = np.insert(self.hashes, at, hashes[order])
+            self.entries = np.insert(self.entries, at, entries[order])
+        return entries
+
 
 class Encoder:
     """``ids`` gives the ids of a text, as the tokenizer without added special tokens would.
@@ -50,16 +136,17 @@ class Encoder:
     belongs to the word's tokens and that case counts; otherwise white space only separates and texts are lower-cased.
     """
 
-    def __init__(self, path: str, separator: str, spaced: bool, cached_words: int = CACHED_WORDS):
+    def __init__(
+        self, path: str, separator: str, spaced: bool, cached_words: int = CACHED_WORDS, table_pieces: int = TABLE_PIECES
+    ):
         self.tokenizer = Tokenizer.from_file(path)
         # The same model over pieces in byte letters that spaces divide.
         self.model_only = Tokenizer(self.tokenizer.model)
         self.model_only.pre_tokenizer = CharDelimiterSplit(" ")
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
-        self.spaced, self.cached_words = spaced, cached_words
-        # When the cache is full it becomes the older one, from which words in use come back.
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.spaced, self.cached_words, self.table_pieces = spaced, cached_words, table_pieces
+        self.table = _Table()
+        self.cache: dict[str, bytes] = {}  # words being learned
         self.pieces: dict[str, bytes] = {"": b""}
         self.break_id = self.model_only.encode(_LETTERS[10], add_special_tokens=False).ids[-1]
         self.line = self._whole("\n")
@@ -143,40 +230,127 @@ class Encoder:
         return next(self.batch([text]))
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """``ids`` of each text; the new words of about a megabyte of texts are learned together."""
+        """``ids`` of each text; the pieces of about a megabyte of texts are looked up together."""
         for start, stop in pieces(np.array([len(t) for t in texts]), _LEARN_CHARS):
             split = [self._split(t) for t in texts[start:stop]]
-            if len(self.cache) > self.cached_words:
-                self.older, self.cache = self.cache, {}
-            cache, older = self.cache, self.older
-            unknown = []
-            for w in set().union(*[found[1] for found in split if found]).difference(cache):
-                if w in older:
-                    cache[w] = older[w]
-                else:
-                    unknown.append(w)
-            self._learn(unknown)
+            bodies = [found[1] for found in split if found]
+            ids, cuts = self._of_bodies(bodies)
             firsts = [m for found in split if found and found[0] and "<|" not in found[0] and (m := _SIMPLE.fullmatch(found[0]))]
             self._pieces([p for m in firsts for p in (self._head(m[2], False), m[3])])
+            at = iter(zip(cuts, cuts[1:]))
             for text, found in zip(texts[start:stop], split):
                 if found is None:
                     yield self._whole(text)
                 else:
-                    head, words = found
-                    yield (self._first(head) if head else b"") + b"".join(map(cache.__getitem__, words))
+                    a, b = next(at)
+                    yield (self._first(found[0]) if found[0] else b"") + ids[a:b].tobytes()
 
-    def _split(self, text: str) -> tuple[str, list[str]] | None:
-        """The first word if it counts that no space is before it, and the other words; None for odd white space."""
+    def _split(self, text: str) -> tuple[str, bytes] | None:
+        """The first word if it counts that no space is before it, and the rest, which begins with white space; None for odd white space."""
         if not text:
-            return "", []
-        if _ODD_SPACE.search(text):
+            return "", b""
+        raw = text.encode("utf-8", "replace")
+        if _ODD_FIRST[np.frombuffer(raw, np.uint8)].any() and _ODD_SPACE.search(text):
             return None
         if not self.spaced:
-            return "", text.split()
+            return "", b" " + raw
         if any(pair in text for pair in _ODD_PAIRS) or text[0] == " " or text[-1] == " ":
             return None
-        words = text.replace("\n", " \n").split(" ")
-        return words.pop(0), words  # the first is empty if a line feed comes first
+        end = min((i for i in (raw.find(b" "), raw.find(b"\n")) if i >= 0), default=len(raw))
+        return raw[:end].decode(), raw[end:]
+
+    def _of_bodies(self, bodies: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all bodies one after the other, and where each begins and the last ends."""
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        bounds = np.concatenate(([0], np.cumsum([len(b) for b in bodies]))).astype(np.int64)
+        starts, ends, kinds = self._cut_pieces(data)
+        if not len(starts):
+            return np.zeros(0, "<u4"), [0] * len(bounds)
+        entries = self._entries(data, starts, ends, kinds)
+        counts = self.table.id_n.all[entries].astype(np.int64)
+        ids = self.table.ids.all[_gather(self.table.id_at.all[entries], counts)]
+        before = np.concatenate(([0], np.cumsum(counts)))
+        return ids, before[np.searchsorted(starts, bounds)].tolist()
+
+    def _cut_pieces(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and kind of the pieces of bodies, in order; the line feed before a word belongs to it."""
+        feed = data == 10
+        gaps = np.flatnonzero(feed | (data == 32))
+        starts, ends = gaps + ~feed[gaps] if self.spaced else gaps + 1, np.append(gaps[1:], len(data))
+        full = starts < ends
+        starts, ends = starts[full], ends[full]
+        size = len(data)
+        letter, mark = _IS_LETTER[data], _IS_PUNCTUATION[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        after = data[lead + 1]
+        lead = lead[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]
+        letter[lead] = letter[lead + 1] = True
+        sums = np.zeros((3, size + 1), np.int32)
+        np.cumsum(~(letter | mark), out=sums[0, 1:])
+        np.cumsum(mark[:-1] & letter[1:], out=sums[1, 2:])  # up to a letter behind a mark
+        np.cumsum(mark, out=sums[2, 1:])
+        lines = feed[starts] if self.spaced else np.zeros(len(starts), bool)
+        begins = starts + lines
+        simple = (sums[0, ends] == sums[0, begins]) & (sums[1, ends] == sums[1, np.minimum(begins + 1, size)]) & (begins < ends)
+        simple[simple] &= letter[begins[simple]]
+        marks = np.where(simple, sums[2, ends] - sums[2, begins], 0)
+        tailed = marks > 0
+        place = np.arange(len(starts)) + np.cumsum(tailed) - tailed
+        total = len(starts) + int(tailed.sum())
+        out_start, out_end, kind = np.zeros(total, np.int64), np.zeros(total, np.int64), np.full(total, _TAIL, np.uint8)
+        out_start[place], out_end[place] = np.where(simple, begins, starts), ends - marks
+        kind[place] = np.where(simple, np.where(lines, _LINE, _WORD), _OTHER)
+        out_start[place[tailed] + 1], out_end[place[tailed] + 1] = (ends - marks)[tailed], ends[tailed]
+        return out_start, out_end, kind
+
+    def _entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The table's entry of each piece; new pieces are encoded, and a piece that only shares a hash gets an entry of its own."""
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(data)), out=sums[1:])
+        lengths = ends - starts
+        hashes = (sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data))[starts] + lengths.astype(np.uint64) * np.uint64(4) + kinds
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+        hashes ^= hashes >> np.uint64(29)
+        own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.table.kinds.size > self.table_pieces:
+            self.table = _Table()
+        found = self.table.find(own)
+        new = np.flatnonzero(found < 0)
+        raw = data.tobytes()
+
+        def bytes_of(places: np.ndarray) -> list[bytes]:
+            return [raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())]
+
+        if len(new):
+            at = first[new]
+            some = bytes_of(at)
+            found[new] = self.table.add(kinds[at], some, self._learned(kinds[at], some), own[new])
+        entries = found[inverse]
+        table = self.table
+        wrong = (table.kinds.all[entries] != kinds) | (table.char_n.all[entries] != lengths)
+        same = np.flatnonzero(~wrong)
+        n = lengths[same]
+        differ = data[_gather(starts[same], n)] != table.chars.all[_gather(table.char_at.all[entries[same]], n)]
+        if differ.any():
+            wrong[same] = np.add.reduceat(differ, np.cumsum(n) - n) > 0
+        odd = np.flatnonzero(wrong)
+        if len(odd):
+            entries[odd] = table.add(kinds[odd], bytes_of(odd), self._learned(kinds[odd], bytes_of(odd)))
+        return entries
+
+    def _learned(self, kinds: np.ndarray, raw: list[bytes]) -> list[bytes]:
+        """The ids of new pieces."""
+        texts = [r.decode() for r in raw]
+        of = [[t for t, k in zip(texts, kinds.tolist()) if k == kind] for kind in range(4)]
+        found: list[dict[str, bytes]] = [{}, {}, {}, {}]
+        words = list(dict.fromkeys(of[_WORD]))
+        self._encode(found[_WORD], words, [self._head(w, True) for w in words])
+        self._pieces([*of[_TAIL], *(self._head(w, False) for w in of[_LINE])])
+        found[_TAIL] = {t: self.pieces[t] for t in of[_TAIL]}
+        found[_LINE] = {w: self.line + self.pieces[self._head(w, False)] for w in of[_LINE]}
+        self._learn(list(dict.fromkeys(of[_OTHER])))
+        found[_OTHER], self.cache = self.cache, {}
+        return [found[k][t] for k, t in zip(kinds.tolist(), texts)]
 
 
 @lru_cache

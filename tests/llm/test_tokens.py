@@ -122,3 +122,45 @@ def test_first_fit_is_first_fit():
                 bins.append(at := [])
             at.append(piece)
         assert packing.first_fit_decreasing(pieces, 20) == bins
+
+
+def test_pieces_of_any_shape_and_a_table_that_starts_anew(monkeypatch):
+    """Small tables, small batches and hashes that collide give the same ids."""
+    from quern.llm import tokens
+
+    random.seed(9)
+    bits = ["word", "Word,", "a", "\n", "x1", "é", "Été!", "<|endoftext|>", "abc<|", "<", "  ", "\t", "naïve", "日本", "don't", "...", "(a)",
+            "ß", "\xa0", "×", "a×", "--", '"hi"', "e-mail", "1,000", "\r\n", "l'été", "÷", "　", "\x1c"]
+    texts = ["".join(random.choice(bits) + random.choice([" ", " ", "\n", ""]) for _ in range(random.randrange(12))) for _ in range(700)]
+    for name, kind in (("byte_bpe_50k.json", ("<|endoftext|>", True)), ("word_bpe_49k.json", ("<|startoftext|>", False))):
+        path, tokenizer = public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name))
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        for change in ({}, {"_LEARN_CHARS": 300}, {"_MIX": np.uint64(1 << 61)}):
+            with monkeypatch.context() as m:
+                for key, value in change.items():
+                    m.setattr(tokens, key, value)
+                encoder = tokens.Encoder(path, *kind, table_pieces=100 if change else 10**6)
+                assert list(encoder.batch(texts)) == want == list(encoder.batch(texts)), (name, change)
+
+
+def test_wavelet_file_of_several_blocks_reads_only_what_it_needs():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 50257, 150_000)
+    raw = wavelet.encode_file(ids, np.array([4, 5]), np.array([True, False]), np.array([100_000, 50_000]))
+    file = wavelet.WaveletFile(raw)
+    assert file.access(140_000) == ids[140_000] and len(file._held) == file.planes
+    assert file.doc_ids[0] == 4 and file.has_id.tolist() == [True, False] and file.lengths.tolist() == [100_000, 50_000]
+    token = int(ids[77])
+    where = np.flatnonzero(ids == token)
+    assert [file.select(token, k) for k in range(len(where))] == where.tolist()
+    assert file.rank(token, 131_072) == (where < 131_072).sum() and (file.ids() == ids).all()
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(None, None)] * 4000, "doc_id long, text string")
+    for run in (wavelet.encode_documents, packing.pack):
+        assert run(docs).count() == 4000
+    shards = wavelet.write_shards(docs).groupBy("part").sum("n_tokens").collect()
+    assert len(shards) > 4 and max(s[1] for s in shards) < 2000
+    sequences = packing.pack(docs, size=8).selectExpr("sequence_id >> 40 as part").groupBy("part").count().collect()
+    assert len(sequences) > 4 and max(s["count"] for s in sequences) < 2000
