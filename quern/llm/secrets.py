@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns over a text and over everything that can be decoded from it.
 
 A worklist holds layers: the text, then what URL escapes, Unicode escapes, base64 runs and compressed
-streams in a layer unwrap to, until nothing new comes out.  A layer seen before is not taken up again.
-Each layer carries, for every byte, the range of the text it came from, so a find is reported
-where it lies in the text.
+streams in a layer unwrap to, until nothing new comes out.  A layer seen before is not taken up again.  Layers are taken depth first, as
+they are unwrapped, so that of each level one layer, or one window of a stream, is held at a time.
+Each layer can tell where in the one above a range of its bytes came from, so a find is reported where it lies in the text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import on_arrow, texts_of
 
 # A compressed stream is scanned in windows of so many bytes, each with the end of the one before.
-WINDOW_BYTES = 16 << 20
+WINDOW_BYTES = 2 << 20
 OVERLAP_BYTES = 1 << 16
 MIN_BASE64 = 16
 
@@ -78,25 +79,20 @@ def find(data: bytes) -> list[tuple[str, int, int]]:
 
 
 class _Layer:
-    """Bytes and, for each, where in the text it came from; without arrays the bytes are the text's own."""
+    """Bytes, and where in the layer above they came from: ``first`` and ``last`` give begin and end of what made one byte."""
 
-    __slots__ = ("data", "starts", "ends")
+    __slots__ = ("data", "above", "first", "last")
 
-    def __init__(self, data: bytes, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
-        self.data, self.starts, self.ends = data, starts, ends
+    def __init__(self, data: bytes, above: _Layer | None = None, first: Callable[[int], int] | None = None, last: Callable[[int], int] | None = None):
+        self.data, self.above, self.first, self.last = data, above, first, last
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
-            return start, end
-        return int(self.starts[start:end].min()), int(self.ends[start:end].max())
-
-    def below(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> _Layer:
-        """A layer whose bytes came from the ranges ``starts`` .. ``ends`` of this one."""
-        if self.starts is None:
-            return _Layer(data, starts, ends)
-        if self.starts.strides == (0,):  # all of it came from one place
-            return _Layer(data, *(np.broadcast_to(a[:1], len(data)) for a in (self.starts, self.ends)))
-        return _Layer(data, self.starts[starts], self.ends[ends - 1])
+        """The range of the text that gave the bytes start .. end."""
+        layer = self
+        while layer.above is not None:
+            start, end = layer.first(start), layer.last(end - 1)
+            layer = layer.above
+        return start, end
 
 
 def _lines_with(data: bytes, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -122,15 +118,27 @@ def _code_points(units: list[tuple[int, int, int]]) -> Iterator[tuple[bytes, int
             yield chr(code).encode("utf-8", "replace"), start, end
 
 
-def _rewritten(data: bytes, first: int, last: int, parts: list[tuple[bytes, int, int]]):
-    """The bytes first .. last with the ranges of ``parts`` replaced."""
-    out, starts, ends, at = [], [], [], first
-    for new, start, end in [*parts, (b"", last, last)]:
-        out += [data[at:start], new]
-        starts += [np.arange(at, start), np.full(len(new), start)]
-        ends += [np.arange(at, start) + 1, np.full(len(new), end)]
+def _rewritten(layer: _Layer, first: int, last: int, parts: list[tuple[bytes, int, int]]) -> _Layer:
+    """The bytes first .. last of a layer with the ranges of ``parts`` replaced."""
+    out, at, size = [], first, 0
+    begins, starts, ends = (np.zeros(len(parts), np.int64) for _ in range(3))
+    for i, (new, start, end) in enumerate(parts):
+        out += [layer.data[at:start], new]
+        size += start - at
+        begins[i], starts[i], ends[i] = size, start, end
+        size += len(new)
         at = end
-    return b"".join(out), np.concatenate(starts), np.concatenate(ends)
+    out.append(layer.data[at:last])
+    lengths = np.array([len(new) for new, _, _ in parts], np.int64)
+
+    def place(i: int) -> tuple[int, int]:
+        k = int(np.searchsorted(begins, i, "right")) - 1
+        if k < 0:
+            return first + i, first + i + 1
+        over = i - int(begins[k]) - int(lengths[k])
+        return (int(starts[k]), int(ends[k])) if over < 0 else (int(ends[k]) + over, int(ends[k]) + over + 1)
+
+    return _Layer(b"".join(out), layer, lambda i: place(i)[0], lambda i: place(i)[1])
 
 
 def _percent(layer: _Layer) -> Iterator[_Layer]:
@@ -139,7 +147,7 @@ def _percent(layer: _Layer) -> Iterator[_Layer]:
         return
     for first, last in _lines_with(data, _PERCENT):
         parts = [(bytes([int(m[0][1:], 16)]), *m.span()) for m in _PERCENT.finditer(data, first, last)]
-        yield layer.below(*_rewritten(data, first, last, parts))
+        yield _rewritten(layer, first, last, parts)
 
 
 def _unicode(layer: _Layer) -> Iterator[_Layer]:
@@ -149,44 +157,59 @@ def _unicode(layer: _Layer) -> Iterator[_Layer]:
         return
     for first, last in _lines_with(data, _ESCAPE):
         units = [(int(next(g for g in m.groups() if g), 16), *m.span()) for m in _ESCAPE.finditer(data, first, last)]
-        yield layer.below(*_rewritten(data, first, last, list(_code_points(units))))
+        yield _rewritten(layer, first, last, list(_code_points(units)))
     for first, last in _lines_with(data, _HIGH_BYTE):
         parts = [
             (bytes([int(m[1], 16) if m[1] else _SIMPLE.get(m[2][0], m[2][0])]), *m.span())
             for m in _BYTE_ESCAPE.finditer(data, first, last)
         ]
-        yield layer.below(*_rewritten(data, first, last, parts))
+        yield _rewritten(layer, first, last, parts)
+
 
+def _decoded(layer: _Layer, segments: list[tuple[int, int]]) -> Iterator[_Layer]:
+    """A run at its four alignments, so from wherever in it the base64 begins; the run's characters lie in ``segments``."""
+    run = b"".join(layer.data[a:b] for a, b in segments).translate(_STANDARD)
+    offsets = [0]
+    for a, b in segments:
+        offsets.append(offsets[-1] + b - a)
 
-def _decoded(layer: _Layer, run: bytes, places: np.ndarray) -> Iterator[_Layer]:
-    """A run at its four alignments, so from wherever in it the base64 begins; ``places`` are of its characters."""
-    run = run.translate(_STANDARD)
-    for first in range(4):
-        length = len(run) - first
+    def place(i: int) -> int:
+        k = bisect_right(offsets, i) - 1
+        return segments[k][0] + i - offsets[k]
+
+    def begin_of(shift: int) -> Callable[[int], int]:
+        return lambda i: place(shift + i // 3 * 4 + i % 3)
+
+    def end_of(shift: int) -> Callable[[int], int]:
+        return lambda i: place(min(shift + i // 3 * 4 + i % 3 + 1, len(run) - 1)) + 1
+
+    for shift in range(4):
+        length = len(run) - shift
         length -= length % 4 == 1
         if length < MIN_BASE64:
             return
-        got = binascii.a2b_base64(run[first : first + length] + b"=" * (-length % 4))
-        at = np.arange(len(got))
-        begins = first + at // 3 * 4 + at % 3
-        yield layer.below(got, places[begins], places[np.minimum(begins + 1, len(run) - 1)] + 1)
+        got = binascii.a2b_base64(run[shift : shift + length] + b"=" * (-length % 4))
+        yield _Layer(got, layer, begin_of(shift), end_of(shift))
 
 
 def _base64(layer: _Layer) -> Iterator[_Layer]:
     data = layer.data
     for start, end in _runs(data, _IS_B64, MIN_BASE64):
-        yield from _decoded(layer, data[start:end], np.arange(start, end))
-    breaks = [m.span() for m in _BREAK.finditer(data)]
-    if not breaks:
-        return
-    kept = np.ones(len(data), bool)
-    for start, end in breaks:
-        kept[start:end] = False
-    places = np.flatnonzero(kept)
-    joined = np.frombuffer(data, np.uint8)[places].tobytes()
-    for start, end in _runs(joined, _IS_B64, MIN_BASE64):
-        if places[end - 1] - places[start] != end - 1 - start:
-            yield from _decoded(layer, joined[start:end], places[start:end])
+        yield from _decoded(layer, [(start, end)])
+    # Runs that go on behind a line break, each from the first break in it to the last.
+    marks, segments = data.translate(_IS_B64), []
+    for m in _BREAK.finditer(data):
+        if not segments or segments[-1][1] != m.start():
+            yield from _of_lines(layer, segments)
+            segments = [(marks.rfind(b" ", 0, m.start()) + 1, m.start())]
+        end = marks.find(b" ", m.end())
+        segments.append((m.end(), len(data) if end < 0 else end))
+    yield from _of_lines(layer, segments)
+
+
+def _of_lines(layer: _Layer, segments: list[tuple[int, int]]) -> Iterator[_Layer]:
+    if sum(b - a for a, b in segments) >= MIN_BASE64:
+        yield from _decoded(layer, segments)
 
 
 class _Stream:
@@ -274,11 +297,15 @@ def _compressed(layer: _Layer) -> Iterator[_Layer]:
     while m := _MAGIC.search(data, at):
         end = [m.start() + 1] * 2
         for got in _windows(_streams(data, m.start(), end)):
-            first, last = layer.origin(m.start(), end[0])
-            yield _Layer(got, np.broadcast_to(np.int64(first), len(got)), np.broadcast_to(np.int64(last), len(got)))
+            yield _Layer(got, layer, lambda _, first=m.start(): first, lambda _, last=end[0]: last)
         at = end[1]
 
 
+def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+    for unwrap in (_percent, _unicode, _base64, _compressed):
+        yield from unwrap(layer)
+
+
 def scan(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base finds and all finds, as sorted (start, kind number, end) in code points."""
 
@@ -289,20 +316,22 @@ def scan(text: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
         return sorted((place[a], k, place[b]) for a, k, b in spans)
 
     base = {(start, KINDS.index(kind), end) for kind, start, end in find(text)}
-    spans, seen, work = set(base), set(), [_Layer(text)]
+    spans, seen, work = set(base), set(), [_unwrapped(_Layer(text))]
     while work:
-        layer = work.pop()
-        for unwrap in (_percent, _unicode, _base64, _compressed):
-            for below in unwrap(layer):
-                where = below.origin(0, len(below.data)) if below.data else (0, 0)
-                known = (hashlib.blake2b(below.data, digest_size=16).digest(), where)
-                if not below.data or known in seen:
-                    continue
-                seen.add(known)
-                work.append(below)
-                for kind, start, end in find(below.data):
-                    first, last = below.origin(start, end)
-                    spans.add((first, KINDS.index(kind), last))
+        below = next(work[-1], None)
+        if below is None:
+            work.pop()
+            continue
+        if not below.data:
+            continue
+        known = (hashlib.blake2b(below.data, digest_size=16).digest(), below.origin(0, len(below.data)))
+        if known in seen:
+            continue
+        seen.add(known)
+        for kind, start, end in find(below.data):
+            first, last = below.origin(start, end)
+            spans.add((first, KINDS.index(kind), last))
+        work.append(_unwrapped(below))
     return ordered(base), ordered(spans)
 
 

@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import os
 import lzma
 import re
 import urllib.parse
@@ -127,3 +128,38 @@ def test_runs_over_a_window_edge(monkeypatch):
         assert spans_of(base64.b64encode(gzip.compress(data)).decode())
     for n in range(4050, 4110):
         assert spans_of(base64.b64encode(gzip.compress(b"\xff" * n + SECRET.encode())).decode()), n
+
+
+def test_windows_are_scanned_one_at_a_time():
+    """A small text with much inside: what is held stays near a few windows."""
+    import subprocess
+    import sys
+
+    code = """
+import base64, gzip, os, resource
+from quern.llm import secrets
+body = b"".join(b"line %d of words without end\\n" % i for i in range(20000))
+text = base64.b64encode(gzip.compress(body * 200 + b" token=abcdefgh1234 "))
+del body
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+with open("/proc/self/clear_refs", "w") as f:
+    f.write("5")
+base, spans = secrets.scan(text)
+peak = int(next(l for l in open("/proc/self/status") if l.startswith("VmHWM")).split()[1])
+now = int(next(l for l in open("/proc/self/status") if l.startswith("VmRSS")).split()[1])
+print(len(text), len(spans), peak // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    size, spans, peak = map(int, done.stdout.split())
+    assert spans and peak < 400, done.stdout
+
+
+def test_finds_lie_where_their_layers_came_from():
+    inner = urllib.parse.quote(SECRET, safe="")
+    wrapped = base64.encodebytes(("x " * 40 + inner).encode()).decode().strip()
+    text = f"é begin {wrapped} end"
+    at = text.index(wrapped)
+    spans = [s for s in spans_of(text) if s[1] == 0]
+    assert spans and all(at <= a < b <= at + len(wrapped) for a, _, b in spans)
+    assert max(b for _, _, b in spans) > at + len(wrapped) - 8
