@@ -4,7 +4,7 @@ A page is a tree of block elements with text slots.  Neighbours of one kind fold
 and trees of one host are aligned one after the other: what only one side has becomes optional, what
 differs in a text makes it a slot instead of template text.  A slot knows which texts all pages that have it
 share, and how many different pages those are; three make such a text template, in an article too.  Each task aligns the pages it reads, the tasks' wrappers
-are aligned in two steps, and every page is then read along its host's wrapper.
+are aligned in two steps, and every page is then read along its host's wrapper, part by part in the order of the expression.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -45,7 +46,8 @@ CLOSED_BY = {
 }
 SCOPES = frozenset("ul ol dl table article section div nav aside main body form select".split())
 
-# What holds no article, by element and by words of class, id and role.
+# What holds no article, by element and by names in class, id and role.  They are hints: what holds the article, or most
+# of a page without one, is no boilerplate whatever it is called.
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog search fieldset".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar rail widget menu nav "
@@ -53,10 +55,14 @@ BOILER_WORDS = frozenset(
     "popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login comment "
     "comments reply replies disqus respond toolbar pagination pager tags skip complementary contentinfo".split()
 )
+# Names in front of which any other word stands, and words that turn a name round; inline elements are hidden for the former alone.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+TURNING_WORDS = frozenset("no not without has with is hide hidden".split())
 MAIN_TAGS = frozenset(("article", "main"))
+FORM_TAGS = frozenset("form fieldset".split())
 
-_WORDS = re.compile(r"[A-Za-z]+")
-_SPACE = re.compile(r"\s+")
+_NAMES = re.compile(r"[A-Za-z]+(?:[-_]+[A-Za-z]+)*")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Places in a node.  TEXT is its label; SAME has the digests of texts that all pages with this slot share, PAGES the
 # least digests, EVIDENCE at most, of those pages' contents; copies of a page have one digest.
@@ -67,16 +73,35 @@ BY_LABEL = 2  # in REPEATED: of a long row, folded by label
 
 
 def _label(tag: str, attributes: list[tuple[str, str | None]]) -> str:
-    """The element with the words of its class, id and role, numbers left out."""
-    words = [w.lower() for k, v in attributes if k in ("class", "id", "role") and v for w in _WORDS.findall(v)]
-    return ".".join([tag, *sorted(set(words))])
+    """The element with the names of its class, id and role, numbers left out, words joined by hyphens."""
+    if not attributes:
+        return tag
+    names = {
+        _HUMP.sub("-", w).replace("_", "-").lower()
+        for k, v in attributes if k in ("class", "id", "role") and v for w in _NAMES.findall(v)
+    }
+    return ".".join([tag, *sorted(names)])
+
+
+@lru_cache(maxsize=1 << 16)
+def _hinted(label: str) -> bool:
+    """Whether a name says that the element is no part of an article: by its last word, or an advert's first."""
+    tag, *names = label.split(".")
+    for name in names:
+        first, *_ = words = name.split("-")
+        if first in ADVERT_WORDS or words[-1] in ADVERT_WORDS and first not in TURNING_WORDS:
+            return True
+        if tag in BLOCKS and words[-1] in BOILER_WORDS and first not in TURNING_WORDS:
+            return True
+    return False
 
 
 class _Element:
-    __slots__ = ("label", "tag", "parts")
+    __slots__ = ("label", "tag", "parts", "boiler")
 
     def __init__(self, label: str, tag: str):
         self.label, self.tag = label, tag
+        self.boiler = _is_boiler(label)
         self.parts: list[_Element | tuple[str, bool]] = []  # children and (text, in a link)
 
 
@@ -90,6 +115,10 @@ class _Parser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Element("", "")
         self.stack, self.hidden, self.links = [self.root], [], 0
+        self.main = False  # an article or main element outside boilerplate
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # no line numbers
 
     def _close(self, at: int) -> None:
         del self.stack[at:]
@@ -110,6 +139,9 @@ class _Parser(HTMLParser):
             self.hidden.append(tag)
             return
         if self.hidden:
+            if self.hidden[0] != "head" and tag not in VOID:
+                self.hidden.append(tag)
+                return
             if self.hidden[-1] == "head" and (tag in BLOCKS or tag in MAIN_TAGS):
                 self.hidden.clear()  # the body begins, with or without its tag
             else:
@@ -117,7 +149,7 @@ class _Parser(HTMLParser):
         if tag == "a":
             self.links += 1
         label = _label(tag, attributes)
-        marked = tag not in BLOCKS and tag not in VOID and not BOILER_WORDS.isdisjoint(label.split(".")[1:])
+        marked = tag not in BLOCKS and tag not in VOID and _hinted(label)
         if tag not in BLOCKS and not marked:
             if tag in ("br", "img", "hr"):
                 self._add((" ", False))
@@ -133,6 +165,8 @@ class _Parser(HTMLParser):
         if len(self.stack) > MAX_DEPTH and (_is_boiler(above) or _is_main(above) and not _is_boiler(label)):
             label = above  # what lies around it is no longer seen from its place
         element = _Element(label, tag)
+        if not self.main and not element.boiler and _is_main(label):
+            self.main = not any(e.boiler for e in self.stack)
         self.stack[min(len(self.stack), MAX_DEPTH) - 1].parts.append(element)
         if tag not in VOID:
             self.stack.append(element)
@@ -150,8 +184,11 @@ class _Parser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
             if tag in self.hidden:
-                del self.hidden[self.hidden.index(tag) :]
-            return
+                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+                return
+            if self.hidden[0] == "head" or not any(e.tag == tag for e in self.stack[1:]):
+                return
+            self.hidden.clear()  # the element around it ends, and what was left open in it too
         if tag == "a":
             self.links = max(0, self.links - 1)
         for at in range(len(self.stack) - 1, 0, -1):
@@ -181,15 +218,41 @@ def parse(html: str) -> _Element:
     parser = _Parser()
     parser.feed(html)
     parser.close()
+    if not parser.main:
+        _judge(parser.root)
     return parser.root
 
 
+def _judge(root: _Element) -> None:
+    """On a page whose only article or main elements lie in boilerplate, take the hints around them back; on one without any, those of a
+    form or a named part that holds most of the text."""
+    sizes: dict[int, tuple[int, bool]] = {}
+    order, work = [], [root]
+    while work:
+        element = work.pop()
+        order.append(element)
+        work += [p for p in element.parts if isinstance(p, _Element)]
+    for element in reversed(order):
+        inner = [p for p in element.parts if isinstance(p, _Element)]
+        found = [sizes[id(p)] for p in inner]
+        size = sum(len(p[0]) for p in element.parts if not isinstance(p, _Element) and not p[1]) + sum(n for n, _ in found)
+        holds = any(main for _, main in found)
+        if holds:
+            element.boiler = False
+        sizes[id(element)] = size, holds or _is_main(element.label) and not element.boiler
+    most, main = sizes[id(root)]
+    if not main:
+        for element in order:
+            if element.boiler and (element.tag in FORM_TAGS or element.tag not in BOILER_TAGS) and 2 * sizes[id(element)][0] > most:
+                element.boiler = False
+
+
 def _runs(element: _Element) -> Iterator[_Element | tuple[str, bool]]:
     """Children, and between them each run of texts as one text with single spaces; empty runs are left out."""
     texts: list[tuple[str, bool]] = []
 
     def run() -> Iterator[tuple[str, bool]]:
-        joined = _SPACE.sub(" ", "".join(t for t, _ in texts)).strip()
+        joined = " ".join("".join(t for t, _ in texts).split())
         if joined:
             yield joined, all(linked for t, linked in texts if t.strip())
         texts.clear()
@@ -215,7 +278,7 @@ def _content(element: _Element) -> str:
         for part in _runs(at):
             if not isinstance(part, _Element):
                 texts.append(part[0])
-            elif not _is_boiler(part.label):
+            elif not part.boiler:
                 walk(part)
 
     walk(element)
@@ -376,14 +439,44 @@ def expression(node: list) -> str:
     return body + "+" * bool(node[REPEATED]) + "?" * node[OPTIONAL]
 
 
+@lru_cache(maxsize=1 << 16)
 def _is_boiler(label: str) -> bool:
-    tag, *words = label.split(".")
-    return tag in BOILER_TAGS or not BOILER_WORDS.isdisjoint(words)
+    return label.split(".", 1)[0] in BOILER_TAGS or _hinted(label)
 
 
+@lru_cache(maxsize=1 << 16)
 def _is_main(label: str) -> bool:
-    tag, *words = label.split(".")
-    return tag in MAIN_TAGS or (tag == "div" and "main" in words)
+    tag, *names = label.split(".")
+    return tag in MAIN_TAGS or (tag == "div" and any("main" in n.split("-") for n in names))
+
+
+class _Row:
+    """The items of a node in order, groups opened: where a reading of the expression may go on after each."""
+
+    def __init__(self, node: list):
+        self.items: list[list] = []
+        self.again: list[int] = []  # the first item that may follow, the same or a group's first if it repeats
+        self.places: dict[str, list[int]] = {}
+        self.free = any(i[REPEATED] == BY_LABEL for i in node[HOLDS])
+        self._add(node[HOLDS], None)
+
+    def _add(self, items: list[list], group: int | None) -> None:
+        for item in items:
+            here = len(self.items)
+            if item[TEXT].startswith("("):
+                self._add(item[HOLDS], here if group is None else group)
+                continue
+            self.places.setdefault(item[TEXT], []).append(here)
+            self.items.append(item)
+            self.again.append(group if group is not None else here if item[REPEATED] else here + 1)
+
+    def step(self, at: int, label: str) -> int:
+        """The place of the next part with a label after the part at place ``at``; -1 if the expression has none there."""
+        found = self.places.get(label, ())
+        if self.free:
+            return found[0] if found else -1
+        k = bisect_left(found, 0 if at < 0 else self.again[at])
+        return found[k] if k < len(found) else -1
 
 
 class Wrapper:
@@ -391,52 +484,49 @@ class Wrapper:
 
     def __init__(self, pages: int, root: list):
         self.pages, self.root = pages, root
-        self.known: dict[tuple[int, ...], tuple[dict[str, list[list]], frozenset, bool | None]] = {}
-
-    def _items(self, nodes: list[list]) -> tuple[dict[str, list[list]], frozenset, bool | None]:
-        """Items of ``nodes`` by label, those of groups included, digests of template texts, and if all texts are links."""
-        key = tuple(map(id, nodes))
-        if key not in self.known:
-            found: dict[str, list[list]] = {}
-            work = [item for node in nodes for item in node[HOLDS]]
-            while work:
-                item = work.pop()
-                if item[TEXT].startswith("("):
-                    work += item[HOLDS]
-                else:
-                    found.setdefault(item[TEXT], []).append(item)
-            slots = found.get("#text", [])
-            template = frozenset(d for s in slots if len(s[PAGES]) >= EVIDENCE for d in s[SAME])
-            self.known[key] = found, template, all(s[LINKED] for s in slots) if slots else None
-        return self.known[key]
+        self.rows: dict[int, _Row] = {}
+
+    def _row(self, node: list) -> _Row:
+        if id(node) not in self.rows:
+            self.rows[id(node)] = _Row(node)
+        return self.rows[id(node)]
 
     def read(self, page: _Element) -> list[str]:
         """The blocks of the page's article, in page order.
 
         Where the page has an article or main element, its texts outside boilerplate; else all texts outside it
         but lists of links.  From both go texts that all pages with their slot share, if those are different pages.
-        A page that has no other texts keeps them.
+        A page that has no other texts keeps them, and one that hints alone would leave empty is read without hints.
         """
-        with_main: list[tuple[str, bool]] = []
-        rest: list[tuple[str, bool]] = []
-        self._walk(page, [self.root], False, with_main, rest)
-        texts = with_main or rest
+        for hints in (True, False):
+            with_main: list[tuple[str, bool]] = []
+            rest: list[tuple[str, bool]] = []
+            self._walk(page, self.root, False, hints, with_main, rest)
+            texts = with_main or rest
+            if texts:
+                break
         return [t for t, template in texts if not template] or [t for t, _ in texts]
 
     def _walk(
-        self, element: _Element, nodes: list[list], main: bool, with_main: list[tuple[str, bool]], rest: list[tuple[str, bool]]
+        self, element: _Element, node: list | None, main: bool, hints: bool, with_main: list[tuple[str, bool]], rest: list[tuple[str, bool]]
     ) -> None:
-        items, template, linked = self._items(nodes)
+        """Read the parts of an element along its node's expression: in order, optional items left out, repeated ones again."""
+        row, at = self._row(node) if node else None, -1
         for part in _runs(element):
-            if isinstance(part, _Element):
-                if not _is_boiler(part.label):
-                    self._walk(part, items.get(part.label, []), main or _is_main(part.label), with_main, rest)
-            else:
-                text = part[0], bool(template) and _digest(part[0]) in template
-                if main:
-                    with_main.append(text)
-                elif not (part[1] if linked is None else linked):
-                    rest.append(text)
+            whole = isinstance(part, _Element)
+            place = row.step(at, part.label if whole else "#text") if row else -1
+            item = None
+            if place >= 0:
+                item, at = row.items[place], place
+            if whole:
+                if not (part.boiler if hints else part.tag in BOILER_TAGS or part.tag not in BLOCKS):
+                    self._walk(part, item, main or _is_main(part.label), hints, with_main, rest)
+                continue
+            template = item is not None and len(item[PAGES]) >= EVIDENCE and _digest(part[0]) in item[SAME]
+            if main:
+                with_main.append((part[0], template))
+            elif not (item[LINKED] if item else part[1]):
+                rest.append((part[0], template))
 
 
 @lru_cache(maxsize=256)

@@ -106,3 +106,44 @@ def test_deep_elements():
         assert read(page) == ["a\nb\nc\nd\ne\nf\ng\nend"], depth
         page = "<body><p>out</p>" + "<div>" * depth + "<article><h1>t</h1><p>x</p><nav>n<p>m</p></nav>y</article>" + "</div>" * depth + "<p>end</p>"
         assert read(page) == ["t\nx\ny"], depth
+
+
+def test_names_do_not_decide_against_the_structure():
+    for page, text in [
+        ('<article><div class="post comments-open"><p>aaa</p></div></article>', "aaa"),
+        ('<body class="no-sidebar"><article><p>aaa</p></article></body>', "aaa"),
+        ('<form id="aspnetForm"><article><p>aaa</p></article></form>', "aaa"),
+        ('<form id="aspnetForm"><div><p>a longer text in a form</p></div><p class="menu">m</p></form>', "a longer text in a form"),
+        ('<article><p class="related-work">rw</p><p><span class="header">sh</span> x</p></article>', "rw\nsh x"),
+        ('<article class="post sponsored"><p>only</p></article>', "only"),
+        ('<div class="siteHeader">h</div><div class="page-content">text of the page</div><div class="ad-slot">buy</div>', "text of the page"),
+        ('<article><h1>t</h1><p>a</p><div class="comments"><p>reader</p></div><span class="ad">b</span></article>', "t\na"),
+    ]:
+        assert read(page) == [text], page
+
+
+def test_hidden_elements_end_with_what_is_around_them():
+    for tag in ("button", "select", "svg", "textarea", "canvas"):
+        assert read(f"<div><{tag}><b>hidden</div><p>next</p>") == ["next"], tag
+        assert read(f"<div><{tag}><div>in</div>side</{tag}>y</div><p>z</p>") == ["y\nz"], tag
+    assert read("<head><title>t</title><meta charset=x><p>body</p>") == ["body"]
+
+
+def test_reading_follows_the_order_of_the_expression():
+    """The same text is template in the first place of its label and content in the second: without the alignment both would go."""
+    pages = [f"<div>Our news</div><p>a {i}</p><div>{c}</div><pre>b {i}</pre>" for i, c in enumerate(("x", "y", "z", "Our news"))]
+    assert read(*pages)[3] == "a 3\nOur news\nb 3"
+    pages = [f"<article><h2>Intro</h2><p>a {i}</p><h2>{c}</h2><ul><li>k {i}</ul></article>" for i, c in enumerate(("x", "y", "z", "Intro"))]
+    assert read(*pages)[3] == "a 3\nIntro\nk 3"
+
+
+def test_optional_and_repeated_items():
+    box = "<section>Box</section>"
+    pages = [f"<article><p>a{i}</p>{box if i != 2 else ''}<p>b{i}</p><p>c{i}</p><h2>End</h2></article>" for i in range(4)]
+    assert read(*pages) == [f"a{i}\nb{i}\nc{i}" for i in range(4)]
+
+
+def test_articles_in_a_sidebar_are_no_main_text_beside_another():
+    page = "<aside><article><p>teaser</p></article></aside>{}<footer>f</footer>"
+    assert read(page.format("<main><p>story</p></main>")) == ["story"]
+    assert read(page.format("")) == ["teaser"]
