@@ -53,7 +53,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, length
         ends = np.concatenate(([0], np.cumsum([len(f) for f in frames])))
         out.append(_PLANE.pack(len(bit) - np.count_nonzero(bit), len(frames), int(ends[-1])))
         out += [before.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *frames]
-        order = np.concatenate((order[~bit], order[bit]))
+        order = np.concatenate((np.compress(~bit, order), np.compress(bit, order)))
     return b"".join(out)
 
 
@@ -121,8 +121,8 @@ class WaveletFile:
             raw = b"".join(self._unpack(self._raw[a:b]) for a, b in zip(ends, ends[1:]))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
             above, zeros = np.empty(self.n, kind), self.zeros[plane]
-            above[~bit] = order[:zeros]
-            above[bit] = order[zeros:] | kind(1 << depth)
+            above[np.flatnonzero(~bit)] = order[:zeros]
+            above[np.flatnonzero(bit)] = order[zeros:] | kind(1 << depth)
             order = above
         return order
 
