@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.numeric import exact_sum
 from quern.functions.reviews import parse_review
 from quern.operators.ordering import row_rank
 from quern.operators.skew import checked_broadcast
@@ -99,7 +100,9 @@ def kmeans_members(assigned: DataFrame, movies: DataFrame) -> DataFrame:
 
 def cluster_winners(assigned: DataFrame) -> DataFrame:
     """Per cluster its member count and the movie nearest to the average similarity; ties go to the lowest movie_id."""
-    averages = assigned.groupBy("cluster").agg(F.avg("similarity").cast("float").alias("_average"))
+    # An exact sum, so that the order of rows never decides which of two movies is nearer.
+    total = exact_sum(F.col("similarity").cast("double"))
+    averages = assigned.groupBy("cluster").agg((total / F.count("similarity")).cast("float").alias("_average"))
     distance = F.abs(F.col("_average") - F.col("similarity"))
     return (
         assigned.join(averages, "cluster")

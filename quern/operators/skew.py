@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only up to this many rows, counted before the hint is given.
+# A side is broadcast only up to this many rows and bytes, counted before the hint is given.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the frame has at most ``max_rows`` rows, else leave the join to shuffle."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row: eight for each column, and those of its text; columns of other kinds count as JSON."""
+    width = F.lit(8 * len(df.columns))
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind in ("array", "struct", "map", "variant"):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+    return width.cast("bigint")
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the frame has at most ``max_rows`` rows of ``max_bytes`` together, else leave the join to shuffle."""
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(_width(df))).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df)
     return df
 

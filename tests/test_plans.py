@@ -72,5 +72,8 @@ def test_larger_sides_are_shuffled(spark, monkeypatch):
         small, large = spark.range(5), spark.range(50)
         assert "BroadcastHashJoin" in plan(large.join(skew.checked_broadcast(small, 10), "id"))
         assert "SortMergeJoin" in plan(large.join(skew.checked_broadcast(large, 10), "id"))
+        wide = small.withColumn("text", F.repeat(F.lit("x"), 1000)).withColumn("list", F.array(F.lit(1), F.lit(2)))
+        assert "SortMergeJoin" in plan(large.join(skew.checked_broadcast(wide, 10, max_bytes=2000), "id"))
+        assert "BroadcastHashJoin" in plan(large.join(skew.checked_broadcast(wide, 10, max_bytes=100_000), "id"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
