@@ -223,26 +223,37 @@ def update_bursts(
 def merge_bursts(parts: DataFrame, partition: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """Bursts from parts of them (burst_start, burst_end, changes): parts that touch or overlap are one.
 
-    Parts may come in any order and any number; the union does not depend on either.  A burst starts where no part is open,
-    ends of a moment counting after its starts.
+    Parts may come in any order and any number; the union does not depend on either.  A burst starts where no part before reaches
+    to; how far those of earlier ranges reach, and how many bursts began in them, comes from one small row per range.
     """
-    keys = list(partition)
-    ends = F.array(
-        F.struct(F.col("burst_start").alias("at"), F.lit(0).alias("ends"), F.lit(1).alias("step"), "changes"),
-        F.struct(F.col("burst_end").alias("at"), F.lit(1).alias("ends"), F.lit(-1).alias("step"), F.lit(0).cast("bigint").alias("changes")),
+    keys, order = list(partition), ["burst_start", "burst_end"]
+    placed = in_order(parts.select(*keys, *order, F.col("changes").cast("bigint").alias("changes")), keys, order, ranges).frame
+    before = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(*before)
+    inside = Window.partitionBy("_group", "_bucket").orderBy(*order)
+    reach = (
+        placed.groupBy("_group", "_bucket")
+        .agg(F.max("burst_end").alias("_end"))
+        .select("_group", "_bucket", F.max("_end").over(earlier).alias("_reach"))
+    )
+    reached = F.greatest(F.max("burst_end").over(inside.rowsBetween(*before)), "_reach")
+    own = (
+        placed.join(reach, ["_group", "_bucket"])
+        .withColumn("_reached", reached)
+        .withColumn("_starts", F.when(F.col("_reached").isNull() | (F.col("burst_start") > F.col("_reached")), 1).otherwise(0))
+        .withColumn("_place", F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .groupBy(*keys, "_group", "_bucket", "_place")
+        .agg(F.min("burst_start").alias("burst_start"), F.max("burst_end").alias("burst_end"), F.sum("changes").alias("changes"))
     )
-    moments = (
-        parts.withColumn("changes", F.col("changes").cast("bigint"))
-        .select(*keys, F.inline(ends))
-        .groupBy(*keys, "at", "ends")
-        .agg(F.sum("step").alias("step"), F.sum("changes").alias("changes"))
+    # A range's place 0 goes on with the last burst of the ranges before.
+    begun = (
+        own.groupBy("_group", "_bucket")
+        .agg(F.max("_place").alias("_count"))
+        .select("_group", "_bucket", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_begun"))
     )
-    opened = in_order(moments, keys, ["at", "ends"], ranges).total(F.col("step"), "_open")
-    starts = F.when((F.col("ends") == 0) & (F.col("_open") == F.col("step")), 1).otherwise(0)
     return (
-        opened.total(starts, "_burst")
-        .rows()
-        .groupBy(*keys, "_burst")
-        .agg(F.min("at").alias("burst_start"), F.max("at").alias("burst_end"), F.sum("changes").alias("changes"))
+        own.join(begun, ["_group", "_bucket"])
+        .groupBy(*keys, (F.col("_begun") + F.col("_place")).alias("_burst"))
+        .agg(F.min("burst_start").alias("burst_start"), F.max("burst_end").alias("burst_end"), F.sum("changes").alias("changes"))
         .drop("_burst")
     )

@@ -90,6 +90,26 @@ def test_bursts_over_ranges_are_those_of_one_pass(spark, ranges):
     assert values(traces.update_bursts(df, ("g",), gap_seconds=2, ranges=ranges)) == sorted(plain, key=repr)
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_parts_that_touch_or_lie_within_each_other_are_one(spark, ranges):
+    random.seed(ranges + 100)
+    parts = [(g, a, a + random.choice((1, 2, 5, 60)), random.randrange(1, 4)) for g in (0, 1, None) for a in random.choices(range(400), k=60)]
+    parts += [(2, 0, 500, 1)] + [(2, i, i + 1, 1) for i in range(0, 600, 3)]
+    moment = lambda s: MOMENT + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([(g, moment(a), moment(b), n) for g, a, b, n in parts], "g int, burst_start timestamp, burst_end timestamp, changes int")
+    plain = []
+    for g in (0, 1, 2, None):
+        merged = []
+        for _, a, b, n in sorted(p for p in parts if p[0] == g):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = [merged[-1][0], max(b, merged[-1][1]), merged[-1][2] + n]
+            else:
+                merged.append([a, b, n])
+        plain += [(g, moment(a), moment(b), n) for a, b, n in merged]
+    assert values(traces.merge_bursts(df, ("g",), ranges=ranges)) == sorted(plain, key=repr)
+    assert traces.merge_bursts(df.where("false"), ("g",)).count() == 0
+
+
 @pytest.mark.parametrize("files", [1, 60])
 def test_stream_bursts_equal_batch_bursts(spark, folder, files):
     """However the events lie in files, and with those still open at the end."""
