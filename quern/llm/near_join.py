@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import ROW_TYPE, on_arrow, pieces, private_name, shuffle_parts, texts_of, with_row_key, written
 from quern.llm.components import components
 from quern.llm.quality import Texts
+from quern.operators.skew import checked_broadcast
 
 WORDS = 5
 # Similarity as a fraction of whole numbers.
@@ -27,7 +28,7 @@ TREES = 40
 LABEL_HASHES = 12
 TARGET_RECALL = 0.99999
 # What a task verifies at once: texts and n-grams of a block, two blocks at a time.
-BLOCK_TEXTS = 500
+BLOCK_TEXTS = 128
 BLOCK_GRAMS = 500_000
 _PIECE_BYTES = 1 << 20
 
@@ -244,7 +245,9 @@ def _blocks(owners: DataFrame, groups: DataFrame, block_texts: int, block_grams:
     sizes = owners.select("node", "row", "size").join(groups, "node")
     totals = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), (F.sum("size") / 5).alias("grams"))
     blocks = F.greatest(F.ceil(F.col("texts") / block_texts), F.ceil(F.col("grams") / block_grams)).cast("int")
-    counted = sizes.drop("size").join(totals.select("component", blocks.alias("blocks")), "component")
+    # Few components are larger than a block, and only those need their number of blocks joined back.
+    large = totals.select("component", blocks.alias("many")).where("many > 1")
+    counted = sizes.drop("size").join(checked_broadcast(large), "component", "left").withColumn("blocks", F.coalesce("many", F.lit(1))).drop("many")
     return counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
