@@ -3,8 +3,10 @@
 Every 50-byte window has an anchor, the 16 bytes in it with the least hash, so equal windows have equal
 anchors.  Documents lie in blocks; a block tells which anchors it holds, and learns which of them another document
 holds too.  Only around those the bytes go on, dealt by anchor, as pieces that join the windows of one anchor.
+A block sends each piece once, with its least document, and keeps where the piece lies, so a passage of many documents is one piece a block.
 Equal pieces are one.  Where an anchor has different pieces, their suffixes are sorted by grouping, and windows that
-are equal lie side by side in that order, so the least document of each is known.  The blocks get the covered ranges back.
+are equal lie side by side in that order, so the least document of each is known.  The blocks get each piece's least document of all
+back, and for that one the windows that also lie in another piece of an earlier one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ HOT_DOCUMENTS = 2_000
 SORT_BYTES = 1 << 17
 
 _SPAN = WINDOW - GRAM + 1
-_HALF = (WINDOW - GRAM) // 2
 _CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _HASH = np.uint64((1 << 48) - 1)
@@ -223,8 +224,21 @@ def _pieces_of(run: _Runs, told: np.ndarray, hot: np.ndarray):
     )
 
 
+def _distinct(content: np.ndarray, begin: np.ndarray, length: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct piece, and the number of the piece of each; a hash proposes, the bytes decide."""
+    _, first, number = np.unique(content, return_index=True, return_inverse=True)
+    same = first[number]
+    equal = length[same] == length
+    differ = data[_ranges(begin[equal], length[equal])] != data[_ranges(begin[same[equal]], length[equal])]
+    if not equal.all() or differ.any():
+        known: dict[bytes, int] = {}
+        number = np.array([known.setdefault(data[a : a + n].tobytes(), len(known)) for a, n in zip(begin.tolist(), length.tolist())], np.int64)
+        _, first = np.unique(number, return_index=True)
+    return first, number
+
+
 def _send(parts: int):
-    """The pieces of a block, equal ones once, and where they lie."""
+    """The pieces of a block, each once with its least document, by part; and for the block itself (key parts + block) where they lie."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
         name = key[0].as_py()
@@ -247,23 +261,31 @@ def _send(parts: int):
         deal, content, length, side, doc, start = (np.concatenate(c) for c in zip(*found))
         data = np.concatenate(body)
         begin = np.cumsum(length) - length
-        to, frames = [], []
+        to, frames, kept = [], [], []
         for part, own in _dealt((deal % np.uint64(parts)).astype(np.int64), parts):
-            _, first, number = np.unique(content[own], return_index=True, return_inverse=True)
+            first, number = _distinct(content[own], begin[own], length[own], data)
             one = own[first]
+            least = np.full(len(one), _NO_ID)
+            np.minimum.at(least, number, block.order[doc[own]])
             to.append(part)
             frames.append(
                 _packed(
-                    deal[one].astype("<u8"), length[one].astype("u1"), side[one].astype("u1"),
-                    number.astype("<u4"), block.order[doc[own]].astype("<i8"), doc[own].astype("<u4"), start[own].astype("<u4"),
+                    deal[one].astype("<u8"), length[one].astype("u1"), side[one].astype("u1"), least.astype("<i8"),
                     rest=data[_ranges(begin[one], length[one])].tobytes(),
                 )
             )
+            kept.append((np.full(len(own), part, "<i4"), number.astype("<u4"), doc[own].astype("<u4"), start[own].astype("<u4"), length[own].astype("u1")))
+        to.append(parts + name)
+        frames.append(_packed(*(np.concatenate(c) for c in zip(*kept))) if kept else _packed(*(np.zeros(0, k) for k in _LIES)))
         return _table({"block": [name] * len(to), "part": to}, frames)
 
     return run
 
 
+# What a block keeps of each piece that lies in it: part, number in the part, document, start, length.
+_LIES = ("<i4", "<u4", "<u4", "<u4", "u1")
+
+
 def _earlier_windows(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows (piece, first, last) that also lie in a piece with a smaller ``least``."""
     sizes = np.array([len(t) for t in texts])
@@ -287,29 +309,44 @@ def _earlier_windows(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray,
     return piece[first], inside[first], inside[last]
 
 
-def _may_match(texts: list[bytes], deal: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Pieces that share 17 bytes on one side of the anchor with another piece of it, as equal windows do."""
-    keep = np.zeros(len(texts), bool)
-    for left in (True, False):
-        known: dict[tuple[int, bytes], int] = {}
-        for i, (text, hashed, at) in enumerate(zip(texts, deal.tolist(), side.tolist())):
-            cut = text[at - _HALF : at] if left else text[at + GRAM : at + GRAM + _HALF]
-            if at == _NO_SIDE or len(cut) < _HALF:
-                continue
-            before = known.setdefault((hashed, cut), i)
-            if before != i:
-                keep[before] = keep[i] = True
-    return keep
+def _longest_shared(sides: list[bytes], deal: np.ndarray) -> np.ndarray:
+    """How many first bytes each text has in common with some other text of its anchor: with a neighbour in sorted order."""
+    width = WINDOW - GRAM
+    sizes = np.array([len(t) for t in sides])
+    rows = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in sides), np.uint8).reshape(-1, width)
+    keyed = np.concatenate((deal.astype(">u8").view(np.uint8).reshape(-1, 8), rows), axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{8 + width}").reshape(-1), kind="stable")
+    rows, group, size = rows[order], deal[order], sizes[order]
+    same = np.minimum.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)
+    same = np.where(group[1:] == group[:-1], np.minimum(same, np.minimum(size[1:], size[:-1])), -1)
+    best = np.maximum(np.append(-1, same), np.append(same, -1))
+    found = np.empty(len(sides), np.int64)
+    found[order] = best
+    return found
+
+
+def _shareable(texts: list[bytes], deal: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each piece around its anchor that windows shared with another piece of the anchor can lie in; none if begin = end."""
+    left = _longest_shared([t[:at][::-1] for t, at in zip(texts, side.tolist())], deal)
+    right = _longest_shared([t[at + GRAM :] for t, at in zip(texts, side.tolist())], deal)
+    fits = (left >= 0) & (right >= 0) & (left + GRAM + right >= WINDOW)
+    return np.where(fits, side - left, 0), np.where(fits, side + GRAM + right, 0)
+
 
+def _sort(parts: int, sort_bytes: int):
+    """For the blocks that the pieces of a part came from, each piece's least document, and its windows that an earlier one has too.
 
-def _sort(sort_bytes: int):
-    """Covered ranges of the pieces of a part, for the blocks they came from."""
+    What a block keeps for itself goes through to it.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        if part >= parts:
+            return _table({"block": [part - parts] * table.num_rows, "part": [-1] * table.num_rows}, table.column("frame").to_pylist())
         numbers: dict[bytes, int] = {}
-        deal, side, columns = [], [], []
-        for block, raw in zip(table.column("block").to_pylist(), table.column("frame").to_pylist()):
-            hashed, length, place, number, order, doc, start, body = _unpacked(raw, "<u8", "u1", "u1", "<u4", "<i8", "<u4", "<u4")
+        deal, side, of_block, orders = [], [], [], []
+        for raw in table.column("frame").to_pylist():
+            hashed, length, place, order, body = _unpacked(raw, "<u8", "u1", "u1", "<i8")
             own, at = [], 0
             for h, n, s in zip(hashed.tolist(), length.tolist(), place.tolist()):
                 text = body[at : at + n]
@@ -319,44 +356,70 @@ def _sort(sort_bytes: int):
                     deal.append(h)
                     side.append(s)
                 own.append(i)
-            columns.append((np.array(own, np.int64)[number], order, np.full(len(order), block), doc.astype(np.int64), start.astype(np.int64)))
-        piece, order, block, doc, start = (np.concatenate(c) for c in zip(*columns))
+            of_block.append(np.array(own, np.int64))
+            orders.append(order)
         texts = list(numbers)
         deal, side = np.array(deal, np.uint64), np.array(side)
         sizes = np.array([len(t) for t in texts])
         least = np.full(len(texts), _NO_ID)
-        np.minimum.at(least, piece, order)
-        later = order > least[piece]
-        out = [(block[later], doc[later], start[later], start[later] + sizes[piece[later]])]
+        np.minimum.at(least, np.concatenate(of_block), np.concatenate(orders))
         # Anchors with different pieces: their suffixes are sorted, some anchors at a time.
-        by_anchor = np.argsort(deal, kind="stable")
-        may = _may_match([texts[i] for i in by_anchor], deal[by_anchor], side[by_anchor])
-        chosen = by_anchor[may]
+        placed = np.flatnonzero(side != _NO_SIDE)
+        by_anchor = placed[np.argsort(deal[placed], kind="stable")]
+        begin, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        if len(by_anchor):
+            begin[by_anchor], end[by_anchor] = _shareable([texts[i] for i in by_anchor], deal[by_anchor], side[by_anchor].astype(np.int64))
+        chosen = by_anchor[begin[by_anchor] < end[by_anchor]]
         new = np.ones(len(chosen), bool)
         new[1:] = deal[chosen][1:] != deal[chosen][:-1]
         groups = np.split(chosen, np.flatnonzero(new)[1:]) if len(chosen) else []
-        first_lies = ~later
-        by_piece = np.flatnonzero(first_lies)[np.argsort(piece[first_lies], kind="stable")]
-        lies_at = np.searchsorted(piece[by_piece], np.arange(len(texts) + 1))
-        for low, high in pieces(np.array([sizes[g].sum() for g in groups]), sort_bytes):
+        late = [(np.zeros(0, np.int64),) * 3]
+        for low, high in pieces(np.array([(end - begin)[g].sum() for g in groups]), sort_bytes):
             some = np.concatenate(groups[low:high])
-            local, first, last = _earlier_windows([texts[i] for i in some], least[some])
-            which = some[local]
-            times = lies_at[which + 1] - lies_at[which]
-            lies = by_piece[_ranges(lies_at[which], times)]
-            out.append((block[lies], doc[lies], start[lies] + np.repeat(first, times), start[lies] + np.repeat(last, times) + WINDOW))
-        block, doc, start, end = (np.concatenate(c) for c in zip(*out))
-        to, frames = [], []
-        for name in np.unique(block).tolist():
-            own = np.flatnonzero(block == name)
-            own = own[np.lexsort((start[own], doc[own]))]
-            to.append(name)
-            frames.append(_packed(doc[own].astype("<u4"), start[own].astype("<u4"), end[own].astype("<u4")))
-        return _table({"block": to}, frames)
+            local, first, last = _earlier_windows([texts[i][a:b] for i, a, b in zip(some.tolist(), begin[some].tolist(), end[some].tolist())], least[some])
+            late.append((some[local], first + begin[some[local]], last + begin[some[local]]))
+        piece, first, last = (np.concatenate(c) for c in zip(*late))
+        by_piece = np.argsort(piece, kind="stable")
+        piece, first, last = piece[by_piece], first[by_piece], last[by_piece]
+        cuts = np.searchsorted(piece, np.arange(len(texts) + 1))
+        frames = []
+        for own, order in zip(of_block, orders):
+            mine = np.flatnonzero(order == least[own])
+            times = cuts[own[mine] + 1] - cuts[own[mine]]
+            at = _ranges(cuts[own[mine]], times)
+            frames.append(_packed(least[own].astype("<i8"), np.repeat(mine, times).astype("<u4"), first[at].astype("u1"), last[at].astype("u1")))
+        return _table({"block": table.column("block").to_pylist(), "part": [part] * len(frames)}, frames)
 
     return run
 
 
+def _covered(block: _Block, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of what is covered in a block: pieces that an earlier document has, and windows of the others."""
+    lies: list[np.ndarray] | None = None
+    answers = {}
+    for part, raw in zip(table.column("part").to_pylist(), table.column("frame").to_pylist()):
+        if part < 0:
+            lies = _unpacked(raw, *_LIES)[:-1]
+        else:
+            answers[part] = _unpacked(raw, "<i8", "<u4", "u1", "u1")[:-1]
+    out = [(np.zeros(0, np.int64),) * 3]
+    if lies is not None:
+        of_part, number, doc, start, length = (a.astype(np.int64) for a in lies)
+        cuts = np.flatnonzero(np.append(True, of_part[1:] != of_part[:-1])).tolist() if len(of_part) else []
+        for low, high in zip(cuts, [*cuts[1:], len(of_part)]):
+            least, piece, first, last = answers[int(of_part[low])]
+            own, at, begin = number[low:high], doc[low:high], start[low:high]
+            later = block.order[at] > least[own]
+            out.append((at[later], begin[later], begin[later] + length[low:high][later]))
+            if len(piece):
+                held = np.flatnonzero(~later)
+                bounds = np.searchsorted(piece, np.arange(len(least) + 1))
+                times = bounds[own[held] + 1] - bounds[own[held]]
+                which = _ranges(bounds[own[held]], times)
+                out.append((np.repeat(at[held], times), np.repeat(begin[held], times) + first[which], np.repeat(begin[held], times) + last[which] + WINDOW))
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out))
+
+
 _RESULT = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
      ("kept", pa.binary())]
@@ -369,8 +432,7 @@ def _cut(with_kept: bool):
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, covered: pa.Table) -> pa.Table:
         block = _Block(docs)
-        frames = [_unpacked(raw, "<u4", "<u4", "<u4")[:3] for raw in covered.column("frame").to_pylist()]
-        doc, start, end = (np.concatenate(c).astype(np.int64) for c in zip(*frames)) if frames else (np.zeros(0, np.int64),) * 3
+        doc, start, end = _covered(block, covered)
         by_doc = np.argsort(doc, kind="stable")
         cuts = np.searchsorted(doc[by_doc], np.arange(len(block.texts) + 1))
         rows = []
@@ -408,6 +470,6 @@ def remove_repeats(
     asked = packed.groupBy("block").applyInArrow(_ask(parts), "block int, part int, frame binary")
     told = asked.groupBy("part").applyInArrow(_tell(hot_documents), "block int, frame binary")
     sent = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(parts), "block int, part int, frame binary")
-    covered = sent.groupBy("part").applyInArrow(_sort(sort_bytes), "block int, frame binary")
+    covered = sent.groupBy("part").applyInArrow(_sort(parts, sort_bytes), "block int, part int, frame binary")
     result = packed.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_cut(with_kept), _RESULT_SQL)
     return result if with_kept else result.drop("kept")

@@ -79,3 +79,34 @@ def test_suffix_array_against_sorting():
         if turn % 3 == 0 and text:
             text = (text[: rng.randrange(1, len(text) + 1)] * 20)[: len(text)]
         assert suffix_array(np.array(text, np.int64)) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_pieces_that_share_a_hash_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"abcabdabcab", np.uint8)
+    begin, length = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    for content in (np.array([7, 7, 7, 7], np.uint64), np.array([5, 9, 5, 1], np.uint64)):
+        first, number = substring_dedup._distinct(content, begin, length, data)
+        texts = [bytes(data[b : b + n]) for b, n in zip(begin, length)]
+        assert [texts[first[k]] for k in number] == texts and len(first) == 3
+
+
+def test_a_passage_of_many_documents_is_one_piece_a_block(spark):
+    """What the parts get does not grow with the documents that hold a passage; only the blocks know all of them."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    sizes = []
+    for many in (200, 2000):
+        rows = [(i, f"{i} {passage}") for i in range(many)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = substring_dedup.remove_repeats(docs, hot_documents=50).collect()
+        assert sum(r.n_removed == 0 for r in found) == 1
+        assert all(r.n_removed >= 400 for r in found if r.n_removed)
+        texts = [t.encode() for _, t in rows]
+        run = next(substring_dedup._runs(texts))
+        told = np.unique(run.hash)
+        deal, start, length, side, doc = substring_dedup._pieces_of(run, told, np.zeros(len(told), bool))
+        content = np.array([hash(bytes(run.data[a : a + n])) & (2**63 - 1) for a, n in zip(start, length)], np.uint64)
+        first, _ = substring_dedup._distinct(content, start, length, run.data)
+        ends = [n for a, n in zip(start[first], length[first]) if passage.encode().find(bytes(run.data[a : a + n])) >= 0]
+        sizes.append(sum(ends))
+    assert sizes[0] == sizes[1]
