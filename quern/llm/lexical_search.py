@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import on_arrow, pieces, texts_of, written
+from quern.llm.common import on_arrow, pieces, shuffle_parts, texts_of, written
 
 TOP = 20
 # Queries that go over the documents together: what is sent to the tasks, and the width of their bounds.
@@ -239,11 +239,17 @@ def ranked_search(
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    order = Window.partitionBy("block", "item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # Each task has sent its best; those are ranked in parts first, as they are more for more tasks.
+    salted = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_parts(docs))))
+    ranked = _ranked(_ranked(salted, ["block", "item", "salt"], top), ["block", "item"], top)
     return ranked.select("item_id", "rank", "doc_id", "score")
 
 
+def _ranked(found: DataFrame, keys: list[str], top: int) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 ORACLE = r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
