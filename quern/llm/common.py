@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,13 +67,39 @@ def _archive(application: str) -> str:
     return shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern"), "zip", root, "quern")
 
 
-def on_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package sent to the executors, which need not have it installed."""
+# What operators keep in a Python worker from task to task: a name, and how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_in_worker(name: str, let_go: Callable[[], None]) -> None:
+    _kept[name] = let_go
+
+
+def let_go_but(name: str | None) -> None:
+    """Spark uses a worker again for other operators; what they do not need would lie beside their own data."""
+    for other, let_go in _kept.items():
+        if other != name:
+            let_go()
+    pa.default_memory_pool().release_unused()
+
+
+def on_arrow(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None
+) -> DataFrame:
+    """``mapInArrow`` with this package sent to the executors, which need not have it installed.
+
+    A worker lets go of what other operators have kept in it; ``keeps`` names what this one goes on with.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go_but(keeps)
+        yield from run(batches)
+
     context = df.sparkSession.sparkContext
     archive = _archive(context.applicationId)
     if not any(f.endswith(os.path.basename(archive)) for f in context.listFiles):
         context.addPyFile(archive)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def shuffle_parts(df: DataFrame) -> int:
@@ -85,6 +112,14 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def text_runs(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The texts of rows start .. stop, about ``most`` bytes at a time, so that a batch is not held twice as objects."""
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for start, stop in pieces(sizes, most):
+        yield start, stop, texts_of(texts.slice(start, stop - start))
+
+
 def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Cut rows into runs of about ``most`` bytes; a larger row is a run of its own."""
     start, held = 0, 0

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ROW_TYPE, SPACES, on_arrow, private_name, shuffle_parts, texts_of, with_row_key, written
+from quern.llm.common import ROW_TYPE, SPACES, on_arrow, private_name, shuffle_parts, text_runs, with_row_key, written
 
 # Bytes of edges that a map task's trie holds before it spills a subtree.
-TRIE_BYTES = 48 << 20
-_OUT_BYTES = 8 << 20
+TRIE_BYTES = 16 << 20
+_OUT_BYTES = 2 << 20
 _ENTRY = pa.schema(
     [("doc_id", pa.int64()), ("length", pa.int64()), ("hash", pa.int64()), ("sha", pa.binary()),
      ("text", pa.binary()), ("keep_id", pa.int64()), ("copies", pa.int64()),
@@ -136,16 +136,16 @@ def _entries(id_column: str, text_column: str, trie_bytes: int, bits: int) -> Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie()
         for batch in batches:
-            rows = []
-            keys = batch.column("row").to_pylist()
-            for doc_id, text, key in zip(batch.column(id_column).to_pylist(), texts_of(batch.column(text_column)), keys):
-                text = normalise(text)
-                trie.insert(text, doc_id)
-                rows.append((doc_id, *key_of(text, bits), None, None, None, key))
-            if rows:
+            ids, keys = batch.column(id_column), batch.column("row")
+            for start, stop, texts in text_runs(batch, text_column, _OUT_BYTES):
+                rows = []
+                for doc_id, text, key in zip(ids.slice(start, stop - start).to_pylist(), texts, keys.slice(start, stop - start).to_pylist()):
+                    text = normalise(text)
+                    trie.insert(text, doc_id)
+                    rows.append((doc_id, *key_of(text, bits), None, None, None, key))
                 yield _batch(rows)
-            while trie.held > trie_bytes:
-                yield from owners(trie.spill())
+                while trie.held > trie_bytes:
+                    yield from owners(trie.spill())
         yield from owners(trie.drain())
 
     return run

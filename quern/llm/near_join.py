@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ROW_TYPE, on_arrow, pieces, private_name, shuffle_parts, texts_of, with_row_key, written
+from quern.llm.common import ROW_TYPE, on_arrow, private_name, shuffle_parts, text_runs, texts_of, with_row_key, written
 from quern.llm.components import components
 from quern.llm.quality import Texts
 from quern.operators.skew import checked_broadcast
@@ -30,7 +30,7 @@ TARGET_RECALL = 0.99999
 # What a task verifies at once: texts and n-grams of a block, two blocks at a time.
 BLOCK_TEXTS = 128
 BLOCK_GRAMS = 500_000
-_PIECE_BYTES = 1 << 20
+_PIECE_BYTES = 1 << 18
 
 
 def prefix_length(similarity: float, trees: int, longest: int, recall: float) -> int:
@@ -97,9 +97,8 @@ def name_of(doc_id: int | None, key: bytes) -> bytes:
 def _sign(n: int, trees: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
-            for start, stop in pieces(np.array([len(t) for t in texts]), _PIECE_BYTES):
-                some = texts[start:stop]
+            doc_ids = batch.column("doc_id").to_pylist()
+            for start, stop, some in text_runs(batch, "text", _PIECE_BYTES):
                 keys = [text_key(t) for t in some]
                 first = {k: i for i, k in reversed(list(enumerate(keys)))}
                 distinct = list(first.values())

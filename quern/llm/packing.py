@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import ROW_TYPE, on_arrow, private_name, shuffle_parts, with_row_key
-from quern.llm.tokens import word_encoder
+from quern.llm.tokens import KEPT, word_encoder
 
 SEQUENCE = 4096
 END_ID = 2
@@ -177,9 +177,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, gr
     source = with_row_key(docs, name).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("row"), F.col("text").cast("string").alias("text")
     )
-    encoded = on_arrow(source, _encode(path), f"doc_id long, deal long, row {ROW_TYPE}, ids binary")
+    encoded = on_arrow(source, _encode(path), f"doc_id long, deal long, row {ROW_TYPE}, ids binary", KEPT)
     # Equal rows, such as empty texts without doc_id, are dealt apart by their keys.
     order = F.xxhash64("doc_id", "deal", "row")
     dealt = encoded.repartition(shuffle_parts(docs), order).sortWithinPartitions(order, "doc_id", "deal", "row").select("doc_id", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return on_arrow(dealt, _pack(path, size, group_tokens), schema)
+    return on_arrow(dealt, _pack(path, size, group_tokens), schema, KEPT)

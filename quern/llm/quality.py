@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import on_arrow, pieces, texts_of
+from quern.llm.common import on_arrow, text_runs, texts_of
 
 # Labelled rows that the classifier is fitted on, a fifth of them for its calibration.
 SAMPLE_ROWS = 1500
@@ -27,7 +27,7 @@ MAX_REPEAT_PERCENT = 20
 
 _KINDS = 3  # words, pairs of words, four characters
 _STEPS, _RATE, _SCALE, _DECAY = 120, 0.3, 20.0, 1e-5
-_PIECE_BYTES = 1 << 20
+_PIECE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -268,16 +268,15 @@ _SCHEMA = (
 )
 
 
-def _verdicts(model: Model, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
-    """Counts, verdict and probability of texts start .. stop, piece by piece."""
-    for start, stop in pieces(np.array([len(t) for t in texts]), _PIECE_BYTES):
-        analysed = Texts(texts[start:stop])
-        counts = analysed.counts()
-        p = model.probability(analysed)
-        words = counts["n_words"]
-        failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
-        counts = {k: c.astype(np.int64) for k, c in counts.items()}
-        yield start, stop, {**counts, "base_failed": failed, "kept": ~failed & (p >= threshold), "probability": p}
+def _verdicts(model: Model, texts: list[bytes], threshold: float) -> dict[str, np.ndarray]:
+    """Counts, verdict and probability of texts."""
+    analysed = Texts(texts)
+    counts = analysed.counts()
+    p = model.probability(analysed)
+    words = counts["n_words"]
+    failed = (words < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
+    counts = {k: c.astype(np.int64) for k, c in counts.items()}
+    return {**counts, "base_failed": failed, "kept": ~failed & (p >= threshold), "probability": p}
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -291,7 +290,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            for start, stop, verdicts in _verdicts(fitted, texts_of(batch.column("text")), threshold):
+            for start, stop, texts in text_runs(batch, "text", _PIECE_BYTES):
+                verdicts = _verdicts(fitted, texts, threshold)
                 doc_ids = batch.column("doc_id").slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, verdicts.values())], names=["doc_id", *verdicts])
 
@@ -310,7 +310,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [v["kept"] for _, _, v in _verdicts(shared.value, texts_of(batch.column("text")), THRESHOLD)]
-            yield batch.filter(pa.array(np.concatenate(kept) if kept else [], pa.bool_()))
+            for start, stop, texts in text_runs(batch, "text", _PIECE_BYTES):
+                kept = _verdicts(shared.value, texts, THRESHOLD)["kept"]
+                yield batch.slice(start, stop - start).filter(pa.array(kept, pa.bool_()))
 
     return on_arrow(docs, run, docs.schema)

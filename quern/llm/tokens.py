@@ -17,11 +17,12 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from quern.llm.common import pieces
+from quern.llm.common import keep_in_worker, pieces
 
 # Pieces in the table, at about 50 bytes each, before it starts anew; and other pieces kept as objects.
 TABLE_PIECES = 1_500_000
-CACHED_WORDS = 250_000
+_TABLE_BYTES = 1 << 30
+CACHED_WORDS = 20_000
 _AT_ONCE = 20_000
 _LEARN_CHARS = 1 << 20
 # Spark runs a task on every core already; more threads of the library would only take turns.
@@ -72,6 +73,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places starts[0] .. starts[0] + lengths[0] - 1, then those of the next range, and so on."""
+    starts, lengths = starts.astype(np.int64), lengths.astype(np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
@@ -84,7 +86,7 @@ class _Buffer:
 
     def append(self, new: np.ndarray) -> None:
         if self.size + len(new) > len(self._held):
-            self._held = np.concatenate((self._held[: self.size], np.zeros(max(len(new), self.size // 2 + 1024), self._held.dtype)))
+            self._held = np.concatenate((self._held[: self.size], np.zeros(max(len(new), self.size // 4 + 1024), self._held.dtype)))
         self._held[self.size : self.size + len(new)] = new
         self.size += len(new)
 
@@ -97,9 +99,9 @@ class _Table:
     """Pieces by hash: their kind, bytes and ids in flat arrays, found by a search in the sorted hashes."""
 
     def __init__(self) -> None:
-        self.hashes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.kinds, self.chars, self.ids = _Buffer("u1"), _Buffer("u1"), _Buffer("<u4")
-        self.char_at, self.char_n, self.id_at, self.id_n = (_Buffer(t) for t in ("i8", "i4", "i8", "i4"))
+        self.char_at, self.char_n, self.id_at, self.id_n = (_Buffer(t) for t in ("u4", "u4", "u4", "u4"))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 if there is none."""
@@ -114,10 +116,10 @@ class _Table:
         """Add pieces and give their entries; without hashes no search will find them."""
         first = self.kinds.size
         entries = np.arange(first, first + len(raw))
-        char_n, id_n = np.array([len(r) for r in raw], "i4"), np.array([len(i) // 4 for i in ids], "i4")
+        char_n, id_n = np.array([len(r) for r in raw], "u4"), np.array([len(i) // 4 for i in ids], "u4")
         self.kinds.append(kinds)
         for at, n, flat, new in ((self.char_at, char_n, self.chars, np.frombuffer(b"".join(raw), "u1")), (self.id_at, id_n, self.ids, np.frombuffer(b"".join(ids), "<u4"))):
-            at.append(flat.size + np.cumsum(n) - n)
+            at.append((flat.size + np.cumsum(n, dtype=np.int64) - n).astype("u4"))
             flat.append(new)
         self.char_n.append(char_n)
         self.id_n.append(id_n)
@@ -312,7 +314,7 @@ class Encoder:
         hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
         hashes ^= hashes >> np.uint64(29)
         own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.table.kinds.size > self.table_pieces:
+        if self.table.kinds.size > self.table_pieces or self.table.chars.size > _TABLE_BYTES:
             self.table = _Table()
         found = self.table.find(own)
         new = np.flatnonzero(found < 0)
@@ -358,6 +360,16 @@ def _shared(path: str, separator: str, spaced: bool) -> Encoder:
     return Encoder(path, separator, spaced)
 
 
+def _let_go() -> None:
+    _shared.cache_clear()
+    _powers.clear()
+
+
+# What a worker keeps of this module from task to task.
+KEPT = "tokens"
+keep_in_worker(KEPT, _let_go)
+
+
 def byte_encoder(path: str) -> Encoder:
     """For the byte-level vocabulary, kept for all tasks of a Python worker."""
     return _shared(path, "<|endoftext|>", True)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import on_arrow, private_name, shuffle_parts, with_row_key, written
-from quern.llm.tokens import byte_encoder
+from quern.llm.tokens import KEPT, byte_encoder
 
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -233,7 +233,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_tokens: in
     order = ["doc_id", "hash", "row"]
     ordered = source.repartitionByRange(shuffle_parts(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(
-        on_arrow(ordered, _build(path, shard_tokens), "part long, seq long, n_tokens long, file binary"), "wavelet"
+        on_arrow(ordered, _build(path, shard_tokens), "part long, seq long, n_tokens long, file binary", KEPT), "wavelet"
     )
 
 
