@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The separators between words and between lines.
-WORD_BREAK = "[ \\t\\n\\r\\f]+"
-LINE_BREAK = "\r\n|\n|\r"
+# The separators of words beside the space, and those of lines beside the line feed.  They are replaced by
+# these, as a split at one plain character takes no regular expression.
+WORD_BREAKS = ("\t", "\n", "\r", "\f")
+LINE_BREAKS = ("\r\n", "\r")
+
+
+def _replaced(text: Column, breaks: tuple[str, ...], by: str) -> Column:
+    for found in breaks:
+        text = F.replace(text, F.lit(found), F.lit(by))
+    return text
 
 
 def tokens(text: Column) -> Column:
     """Array of words; case and punctuation are kept and no word is empty."""
-    return F.array_remove(F.split(text, WORD_BREAK), "")
+    return F.array_remove(F.split(_replaced(text, WORD_BREAKS, " "), " "), "")
 
 
 def lines(text: Column) -> Column:
@@ -21,21 +28,15 @@ def lines(text: Column) -> Column:
     A final line break ends the last line instead of starting an empty one, and an
     empty text has no lines.
     """
-    ended = F.regexp_replace(text, f"({LINE_BREAK})\\z", "")
-    return F.when(text != "", F.split(ended, LINE_BREAK)).otherwise(F.array().cast("array<string>"))
+    parts = F.split(_replaced(text, LINE_BREAKS, "\n"), "\n")
+    last = F.size(parts) - 1
+    ended = F.when(F.get(parts, last) == "", F.slice(parts, 1, last)).otherwise(parts)
+    return F.when(text != "", ended).otherwise(F.array().cast("array<string>"))
 
 
-def trigrams(words: Column) -> Column:
-    """Array of (w1, w2, w3) over neighbouring words; empty under three words.
-
-    Zipping pads the shifted arrays with nulls, so callers drop rows without ``w3``.
-    """
-    n = F.size(words)
-    return F.arrays_zip(
-        words.alias("w1"),
-        F.slice(words, 2, F.greatest(n, F.lit(0))).alias("w2"),
-        F.slice(words, 3, F.greatest(n, F.lit(0))).alias("w3"),
-    )
+def trigram(words: Column, place: Column) -> Column:
+    """The three neighbouring words from a place on with one space between, which no word has; the place must have them."""
+    return F.concat_ws(" ", *[F.get(words, place + i) for i in range(3)])
 
 
 def before_last_comma(line: Column) -> Column:

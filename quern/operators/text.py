@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import lines, tokens, trigrams
+from quern.functions.text import lines, tokens, trigram
 from quern.operators.skew import with_blocks
 
 # Fixed value: words rarer than this in a host are left out of its term vector.
@@ -24,7 +24,7 @@ def words(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> Data
 
 def text_lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per line with its 0-based place in the text."""
-    return df.select(*keep, text).select(*keep, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
+    return df.select(*keep, lines(F.col(text)).alias("_lines")).select(*keep, F.posexplode("_lines").alias("line_no", "line"))
 
 
 def word_count(df: DataFrame, text: str = "text") -> DataFrame:
@@ -33,17 +33,24 @@ def word_count(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sequence_count(df: DataFrame, doc: str, line: str = "line") -> DataFrame:
-    """(w1, w2, w3, doc) -> occurrences of three neighbouring words inside one line."""
-    triples = df.select(F.col(doc).alias("doc"), F.inline(trigrams(tokens(F.col(line)))))
-    return (
-        triples.where(F.col("w3").isNotNull()).groupBy("w1", "w2", "w3", "doc").agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(w1, w2, w3, doc) -> occurrences of three neighbouring words inside one line.
+
+    Triples are one string until they are counted.  As most are rare, combining them before the shuffle would keep nearly
+    all of a task's in memory or spill them; so they are dealt by triple and doc first, and a hot one costs its task time alone.
+    """
+    words = df.select(F.col(doc).alias("doc"), tokens(F.col(line)).alias("_words"))
+    placed = words.select("doc", "_words", F.posexplode("_words").alias("_place", "_word")).where(F.col("_place") < F.size("_words") - 2)
+    triples = placed.select(trigram(F.col("_words"), F.col("_place")).alias("_triple"), "doc")
+    counts = triples.repartition("_triple", "doc").groupBy("_triple", "doc").agg(F.count(F.lit(1)).alias("n"))
+    part = F.split("_triple", " ")
+    return counts.select(*[part[i].alias(f"w{i + 1}") for i in range(3)], "doc", "n")
 
 
 def inverted_index(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
     """Distinct (word, doc) pairs."""
     once = F.array_distinct(tokens(F.col(text)))
-    return df.select(doc, text).select(F.explode(once).alias("word"), F.col(doc).alias("doc")).distinct()
+    pairs = df.select(F.col(doc).alias("doc"), once.alias("_words")).select(F.explode("_words").alias("word"), "doc")
+    return pairs.distinct()
 
 
 def inverted_index_list(df: DataFrame, doc: str, text: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:

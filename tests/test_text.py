@@ -71,3 +71,28 @@ def test_counters_are_observed_with_the_job(spark):
     observed, metrics = counted(text.words(df), "words")
     assert observed.groupBy("word").count().count() == 3
     assert metrics.get == {"words": 4}
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_triples_are_not_combined_before_the_shuffle(spark):
+    """Below the exchange that deals them there is no table of a whole task's keys."""
+    found = text.sequence_count(text.text_lines(documents(spark, ("D", "a b c")), keep=("doc",)), "doc")
+    above, below = physical(found).split("Exchange hashpartitioning", 1)
+    assert "HashAggregate" in above and "Aggregate" not in below and "Exchange" not in below
+
+
+def test_texts_split_at_every_kind_of_break(spark):
+    df = spark.createDataFrame([("\r\r\na\n\r",), ("a b\t\r\nc\fd \x0be f\r",), (None,)], "t string")
+    found = [tuple(r) for r in df.select(line_column(F.col("t")), tokens(F.col("t"))).collect()]
+    assert found == [(["", "", "a", ""], ["a"]), (["a b\t", "c\fd \x0be f"], ["a", "b", "c", "d", "\x0be f"]), ([], None)]
+
+
+def test_null_docs_and_texts_keep_their_rows(spark):
+    df = documents(spark, (None, "a b c\na b c"), (None, "a b c"), ("D", None), ("D", "a b c"))
+    found = text.sequence_count(text.text_lines(df, keep=("doc",)), "doc").collect()
+    assert sorted((tuple(r)[:3], r.doc or "", r.n) for r in found) == [(("a", "b", "c"), "", 3), (("a", "b", "c"), "D", 1)]
+    lists = [(r.word, r.n_docs) for r in text.inverted_index_list(df.where("doc is not null"), "doc", list_rows=1).collect()]
+    assert sorted(lists) == [("a", 1), ("b", 1), ("c", 1)]
