@@ -96,3 +96,16 @@ def test_null_docs_and_texts_keep_their_rows(spark):
     assert sorted((tuple(r)[:3], r.doc or "", r.n) for r in found) == [(("a", "b", "c"), "", 3), (("a", "b", "c"), "D", 1)]
     lists = [(r.word, r.n_docs) for r in text.inverted_index_list(df.where("doc is not null"), "doc", list_rows=1).collect()]
     assert sorted(lists) == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_sizes_of_words_are_joined_without_a_sort(spark):
+    plan = physical(text.inverted_index_list(documents(spark, ("D", "a b")), "doc", list_rows=1))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_null_groups_are_split_into_blocks(spark):
+    df = documents(spark, (None, "x"), (None, "y"), ("D", "x"))
+    from quern.operators.skew import with_blocks
+
+    blocked = with_blocks(df, ["doc"], F.col("text"), 1).collect()
+    assert sorted((r.doc or "", r._blocks) for r in blocked) == [("", 2), ("", 2), ("D", 1)]
