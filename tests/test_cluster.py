@@ -8,7 +8,9 @@ import sys
 import duckdb
 import pytest
 
-NAMES = ("classify_by_file",)
+NAMES = (
+    "classify_by_file", "good_rows",
+)
 
 TABLES = {
     "customer": "select i as c_custkey from range(40) r(i)",
