@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 NAMES = (
-    "classify_by_file", "good_rows", "job_result_sink", "kmeans_iterate", "kmeans_update",
+    "classify_by_file", "good_rows", "job_result_sink", "kmeans_iterate", "kmeans_update", "kv_text_sink",
 )
 
 TABLES = {
