@@ -11,7 +11,7 @@ import pytest
 NAMES = (
     "classify_by_file", "good_rows", "job_result_sink", "kmeans_iterate", "kmeans_update", "kv_text_sink",
     "load_centroids", "malformed_edges", "result_log_files", "result_log_timeline", "sort_pipeline",
-    "stream_malformed_edges",
+    "stream_malformed_edges", "stream_task_estimate",
 )
 
 TABLES = {
