@@ -12,6 +12,7 @@ from test_cluster import ON_A_CLUSTER, TABLES
 NAMES = (
     "classify_by_file",
     "good_rows",
+    "job_result_sink",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
