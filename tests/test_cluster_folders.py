@@ -13,6 +13,7 @@ NAMES = (
     "classify_by_file",
     "good_rows",
     "job_result_sink",
+    "kmeans_iterate",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
