@@ -14,6 +14,7 @@ NAMES = (
     "good_rows",
     "job_result_sink",
     "kmeans_iterate",
+    "kmeans_update",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
