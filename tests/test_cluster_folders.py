@@ -15,6 +15,7 @@ NAMES = (
     "job_result_sink",
     "kmeans_iterate",
     "kmeans_update",
+    "kv_text_sink",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
