@@ -16,6 +16,7 @@ NAMES = (
     "kmeans_iterate",
     "kmeans_update",
     "kv_text_sink",
+    "load_centroids",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
