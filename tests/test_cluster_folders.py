@@ -17,6 +17,7 @@ NAMES = (
     "kmeans_update",
     "kv_text_sink",
     "load_centroids",
+    "malformed_edges",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
