@@ -18,6 +18,7 @@ NAMES = (
     "kv_text_sink",
     "load_centroids",
     "malformed_edges",
+    "result_log_files",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
