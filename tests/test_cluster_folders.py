@@ -19,6 +19,7 @@ NAMES = (
     "load_centroids",
     "malformed_edges",
     "result_log_files",
+    "result_log_timeline",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
