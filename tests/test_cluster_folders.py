@@ -20,6 +20,7 @@ NAMES = (
     "malformed_edges",
     "result_log_files",
     "result_log_timeline",
+    "sort_pipeline",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
