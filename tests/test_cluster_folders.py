@@ -22,6 +22,7 @@ NAMES = (
     "result_log_timeline",
     "sort_pipeline",
     "stream_malformed_edges",
+    "stream_task_estimate",
 )
 OWN_FOLDERS = ON_A_CLUSTER.replace('f"file://{folder}/shared"', '"file:///proc/self/cwd/own"')
 SET_LATER = """
