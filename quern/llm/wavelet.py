@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import on_arrow, private_name, shuffle_parts, with_row_key, written
+from quern.llm.common import on_arrow, private_name, shuffle_parts, texts_of, with_row_key, written
 from quern.llm.tokens import KEPT, byte_encoder
 
 END_ID = 0
@@ -43,17 +43,26 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, length
     documents = pack(doc_ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes() + np.packbits(has_id).tobytes())
     out = [_HEAD.pack(_MAGIC, planes, len(ids), len(doc_ids), len(documents)), documents]
     order = ids.astype(np.uint16 if planes <= 16 else np.uint32)
+    below = np.empty_like(order)
     for plane in range(planes - 1, -1, -1):
-        bit = (order >> plane & 1).astype(bool)
-        bits = np.packbits(bit)
-        raw = bits.tobytes()
-        frames = [pack(raw[at : at + BLOCK_BYTES]) for at in range(0, len(raw), BLOCK_BYTES)]
-        ones = np.add.reduceat(_ONES[bits], np.arange(0, len(bits), BLOCK_BYTES), dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
+        one = order.dtype.type(1 << plane)
+        frames, ones, zeros, waiting = [], [], 0, []
+        # Ids are moved a block at a time, which stays in the processor's caches: zeros to the front, ones when all zeros are known.
+        for at in range(0, len(order), 8 * BLOCK_BYTES):
+            some = order[at : at + 8 * BLOCK_BYTES]
+            bit = (some & one) != 0
+            unset, found = np.flatnonzero(~bit), np.flatnonzero(bit)
+            frames.append(pack(np.packbits(bit)))
+            ones.append(len(found))
+            some.take(unset, out=below[zeros : zeros + len(unset)], mode="clip")
+            waiting.append(some.take(found, mode="clip"))
+            zeros += len(unset)
         before = np.concatenate(([0], np.cumsum(ones)))
         ends = np.concatenate(([0], np.cumsum([len(f) for f in frames])))
-        out.append(_PLANE.pack(len(bit) - np.count_nonzero(bit), len(frames), int(ends[-1])))
+        out.append(_PLANE.pack(zeros, len(frames), int(ends[-1])))
         out += [before.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *frames]
-        order = np.concatenate((np.compress(~bit, order), np.compress(bit, order)))
+        np.concatenate((below[:0], *waiting), out=below[zeros:])
+        order, below = below, order
     return b"".join(out)
 
 
@@ -114,16 +123,19 @@ class WaveletFile:
     def ids(self) -> np.ndarray:
         """All ids: from the lowest plane up, each undoes its move of zeros to the front."""
         kind = np.uint16 if self.planes <= 16 else np.uint32
-        order = np.zeros(self.n, kind)
+        order, above = np.zeros(self.n, kind), np.empty(self.n, kind)
         for depth in range(self.planes):
             plane = self.planes - 1 - depth
-            ends = self._frames[plane].tolist()
-            raw = b"".join(self._unpack(self._raw[a:b]) for a, b in zip(ends, ends[1:]))
-            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
-            above, zeros = np.empty(self.n, kind), self.zeros[plane]
-            above[np.flatnonzero(~bit)] = order[:zeros]
-            above[np.flatnonzero(bit)] = order[zeros:] | kind(1 << depth)
-            order = above
+            ends, one = self._frames[plane].tolist(), kind(1 << depth)
+            from_zero, from_one = 0, self.zeros[plane]
+            for at, a, b in zip(range(0, self.n, 8 * BLOCK_BYTES), ends, ends[1:]):
+                some = above[at : at + 8 * BLOCK_BYTES]
+                bit = np.unpackbits(np.frombuffer(self._unpack(self._raw[a:b]), np.uint8), count=len(some)).view(bool)
+                unset, found = np.flatnonzero(~bit), np.flatnonzero(bit)
+                some[unset] = order[from_zero : from_zero + len(unset)]
+                some[found] = order[from_one : from_one + len(found)] | one
+                from_zero, from_one = from_zero + len(unset), from_one + len(found)
+            order, above = above, order
         return order
 
     def _ones(self, plane: int, at: int) -> int:
@@ -205,8 +217,7 @@ def _build(path: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, seq, len(ids), file), schema)], schema=schema)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(texts_of(batch.column("text")))):
                 docs.append(doc_id)
                 parts.append(ids + end)
                 held += len(parts[-1]) // 4

@@ -164,3 +164,54 @@ def test_equal_rows_are_dealt_apart(spark):
     assert len(shards) > 4 and max(s[1] for s in shards) < 2000
     sequences = packing.pack(docs, size=8).selectExpr("sequence_id >> 40 as part").groupBy("part").count().collect()
     assert len(sequences) > 4 and max(s["count"] for s in sequences) < 2000
+
+
+def test_pieces_alike_in_their_first_bytes():
+    """Pieces of 16 bytes and more that share a beginning, a length or a kind are told apart, met again or after many others."""
+    from quern.llm import tokens
+
+    random.seed(4)
+    stem = "abcdefghijklmnop"
+    words = [stem[:n] + end for n in (14, 15, 16) for end in ("", "q", "r", "qs", "qt", "q!", "r!", ".", "é", "è", "日", "本", "<", "q<|endoftext|>")]
+    words += [stem + "x" * n + end for n in (1, 40, 5000) for end in "yzé1"] + ["", "a", "\x00", "a\x00", "\x00a", "'s", "<a", "(a)", "É", "\x00" * 17]
+    texts = ["", "\n", "a\n", "\na", "<a", "é", "'s a", stem, stem + "\n" + stem, "a\x1cb", " a", "a "]
+    texts += [random.choice(" \n").join(random.choice(words) for _ in range(random.randrange(9))) for _ in range(600)]
+    texts += ["\n".join("".join(random.choice("aeioulrst") for _ in range(7)) for _ in range(9000))]
+    for name, kind in (("byte_bpe_50k.json", ("<|endoftext|>", True)), ("word_bpe_49k.json", ("<|startoftext|>", False))):
+        encoder = tokens.Encoder(public_tokenizers.path(name), *kind)
+        want = [np.array(plain(name, t), "<u4").tobytes() for t in texts]
+        for given in (texts, texts[::-1], [t.encode() for t in texts]):
+            got = list(encoder.batch(given))
+            assert (got if given[0] == texts[0] or given[0] == b"" else got[::-1]) == want
+
+
+def test_pieces_met_before_are_found_without_sorting(spark, monkeypatch):
+    """Sorting all pieces of each run of texts was most of the time for texts whose words are known."""
+    from quern.llm import tokens
+
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    encoder, sorted_items, unique = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>", True), [], np.unique
+    want = list(encoder.batch(texts))
+    monkeypatch.setattr(np, "unique", lambda items, *args, **kw: sorted_items.append(len(items)) or unique(items, *args, **kw))
+    assert list(encoder.batch(texts)) == want
+    assert sum(sorted_items) < sum(len(t.split()) for t in texts) / 10
+
+
+def test_planes_are_moved_block_by_block():
+    """Building and reading a file hold its ids twice, not lists of places for all of them."""
+    import tracemalloc
+
+    ids = np.random.default_rng(3).integers(0, 50257, 1_000_000).astype("<u4")
+
+    def most(run):
+        tracemalloc.start()
+        found = run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, peak / len(ids)
+
+    one = np.array([1])
+    raw, built = most(lambda: wavelet.encode_file(ids, one, one > 0, one * len(ids)))
+    back, read = most(wavelet.WaveletFile(raw).ids)
+    # Two bytes an id twice, the ones that wait, and the file in parts and whole.
+    assert built < 9.5 and read < 5 and (back == ids).all(), (built, read)
