@@ -51,9 +51,12 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, length
         for at in range(0, len(order), 8 * BLOCK_BYTES):
             some = order[at : at + 8 * BLOCK_BYTES]
             bit = (some & one) != 0
-            unset, found = np.flatnonzero(~bit), np.flatnonzero(bit)
             frames.append(pack(np.packbits(bit)))
-            ones.append(len(found))
+            ones.append(np.count_nonzero(bit))
+            if not plane:
+                zeros += len(bit) - ones[-1]
+                continue
+            unset, found = np.flatnonzero(~bit), np.flatnonzero(bit)
             some.take(unset, out=below[zeros : zeros + len(unset)], mode="clip")
             waiting.append(some.take(found, mode="clip"))
             zeros += len(unset)
@@ -61,8 +64,9 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, length
         ends = np.concatenate(([0], np.cumsum([len(f) for f in frames])))
         out.append(_PLANE.pack(zeros, len(frames), int(ends[-1])))
         out += [before.astype("<u8").tobytes(), ends.astype("<u8").tobytes(), *frames]
-        np.concatenate((below[:0], *waiting), out=below[zeros:])
-        order, below = below, order
+        if waiting:
+            np.concatenate(waiting, out=below[zeros:])
+            order, below = below, order
     return b"".join(out)
 
 
@@ -123,7 +127,7 @@ class WaveletFile:
     def ids(self) -> np.ndarray:
         """All ids: from the lowest plane up, each undoes its move of zeros to the front."""
         kind = np.uint16 if self.planes <= 16 else np.uint32
-        order, above = np.zeros(self.n, kind), np.empty(self.n, kind)
+        order, above = np.empty(self.n, kind), np.empty(self.n, kind)
         for depth in range(self.planes):
             plane = self.planes - 1 - depth
             ends, one = self._frames[plane].tolist(), kind(1 << depth)
@@ -131,6 +135,9 @@ class WaveletFile:
             for at, a, b in zip(range(0, self.n, 8 * BLOCK_BYTES), ends, ends[1:]):
                 some = above[at : at + 8 * BLOCK_BYTES]
                 bit = np.unpackbits(np.frombuffer(self._unpack(self._raw[a:b]), np.uint8), count=len(some)).view(bool)
+                if not depth:
+                    some[:] = bit
+                    continue
                 unset, found = np.flatnonzero(~bit), np.flatnonzero(bit)
                 some[unset] = order[from_zero : from_zero + len(unset)]
                 some[found] = order[from_one : from_one + len(found)] | one
