@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quern.llm import substring_dedup
@@ -110,3 +113,63 @@ def test_a_passage_of_many_documents_is_one_piece_a_block(spark):
         ends = [n for a, n in zip(start[first], length[first]) if passage.encode().find(bytes(run.data[a : a + n])) >= 0]
         sizes.append(sum(ends))
     assert sizes[0] == sizes[1]
+
+
+def test_a_block_has_its_bytes_however_few_partitions_a_shuffle_has(spark):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcd é\n") for _ in range(120)) for _ in range(5)]
+    rows = [(i // 2 if i % 7 else None, f"{i}{rng.choice(pool)}{rng.choice(pool)[:70]}") for i in range(80)]
+    rows += [(3, None), (None, ""), (90, "x" * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+    pack = substring_dedup._pack_blocks
+
+    def counting(batches):
+        for batch in pack(batches):
+            seen.add(batch.num_rows)
+            yield batch
+
+    assert ours(docs, block_bytes=400) == plain(rows)
+    substring_dedup._pack_blocks = counting
+    try:
+        ours(docs.coalesce(1), block_bytes=1000)
+    finally:
+        substring_dedup._pack_blocks = pack
+    assert seen.value > 8  # one batch, so one row for each block; the shuffle has 8 partitions
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    found = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found, peak / 1e6
+
+
+def test_memory_of_a_block_and_a_part_whose_text_is_all_shared():
+    """3 MB of text, all of whose anchors other blocks hold too, a sixth of them hot."""
+    letters = np.frombuffer(b"abcdefghijklmnop qrstuvwxyz", np.uint8)
+    drawn = letters[np.random.default_rng(7).integers(0, len(letters), 3_000_000)].tobytes()
+    texts = [drawn[a : a + 3000].decode() for a in range(0, len(drawn), 3000)]
+    told = np.unique(np.concatenate([run.hash for run in substring_dedup._runs([t.encode() for t in texts])]))
+    told = np.where(np.arange(len(told)) % 6, told, told | substring_dedup._HOT).astype("<u8")
+    said = pa.table({"frame": pa.array([substring_dedup._packed(told)], pa.binary())})
+
+    def packed(block):
+        batch = pa.record_batch({"text": texts, "doc_id": list(range(len(texts))), "block": pa.array(block, pa.int32())})
+        return pa.Table.from_batches(list(substring_dedup._pack_blocks(iter([batch]))))
+
+    whole = packed([0] * len(texts)).select(["docs"])
+    key = (pa.scalar(0, pa.int32()),)
+    sent, of_block = peak_mb(lambda: substring_dedup._send(16)(key, whole, said))
+    sent = sent.filter(pc.less(sent.column("part"), 16))
+    assert sent.num_rows == 16
+    tables = []
+    for block, docs in enumerate(packed([i // 50 for i in range(len(texts))]).column("docs")):
+        one = substring_dedup._send(1)((pa.scalar(block, pa.int32()),), pa.table({"docs": [docs.as_py()]}), said)
+        tables.append(one.filter(pc.equal(one.column("part"), 0)))
+    part = pa.concat_tables(tables)
+    assert part.num_rows == 20
+    answers, of_part = peak_mb(lambda: substring_dedup._sort(1, substring_dedup.SORT_BYTES)(key, part))
+    assert answers.num_rows == 20
+    assert of_block < 110 and of_part < 90, (of_block, of_part)
