@@ -317,13 +317,13 @@ def _send(parts: int):
         told_hash = told_hash[np.argsort(told_hash & ~_HOT)]
         hot, told_hash = (told_hash & _HOT) > 0, told_hash & ~_HOT
         found = [[], [], [], [], []]
-        for run in _runs_in(block.data, block.sizes):
-            deal, start, length, side, _ = _pieces_of(run, told_hash, hot)
-            sums = np.zeros(len(run.data) + 1, np.uint64)
-            np.cumsum((run.data.astype(np.uint64) + np.uint64(1)) * _power("pieces up", _FACTORS[0], len(run.data)), out=sums[1:])
+        for some in _runs_in(block.data, block.sizes):
+            deal, start, length, side, _ = _pieces_of(some, told_hash, hot)
+            sums = np.zeros(len(some.data) + 1, np.uint64)
+            np.cumsum((some.data.astype(np.uint64) + np.uint64(1)) * _power("pieces up", _FACTORS[0], len(some.data)), out=sums[1:])
             down = _power("pieces down", np.uint64(pow(int(_FACTORS[0]), -1, 1 << 64)), len(sums))
             content = _mixed((sums[start + length] - sums[start]) * down[start] + length.astype(np.uint64))
-            for column, values in zip(found, (deal, content, length.astype("u1"), side.astype("u1"), (start + run.at).astype("<u8"))):
+            for column, values in zip(found, (deal, content, length.astype("u1"), side.astype("u1"), (start + some.at).astype("<u8"))):
                 column.append(values)
         del told_hash, hot
         columns = []
